@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from karst.llm.decontaminate import OP1_SQL, op1_decontaminate
+from karst.llm.jaccard_join import op5_jaccard_join
 from karst.llm.packing import op4_packing
 from karst.llm.quality import OP3_SQL, op3_quality
 from karst.llm.token_counts import op8_token_counts
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op8_token_counts": op8_token_counts,
 }
 ORACLE_SQL = {
