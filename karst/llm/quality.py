@@ -31,8 +31,11 @@ RATIOS = {
     "upper_case": ("_n_upper", "word_chars", 0.02, False),
     "exclamations": ("_n_bang", "word_chars", 0.01, False),
     "repeated_lines": ("n_dup_lines", "_n_lines", 0.06, False),
-    "repeated_words": ("n_repeat_words", "n_words", 0.035, False),
+    "repeated_words": ("n_repeat_words", "n_words", 0.04, False),
+    "stutters": ("_n_stutter", "n_words", 0.03, False),
 }
+#: Further counts for the ratios: lines with a word, capitals, [!?], words equal to the word before.
+EXTRA = ["_n_lines", "_n_upper", "_n_bang", "_n_stutter"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]+', 0)"
@@ -54,9 +57,9 @@ transform(array(transform(sequence(1, size(_words) - 7), i -> xxhash64(slice(_wo
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the base measures, and with ``_n_lines``, ``_n_upper`` and ``_n_bang`` for the verdict."""
+    """docs with the base measures, and with the further counts for the verdict."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = without(docs, [*BASE, "_words", "_lines", "_n_lines", "_n_upper", "_n_bang"])
+    docs = without(docs, [*BASE, "_words", "_lines", *EXTRA])
     docs = docs.withColumns({"_words": F.expr(_WORDS.format(text=f"`{text_col}`")), "_lines": F.expr(_LINES.format(text=f"`{text_col}`"))})
     docs = docs.withColumns(
         {
@@ -68,6 +71,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "_n_lines": F.size("_lines").cast("long"),
             "_n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
             "_n_bang": F.regexp_count(text, F.lit(r"[!?]")).cast("long"),
+            "_n_stutter": F.expr("transform(array(_words), w -> size(filter(w, (x, i) -> i > 0 AND x = get(w, i - 1))))[0]").cast("long"),
         }
     ).drop("_words", "_lines")
     return docs.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
@@ -127,7 +131,7 @@ def quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     and splits a hot source's partition otherwise.
     """
     carry = [c for c in docs.columns if c not in BASE] if carry is None else carry
-    names = [*carry, *[c for c in (lang_col, source_col) if c not in carry], *BASE, "_n_lines", "_n_upper", "_n_bang"]
+    names = [*carry, *[c for c in (lang_col, source_col) if c not in carry], *BASE, *EXTRA]
     rows = written(measured(docs, text_col).select(names), "quality")
     bounds = thresholds(sketches(rows, lang_col, source_col)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = rows[lang_col].eqNullSafe(bounds["_lang"]) & rows[source_col].eqNullSafe(bounds["_source"])
@@ -178,7 +182,8 @@ WITH w AS (
   SELECT rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS _n_lines,
-         len(regexp_extract_all(t, '\p{{Lu}}')) AS _n_upper, len(regexp_extract_all(t, '[!?]')) AS _n_bang
+         len(regexp_extract_all(t, '\p{{Lu}}')) AS _n_upper, len(regexp_extract_all(t, '[!?]')) AS _n_bang,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS _n_stutter
   FROM w LEFT JOIN covered USING (rid)
 ), rows_ AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
 ), pairs AS (SELECT rid, lang, source, base_failed, v.ratio, v.value FROM rows_, LATERAL (VALUES {values}) AS v(ratio, value)

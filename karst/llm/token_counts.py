@@ -73,7 +73,9 @@ def token_counts(
     same = (content["content_digest"] == missing["content_digest"]) & content[id_col].eqNullSafe(missing["_first"])
     chosen = content.join(missing.hint("shuffle_hash"), same, "left_semi").select("content_digest", "_text")
     chosen.mapInArrow(_count(vocabulary, version), CACHE_SCHEMA).write.mode("append").parquet(path)
-    counted = keys.join(read_cache(spark, path, version), "content_digest")
+    # Written, so that both sides of the last join are plain exchanges, of which the planner splits a hot text's.
+    counts = written(first.select("content_digest").join(read_cache(spark, path, version), "content_digest"), "content-counts")
+    counted = keys.join(counts, "content_digest")
     return counted.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
