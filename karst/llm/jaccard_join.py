@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from karst.llm.common import table, written
-from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits
+from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits, sketch_of
 
 SHINGLE, PERCENT = 4, 85
 _GOLD, _SEG, _GRP, _CNT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -144,13 +144,18 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, sets = [], []
+            ids, sets, sizes, sketches = [], [], [], []
             for text, want in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 s = shingles(words_of(text.as_py()), size, hashes)
                 if len(s) and int(np.uint64(set_id(s)).astype(np.int64)) == want:
                     ids.append(want)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["item", "s"])
+                    sizes.append(len(s))
+                    sketches.append(sketch_of(s))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())],
+                names=["item", "n", "sketch", "s"],
+            )
 
     return run
 
@@ -199,9 +204,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col))).getField(id_col)
     chosen = items.join(inside, "item", "left_semi").groupBy("item").agg(first.alias("_first"))
     texts = docs.join(chosen.hint("shuffle_hash"), docs[id_col].eqNullSafe(chosen["_first"])).select("_text", "item")
-    sets = written(texts.mapInArrow(_sets(size), "item long, s binary").dropDuplicates(["item"]), "jaccard-sets")
+    sets = written(texts.mapInArrow(_sets(size), "item long, n long, sketch binary, s binary").dropDuplicates(["item"]), "jaccard-sets")
 
-    parts, _ = close(found, lambda edges: verified(edges, sets, percent), "jaccard")
+    parts = close(found, lambda edges: verified(edges, sets, percent), sets.select("item", "n", "sketch"), percent, "jaccard")
     full = items.where("item IS NOT NULL").join(parts, "item", "left").withColumn("component", F.coalesce("component", "item"))
     least = full.groupBy("component").agg(F.min(id_col).alias("component_id"))
     linked = full.join(least, "component").select(id_col, "n_shingles", "component_id")

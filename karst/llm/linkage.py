@@ -116,34 +116,75 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return written(found.select(F.col("b").alias("item"), F.col("a").alias("component")).union(found.select("a", "a").distinct()), name)
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's items in different components, other than those with the item that all were compared with."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            a, b = [], []
-            small = [(x["i"], x["c"]) for x in row["own"] if not x["large"]]
-            large = [(x["i"], x["c"]) for x in row["own"] if x["large"]]
-            si, sc = np.array([i for i, _ in small], np.int64), np.array([c for _, c in small], np.int64)
-            li, lc = np.array([i for i, _ in large], np.int64), np.array([c for _, c in large], np.int64)
-            for k in range(len(si)):
-                if si[k] == row["centre"]:
+def sketch_of(s: np.ndarray) -> bytes:
+    """The parity sketch of a set of hashes: each toggles one of 2**m bits, at least four to an element; folding it in half gives the next smaller one."""
+    bits = 1 << max(9, min(17, (4 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _alike(rows: list[dict]) -> np.ndarray:
+    """The sketches of rows as a matrix of words, folded to the shortest's length."""
+    width = min(len(r["sketch"]) for r in rows)
+    out = np.zeros((len(rows), width // 8), dtype=np.uint64)
+    for k, r in enumerate(rows):
+        words = np.frombuffer(r["sketch"], dtype=np.uint64)
+        while len(words) * 8 > width:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        out[k] = words
+    return out
+
+
+def _cross(percent: int, nearest: int | None):
+    """Candidate pairs of a bucket's items (or of two blocks of a large bucket's) in different components.
+
+    A pair goes when the Hamming distance of the sketches, a lower bound of the symmetric
+    difference, excludes a link; of the others, each item's ``nearest`` are given, or all.
+    Pairs with the item that all were compared with are known already.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                own = [x for x in row["own"] if x["i"] != row["centre"]]
+                if len(own) < 2:
                     continue
-                for i, c in ((si[k + 1 :], sc[k + 1 :]), (li, lc)):
-                    other = i[(c != sc[k]) & (i != row["centre"])]
-                    a.append(np.full(len(other), si[k]))
-                    b.append(other)
-            if a and sum(map(len, a)):
-                x, y = np.concatenate(a), np.concatenate(b)
-                for s in range(0, len(x), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[s : s + 100_000]), pa.array(np.maximum(x, y)[s : s + 100_000])], names=["a", "b"])
-
-
-def close(found: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
-    """The components of all true links between items that share a bucket, and the verified links.
-
-    First each bucket's items are compared with its smallest small item.  A bucket whose items
-    are then in one component can add nothing.  For the others, the pairs across components are
-    verified; afterwards no candidate pair is left that is neither verified nor within a component.
+                i, c, n, block = (np.array([x[f] for x in own], np.int64) for f in ("i", "c", "n", "block"))
+                large = np.array([x["large"] for x in own])
+                words, a, b = _alike(own), [], []
+                for x in np.flatnonzero(~large & (block == row["lo"])).tolist():
+                    other = np.flatnonzero((c != c[x]) & (block == row["hi"]))
+                    if not len(other):
+                        continue
+                    far = np.bitwise_count(words[other] ^ words[x]).sum(axis=1, dtype=np.int64)
+                    near = far * (100 + percent) <= (100 - percent) * (n[other] + n[x])
+                    other, far = other[near], far[near]
+                    if nearest is not None and len(other) > nearest:
+                        other = other[np.argpartition(far, nearest)[:nearest]]
+                    a.append(np.full(len(other), i[x]))
+                    b.append(i[other])
+                if a and sum(map(len, a)):
+                    x, y = np.concatenate(a), np.concatenate(b)
+                    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return run
+
+
+#: Items of a bucket that one task compares with as many others.
+BLOCK = 4096
+
+
+def close(found: DataFrame, verify: Callable[[DataFrame], DataFrame], items: DataFrame, percent: int, name: str) -> DataFrame:
+    """item, component: of all links between items that share a bucket, with the threshold 100 * common >= percent * union.
+
+    items: item, n (the size of its set), sketch.  First each bucket's items are compared with its
+    smallest small item.  A bucket whose items are then in one component can add nothing.  In the
+    others, items are compared with their nearest in other components, which mostly links them;
+    then whatever pairs across components their sketches don't exclude are verified.  After that no
+    candidate pair is left that is neither refuted nor within a component.  Buckets of any size are
+    compared in blocks, so no task holds more than two blocks.
     """
     centre = F.array_min("small")
     star = found.select(centre.alias("a"), F.explode(F.concat("small", "large")).alias("b")).where("a <> b")
@@ -151,16 +192,23 @@ def close(found: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str)
     links = written(verify(star), name + "-links")
     parts = components(links, name + "-components")
 
-    rest = found.where("size(small) + size(large) > 2")
-    own = rest.select("key", centre.alias("centre"), F.explode("small").alias("i"), F.lit(False).alias("large")).union(
-        rest.select("key", centre.alias("centre"), F.explode("large").alias("i"), F.lit(True).alias("large"))
-    )
-    own = own.join(parts, F.expr("i = item"), "left").select("key", "centre", "i", "large", F.coalesce("component", "i").alias("c"))
-    mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    lists = own.join(mixed, "key", "left_semi").groupBy("key", "centre").agg(F.collect_list(F.struct("i", "c", "large")).alias("own"))
-    across = lists.mapInArrow(_cross, "a long, b long").distinct()
-    more = written(verify(across), name + "-links")
-    if more.isEmpty():
-        return parts, links
-    links = links.union(more)
-    return components(links, name + "-components"), links
+    rest = found.where("size(small) + size(large) > 2").withColumn("blocks", F.ceil((F.size("small") + F.size("large")) / BLOCK).cast("int"))
+    sides = [rest.select("key", centre.alias("centre"), "blocks", F.explode(side).alias("i"), F.lit(side == "large").alias("large")) for side in ("small", "large")]
+    own = sides[0].union(sides[1])
+    for nearest in (3, None):
+        now = own.join(parts, F.expr("i = item"), "left").select("key", "centre", "blocks", "i", "large", F.coalesce("component", "i").alias("c"))
+        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        now = written(now.join(mixed, "key", "left_semi"), name + "-mixed")
+        if now.isEmpty():
+            break
+        told = now.join(items, F.expr("i = item")).withColumn("block", F.expr("pmod(xxhash64(i), blocks)").cast("int"))
+        # Every ordered pair of blocks: an item is a row's x in its own block's pairs, a y in the others'.
+        told = told.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pair = told.select("key", "centre", F.explode(F.array_distinct(F.array(F.struct(F.col("block").alias("lo"), F.col("other").alias("hi")), F.struct(F.col("other").alias("lo"), F.col("block").alias("hi"))))).alias("p"), F.struct("i", "c", "large", "n", "sketch", "block").alias("x"))
+        lists = pair.groupBy("key", "centre", "p.lo", "p.hi").agg(F.collect_list("x").alias("own"))
+        across = lists.mapInArrow(_cross(percent, nearest), "a long, b long").distinct()
+        more = written(verify(across), name + "-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            parts = components(links, name + "-components")
+    return parts
