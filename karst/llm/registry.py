@@ -5,6 +5,7 @@ from __future__ import annotations
 from karst.llm.decontaminate import OP1_SQL, op1_decontaminate
 from karst.llm.jaccard_join import op5_jaccard_join
 from karst.llm.packing import op4_packing
+from karst.llm.pii import op10_pii
 from karst.llm.quality import OP3_SQL, op3_quality
 from karst.llm.token_counts import op8_token_counts
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op8_token_counts": op8_token_counts,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,
