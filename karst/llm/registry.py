@@ -8,16 +8,19 @@ from karst.llm.packing import op4_packing
 from karst.llm.pii import op10_pii
 from karst.llm.quality import OP3_SQL, op3_quality
 from karst.llm.token_counts import op8_token_counts
+from karst.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_warc": op6_warc,
     "op8_token_counts": op8_token_counts,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,
     "op3_quality": OP3_SQL,
+    "op6_warc": OP6_SQL,
 }
