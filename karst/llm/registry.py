@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from karst.llm.decontaminate import OP1_SQL, op1_decontaminate
+from karst.llm.html_extract import op2_html_extract
 from karst.llm.jaccard_join import op5_jaccard_join
 from karst.llm.packing import op4_packing
 from karst.llm.pii import op10_pii
@@ -12,6 +13,7 @@ from karst.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_html_extract": op2_html_extract,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
