@@ -208,7 +208,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     parts = close(found, lambda edges: verified(edges, sets, percent), sets.select("item", "n", "sketch"), percent, "jaccard")
     full = items.where("item IS NOT NULL").join(parts, "item", "left").withColumn("component", F.coalesce("component", "item"))
-    least = full.groupBy("component").agg(F.min(id_col).alias("component_id"))
+    # Written, so that both sides of the last join are plain exchanges, of which the planner splits a large group's.
+    least = written(full.groupBy("component").agg(F.min(id_col).alias("component_id")), "jaccard-least")
     linked = full.join(least, "component").select(id_col, "n_shingles", "component_id")
     return linked.union(items.where("item IS NULL").select(id_col, "n_shingles", F.col(id_col).alias("component_id")))
 
