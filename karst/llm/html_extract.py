@@ -136,11 +136,11 @@ def featured(blocks: list[Block]) -> list[list[str]]:
     for k, b in enumerate(blocks):
         f = ["bias", f"page_has_main={main}"]
         tags = [t for t in b.tags if t not in INLINE]
-        f += [f"under={t}" for t in {t if t in _TELLING else "other" for t in tags}]
+        f += [f"under={t}" for t in sorted({t if t in _TELLING else "other" for t in tags})]
         f.append(f"parent={tags[-1] if tags else '-'}")
         if main:
             f.append(f"in_main={'article' in b.tags or 'main' in b.tags}")
-        for n in b.names:
+        for n in sorted(b.names):
             f.append(f"name={n}")
         words = b.text.count(" ") + 1
         f.append(f"words={min(7, words.bit_length())}")
