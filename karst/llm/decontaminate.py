@@ -222,10 +222,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
 
     @F.udf(T.StringType())
     def cut_text(text, runs):
-        return cut(text, list(zip(runs[::2], runs[1::2], strict=True)))
+        return cut(text, list(zip(runs[::2], runs[1::2], strict=True))) if runs else text
 
-    cleaned = F.when(F.size("hit_runs") > 0, cut_text(F.col(text_col), F.col("hit_runs"))).otherwise(F.col(text_col))
-    return found.withColumn(text_col, cleaned).drop(*_FOUND.names)
+    return found.withColumn(text_col, cut_text(F.col(text_col), F.col("hit_runs"))).drop(*_FOUND.names)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
