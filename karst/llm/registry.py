@@ -5,7 +5,9 @@ from __future__ import annotations
 from karst.llm.decontaminate import OP1_SQL, op1_decontaminate
 from karst.llm.html_extract import op2_html_extract
 from karst.llm.jaccard_join import op5_jaccard_join
+from karst.llm.lm_score import op7_lm_score
 from karst.llm.packing import op4_packing
+from karst.llm.paragraph_dedup import op9_paragraph_dedup
 from karst.llm.pii import op10_pii
 from karst.llm.quality import OP3_SQL, op3_quality
 from karst.llm.token_counts import op8_token_counts
@@ -18,7 +20,9 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_warc": op6_warc,
+    "op7_lm_score": op7_lm_score,
     "op8_token_counts": op8_token_counts,
+    "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL = {

@@ -1,0 +1,114 @@
+import math
+import random
+from collections import Counter
+
+from karst.llm.decontaminate import words_of
+from karst.llm.lm_score import ADDED, BIGRAM_WEIGHT, score
+from karst.llm.paragraph_dedup import remove_repeats, repeated_paragraphs, tuned
+
+DOCS = "doc_id long, text string, item string, is_target string"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(2)
+    good, bad = [f"g{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    rows = [(0, None, None, None), (1, "", None, None), (2, "!!", None, None), (None, "g1 g2 b1", None, None)]
+    rows += [(i, " ".join(rng.choices(good if i % 2 else bad, k=rng.randint(1, 60))) + " the", None, None) for i in range(3, 160)]
+    rows.append(rows[20])
+    labels = [(i, i % 2, 0) for i in range(3, 100)] + [(5, 1, 0), (7, 1, 1), (9, None, None), (None, 1, 0)]
+    got = {r.doc_id: r for r in score(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    target = {i for i in range(3, 100) if i % 2 and i != 7}
+    uni, his, bi, vocab = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()], set()
+    for d, t, *_ in rows:
+        w = [b"<s>", *words_of(t)]
+        vocab |= set(w[1:])
+        for side in (0, 1) if d in target else (0,):
+            uni[side].update(w[1:])
+            his[side].update(w[:-1])
+            bi[side].update(zip(w, w[1:]))
+    size, exact = len(vocab) + 2, 0
+    for d, t, *_ in rows:
+        w = [b"<s>", *words_of(t)]
+        assert got[d].n_words == len(w) - 1
+        if len(w) == 1:
+            assert got[d].score is None
+            continue
+        loss = [0.0, 0.0]
+        for h, x in zip(w, w[1:]):
+            for s in (0, 1):
+                p = (uni[s][x] + ADDED) / (sum(uni[s].values()) + ADDED * size)
+                if his[s][h]:
+                    p = BIGRAM_WEIGHT * bi[s][h, x] / his[s][h] + (1 - BIGRAM_WEIGHT) * p
+                loss[s] -= math.log(p)
+        exact += math.isclose(got[d].background_loss, loss[0] / (len(w) - 1), rel_tol=1e-4) and math.isclose(got[d].score, (loss[0] - loss[1]) / (len(w) - 1), rel_tol=1e-3, abs_tol=1e-4)
+    assert exact > 0.85 * len(rows), exact  # in the others a bigram shares its place with another
+    mean = lambda k: sum(got[i].score for i in range(100, 160) if i % 2 == k) / 30
+    assert mean(1) > mean(0) + 0.5
+    none = score(spark.createDataFrame(rows, DOCS), spark.createDataFrame([], LABELS)).where("score IS NOT NULL")
+    assert none.count() == 0
+    assert score(spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)).count() == 0
+
+
+def sets(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_paragraph_classes_equal_brute_force(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    para = lambda n: rng.choices(vocab, k=n)
+    passages = [para(rng.randint(30, 90)) for _ in range(12)]
+    rows = [(0, None, None, None), (1, "", None, None), (2, "short line\n\nshort line", None, None)]
+    for i in range(3, 150):
+        lines = [para(rng.randint(1, 80)) for _ in range(rng.randint(0, 4))]
+        for _ in range(rng.randint(0, 2)):
+            p = list(rng.choice(passages))
+            for _ in range(rng.randint(0, 2)):
+                p[rng.randrange(len(p))] = rng.choice(vocab)
+            lines.insert(rng.randint(0, len(lines)), p)
+        rows.append((i, "\n".join(" ".join(x) for x in lines), None, None))
+    rows += [(200, "é " + " ".join(passages[0]).upper(), None, None), (None, " ".join(passages[1]), None, None), rows[50]]
+    flat = []
+    for d, t, *_ in rows:
+        at = 0
+        for k, line in enumerate((t or "").split("\n")):
+            w = line.lower().split()
+            if len(w) >= 25:
+                flat.append((d, k, at, at + len(line), sets(w)))
+            at += len(line) + 1
+    root = list(range(len(flat)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(flat)):
+        for j in range(i):
+            a, b = flat[i][4], flat[j][4]
+            k = len(a & b)
+            if 100 * k >= 80 * (len(a) + len(b) - k):
+                root[find(i)] = find(j)
+    key = lambda d, k: (d is None, d or 0, k)
+    members = {}
+    for i, (d, k, a, b, _) in enumerate(flat):
+        members.setdefault(find(i), []).append((d, k, a, b))
+    want = []
+    for m in members.values():
+        if len(m) > 1:
+            first = min(m, key=lambda x: key(x[0], x[1]))
+            want += [(key(d, k), a, b, key(first[0], first[1]), len(m), (d, k) != first[:2]) for d, k, a, b in m]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = [(key(r.doc_id, r.paragraph), r.start, r.end, key(r.kept_doc_id, r.kept_paragraph), r.n_in_class, r.removed) for r in repeated_paragraphs(docs).collect()]
+    assert len(want) > 60 and sorted(got) == sorted(want)
+    out = remove_repeats(docs)
+    assert out.columns == docs.columns
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert texts[0] is None and texts[2] == "short line\n\nshort line"
+    assert texts[200] == "" or any(not x[5] for x in want if x[0][1] == 200)
+    assert repeated_paragraphs(docs.limit(0)).count() == 0
+
+
+def test_bands_are_tuned():
+    assert tuned(80) <= 16 and tuned(60) > tuned(80)
