@@ -56,7 +56,7 @@ class Packer:
         order = np.argsort(shard, kind="stable")
         keys, items, shard = keys[order], items[order], shard[order]
         at = np.flatnonzero(np.diff(shard, prepend=-1))
-        ends = [*at[1:].tolist(), len(shard)]
+        ends = [*at[1:].tolist(), len(shard)][: len(at)]
         rows = [(int(shard[a]), keys[a:b].tobytes(), items[a:b].tobytes()) for a, b in zip(at.tolist(), ends, strict=True)]
         self.keys, self.items, self.n = [], [], 0
         cols = list(zip(*rows, strict=True)) or [[], [], []]
