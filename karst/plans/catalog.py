@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from karst.plans import graph_queries
+
+QUERIES: dict = {**graph_queries.QUERIES}
+ORACLE_SQL: dict = {**graph_queries.ORACLE_SQL}
