@@ -34,7 +34,7 @@ class WordHashes(dict):
     """Hashes of words (bytes), kept up to a number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -128,7 +128,7 @@ def _keys(size: int, percent: int, bits: int):
                 item = set_id(s) if len(s) else None
                 if item is None or item in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(item)
                 for side, keys in keys_of(s, percent):

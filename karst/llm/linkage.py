@@ -38,7 +38,7 @@ def shard_bits(df: DataFrame) -> int:
 class Packer:
     """Gathers entries and gives them as packed rows.  An item's lowest bit is its side: 0 small, 1 large."""
 
-    def __init__(self, bits: int, limit: int = 2_000_000):
+    def __init__(self, bits: int, limit: int = 300_000):
         self.bits, self.limit, self.keys, self.items, self.n = bits, limit, [], [], 0
 
     def add(self, keys: np.ndarray, item: int) -> None:

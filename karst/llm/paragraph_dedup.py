@@ -94,7 +94,7 @@ def _signatures(size: int, min_words: int, bands: int, rows: int, bits: int):
                     item = item_of(words)
                     if item in seen:
                         continue
-                    if len(seen) > 500_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(item)
                     packer.add(keys(shingles(words, size, hashes)), item)

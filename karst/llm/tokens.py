@@ -44,9 +44,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -62,7 +61,15 @@ class Encoder:
             return np.zeros(0, dtype=self.dtype)
         if not _COMMON.search(text) and not any(s in text for s in self.special):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+        return np.array(self.library().encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def library(self):
+        """The library's tokenizer, loaded for the first text that needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
 
 
 _encoders: dict[str, Encoder] = {}
