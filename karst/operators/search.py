@@ -55,6 +55,7 @@ def bm25(queries: DataFrame, index: DataFrame, rows: DataFrame, id_col: str, fie
     """keys, uri, score: the sum over query tokens of idf times the boosted, per-field normalised frequencies.
 
     queries: keys, query.  A token that a query repeats counts each time.  Only postings of query tokens are joined.
+    Scores are rounded to nine places, so that ties don't hang on the order in which a sum was made.
     """
     asked = queries.select(*keys, F.explode(words(F.col("query"))).alias("token"))
     asked = asked.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("times"))
@@ -70,7 +71,7 @@ def bm25(queries: DataFrame, index: DataFrame, rows: DataFrame, id_col: str, fie
     norm = F.col("tf") / (1 - B + B * F.col("length") / F.col("average"))
     weight = mine.join(average, "field").groupBy("uri", "token").agg(F.sum(F.col("boost") * norm).alias("f"))
     part = F.col("times") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1)
-    return weight.join(idf, "token").join(asked, "token").groupBy(*keys, "uri").agg(F.sum(part).alias("score"))
+    return weight.join(idf, "token").join(asked, "token").groupBy(*keys, "uri").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def topk(scored: DataFrame, k: int, keys: list[str] = KEYS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from karst.plans import graph_queries
+from karst.plans import graph_queries, search_queries
 
-QUERIES: dict = {**graph_queries.QUERIES}
-ORACLE_SQL: dict = {**graph_queries.ORACLE_SQL}
+QUERIES: dict = {**graph_queries.QUERIES, **search_queries.QUERIES}
+ORACLE_SQL: dict = {**graph_queries.ORACLE_SQL, **search_queries.ORACLE_SQL}
