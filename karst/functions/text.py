@@ -90,7 +90,7 @@ def seed_label(arabic: Column, english: Column, name: Column) -> Column:
 def embedding_text(issue: Column, query: Column, hints: Column) -> Column:
     """Issue, query and hints, each once, joined by spaces."""
     parts = F.concat(F.array(issue, query), F.coalesce(hints, F.array().cast("array<string>")))
-    return F.concat_ws(" ", F.array_distinct(F.filter(F.transform(parts, F.trim), lambda p: p != "")))
+    return F.concat_ws(" ", F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")))
 
 
 def article_text(labels_ar: Column, labels_en: Column, preview: Column) -> Column:

@@ -8,9 +8,17 @@ from pyspark.sql import types as T
 
 from karst.settings import Settings
 
-ISSUE = T.StructType.fromDDL("issue string, retrieval_query string, concept_hints array<string>, actors array<string>, conditions array<string>, numbers array<string>, requested_result string")
-PLAN = T.StructType.fromDDL(f"decision string, confidence double, decision_reason string, normalized_question string, legal_domain string, minimum_articles int, maximum_articles int, atomic_issues array<{ISSUE.simpleString()}>")
-SELECTION = T.StructType.fromDDL("selected_article_numbers array<int>, issue_coverage array<struct<issue_index:int,covered:boolean,supporting_article_numbers:array<int>,confidence:double,reason:string>>, confidence double, reason string")
+_TEXT, _INT, _REAL = T.StringType(), T.IntegerType(), T.DoubleType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+ISSUE = _struct(issue=_TEXT, retrieval_query=_TEXT, concept_hints=T.ArrayType(_TEXT), actors=T.ArrayType(_TEXT), conditions=T.ArrayType(_TEXT), numbers=T.ArrayType(_TEXT), requested_result=_TEXT)
+PLAN = _struct(decision=_TEXT, confidence=_REAL, decision_reason=_TEXT, normalized_question=_TEXT, legal_domain=_TEXT, minimum_articles=_INT, maximum_articles=_INT, atomic_issues=T.ArrayType(ISSUE))
+COVERAGE = _struct(issue_index=_INT, covered=T.BooleanType(), supporting_article_numbers=T.ArrayType(_INT), confidence=_REAL, reason=_TEXT)
+SELECTION = _struct(selected_article_numbers=T.ArrayType(_INT), issue_coverage=T.ArrayType(COVERAGE), confidence=_REAL, reason=_TEXT)
 #: The most of each that a plan may have, and the form of a leaked article number.
 MAX_ISSUES, MAX_HINTS, MAX_ACTORS, MAX_CONDITIONS, MAX_NUMBERS, MAX_SELECTED = 5, 6, 6, 8, 8, 5
 LEAKED_NUMBER = r"(?:المادة|مادة)\s*[0-9٠-٩۰-۹]+"

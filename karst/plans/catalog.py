@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from karst.plans import graph_queries, search_queries
+from karst.plans import graph_queries, search_queries, text_queries
 
-QUERIES: dict = {**graph_queries.QUERIES, **search_queries.QUERIES}
-ORACLE_SQL: dict = {**graph_queries.ORACLE_SQL, **search_queries.ORACLE_SQL}
+PARTS = (graph_queries, search_queries, text_queries)
+QUERIES: dict = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for p in PARTS for k, v in p.ORACLE_SQL.items()}
