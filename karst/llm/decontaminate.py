@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import table, without
+from karst.llm.common import bounded, table, without
 
 WINDOW = 10
 #: Benchmark text that one broadcast may hold; a larger benchmark is taken in blocks of this size.
@@ -114,8 +114,12 @@ _FOUND = T.StructType(
 )
 
 
-def _scanner(shared, key: int, text: int, window: int, keep: bool):
-    """The Arrow function: input columns, then n_words, hit_runs (start, end, start, ...), item_ids, full_window."""
+def _cut_all(texts: list[str | None], runs: list[list[int]]) -> list[str | None]:
+    return [cut(t, list(zip(r[::2], r[1::2], strict=True))) if r else t for t, r in zip(texts, runs, strict=True)]
+
+
+def _scanner(shared, key: int, text: int, window: int, keep: bool, cut_spans: bool):
+    """The Arrow function: input columns (hit runs cut out of the text, if asked), then n_words, hit_runs (start, end, start, ...), item_ids, full_window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NgramSet(shared.value, window)
@@ -128,7 +132,9 @@ def _scanner(shared, key: int, text: int, window: int, keep: bool):
                 runs.append([] if hit is None else [x for r in _runs(hit) for x in r])
                 items.append(sorted(found))
                 full.append(whole)
-            own = batch.columns if keep else [batch.column(key)]
+            own = list(batch.columns) if keep else [batch.column(key)]
+            if cut_spans and any(runs):
+                own[text] = pa.array(_cut_all(own[text].to_pylist(), runs), own[text].type)
             yield pa.RecordBatch.from_arrays(
                 [*own, pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(full, pa.bool_())],
                 names=[*([batch.schema.names[i] for i in range(batch.num_columns)] if keep else [batch.schema.names[key]]), *_FOUND.names],
@@ -160,10 +166,13 @@ def contamination(
     item_text_col: str = "text",
     window: int = WINDOW,
     keep_columns: bool = False,
+    cut_spans: bool = False,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Hit words of every document: id, n_words, hit_runs, item_ids, full_window (and, if asked, all input columns).
 
+    With cut_spans, which needs the input columns, the hit runs are cut out of the text.
+
     A benchmark within ``block_bytes`` is broadcast whole.  A larger one is a stated query set: it is
     taken in blocks of that size, each block scans the documents once, and the rows of the
     blocks are merged by document; so a broadcast never outgrows its bound.
@@ -174,12 +183,13 @@ def contamination(
     Columns of the input named like the result's are dropped.
     """
     spark = docs.sparkSession
+    docs = bounded(docs)
     docs = without(docs, _FOUND.names) if keep_columns else docs.select(id_col, text_col)
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
 
     def scan(frame: DataFrame, items: list) -> DataFrame:
         own = frame.schema.fields if keep_columns else [frame.schema[id_col]]
-        fn = _scanner(spark.sparkContext.broadcast(items), frame.columns.index(id_col), frame.columns.index(text_col), window, keep_columns)
+        fn = _scanner(spark.sparkContext.broadcast(items), frame.columns.index(id_col), frame.columns.index(text_col), window, keep_columns, cut_spans and len(blocks) == 1)
         return frame.mapInArrow(fn, T.StructType([*own, *_FOUND.fields]))
 
     if len(blocks) == 1:
@@ -204,7 +214,18 @@ def contamination(
         out |= {"hit_runs": pa.array([runs], pa.list_(pa.int64())), "item_ids": pa.array([items], pa.list_(pa.string())), "full_window": pa.array([any(group.column("full_window").to_pylist())])}
         return pa.table({c: out[c] for c in group.schema.names})
 
-    return merged.groupBy(*keys).applyInArrow(join, merged.schema)
+    merged = merged.groupBy(*keys).applyInArrow(join, merged.schema)
+    if not cut_spans:
+        return merged
+    at, names = merged.columns.index(text_col), merged.columns
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = list(batch.columns)
+            own[at] = pa.array(_cut_all(own[at].to_pylist(), batch.column("hit_runs").to_pylist()), own[at].type)
+            yield pa.RecordBatch.from_arrays(own, names=names)
+
+    return merged.mapInArrow(cut_out, merged.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:
@@ -216,15 +237,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     """
     if remove not in ("spans", "documents"):
         raise ValueError("remove must be 'spans' or 'documents'")
-    found = contamination(docs, benchmark, text_col=text_col, keep_columns=True, **options)
-    if remove == "documents":
-        found = found.where(~F.col("full_window"))
-
-    @F.udf(T.StringType())
-    def cut_text(text, runs):
-        return cut(text, list(zip(runs[::2], runs[1::2], strict=True))) if runs else text
-
-    return found.withColumn(text_col, cut_text(F.col(text_col), F.col("hit_runs"))).drop(*_FOUND.names)
+    found = contamination(docs, benchmark, text_col=text_col, keep_columns=True, cut_spans=True, **options)
+    return (found.where(~F.col("full_window")) if remove == "documents" else found).drop(*_FOUND.names)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import table
+from karst.llm.common import bounded, table
 
 #: Elements whose content is no text, elements that stand within a block's text, and elements without an end tag.
 SKIPPED = frozenset("script style noscript template svg iframe object canvas head title math audio video".split())
@@ -394,7 +394,7 @@ def main_text(pages: DataFrame, *, html_col: str = "html", model: Crf | None = N
     read each; an empty table gives an empty result; columns named text or n_chars are replaced.
     Each page is read whole, by one task, without a shuffle.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
+    shared = bounded(pages).sparkSession.sparkContext.broadcast(model or default_model())
     carry = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     at = len(carry)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import table, written
+from karst.llm.common import bounded, table, written
 from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits, sketch_of
 
 SHINGLE, PERCENT = 4, 85
@@ -193,7 +193,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Null ids are ignored by the minimum; a component without other ids has a null one.  An empty table gives
     an empty result.
     """
-    docs = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    docs = bounded(docs).select(F.col(id_col), F.col(text_col).alias("_text"))
     items = docs.mapInArrow(_ids(size), T.StructType([docs.schema[id_col], *T.StructType.fromDDL("n_shingles long, item long").fields]))
     items = written(items, "jaccard-items")
     bits = shard_bits(docs)

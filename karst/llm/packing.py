@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from karst.llm.common import shared_dir, table
+from karst.llm.common import bounded, shared_dir, table
 from karst.llm.tokens import default_vocabulary, encoder
 
 #: Queues with an own share; the sources beyond the largest of them share one queue, so the schedule stays bounded.
@@ -176,7 +176,7 @@ def pack(
     Repeated rows are packed each.  An empty table gives no pieces.  The sequences depend on how the
     input splits into partitions, but are fixed once the token table is written.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     own = T.StructField("_id", docs.schema[id_col].dataType)
     fields = [own, *T.StructType.fromDDL("source string, _part int, _at long, doc_tokens long, _width int, _ids binary").fields]
     tokens = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).cast("string").alias("source"))

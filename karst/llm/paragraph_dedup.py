@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import table, written
+from karst.llm.common import bounded, table, written
 from karst.llm.jaccard_join import WordHashes, shingles, verified
 from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits, sketch_of
 
@@ -133,7 +133,7 @@ def repeated_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     null and empty texts.  Repeated rows of one id and text hold the same paragraphs, which then
     repeat; null ids come last.  An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    docs = bounded(docs).select(F.col(id_col), F.col(text_col).alias("_text"))
     fields = T.StructType.fromDDL("paragraph long, start long, end long, n_words long, item long").fields
     places = written(docs.mapInArrow(_locate(min_words), T.StructType([docs.schema[id_col], *fields])), "paragraph-places")
     bits, bands = shard_bits(docs), max(BANDS, tuned(percent, ROWS, 0.9995))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import shared_dir, table, without, written
+from karst.llm.common import bounded, shared_dir, table, without, written
 from karst.llm.tokens import default_vocabulary, encoder, file_digest
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -56,7 +56,7 @@ def token_counts(
     texts.  Without ``cache_path`` the cache lives in a fresh shared folder.  Repeated rows each
     get a row (and are encoded each); null ids are kept; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     vocabulary = vocabulary or default_vocabulary()
     version = file_digest(vocabulary)
     path = cache_path or shared_dir(spark, "token-cache")

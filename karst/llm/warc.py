@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import shared_dir, table
+from karst.llm.common import bounded, shared_dir, table
 
 #: The header fields of the two ARC versions.
 ARC_FIELDS = {
@@ -227,6 +227,7 @@ def archive_pages(pages: DataFrame, path: str, *, version: int = 1, date: str =
     without pages.  Only digests are grouped, with map-side minima; of the groups, those with
     several pages are joined back, and the planner splits a hot payload's rows.
     """
+    bounded(pages)
     html = F.coalesce("html", F.lit(""))
     digest = F.unhex(F.sha1(html.cast("binary")))
     size = F.octet_length(html)
