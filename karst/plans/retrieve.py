@@ -1,6 +1,7 @@
 """Retrieval and answers end to end, for a table of questions at once.
 
 Frames are keyed by question and issue from plan to result; abstained questions keep a row with empty lists.
+What several later stages read is written to the shared folder once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from karst.functions.text import article_text, embedding_text, first_text, norma
 from karst.operators import answers, graph, planning, rank, search
 from karst.settings import Settings
 from karst.sources.models import ask, with_digest
+from karst.sources.scratch import written
+from karst.sources.store import embed
 
 RETRIEVAL_VERSION, GENERATION_VERSION = "retrieval.v2", "generation.v2"
 
@@ -51,22 +54,21 @@ def retrieve_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, embedde
     view = graph.edge_view(edges, graph.RELATION_WEIGHTS, is_article)
     issues = planning.explode_issues(plans.where("plan_error IS NULL"))
     text = embedding_text(F.col("issue"), F.col("retrieval_query"), F.col("concept_hints"))
-    from karst.sources.store import embed
-
-    vectors = embed(issues.withColumn("_text", text), embedder, "_text", s.embedding_batch_size).select(*graph.KEYS, "issue", "retrieval_query", F.col("concept_hints").alias("hints"), F.col("embedding").alias("vector"))
+    vectors = written(embed(issues.withColumn("_text", text), embedder, "_text", s.embedding_batch_size).select(*graph.KEYS, "issue", "retrieval_query", F.col("concept_hints").alias("hints"), F.col("embedding").alias("vector")), "vectors")
     degree = graph.degrees(view)
     facts = nodes.select("uri", "local_name", "node_kind", "labels_ar", "labels_en", "article_number", first_text(F.col("comments_ar"), F.col("comments_en"), F.col("searchable_text")).alias("text"))
-    hits = search.search_concepts(vectors, nodes, degree, s).join(facts.drop("article_number", "text"), "uri")
-    seeds = graph.select_seeds(hits, s).withColumn("seed_label", seed_label(F.col("labels_ar"), F.col("labels_en"), F.col("local_name")))
-    walks = graph.expand(seeds, view, s, in_namespace=lambda u: u.startswith(s.namespace))
-    evidence = graph.article_evidence(walks, s)
+    hits = written(search.search_concepts(vectors, nodes, degree, s).join(facts.drop("article_number", "text"), "uri"), "hits")
+    seeds = written(graph.select_seeds(hits, s).withColumn("seed_label", seed_label(F.col("labels_ar"), F.col("labels_en"), F.col("local_name"))), "seeds")
+    walks = written(graph.expand(seeds, view, s, in_namespace=lambda u: u.startswith(s.namespace)), "walks")
+    evidence = written(graph.article_evidence(walks, s), "evidence")
 
     asked = issues.select(*graph.KEYS, normalize_arabic(F.concat_ws(" ", "issue", "retrieval_query", F.array_join("concept_hints", " "))).alias("_q"))
     told = facts.where("node_kind = 'Article' AND article_number IS NOT NULL").withColumn("full", article_text(F.col("labels_ar"), F.col("labels_en"), F.col("text")))
-    told = told.withColumn("_a", normalize_arabic(F.col("full")))
+    told = written(told.withColumn("_a", normalize_arabic(F.col("full"))), "articles")
+    asked = written(asked, "asked")
     scored = evidence.select(*graph.KEYS, "uri").join(told, "uri").join(asked, graph.KEYS).withColumn("issue_relevance", relevance(F.col("_q"), F.col("_a")))
     ranked = rank.rank_articles(evidence, scored.select(*graph.KEYS, "uri", "article_number", "issue_relevance"), s)
-    candidates = rank.merge_candidates(ranked, s).join(told.select("uri", "local_name", "labels_ar", "labels_en", "text", "full"), "uri")
+    candidates = written(rank.merge_candidates(written(ranked, "ranked"), s).join(told.select("uri", "local_name", "labels_ar", "labels_en", "text", "full"), "uri"), "candidates")
 
     offered = planning.rerank_payload(candidates.select("question_id", "rank", "article_number", F.col("full").alias("text"), "final_score"), s)
     catalogue = candidates.where(F.col("rank") <= s.reranker_candidate_limit).groupBy("question_id").agg(F.array_sort(F.collect_list("article_number")).alias("catalogue"))
@@ -75,7 +77,7 @@ def retrieve_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, embedde
     replies = _asked(requests.select("question_id", "payload"), "reranker", F.lit(RERANKER), F.col("payload"), s.reranker_max_output_tokens, completer, planning.SELECTION, "selection").drop("tokens")
     chosen = wanted.join(replies, "question_id", "left").join(catalogue, "question_id", "left")
     chosen = chosen.withColumn("s", planning.normalize_selection(F.col("selection"), F.coalesce("catalogue", F.array().cast("array<int>")), F.col("n_issues")))
-    selections = chosen.select("question_id", F.col("s.selected").alias("selected_article_numbers"), F.col("s.error").alias("selection_error"))
+    selections = written(chosen.select("question_id", F.col("s.selected").alias("selected_article_numbers"), F.col("s.error").alias("selection_error")), "selections")
     articles = rank.selected_articles(selections, candidates, s)
     concepts = rank.merge_concepts(hits, s)
     related = rank.expanded_concepts(graph.related_concepts(walks, seeds), nodes, s)
@@ -105,8 +107,8 @@ def retrieve(questions: DataFrame, nodes: DataFrame, edges: DataFrame, *, comple
     the catalogue have the status error, and say which in decision.reason.
     """
     s = settings or Settings()
-    plans = plan_questions(questions, completer, s).persist()
-    found = retrieve_plans(plans, nodes, edges, embedder, completer, s)
+    plans = written(plan_questions(questions, completer, s), "plans")
+    found = written(retrieve_plans(plans, nodes, edges, embedder, completer, s), "found")
     rows = questions.select("question_id", F.trim("question").alias("question")).join(plans.drop("question"), "question_id", "left").join(found, "question_id", "left")
     error = F.coalesce(planning.question_error(F.col("question")), F.col("plan_error"), F.col("selection_error"))
     decision = F.struct(
@@ -136,9 +138,9 @@ def generate(retrieved: DataFrame, *, completer: Callable, settings: Settings |
     drafts = rows.where("route = 'draft'").select("question_id", "allowed", F.to_json(F.struct(F.col("question").alias("user_question"), compact.alias("articles"))).alias("body"))
     first = _asked(drafts, "writer", F.lit(WRITER), F.col("body"), s.generator_max_output_tokens, completer, DRAFT, "draft")
     judge = lambda df: answers.judge_drafts(df.withColumns({"answer": F.col("draft.answer_ar"), "cited": F.col("draft.cited_article_numbers"), "limitations": F.col("draft.limitations")}))
-    judged = judge(first).persist()
+    judged = written(judge(first), "judged")
     again = judged.where("state.needs_retry").select("question_id", "allowed", "body", F.col("tokens").alias("spent"))
-    second = judge(_asked(again, "rewriter", F.concat(F.lit(REWRITER), F.array_join(F.transform("allowed", lambda n: n.cast("string")), ", ")), F.col("body"), s.generator_max_output_tokens, completer, DRAFT, "draft"))
+    second = judge(written(_asked(again, "rewriter", F.concat(F.lit(REWRITER), F.array_join(F.transform("allowed", lambda n: n.cast("string")), ", ")), F.col("body"), s.generator_max_output_tokens, completer, DRAFT, "draft"), "second"))
     total = lambda k: (F.col("tokens")[k] + F.coalesce(F.col("spent")[k], F.lit(0))).alias(k)
     used = F.struct(total("input_tokens"), total("output_tokens"), total("total_tokens"))
     columns = ["question_id", "state", "limitations"]
