@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from karst.sources import scratch
+from karst.sources.scratch import shared_dir
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; that setting is made here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="karst-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/karst/{name}-{uuid.uuid4().hex[:12]}"
+__all__ = ["bounded", "discard", "free_name", "partitions", "shared_dir", "table", "tidy", "without", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and returns the table read back.
-
-    This cuts the lineage: a lost executor costs no recomputation of what stands before.
-    """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """As ``scratch.written``; then lets the driver's JVM collect its garbage, with which Spark drops the shuffle files of plans that are done."""
+    out = scratch.written(df, name)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` gave and that nothing reads any more."""
+    spark = df.sparkSession
+    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(run: Callable) -> Callable:
+    """An Arrow function that gives freed memory back when its partition ends, as workers are kept for later tasks."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
 
 
 #: Bytes of a batch that a Python worker gets at once.

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import bounded, table, without
+from karst.llm.common import bounded, table, tidy, without
 
 WINDOW = 10
 #: Benchmark text that one broadcast may hold; a larger benchmark is taken in blocks of this size.
@@ -140,7 +140,7 @@ def _scanner(shared, key: int, text: int, window: int, keep: bool, cut_spans: bo
                 names=[*([batch.schema.names[i] for i in range(batch.num_columns)] if keep else [batch.schema.names[key]]), *_FOUND.names],
             )
 
-    return run
+    return tidy(run)
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple[str, str | None]]]:

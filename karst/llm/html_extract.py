@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import bounded, table
+from karst.llm.common import bounded, table, tidy
 
 #: Elements whose content is no text, elements that stand within a block's text, and elements without an end tag.
 SKIPPED = frozenset("script style noscript template svg iframe object canvas head title math audio video".split())
@@ -404,7 +404,7 @@ def main_text(pages: DataFrame, *, html_col: str = "html", model: Crf | None = N
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*carry, "text", "n_chars"])
 
     schema = T.StructType([*(pages.schema[c] for c in carry), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(*carry, F.col(html_col)).mapInArrow(run, schema)
+    return pages.select(*carry, F.col(html_col)).mapInArrow(tidy(run), schema)
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

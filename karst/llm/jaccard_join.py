@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import bounded, table, written
+from karst.llm.common import bounded, discard, table, tidy, written
 from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits, sketch_of
 
 SHINGLE, PERCENT = 4, 85
@@ -116,7 +116,7 @@ def _ids(size: int):
                 ids.append(np.uint64(set_id(s)).astype(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=[batch.schema.names[0], "n_shingles", "item"])
 
-    return run
+    return tidy(run)
 
 
 def _keys(size: int, percent: int, bits: int):
@@ -137,7 +137,7 @@ def _keys(size: int, percent: int, bits: int):
                     yield packer.flush()
         yield packer.flush()
 
-    return run
+    return tidy(run)
 
 
 def _sets(size: int):
@@ -157,7 +157,7 @@ def _sets(size: int):
                 names=["item", "n", "sketch", "s"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _check(percent: int):
@@ -173,7 +173,7 @@ def _check(percent: int):
                 keep.append(100 * common >= percent * (u - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,6 +207,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = written(texts.mapInArrow(_sets(size), "item long, n long, sketch binary, s binary").dropDuplicates(["item"]), "jaccard-sets")
 
     parts = close(found, lambda edges: verified(edges, sets, percent), sets.select("item", "n", "sketch"), percent, "jaccard")
+    discard(found)
+    discard(sets)
     full = items.where("item IS NOT NULL").join(parts, "item", "left").withColumn("component", F.coalesce("component", "item"))
     # Written, so that both sides of the last join are plain exchanges, of which the planner splits a large group's.
     least = written(full.groupBy("component").agg(F.min(id_col).alias("component_id")), "jaccard-least")

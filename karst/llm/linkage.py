@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import partitions, written
+from karst.llm.common import discard, partitions, tidy, written
 
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 PACKED = "shard int, keys binary, items binary"
@@ -107,13 +107,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "u")
         small = large.join(least, F.expr("b = u")).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        edges = written(small.where("a <> b").distinct(), name)
+        before, edges = edges, written(small.where("a <> b").distinct(), name)
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
     found = edges.groupBy("b").agg(F.min("a").alias("a"))
-    return written(found.select(F.col("b").alias("item"), F.col("a").alias("component")).union(found.select("a", "a").distinct()), name)
+    out = written(found.select(F.col("b").alias("item"), F.col("a").alias("component")).union(found.select("a", "a").distinct()), name)
+    discard(edges)
+    return out
 
 
 def sketch_of(s: np.ndarray) -> bytes:
@@ -169,7 +172,7 @@ def _cross(percent: int, nearest: int | None):
                     pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 #: Items of a bucket that one task compares with as many others.
@@ -200,6 +203,7 @@ def close(found: DataFrame, verify: Callable[[DataFrame], DataFrame], items: Dat
         mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         now = written(now.join(mixed, "key", "left_semi"), name + "-mixed")
         if now.isEmpty():
+            discard(now)
             break
         told = now.join(items, F.expr("i = item")).withColumn("block", F.expr("pmod(xxhash64(i), blocks)").cast("int"))
         # Every ordered pair of blocks: an item is a row's x in its own block's pairs, a y in the others'.
@@ -208,6 +212,7 @@ def close(found: DataFrame, verify: Callable[[DataFrame], DataFrame], items: Dat
         lists = pair.groupBy("key", "centre", "p.lo", "p.hi").agg(F.collect_list("x").alias("own"))
         across = lists.mapInArrow(_cross(percent, nearest), "a long, b long").distinct()
         more = written(verify(across), name + "-links")
+        discard(now)
         if not more.isEmpty():
             links = links.union(more)
             parts = components(links, name + "-components")

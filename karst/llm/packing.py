@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from karst.llm.common import bounded, shared_dir, table
+from karst.llm.common import bounded, shared_dir, table, tidy
 from karst.llm.tokens import default_vocabulary, encoder
 
 #: Queues with an own share; the sources beyond the largest of them share one queue, so the schedule stays bounded.
@@ -112,7 +112,7 @@ def _tokenise(vocabulary: str, end_id: int):
                 names=["_id", "source", "_part", "_at", "doc_tokens", "_width", "_ids"],
             )
 
-    return run
+    return tidy(run)
 
 
 _PIECE = T.StructType(
@@ -150,7 +150,7 @@ def _pieces(schedule, sequence_tokens: int, with_ids: bool):
                 names=["_id", *_PIECE.names],
             )
 
-    return run
+    return tidy(run)
 
 
 def pack(

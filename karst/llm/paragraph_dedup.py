@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import bounded, table, written
+from karst.llm.common import bounded, discard, table, tidy, written
 from karst.llm.jaccard_join import WordHashes, shingles, verified
 from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits, sketch_of
 
@@ -67,7 +67,7 @@ def _locate(min_words: int):
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=[batch.schema.names[0], "paragraph", "start", "end", "n_words", "item"])
 
-    return run
+    return tidy(run)
 
 
 def _signatures(size: int, min_words: int, bands: int, rows: int, bits: int):
@@ -102,7 +102,7 @@ def _signatures(size: int, min_words: int, bands: int, rows: int, bits: int):
                     yield packer.flush()
         yield packer.flush()
 
-    return run
+    return tidy(run)
 
 
 def _sets(size: int, min_words: int):
@@ -121,7 +121,7 @@ def _sets(size: int, min_words: int):
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["item", "n", "sketch", "s"])
 
-    return run
+    return tidy(run)
 
 
 def repeated_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -145,6 +145,8 @@ def repeated_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     texts = docs.join(chosen.hint("shuffle_hash"), docs[id_col].eqNullSafe(chosen["_first"])).select("_text", "_items")
     sets = written(texts.mapInArrow(_sets(size, min_words), "item long, n long, sketch binary, s binary").dropDuplicates(["item"]), "paragraph-sets")
     parts = close(found, lambda edges: verified(edges, sets, percent), sets.select("item", "n", "sketch"), percent, "paragraph")
+    discard(found)
+    discard(sets)
 
     # Items in classes: those that occur twice, and those that link with others.
     counts = places.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col), "paragraph")).alias("least"))

@@ -133,7 +133,8 @@ def quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     carry = [c for c in docs.columns if c not in BASE] if carry is None else carry
     names = [*carry, *[c for c in (lang_col, source_col) if c not in carry], *BASE, *EXTRA]
     rows = written(measured(docs, text_col).select(names), "quality")
-    bounds = thresholds(sketches(rows, lang_col, source_col)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    # Written, so that the planner knows how small they are before it plans the join, and needn't shuffle the rows to find out.
+    bounds = written(thresholds(sketches(rows, lang_col, source_col)), "quality-bounds").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = rows[lang_col].eqNullSafe(bounds["_lang"]) & rows[source_col].eqNullSafe(bounds["_source"])
     inside = F.lit(True)
     for k in RATIOS:

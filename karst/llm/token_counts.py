@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import bounded, shared_dir, table, without, written
+from karst.llm.common import bounded, shared_dir, table, tidy, without, written
 from karst.llm.tokens import default_vocabulary, encoder, file_digest
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -36,7 +36,7 @@ def _count(vocabulary: str, tokenizer_digest: str):
                 names=["content_digest", "tokenizer_digest", "n_tokens"],
             )
 
-    return run
+    return tidy(run)
 
 
 def token_counts(

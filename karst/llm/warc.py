@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import bounded, shared_dir, table
+from karst.llm.common import bounded, shared_dir, table, tidy
 
 #: The header fields of the two ARC versions.
 ARC_FIELDS = {
@@ -177,7 +177,7 @@ def convert_archives(archives: DataFrame, content_col: str = "content") -> DataF
                 for arc in parse_arc(gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)):
                     yield pa.RecordBatch.from_arrays([pa.array([to_warc(arc)], pa.binary())], names=["record"])
 
-    return archives.select(content_col).mapInArrow(run, "record binary")
+    return archives.select(content_col).mapInArrow(tidy(run), "record binary")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -215,7 +215,7 @@ def _through_arc(version: int, date: str):
                     rows, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(convert(rows), pa.binary())], names=["record"])
 
-    return run
+    return tidy(run)
 
 
 def archive_pages(pages: DataFrame, path: str, *, version: int = 1, date: str = "20240101000000", least_bytes: int = 0) -> None:
@@ -269,7 +269,7 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """The page records of WARC files: page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id, date, html (of revisits empty)."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, _READ)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(_read), _READ)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
