@@ -5,6 +5,7 @@ from __future__ import annotations
 from karst.llm.decontaminate import OP1_SQL, op1_decontaminate
 from karst.llm.html_extract import op2_html_extract
 from karst.llm.jaccard_join import op5_jaccard_join
+from karst.llm.jaccard_sql import OP5_SQL
 from karst.llm.lm_score import op7_lm_score
 from karst.llm.packing import op4_packing
 from karst.llm.paragraph_dedup import op9_paragraph_dedup
@@ -28,5 +29,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,
     "op3_quality": OP3_SQL,
+    "op5_jaccard_join": OP5_SQL,
     "op6_warc": OP6_SQL,
 }
