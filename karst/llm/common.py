@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,11 +18,17 @@ from karst.sources.scratch import shared_dir
 __all__ = ["bounded", "discard", "free_name", "partitions", "shared_dir", "table", "tidy", "without", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """As ``scratch.written``; then lets the driver's JVM collect its garbage, with which Spark drops the shuffle files of plans that are done."""
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """As ``scratch.written``.  free: then the driver's JVM collects its garbage, with which Spark drops the shuffle files of plans that are done.
+
+    One collection frees what the plan holds, the next one the plan's shuffles.
+    """
     out = scratch.written(df, name)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    if free:
+        for pause in (0.2, 0.1):
+            gc.collect()
+            df.sparkSession._jvm.System.gc()
+            time.sleep(pause)
     return out
 
 

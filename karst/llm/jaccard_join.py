@@ -204,7 +204,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col))).getField(id_col)
     chosen = items.join(inside, "item", "left_semi").groupBy("item").agg(first.alias("_first"))
     texts = docs.join(chosen.hint("shuffle_hash"), docs[id_col].eqNullSafe(chosen["_first"])).select("_text", "item")
-    sets = written(texts.mapInArrow(_sets(size), "item long, n long, sketch binary, s binary").dropDuplicates(["item"]), "jaccard-sets")
+    sets = written(texts.mapInArrow(_sets(size), "item long, n long, sketch binary, s binary").dropDuplicates(["item"]), "jaccard-sets", free=True)
 
     parts = close(found, lambda edges: verified(edges, sets, percent), sets.select("item", "n", "sketch"), percent, "jaccard")
     discard(found)

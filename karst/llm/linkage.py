@@ -89,7 +89,7 @@ def _group(table: pa.Table) -> pa.Table:
 
 def buckets(packed: DataFrame, name: str) -> DataFrame:
     """The buckets of packed entries, written: key, small, large (items of either side; large ones need not be compared)."""
-    return written(packed.groupBy("shard").applyInArrow(_group, BUCKETS), name)
+    return written(packed.groupBy("shard").applyInArrow(_group, BUCKETS), name, free=True)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -192,7 +192,7 @@ def close(found: DataFrame, verify: Callable[[DataFrame], DataFrame], items: Dat
     centre = F.array_min("small")
     star = found.select(centre.alias("a"), F.explode(F.concat("small", "large")).alias("b")).where("a <> b")
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(verify(star), name + "-links")
+    links = written(verify(star), name + "-links", free=True)
     parts = components(links, name + "-components")
 
     rest = found.where("size(small) + size(large) > 2").withColumn("blocks", F.ceil((F.size("small") + F.size("large")) / BLOCK).cast("int"))
@@ -201,7 +201,7 @@ def close(found: DataFrame, verify: Callable[[DataFrame], DataFrame], items: Dat
     for nearest in (3, None):
         now = own.join(parts, F.expr("i = item"), "left").select("key", "centre", "blocks", "i", "large", F.coalesce("component", "i").alias("c"))
         mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        now = written(now.join(mixed, "key", "left_semi"), name + "-mixed")
+        now = written(now.join(mixed, "key", "left_semi"), name + "-mixed", free=True)
         if now.isEmpty():
             discard(now)
             break
@@ -211,7 +211,7 @@ def close(found: DataFrame, verify: Callable[[DataFrame], DataFrame], items: Dat
         pair = told.select("key", "centre", F.explode(F.array_distinct(F.array(F.struct(F.col("block").alias("lo"), F.col("other").alias("hi")), F.struct(F.col("other").alias("lo"), F.col("block").alias("hi"))))).alias("p"), F.struct("i", "c", "large", "n", "sketch", "block").alias("x"))
         lists = pair.groupBy("key", "centre", "p.lo", "p.hi").agg(F.collect_list("x").alias("own"))
         across = lists.mapInArrow(_cross(percent, nearest), "a long, b long").distinct()
-        more = written(verify(across), name + "-links")
+        more = written(verify(across), name + "-links", free=True)
         discard(now)
         if not more.isEmpty():
             links = links.union(more)
