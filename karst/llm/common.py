@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from karst.sources import scratch
 from karst.sources.scratch import shared_dir
 
-__all__ = ["bounded", "discard", "free_name", "partitions", "shared_dir", "table", "tidy", "without", "written"]
+__all__ = ["bounded", "discard", "free_name", "partitions", "shared_dir", "sheltered", "table", "tidy", "without", "written"]
 
 
 def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
@@ -80,6 +80,14 @@ def free_name(columns: list[str], wish: str) -> str:
     return wish
 
 
+def sheltered(df: DataFrame, names: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(df) with df's own columns: those named like what run adds are renamed meanwhile."""
+    low = {n.lower() for n in names}
+    clash = {c: free_name([*df.columns, *names], f"own_{c}") for c in df.columns if c.lower() in low}
+    out = run(df.withColumnsRenamed(clash)).select(*[f"`{clash.get(c, c)}`" for c in df.columns])
+    return out.withColumnsRenamed({v: k for k, v in clash.items()})
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns that a result is about to add, so that extra input columns cannot clash."""
     low = {n.lower() for n in names}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import bounded, table, tidy, without
+from karst.llm.common import bounded, sheltered, table, tidy, without
 
 WINDOW = 10
 #: Benchmark text that one broadcast may hold; a larger benchmark is taken in blocks of this size.
@@ -237,8 +237,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     """
     if remove not in ("spans", "documents"):
         raise ValueError("remove must be 'spans' or 'documents'")
-    found = contamination(docs, benchmark, text_col=text_col, keep_columns=True, cut_spans=True, **options)
-    return (found.where(~F.col("full_window")) if remove == "documents" else found).drop(*_FOUND.names)
+
+    def run(d: DataFrame) -> DataFrame:
+        found = contamination(d, benchmark, text_col=text_col, keep_columns=True, cut_spans=True, **options)
+        return found.where(~F.col("full_window")) if remove == "documents" else found
+
+    return sheltered(docs, _FOUND.names, run)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import bounded, discard, table, tidy, written
+from karst.llm.common import bounded, discard, free_name, table, tidy, written
 from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits, sketch_of
 
 SHINGLE, PERCENT = 4, 85
@@ -219,8 +219,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without all but the smallest id of each component; rows that repeat an id are one document, of which one row stays."""
     kept = jaccard_components(docs, id_col=id_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").select(*docs.columns)
+    name = free_name(docs.columns, "_kept")
+    kept = kept.select(F.col(id_col).alias(name)).distinct()
+    return docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(kept[name]), "left_semi").select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import bounded, discard, table, tidy, written
+from karst.llm.common import bounded, discard, sheltered, table, tidy, written
 from karst.llm.jaccard_join import WordHashes, shingles, verified
 from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits, sketch_of
 
@@ -173,8 +173,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             at = b + 1
         return "".join([*out, text[at:]])
 
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]), "left")
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_spans"))).select(*docs.columns)
+    def run(d: DataFrame) -> DataFrame:
+        return d.join(spans, d[id_col].eqNullSafe(spans["_id"]), "left").withColumn(text_col, cut(F.col(text_col), F.col("_spans")))
+
+    return sheltered(docs, ["_id", "_spans"], run)
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

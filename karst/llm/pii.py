@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import table, written
+from karst.llm.common import sheltered, table, written
 
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["id", "person"]
@@ -189,7 +189,7 @@ def personal_data(docs: DataFrame, *, text_col: str = "text", carry: list[str] |
 
     Kinds are email, ip, card, phone, and for added spans also id and person; rank orders them so.  Null texts are
     empty and have none.  Repeated rows are searched each; an empty table gives an empty result.
-    The labelers and the classifier see the candidates of all rows.
+    The labelers and the classifier see the candidates of all rows.  A column of docs named pii is replaced.
     """
     carry = list(docs.columns) if carry is None else carry
     found = written(found_in(docs, text_col).select(*carry, "_cases"), "pii")
@@ -216,7 +216,6 @@ def personal_data(docs: DataFrame, *, text_col: str = "text", carry: list[str] |
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets (of overlapping spans the first one's); other texts are unchanged."""
-    found = personal_data(docs, text_col=text_col)
     text = F.col(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -226,7 +225,11 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         return F.when(s["start"] >= a["at"], put).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
 
     tail = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-    return found.withColumn(text_col, F.when(F.size("pii") > 0, F.aggregate("pii", start, step, tail)).otherwise(text)).select(*docs.columns)
+
+    def run(d: DataFrame) -> DataFrame:
+        return personal_data(d, text_col=text_col).withColumn(text_col, F.when(F.size("pii") > 0, F.aggregate("pii", start, step, tail)).otherwise(text))
+
+    return sheltered(docs, [*(f"_{k}" for k in KINDS), "_found", "_cases", "pii"], run)
 
 
 def _joined(spans: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from karst.llm.common import table, without, written
+from karst.llm.common import sheltered, table, without, written
 
 #: Relative error of a sketch's quantiles, and the bucket that holds zeros.
 ACCURACY, ZERO = 0.01, -1_000_000
@@ -145,7 +145,7 @@ def quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that ``quality`` keeps, with docs' own columns."""
-    return quality(docs, **options).where("kept").select(*docs.columns)
+    return sheltered(docs, [*BASE, *EXTRA, "_words", "_lines", "kept", "low", "high", "_lang", "_source"], lambda d: quality(d, **options).where("kept"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

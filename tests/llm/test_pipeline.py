@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from test_jaccard import brute
 
 import corpus_pipeline
@@ -61,6 +62,18 @@ def test_odd_and_empty_inputs(spark):
     assert {r.kept for r in quality(spark.createDataFrame(ODD, DOCS)).collect()} == {False}
 
 
+def test_extra_columns_keep_their_values(spark):
+    names = ["n_words", "kept", "pii", "_kept", "item", "hit_runs", "_cases", "low"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}).cache()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
 def test_blocks_of_a_large_benchmark_give_the_same(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     extra = spark.createDataFrame([(900, "of the"), (901, None), (902, "")], items.schema)
