@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from karst.llm.common import bounded, shared_dir, table, tidy
+from karst.llm.common import bounded, shared_dir, table, tidy, written
 from karst.llm.tokens import default_vocabulary, encoder
 
 #: Queues with an own share; the sources beyond the largest of them share one queue, so the schedule stays bounded.
@@ -200,6 +200,8 @@ def pack(
     dealt = dealt.alias("d").join(F.broadcast(queues.alias("q")), F.expr("d.source <=> q.source"), "left").select("d.source", "_part", "_n", F.coalesce("_queue", F.lit(len(names))).alias("_queue"))
     before = Window.partitionBy("_queue").orderBy("_part", "source").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.select(F.col("_part").alias("_p"), F.col("source").alias("_s"), "_queue", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # Written, so that the planner knows its size before it plans the join, and shuffles the tokens only if it is large.
+    offsets = written(offsets, "packing-offsets")
     placed = tokens.join(offsets, F.expr("_part = _p AND source <=> _s")).withColumn("_start", F.col("_before") + F.col("_at"))
     placed = placed.select("_id", "source", "_queue", "_start", "doc_tokens", "_width", "_ids")
     out = placed.mapInArrow(_pieces(spark.sparkContext.broadcast(plan), sequence_tokens, with_ids), T.StructType([own, *_PIECE.fields]))
