@@ -202,7 +202,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # Whole sets only of items in buckets, from one document each.
     inside = found.select(F.explode(F.concat("small", "large")).alias("item")).distinct()
     first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col))).getField(id_col)
-    chosen = items.join(inside, "item", "left_semi").groupBy("item").agg(first.alias("_first"))
+    chosen = items.groupBy("item").agg(first.alias("_first")).join(inside, "item", "left_semi")
     texts = docs.join(chosen.hint("shuffle_hash"), docs[id_col].eqNullSafe(chosen["_first"])).select("_text", "item")
     sets = written(texts.mapInArrow(_sets(size), "item long, n long, sketch binary, s binary").dropDuplicates(["item"]), "jaccard-sets", free=True)
 

@@ -141,7 +141,7 @@ def repeated_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     inside = found.select(F.explode("small").alias("item")).distinct()
     first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col))).getField(id_col)
-    chosen = places.join(inside, "item", "left_semi").groupBy("item").agg(first.alias("_first")).groupBy("_first").agg(F.collect_set("item").alias("_items"))
+    chosen = places.groupBy("item").agg(first.alias("_first")).join(inside, "item", "left_semi").groupBy("_first").agg(F.collect_set("item").alias("_items"))
     texts = docs.join(chosen.hint("shuffle_hash"), docs[id_col].eqNullSafe(chosen["_first"])).select("_text", "_items")
     sets = written(texts.mapInArrow(_sets(size, min_words), "item long, n long, sketch binary, s binary").dropDuplicates(["item"]), "paragraph-sets", free=True)
     parts = close(found, lambda edges: verified(edges, sets, percent), sets.select("item", "n", "sketch"), percent, "paragraph")
