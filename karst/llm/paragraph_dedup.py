@@ -1,4 +1,8 @@
-"""Operator 9, repeated passages by paragraph MinHash.
+"""Operator 9, repeated passages by paragraph MinHash and by winnowed word windows.
+
+Passages do not depend on line breaks: of the windows of GRAM words over a whole text those are taken whose hash is
+the least of GAP neighbours, so that two equal runs of at least GRAM + GAP - 1 words share one.  Windows
+that occur again are extended word by word on both sides, and what overlaps or almost touches is one passage.
 
 Paragraphs (lines) of enough words get MinHash signatures of their five-word shingles, cut into bands
 that are tuned for high recall.  Equal paragraphs are one item from the start; different ones that
@@ -8,6 +12,7 @@ the links are classes; of each class one paragraph is kept and all others are re
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from karst.llm.common import bounded, discard, sheltered, table, tidy, written
-from karst.llm.jaccard_join import WordHashes, shingles, verified
+from karst.llm.jaccard_join import WordHashes, shingles, verified, words_of
 from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits, sketch_of
 
 SHINGLE, PERCENT, MIN_WORDS = 5, 80, 25
 #: At similarity 0.8, 16 bands of 4 rows miss (1 - 0.8**4)**16 = 0.02 % of pairs.
 BANDS, ROWS = 16, 4
+#: Words of a window, windows of which one is taken, words between hits that are joined, least words of a passage.
+GRAM, GAP, JOINED, PASSAGE = 13, 13, 5, 50
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -76,18 +83,40 @@ def _signatures(size: int, min_words: int, bands: int, rows: int, bits: int):
     b = rng.integers(0, 1 << 62, bands * rows, dtype=np.uint64)
     tags = mix(np.arange(1, bands + 1, dtype=np.uint64) * _GOLD)
 
-    def keys(s: np.ndarray) -> np.ndarray:
-        least = np.empty(len(a), dtype=np.uint64)
-        step = max(1, 4_000_000 // len(s))
-        for k in range(0, len(a), step):
-            least[k : k + step] = ((a[k : k + step, None] * s[None] + b[k : k + step, None]) >> np.uint64(32)).min(axis=1)
-        out = tags.copy()
+    def keys(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The band keys of some paragraphs, whose shingles stand one after another; a line each."""
+        out = np.repeat(tags[None], len(starts), axis=0)
+        least = np.empty((len(a), len(starts)), dtype=np.uint64)
+        for k in range(len(a)):
+            least[k] = np.minimum.reduceat((a[k] * s + b[k]) >> np.uint64(32), starts)
         for r in range(rows):
-            out = mix(out * _GOLD + least[r::rows][:bands])
+            out = mix(out * _GOLD + least[r::rows][:bands].T)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, packer, seen = WordHashes(), Packer(bits), set()
+        items: list[int] = []
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            """Signs the held paragraphs: shingles of all words in a row, without those that reach into the next paragraph."""
+            if not items:
+                return
+            lengths = np.array([len(w) for w in held])
+            words, n = np.concatenate(held), lengths - size + 1
+            h = np.full(len(words) - size + 1, size, np.uint64)
+            for j in range(size):
+                h = mix(h * _GOLD + words[j : j + len(h)])
+            ends = np.cumsum(lengths)
+            own = np.ones(len(words), dtype=bool)
+            for j in range(1, size):
+                own[ends - j] = False
+            for item, k in zip(items, keys(h[own[: len(h)]], np.cumsum(n) - n), strict=True):
+                packer.add(k, item)
+            items.clear()
+            held.clear()
+
+        total = 0
         for batch in batches:
             for text in batch.column(0):
                 for _, _, _, words in paragraphs(text.as_py(), min_words):
@@ -97,9 +126,18 @@ def _signatures(size: int, min_words: int, bands: int, rows: int, bits: int):
                     if len(seen) > 100_000:
                         seen.clear()
                     seen.add(item)
-                    packer.add(keys(shingles(words, size, hashes)), item)
+                    if len(words) <= size:  # one shingle
+                        packer.add(keys(shingles(words, size, hashes), np.zeros(1, int))[0], item)
+                        continue
+                    items.append(item)
+                    held.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+                    total += len(words)
+                    if total > 20_000:
+                        add()
+                        total = 0
                 if packer.full():
                     yield packer.flush()
+        add()
         yield packer.flush()
 
     return tidy(run)
@@ -158,9 +196,172 @@ def repeated_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     return out.select(id_col, "paragraph", "start", "end", "n_words", "class_id", F.col("least")[id_col].alias(f"kept_{id_col}"), F.col("least")["paragraph"].alias("kept_paragraph"), "n_in_class", (~kept).alias("removed"))
 
 
+def taken(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows (of GRAM word hashes) that are the least of GAP neighbours; all of a short text's least."""
+    n = len(hashes) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.full(n, GRAM, np.uint64)
+    for j in range(GRAM):
+        h = mix(h * _GOLD + hashes[j : j + n])
+    view = np.lib.stride_tricks.sliding_window_view(h, min(GAP, n))
+    at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
+    return at, h[at]
+
+
+_TAKEN = "shard int, key binary, row binary, at binary, before binary, after binary"
+
+
+def _windows(bits: int, limit: int = 200_000):
+    """row, text -> the taken windows by shard, with 16-bit hashes of the GAP - 1 words before (nearest first) and after; 0: no word."""
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        key, row, at, before, after = (np.concatenate(x) for x in zip(*held, strict=True))
+        shard = (key >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(shard[order])) + 1).tolist(), len(order)]
+        own = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        cols = [pa.array([x[o].tobytes() for o in own], pa.binary()) for x in (key, row, at, before, after)]
+        yield pa.RecordBatch.from_arrays([pa.array([int(shard[o[0]]) for o in own], pa.int32()), *cols], names=["shard", "key", "row", "at", "before", "after"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, n = WordHashes(), [], 0
+        steps = np.arange(GAP - 1)
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                if len(words) < GRAM:
+                    continue
+                w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                at, key = taken(w)
+                low = np.zeros(len(w) + 2 * GAP, "<u2")
+                low[GAP : GAP + len(w)] = np.maximum(w & np.uint64(0xFFFF), np.uint64(1))
+                before = low[at[:, None] + (GAP - 1) - steps]
+                after = low[at[:, None] + GAP + GRAM + steps]
+                held.append((key, np.full(len(at), row, np.int64), at.astype(np.int32), before, after))
+                n += len(at)
+                if n > limit:
+                    yield from flush(held)
+                    held, n = [], 0
+        yield from flush(held)
+
+    return tidy(run)
+
+
+_HITS = "row long, a int, b int, removed boolean, key long, first long, n long"
+
+
+def _longest(seen: set[bytes], side: bytes) -> int:
+    """How many words of a side were seen before; then its own are seen."""
+    if side in seen:
+        return GAP - 1
+    found = next((k for k in range(GAP - 2, 0, -1) if side[: 2 * k] in seen), 0)
+    seen.update(side[: 2 * k] for k in range(1, GAP))
+    return found
+
+
+def _again(table: pa.Table) -> pa.Table:
+    """Windows of one shard that occur again, extended: the first place as far as any later one goes along, later ones as an earlier one does."""
+    get = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), dtype=t)
+    key, row, at = get("key", np.uint64), get("row", np.int64), get("at", np.int32)
+    sides = [get(c, "<u2").reshape(-1, GAP - 1) for c in ("before", "after")]
+    order = np.lexsort((at, row, key))
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    count = np.diff(np.append(np.flatnonzero(new), len(order)))
+    order = order[np.repeat(count > 1, count)]
+    key, row, at, sides = key[order], row[order], at[order], [x[order] for x in sides]
+    count = count[count > 1]
+    start = np.cumsum(count) - count
+    head = np.repeat(start, count)
+    first = np.arange(len(order)) == head
+    ext = []
+    for side in sides:
+        # Along with the first place; 0 is no word.
+        along = np.logical_and.accumulate((side == side[head]) & (side != 0), axis=1).sum(axis=1)
+        out = along.copy()
+        if len(start):
+            out[start] = np.maximum.reduceat(np.where(first, 0, along), start)
+        have = (side != 0).sum(axis=1)
+        raw, stride = side.tobytes(), 2 * (GAP - 1)
+        for s, n in zip(start[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+            if along[s + 1 : s + n].min() == GAP - 1:
+                continue
+            seen: set[bytes] = set()
+            for i in range(s, s + n):
+                k = _longest(seen, raw[i * stride : (i + 1) * stride])
+                if i > s:
+                    out[i] = min(k, have[i])
+        ext.append(out)
+    cols = (row, (at - ext[0]).astype(np.int32), (at + GRAM + ext[1]).astype(np.int32), ~first, key.view(np.int64), row[head], np.repeat(count, count))
+    return pa.table({f.split(" ")[0]: pa.array(c) for f, c in zip(_HITS.split(", "), cols, strict=True)})
+
+
+_WORD = re.compile(r"[^\t\n\x0b\x0c\r ]+")
+_PASSAGES = "start long, end long, n_words long, class_id long, first long, n_in_class long, removed boolean"
+
+
+def _joined(least: int):
+    """id, text, hits (a, b, removed, key, first, n) -> id and passages: hits joined, in code points."""
+    names = [x.split(" ")[0] for x in _PASSAGES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, rows = [], []
+            for i, (text, hits) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
+                runs = []
+                for removed in (False, True):
+                    own = sorted((h["a"], h["b"], h["key"], h["first"], h["n"]) for h in hits if h["removed"] == removed)
+                    now = None
+                    for a, b, key, first, n in own:
+                        if now and a <= now[1] + JOINED:
+                            now[1], now[4] = max(now[1], b), max(now[4], n)
+                        else:
+                            now = [a, b, key, first, n, removed]
+                            runs.append(now)
+                runs = [r for r in runs if r[1] - r[0] >= least]
+                if runs:
+                    spots = [m.span() for m in _WORD.finditer(text.as_py())]
+                    rows += [(spots[a][0], spots[b - 1][1], b - a, *rest) for a, b, *rest in runs]
+                    index += [i] * len(runs)
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [pa.int64()] * 6 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[batch.schema.names[0], *names])
+
+    return tidy(run)
+
+
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = PASSAGE) -> DataFrame:
+    """One row per passage of at least ``least`` words that repeats, wherever lines begin and end: columns as of ``repeated_paragraphs``, paragraphs null.
+
+    Equal runs of at least GRAM + GAP - 1 = 25 words are found, whole, within a document or across; runs with at
+    most JOINED words between them are one passage.  The first place (smallest id, null ids last, repeated
+    ids by text; then the earliest) is kept.  n_in_class is the most places that a window of the passage has; class_id tells its
+    first taken window.  Equal windows are known by 64-bit hashes, the words that extend them by 16-bit ones.
+    """
+    docs = bounded(docs).select(F.col(id_col), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    # Rows numbered in the order of ids, written: each row has its own number in every later scan.
+    docs = docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64("_text"))
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "passage-documents", free=True)
+    packed = docs.select("_row", "_text").mapInArrow(_windows(shard_bits(docs)), _TAKEN)
+    hits = written(packed.groupBy("shard").applyInArrow(_again, _HITS), "passage-hits", free=True)
+    own = hits.groupBy("row").agg(F.collect_list(F.struct("a", "b", "removed", "key", "first", "n")).alias("_hits"))
+    told = docs.join(own.hint("shuffle_hash"), F.col("_row") == F.col("row")).select(id_col, "_text", "_hits")
+    found = told.mapInArrow(_joined(least), T.StructType([docs.schema[id_col], *T.StructType.fromDDL(_PASSAGES).fields]))
+    found = written(found, "passages", free=True)
+    discard(hits)
+    ids = docs.select(F.col("_row").alias("_first"), F.col(id_col).alias(f"kept_{id_col}")).join(found.select(F.col("first").alias("_used")).distinct(), F.expr("_first = _used"), "left_semi")
+    none = F.lit(None).cast("long")
+    return found.join(ids, F.expr("first = _first"), "left").select(
+        id_col, none.alias("paragraph"), "start", "end", "n_words", "class_id", f"kept_{id_col}", none.alias("kept_paragraph"), "n_in_class", "removed"
+    )
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the removed paragraphs (and the line ends after them); other texts are unchanged."""
-    gone = repeated_paragraphs(docs, id_col=id_col, text_col=text_col, **options).where("removed")
+    """docs without the removed paragraphs (and the line ends after them) and passages; other texts are unchanged."""
+    gone = repeated_paragraphs(docs, id_col=id_col, text_col=text_col, **options).unionByName(repeated_passages(docs, id_col=id_col, text_col=text_col))
+    gone = gone.where("removed").withColumn("end", F.col("end") + F.col("paragraph").isNotNull().cast("long"))
     spans = gone.groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")).withColumnRenamed(id_col, "_id")
 
     @F.udf(T.StringType())
@@ -170,7 +371,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         out, at = [], 0
         for a, b in spans:
             out.append(text[at:a])
-            at = b + 1
+            at = max(at, b)
         return "".join([*out, text[at:]])
 
     def run(d: DataFrame) -> DataFrame:
@@ -180,4 +381,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return repeated_paragraphs(docs).unionByName(repeated_passages(docs))
