@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import bounded, sheltered, table, tidy, without
+from karst.llm.common import bounded, free_name, sheltered, table, tidy, without, written
 
 WINDOW = 10
 #: Benchmark text that one broadcast may hold; a larger benchmark is taken in blocks of this size.
@@ -118,8 +118,8 @@ def _cut_all(texts: list[str | None], runs: list[list[int]]) -> list[str | None]
     return [cut(t, list(zip(r[::2], r[1::2], strict=True))) if r else t for t, r in zip(texts, runs, strict=True)]
 
 
-def _scanner(shared, key: int, text: int, window: int, keep: bool, cut_spans: bool):
-    """The Arrow function: input columns (hit runs cut out of the text, if asked), then n_words, hit_runs (start, end, start, ...), item_ids, full_window."""
+def _scanner(shared, at: list[int], text: int, window: int, cut_spans: bool):
+    """The Arrow function: the input columns at these places (hit runs cut out of the text, if asked), then n_words, hit_runs (start, end, start, ...), item_ids, full_window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NgramSet(shared.value, window)
@@ -132,12 +132,13 @@ def _scanner(shared, key: int, text: int, window: int, keep: bool, cut_spans: bo
                 runs.append([] if hit is None else [x for r in _runs(hit) for x in r])
                 items.append(sorted(found))
                 full.append(whole)
-            own = list(batch.columns) if keep else [batch.column(key)]
+            own = [batch.column(i) for i in at]
             if cut_spans and any(runs):
-                own[text] = pa.array(_cut_all(own[text].to_pylist(), runs), own[text].type)
+                k = at.index(text)
+                own[k] = pa.array(_cut_all(own[k].to_pylist(), runs), own[k].type)
             yield pa.RecordBatch.from_arrays(
                 [*own, pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(full, pa.bool_())],
-                names=[*([batch.schema.names[i] for i in range(batch.num_columns)] if keep else [batch.schema.names[key]]), *_FOUND.names],
+                names=[*(batch.schema.names[i] for i in at), *_FOUND.names],
             )
 
     return tidy(run)
@@ -178,7 +179,7 @@ def contamination(
     blocks are merged by document; so a broadcast never outgrows its bound.
 
     Null or empty texts have no words and no hits.  Rows that repeat an id each get a row (with
-    several blocks they are told apart by their position).  Benchmark rows without text are
+    several blocks the documents are written with a number of their own, by which the blocks' rows are merged).  Benchmark rows without text are
     ignored, those without an id are called "null".  Empty tables give empty results or no hits.
     Columns of the input named like the result's are dropped.
     """
@@ -188,18 +189,21 @@ def contamination(
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
 
     def scan(frame: DataFrame, items: list) -> DataFrame:
-        own = frame.schema.fields if keep_columns else [frame.schema[id_col]]
-        fn = _scanner(spark.sparkContext.broadcast(items), frame.columns.index(id_col), frame.columns.index(text_col), window, keep_columns, cut_spans and len(blocks) == 1)
+        names = frame.columns if keep_columns else [c for c in frame.columns if c != text_col or c == id_col]
+        at = [frame.columns.index(c) for c in names]
+        fn = _scanner(spark.sparkContext.broadcast(items), at, frame.columns.index(text_col), window, cut_spans and len(blocks) == 1)
+        own = [frame.schema[c] for c in names]
         return frame.mapInArrow(fn, T.StructType([*own, *_FOUND.fields]))
 
     if len(blocks) == 1:
         return scan(docs, blocks[0])
-    # Many blocks: hits of each block by row, merged; the digest of the row's content tells repeated ids apart.
+    # Many blocks: hits of each block by row, merged.  Rows are numbered and written, as numbers given in a scan may differ in the next.
+    row = free_name([*docs.columns, *_FOUND.names], "_row")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
     parts = [scan(docs, b) for b in blocks]
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    keys = [c for c in merged.columns if c not in _FOUND.names] + ["n_words"]
 
     def join(group: pa.Table) -> pa.Table:
         n = group.column("n_words")[0].as_py()
@@ -214,7 +218,7 @@ def contamination(
         out |= {"hit_runs": pa.array([runs], pa.list_(pa.int64())), "item_ids": pa.array([items], pa.list_(pa.string())), "full_window": pa.array([any(group.column("full_window").to_pylist())])}
         return pa.table({c: out[c] for c in group.schema.names})
 
-    merged = merged.groupBy(*keys).applyInArrow(join, merged.schema)
+    merged = merged.groupBy(row).applyInArrow(join, merged.schema).drop(row)
     if not cut_spans:
         return merged
     at, names = merged.columns.index(text_col), merged.columns
