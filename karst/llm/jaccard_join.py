@@ -217,11 +217,19 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without all but the smallest id of each component; rows that repeat an id are one document, of which one row stays."""
-    kept = jaccard_components(docs, id_col=id_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    name = free_name(docs.columns, "_kept")
-    kept = kept.select(F.col(id_col).alias(name)).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(kept[name]), "left_semi").select(*docs.columns)
+    """docs with one row of each component: that with the smallest id, null ids last; of repeated ids the least digest of the row.
+
+    Equal rows are one row, as they link.  Rows without words link with nothing, so all of them stay.
+    """
+    key, alone = free_name(docs.columns, "_key"), free_name(docs.columns, "_alone")
+    cells = [F.to_json(F.struct(c.name)) if isinstance(c.dataType, (T.MapType, T.VariantType)) else F.col(c.name) for c in docs.schema]
+    # Not null itself, and ordered as rows are preferred; the hash skips nulls, so these are told to it.
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(*cells, *(F.col(c).isNull() for c in docs.columns)).alias("digest")))
+    kept = jaccard_components(keyed, id_col=key, **options).where(F.col(key) == F.col("component_id"))
+    kept = kept.select(key, (F.col("n_shingles") == 0).alias(alone)).distinct()
+    keyed = keyed.join(kept.hint("shuffle_hash"), key)
+    keyed = keyed.withColumn(alone, F.when(F.col(alone), F.monotonically_increasing_id()))
+    return keyed.dropDuplicates([key, alone]).select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
