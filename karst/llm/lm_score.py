@@ -4,169 +4,77 @@ A background model of all documents and a target model of the good ones are alik
 vocabulary.  A document's score is the mean over its tokens of background loss minus target loss: the
 higher, the more it looks like the target.
 
-Counts of words and bigrams are taken over every document.  Each task adds up its own, and tasks'
-sums meet in shards.  Bigrams are counted by hash, in a table of 2**22 places, so that a model is
-broadcast with a known bound (two tables of four bytes a place); the vocabulary is the most frequent words.
+Every distinct word and bigram of the corpus is counted for itself, by 64-bit hashes of words, in distributed tables that
+grow with the corpus.  Documents meet the bigrams' losses by a join; nothing of the models passes through the driver
+but totals.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import bounded, free_name, table, tidy
+from karst.llm.common import bounded, discard, free_name, table, tidy, written
 from karst.llm.decontaminate import words_of
-from karst.llm.linkage import mix
+from karst.llm.jaccard_join import WordHashes
 
-#: Words of the shared vocabulary at most; others are one unknown word.
-VOCABULARY = 65_534
-#: Places of the bigram table, as a power of two; the same for every corpus, so that tasks' sums grow with the tasks alone.
-BITS = 22
 #: Weight of the bigram estimate against the unigram one, and the unigram's added count.
 BIGRAM_WEIGHT, ADDED = 0.7, 0.5
-_FLUSH = 4_000_000
-#: Tasks whose sums are merged in the first round.
-MERGED = 64
+#: The begin mark in place of a word's hash.
+BEGIN = np.uint64(0x9E3779B97F4A7C15)
+_PAIRS = "row long, target boolean, n_words long, h array<long>, w array<long>, c array<long>"
 
 
-def _ids(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
-    """Word ids after a begin mark (1); 0 is the unknown word."""
-    out = np.empty(len(words) + 1, dtype=np.uint64)
-    out[0] = 1
-    out[1:] = np.fromiter(map(ids.get, words, repeat(0)), np.uint64, len(words))
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text, row, target -> id, row, target, n_words and the document's distinct bigrams h, w with their counts c."""
+    hashes, ints = WordHashes(), pa.list_(pa.int64())
+    for batch in batches:
+        n, cols = [], ([], [], [])
+        for text in batch.column(1):
+            words = words_of(text.as_py())
+            n.append(len(words))
+            x = np.empty(len(words) + 1, np.uint64)
+            x[0] = BEGIN
+            x[1:] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            order = np.lexsort((x[1:], x[:-1]))
+            h, w = x[:-1][order].view(np.int64), x[1:][order].view(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(words) else np.zeros(0, int)
+            for out, v in zip(cols, (h[first], w[first], np.diff(np.append(first, len(words)))), strict=True):
+                out.append(v)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), *(pa.array(c, ints) for c in cols)],
+            names=[batch.schema.names[0], *(x.split(" ")[0] for x in _PAIRS.split(", "))],
+        )
+
+
+def losses(pairs: DataFrame) -> DataFrame | None:
+    """h, w, background, target: -ln p of every bigram of pairs (h, w, c, target); None if no target document has words."""
+    sums = (F.sum("b").alias("b"), F.sum("t").alias("t"))
+    bigrams = written(pairs.select("h", "w", F.col("c").alias("b"), F.expr("if(target, c, 0)").alias("t")).groupBy("h", "w").agg(*sums), "lm-bigrams", free=True)
+    histories = bigrams.groupBy(F.col("h").alias("hh")).agg(F.sum("b").alias("hb"), F.sum("t").alias("ht"))
+    words = written(bigrams.groupBy(F.col("w").alias("ww")).agg(F.sum("b").alias("ub"), F.sum("t").alias("ut")), "lm-words")
+    size, *total = words.agg(F.count(F.lit(1)), F.sum("ub"), F.sum("ut")).first()
+    if not total[1]:
+        return None
+    told = bigrams.join(histories, F.expr("h = hh")).join(words, F.expr("w = ww"))
+
+    def loss(n: str, seen: str, uni: str, all_words: int):
+        # Two more words, the unknown one and the begin mark, as in any vocabulary.
+        p = (F.col(uni) + ADDED) / (float(all_words) + ADDED * (size + 2))
+        return -F.log(F.when(F.col(seen) > 0, BIGRAM_WEIGHT * F.col(n) / F.col(seen) + (1 - BIGRAM_WEIGHT) * p).otherwise(p))
+
+    out = written(told.select("h", "w", loss("b", "hb", "ub", total[0]).alias("background"), loss("t", "ht", "ut", total[1]).alias("target")), "lm-losses", free=True)
+    discard(bigrams)
+    discard(words)
     return out
 
 
-def _places(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix((ids[:-1] << np.uint64(32)) | ids[1:]) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return b
-
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(words_of(text.as_py()))
-            if len(counts) > 500_000:
-                yield out()
-    yield out()
-
-
-def _count_bigrams(shared, bits: int, shards: int):
-    """text, is_target -> shard, kind (0 unigram, 1 history, 2 bigram), places, counts of all, counts of targets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() // MERGED
-        ids, size = shared.value, (len(shared.value) + 2, len(shared.value) + 2, 1 << bits)
-        sums = [np.zeros((2, n), dtype=np.int64) for n in size]
-        held: list[list] = [[], []]
-        n = 0
-
-        def add() -> None:
-            for target in (0, 1):
-                if held[target]:
-                    sums[0][target] += np.bincount(np.concatenate([x[1:] for x, _ in held[target]]).astype(np.int64), minlength=size[0])
-                    sums[1][target] += np.bincount(np.concatenate([x[:-1] for x, _ in held[target]]).astype(np.int64), minlength=size[1])
-                    sums[2][target] += np.bincount(np.concatenate([p for _, p in held[target]]), minlength=size[2])
-                    held[target] = []
-
-        for batch in batches:
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                x = _ids(words_of(text.as_py()), ids)
-                held[int(bool(target))].append((x, _places(x, bits)))
-                n += len(x)
-                if n > _FLUSH:
-                    add()
-                    n = 0
-        add()
-        for kind, s in enumerate(sums):
-            s[0] += s[1]  # the background is all documents
-            used = np.flatnonzero(s[0])
-            shard = used * shards // size[kind]
-            for k in range(shards):
-                own = used[shard == k]
-                if len(own):
-                    rows = [part, k, kind, own.astype("<u4").tobytes(), s[0][own].astype("<u4").tobytes(), s[1][own].astype("<u4").tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(rows, _SUMS_TYPES, strict=True)], names=_SUMS_NAMES)
-
-    return tidy(run)
-
-
-_SUMS = "part int, shard int, kind int, places binary, background binary, target binary"
-_SUMS_NAMES = [x.split(" ")[0] for x in _SUMS.split(", ")]
-_SUMS_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-
-
-def _merge(group: pa.Table) -> pa.Table:
-    places = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in group.column("places")])
-    own, at = np.unique(places, return_inverse=True)
-    out = [own.astype("<u4").tobytes()]
-    for side in ("background", "target"):
-        # Tasks give four-byte counts, merges eight-byte ones.
-        n = np.concatenate([np.frombuffer(x.as_py(), f"<u{len(x.as_py()) // (len(p.as_py()) // 4)}") for x, p in zip(group.column(side), group.column("places"), strict=True)])
-        out.append(np.bincount(at, weights=n, minlength=len(own)).astype("<u8").tobytes())
-    rows = [group.column("part")[0].as_py(), group.column("shard")[0].as_py(), group.column("kind")[0].as_py(), *out]
-    return pa.table({n: pa.array([v], t) for n, v, t in zip(_SUMS_NAMES, rows, _SUMS_TYPES, strict=True)})
-
-
-@dataclass
-class Model:
-    """Losses by interpolated bigrams; [0] of each array is the background, [1] the target."""
-
-    ids: dict[bytes, int]
-    bits: int
-    unigram: np.ndarray
-    history: np.ndarray
-    bigram: np.ndarray
-
-    def losses(self, words: list[bytes]) -> tuple[float, float]:
-        """Sum of -ln p over the words, under the background and under the target."""
-        x = _ids(words, self.ids)
-        at, w, h = _places(x, self.bits), x[1:].astype(np.int64), x[:-1].astype(np.int64)
-        out = []
-        for side in (0, 1):
-            uni = (self.unigram[side][w] + ADDED) / (float(self.unigram[side].sum(dtype=np.float64)) + ADDED * self.unigram.shape[1])
-            seen = self.history[side][h]
-            # Hashing can only add to a bigram's count, so it is held to its history's.
-            bi = np.minimum(self.bigram[side][at], seen) / np.maximum(seen, 1)
-            weight = np.where(seen > 0, BIGRAM_WEIGHT, 0.0)
-            out.append(float(-np.log(weight * bi + (1 - weight) * uni).sum()))
-        return out[0], out[1]
-
-
-def train(docs: DataFrame, is_target, text_col: str, vocabulary: int = VOCABULARY) -> Model | None:
-    """The models of docs and of its rows where the column ``is_target`` is true; None if these have no words."""
-    spark = docs.sparkSession
-    words = docs.select(text_col).mapInArrow(tidy(_count_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()
-    ids = {bytes(r["word"]): i + 2 for i, r in enumerate(top)}
-    bits, shards = BITS, 1 << (BITS - 12)
-    counted = docs.select(text_col, is_target).mapInArrow(_count_bigrams(spark.sparkContext.broadcast(ids), bits, shards), _SUMS)
-    sums = [np.zeros((2, n), dtype=np.float32) for n in (len(ids) + 2, len(ids) + 2, 1 << bits)]
-    # Sums of MERGED tasks at a time, then of all; a group holds some thousand places from each.
-    merged = counted.groupBy("kind", "shard", "part").applyInArrow(_merge, _SUMS).groupBy("kind", "shard").applyInArrow(_merge, _SUMS)
-    for r in merged.toLocalIterator():
-        at = np.frombuffer(r["places"], "<u4")
-        for side, name in enumerate(("background", "target")):
-            sums[r["kind"]][side][at] = np.frombuffer(r[name], "<u8")
-    return Model(ids, bits, *sums) if sums[0][1].sum() > 0 else None
-
-
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, background_loss, target_loss (means in nats), score (their difference) of every row.
 
     Target documents are those that labels calls quality 1 and toxic 0; repeated labels of an id count once
@@ -176,27 +84,20 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """
     flag = free_name(bounded(docs).columns, "is_target")
     good = labels.groupBy(id_col).agg(F.max("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select(F.col(id_col).alias("_good"))
+    row = free_name(docs.columns, "_row")
     texts = docs.select(F.col(id_col), F.col(text_col))
     # Labels grow with the corpus, so the join is a shuffle from the start, at every size; its build side is ids alone.
-    told = texts.join(good.hint("shuffle_hash"), texts[id_col] == good["_good"], "left").select(text_col, F.col("_good").isNotNull().alias(flag))
-    model = train(told, flag, text_col, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, b, t, s = [], [], [], []
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                n.append(len(words))
-                known = shared.value is not None and len(words) > 0
-                x, y = shared.value.losses(words) if known else (0.0, 0.0)
-                b.append(x / len(words) if known else None)
-                t.append(y / len(words) if known else None)
-                s.append((x - y) / len(words) if known else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(v, pa.float64()) for v in (b, t, s))], names=[batch.schema.names[0], "n_words", "background_loss", "target_loss", "score"])
-
-    fields = T.StructType.fromDDL("n_words long, background_loss double, target_loss double, score double").fields
-    return texts.mapInArrow(tidy(run), T.StructType([docs.schema[id_col], *fields]))
+    told = texts.join(good.hint("shuffle_hash"), texts[id_col] == good["_good"], "left").select(id_col, text_col, F.monotonically_increasing_id().alias(row), F.col("_good").isNotNull().alias(flag))
+    # Written, so that a row has one number.
+    own = written(told.mapInArrow(tidy(_pairs), T.StructType([docs.schema[id_col], *T.StructType.fromDDL(_PAIRS).fields])), "lm-pairs", free=True)
+    pairs = own.select("row", "target", F.inline(F.arrays_zip("h", "w", "c")))
+    found = losses(pairs)
+    plain = own.select(id_col, "row", "n_words")
+    if found is None:
+        return plain.select(id_col, "n_words", *(F.lit(None).cast("double").alias(c) for c in ("background_loss", "target_loss", "score")))
+    each = pairs.drop("target").join(found, ["h", "w"]).groupBy(F.col("row").alias("of")).agg(F.sum(F.col("c") * F.col("background")).alias("x"), F.sum(F.col("c") * F.col("target")).alias("y"))
+    mean = lambda c: F.when(F.col("n_words") > 0, c / F.col("n_words"))
+    return plain.join(each, F.expr("row = of"), "left").select(id_col, "n_words", mean(F.col("x")).alias("background_loss"), mean(F.col("y")).alias("target_loss"), mean(F.col("x") - F.col("y")).alias("score"))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
