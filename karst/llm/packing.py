@@ -169,7 +169,8 @@ def pack(
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids (uint32, little-endian).
 
     mixture: target shares by source (sources that it lacks are served last); None: the corpus's own
-    token shares, under which all queues run dry together.  When a queue runs dry the others
+    token shares, under which all queues run dry together.  Every source of the mixture has a queue of its own;
+    of the others those beyond MAX_QUEUES, the smallest, share one.  When a queue runs dry the others
     take over its share in proportion.  Only the last sequence of all is padded.
 
     Null texts are empty: one piece with the end id.  A null source is a queue of its own.
@@ -186,7 +187,12 @@ def pack(
     tokens = spark.read.schema(tokens.schema).parquet(path)
 
     dealt = tokens.groupBy("_part", "source").agg(F.sum("doc_tokens").alias("_n"))  # partitions x sources rows
-    largest = dealt.groupBy("source").agg(F.sum("_n").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_QUEUES).collect()
+    largest = dealt.groupBy("source").agg(F.sum("_n").alias("n"))
+    if mixture is None:
+        largest = largest.orderBy(F.desc("n"), "source").limit(MAX_QUEUES).collect()
+    else:  # every source with a share of its own has a queue of its own
+        named = F.coalesce(F.col("source").isin([k for k in mixture if k is not None]), F.lit(None in mixture))
+        largest = largest.orderBy(F.desc(named), F.desc("n"), "source").limit(max(MAX_QUEUES, len(mixture))).collect()
     total = dealt.agg(F.sum("_n")).first()[0] or 0
     totals = [r["n"] for r in largest]
     names = [r["source"] for r in largest]
