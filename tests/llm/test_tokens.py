@@ -28,6 +28,14 @@ def test_encoder_equals_the_library(library):
         assert enc.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\t \n", "a", "1", ".", "x\n"])
+def test_very_long_runs(library, unit):
+    """A million characters without a break for the pattern, alone and between words."""
+    enc, run = Encoder(default_vocabulary()), (unit * 1_000_000)[:1_000_000]
+    for text in (run, "ab " + run[:20_001] + "c" + run[:19_999]):
+        assert enc.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def cases():
     rng = random.Random(3)
     rows = [(0, None, "a", "x"), (1, "", None, None), (2, "the cat " * 9000, "a", "x"), (2, "the cat " * 9000, "a", "x"), (None, "no id", "b", "x")]
