@@ -1,12 +1,14 @@
 """Operator 7, cross-entropy difference of two matched n-gram language models.
 
 A background model of all documents and a target model of the good ones are alike in order, smoothing and
-vocabulary.  A document's score is the mean over its tokens of background loss minus target loss: the
-higher, the more it looks like the target.
-
-Every distinct word and bigram of the corpus is counted for itself, by 64-bit hashes of words, in distributed tables that
-grow with the corpus.  Documents meet the bigrams' losses by a join; nothing of the models passes through the driver
-but totals.
+vocabulary.  A document's score is the mean over its words of background loss minus target loss: the
+higher, the more it looks like the target.  A document is scored by what the other documents count: its own
+words are taken out of both models first.
+
+Every distinct word and bigram of the corpus is counted for itself, known by a 64-bit hash.  Blocks of documents
+send each of their words and bigrams once, with its counts, to the shard of its hash; shards
+answer each block with the corpus's counts of those that other blocks hold too.  A key has no more entries than
+there are blocks; only totals reach the driver.
 """
 
 from __future__ import annotations
@@ -19,85 +21,162 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.common import bounded, discard, free_name, table, tidy, written
+from karst.llm.blocks import WORDS, blocks_of, by_shard, packed, unpacked
+from karst.llm.common import bounded, table, tidy, written
 from karst.llm.decontaminate import words_of
-from karst.llm.jaccard_join import WordHashes
+from karst.llm.linkage import mix, shard_bits
 
 #: Weight of the bigram estimate against the unigram one, and the unigram's added count.
 BIGRAM_WEIGHT, ADDED = 0.7, 0.5
-#: The begin mark in place of a word's hash.
-BEGIN = np.uint64(0x9E3779B97F4A7C15)
-_PAIRS = "row long, target boolean, n_words long, h array<long>, w array<long>, c array<long>"
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text, row, target -> id, row, target, n_words and the document's distinct bigrams h, w with their counts c."""
-    hashes, ints = WordHashes(), pa.list_(pa.int64())
-    for batch in batches:
-        n, cols = [], ([], [], [])
-        for text in batch.column(1):
-            words = words_of(text.as_py())
-            n.append(len(words))
-            x = np.empty(len(words) + 1, np.uint64)
-            x[0] = BEGIN
-            x[1:] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-            order = np.lexsort((x[1:], x[:-1]))
-            h, w = x[:-1][order].view(np.int64), x[1:][order].view(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(words) else np.zeros(0, int)
-            for out, v in zip(cols, (h[first], w[first], np.diff(np.append(first, len(words)))), strict=True):
-                out.append(v)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), *(pa.array(c, ints) for c in cols)],
-            names=[batch.schema.names[0], *(x.split(" ")[0] for x in _PAIRS.split(", "))],
-        )
-
-
-def losses(pairs: DataFrame) -> DataFrame | None:
-    """h, w, background, target: -ln p of every bigram of pairs (h, w, c, target); None if no target document has words."""
-    sums = (F.sum("b").alias("b"), F.sum("t").alias("t"))
-    bigrams = written(pairs.select("h", "w", F.col("c").alias("b"), F.expr("if(target, c, 0)").alias("t")).groupBy("h", "w").agg(*sums), "lm-bigrams", free=True)
-    histories = bigrams.groupBy(F.col("h").alias("hh")).agg(F.sum("b").alias("hb"), F.sum("t").alias("ht"))
-    words = written(bigrams.groupBy(F.col("w").alias("ww")).agg(F.sum("b").alias("ub"), F.sum("t").alias("ut")), "lm-words")
-    size, *total = words.agg(F.count(F.lit(1)), F.sum("ub"), F.sum("ut")).first()
-    if not total[1]:
-        return None
-    told = bigrams.join(histories, F.expr("h = hh")).join(words, F.expr("w = ww"))
-
-    def loss(n: str, seen: str, uni: str, all_words: int):
-        # Two more words, the unknown one and the begin mark, as in any vocabulary.
-        p = (F.col(uni) + ADDED) / (float(all_words) + ADDED * (size + 2))
-        return -F.log(F.when(F.col(seen) > 0, BIGRAM_WEIGHT * F.col(n) / F.col(seen) + (1 - BIGRAM_WEIGHT) * p).otherwise(p))
-
-    out = written(told.select("h", "w", loss("b", "hb", "ub", total[0]).alias("background"), loss("t", "ht", "ut", total[1]).alias("target")), "lm-losses", free=True)
-    discard(bigrams)
-    discard(words)
-    return out
-
-
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_GOLD, _WORD, _BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_ENTRIES = "shard int, block long, keys binary, b binary, t binary"
+_COUNTS = "block long, shard int, at binary, b binary, t binary, n_words long"
+
+
+class Block:
+    """The grams of a block: its words, then its bigrams; the begin mark is the word after the last."""
+
+    def __init__(self, row: dict, bits: int):
+        self.n = np.array(row["n"], np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.seq = unpacked(row["seq"], "<u4").astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.target = np.zeros(len(self.n), bool)
+        self.target[row["good"] or []] = True
+        self.width = len(self.words) + 1
+        self.before = np.empty_like(self.seq)
+        self.before[1:] = self.seq[:-1]
+        self.before[(np.cumsum(self.n) - self.n)[self.n > 0]] = self.width - 1
+        flag = self.target[self.doc]
+        # Bigrams with a flag for the target, sorted.
+        codes = np.sort(((self.before * self.width + self.seq) << 1) | flag)
+        pairs = codes >> 1
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        self.pairs = pairs[first]
+        b = np.diff(np.append(first, len(pairs)))
+        t = np.add.reduceat(codes & 1, first) if len(first) else b
+        self.b = np.concatenate([np.bincount(self.seq, minlength=len(self.words)), b])
+        self.t = np.concatenate([np.bincount(self.seq[flag], minlength=len(self.words)), t])
+        h = np.append(self.words, _BEGIN)
+        grams = mix(mix(h[self.pairs // self.width] * _GOLD) + h[self.pairs % self.width])
+        # The lowest bit tells a word from a bigram.
+        self.keys = np.concatenate([mix(self.words ^ _WORD) | np.uint64(1), grams & ~np.uint64(1)])
+        self.order, self.shards, self.cuts = by_shard(self.keys, bits)
+
+
+def _entries(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Block(row, bits)
+                keys, b, t = (x[own.order] for x in (own.keys, own.b.astype("<u4"), own.t.astype("<u4")))
+                cols = [own.shards, np.full(len(own.cuts), row["block"]), *([f(x[i:j]) for i, j in own.cuts] for x, f in ((keys, np.ndarray.tobytes), (b, packed), (t, packed)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], names=["shard", "block", "keys", "b", "t"])
+
+    return tidy(run)
+
+
+def _counts(table: pa.Table) -> pa.Table:
+    """For each block the counts of those of its grams of this shard that stand in other blocks too; and, of no block, how many distinct words the shard has."""
+    parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
+    keys = np.concatenate(parts)
+    b, t = (np.concatenate([unpacked(x, "<u4") for x in table.column(c)]).astype(np.int64) for c in ("b", "t"))
+    size = np.array([len(x) for x in parts])
+    owner, at = np.repeat(np.arange(len(parts)), size), np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.argsort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    count = np.diff(np.append(first, len(keys)))
+    sums = [np.repeat(np.add.reduceat(x[order], first), count) for x in (b, t)]
+    shared = np.repeat(count > 1, count)
+    order, sums = order[shared], [x[shared] for x in sums]
+    place = np.lexsort((at[order], owner[order]))
+    order, sums = order[place], [x[place] for x in sums]
+    cuts = np.searchsorted(owner[order], np.arange(len(parts) + 1)).tolist()
+    own = [(k, i, j) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+    blocks, shard = table.column("block").to_pylist(), table.column("shard")[0].as_py()
+    n_words = int((keys[np.argsort(keys)][first] & np.uint64(1)).sum())
+    cols = [
+        [*(blocks[k] for k, _, _ in own), None],
+        [shard] * (len(own) + 1),
+        *([*(packed(x[i:j]) for _, i, j in own), None] for x in (at[order].astype("<u4"), *sums)),
+        [None] * len(own) + [n_words],
+    ]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int64()]
+    return pa.table({f.split(" ")[0]: pa.array(c, k) for f, c, k in zip(_COUNTS.split(", "), cols, kinds, strict=True)})
+
+
+def _scores(bits: int, totals: list[int], distinct: int):
+    """totals: words and documents with words of the background, then of the target."""
+
+    def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+        row = blocks.select(["block", "n", "words", "seq", "good"]).to_pylist()[0]
+        own = Block(row, bits)
+        sides = [own.b.astype(np.int64), own.t.astype(np.int64)]
+        begins = dict(zip(own.shards.tolist(), own.cuts, strict=True))
+        for x in counts.to_pylist():
+            at = own.order[begins[x["shard"]][0] + unpacked(x["at"], "<u4").astype(np.int64)]
+            for side, c in zip(sides, ("b", "t"), strict=True):
+                side[at] = unpacked(x[c], "<i8")
+        # The distinct bigrams of each document, and the counts that it has of them and of their words.
+        w = own.width
+        codes = np.sort(own.doc * (w * w) + own.before * w + own.seq)
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        codes, c = codes[first], np.diff(np.append(first, len(codes)))
+        doc, pair = codes // (w * w), codes % (w * w)
+        h, x = pair // w, pair % w
+        mine, mine_n = np.unique(own.doc * w + own.seq, return_counts=True)
+        held = lambda word: np.where(word == w - 1, 1, mine_n[np.minimum(np.searchsorted(mine, doc * w + word), len(mine) - 1)])  # noqa: E731  each document begins once
+        held_h, held_x = held(h), held(x)
+        gram = len(own.words) + np.searchsorted(own.pairs, pair)
+        losses = []
+        for k, side in enumerate(sides):
+            mask = np.ones(len(doc), np.int64) if k == 0 else own.target[doc].astype(np.int64)
+            n, begins_n = totals[2 * k] - own.n[doc] * mask, totals[2 * k + 1] - mask
+            unigram = (side[x] - held_x * mask + ADDED) / (n + ADDED * (distinct + 2))
+            seen = np.where(h == w - 1, begins_n, side[np.minimum(h, len(own.words) - 1)] - held_h * mask)
+            p = np.where(seen > 0, BIGRAM_WEIGHT * (side[gram] - c * mask) / np.maximum(seen, 1) + (1 - BIGRAM_WEIGHT) * unigram, unigram)
+            losses.append(np.bincount(doc, c * -np.log(p), len(own.n)))
+        some = own.n > 0
+        mean = [pa.array(x / np.maximum(own.n, 1), mask=~some) for x in losses]
+        ids = blocks.column("ids").combine_chunks().flatten()
+        return pa.table({"_id": ids, "n_words": pa.array(own.n), "background_loss": mean[0], "target_loss": mean[1]})
+
+    return run
+
+
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = WORDS) -> DataFrame:
     """id, n_words, background_loss, target_loss (means in nats), score (their difference) of every row.
 
     Target documents are those that labels calls quality 1 and toxic 0; repeated labels of an id count once
-    (the best quality, the worst toxicity).  All documents, labelled or not, make the background.  Null and
+    (the best quality, the worst toxicity).  All documents, labelled or not, make the background.  A row's own
+    words are not counted when it is scored, but those of a repeated row are.  Null and
     empty texts have no words and null losses; so has every row when no target document has words.
-    Repeated rows count and are scored each.  An empty table gives an empty result.
+    Repeated rows count and are scored each.  An empty table gives an empty result.  Columns beyond the id and the
+    text are not looked at.  The result does not depend on ``block_words``; a longer text is a block of its own.
     """
-    flag = free_name(bounded(docs).columns, "is_target")
+    if not 0 < block_words <= 10 * WORDS:
+        raise ValueError(f"block_words must be from 1 to {10 * WORDS}, as documents and bigrams of a block are numbered in 63 bits")
+    bits = shard_bits(bounded(docs))
+    blocks = written(blocks_of(docs, id_col, text_col, words_of, words=block_words), "lm-blocks")
     good = labels.groupBy(id_col).agg(F.max("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select(F.col(id_col).alias("_good"))
-    row = free_name(docs.columns, "_row")
-    texts = docs.select(F.col(id_col), F.col(text_col))
-    # Labels grow with the corpus, so the join is a shuffle from the start, at every size; its build side is ids alone.
-    told = texts.join(good.hint("shuffle_hash"), texts[id_col] == good["_good"], "left").select(id_col, text_col, F.monotonically_increasing_id().alias(row), F.col("_good").isNotNull().alias(flag))
-    # Written, so that a row has one number.
-    own = written(told.mapInArrow(tidy(_pairs), T.StructType([docs.schema[id_col], *T.StructType.fromDDL(_PAIRS).fields])), "lm-pairs", free=True)
-    pairs = own.select("row", "target", F.inline(F.arrays_zip("h", "w", "c")))
-    found = losses(pairs)
-    plain = own.select(id_col, "row", "n_words")
-    if found is None:
-        return plain.select(id_col, "n_words", *(F.lit(None).cast("double").alias(c) for c in ("background_loss", "target_loss", "score")))
-    each = pairs.drop("target").join(found, ["h", "w"]).groupBy(F.col("row").alias("of")).agg(F.sum(F.col("c") * F.col("background")).alias("x"), F.sum(F.col("c") * F.col("target")).alias("y"))
-    mean = lambda c: F.when(F.col("n_words") > 0, c / F.col("n_words"))
-    return plain.join(each, F.expr("row = of"), "left").select(id_col, "n_words", mean(F.col("x")).alias("background_loss"), mean(F.col("y")).alias("target_loss"), mean(F.col("x") - F.col("y")).alias("score"))
+    # Labels grow with the corpus; only ids meet them.
+    flags = blocks.select("block", F.posexplode("ids").alias("at", "_id")).join(good, F.expr("_id = _good")).groupBy("block").agg(F.collect_list("at").alias("good"))
+    flags = written(flags, "lm-flags")
+    blocks = blocks.join(flags, "block", "left")
+    of_good = F.transform(F.coalesce("good", F.array().cast("array<int>")), lambda k: F.get("n", k))
+    some = lambda x: F.size(F.filter(x, lambda n: n > 0))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, n: s + n)
+    sizes = blocks.select(total("n").alias("b"), some("n").alias("db"), total(of_good).alias("t"), some(of_good).alias("dt"))
+    totals = [x or 0 for x in sizes.agg(*(F.sum(c) for c in ("b", "db", "t", "dt"))).first()]
+    entries = blocks.mapInArrow(_entries(bits), _ENTRIES)
+    counts = written(entries.groupBy("shard").applyInArrow(_counts, _COUNTS), "lm-counts")
+    distinct = counts.agg(F.sum("n_words")).first()[0] or 0
+    out = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *T.StructType.fromDDL("n_words long, background_loss double, target_loss double").fields])
+    told = counts.where("block IS NOT NULL").select("block", "shard", "at", "b", "t")
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(bits, totals, distinct), out)
+    if not totals[2]:
+        scored = scored.withColumn("background_loss", F.lit(None).cast("double")).withColumn("target_loss", F.lit(None).cast("double"))
+    return scored.select(F.col("_id").alias(id_col), "n_words", "background_loss", "target_loss", (F.col("background_loss") - F.col("target_loss")).alias("score"))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
