@@ -24,10 +24,11 @@ ADDED = ["id", "person"]
 RANK = {k: i for i, k in enumerate([*KINDS, *ADDED])}
 
 #: The base patterns, with possessive repetition and guards against starts inside of a run that has failed
-#: already, so that long runs take linear time and no stack; their matches are those of the plain forms.
+#: already, so that long runs take linear time and no stack; their matches are those of the plain forms, for cards
+#: without those of too few or too many digits, which are dropped anyway.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Candidates that the base patterns miss.
 LOOSE = {
@@ -45,27 +46,52 @@ AGAINST_WORDS = "order invoice version part isbn price serial model section chap
 SURE = 0.9
 LABELERS = ["strict_form", "odd_form", "gazetteer", "context_for", "context_against", "company"]
 
-_SPAN = "array<struct<start:long,end:long,value:string>>"
+_SPAN = "array<struct<start:long,end:long,value:string,before:string>>"
+#: Matches that one fold puts in place: it copies what it has for every match, so longer lists are taken in pieces.
+PIECE = 256
+#: Code points before a match in which context words are sought.
+CONTEXT = 30
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _pieces_of(n: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PIECE))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array of (start, end, value), in code points, end exclusive: the leftmost matches that do not overlap."""
+    """array of (start, end, value, before), in code points, end exclusive: the leftmost matches that do not overlap; before: what stands before one, CONTEXT long."""
     none = F.lit(None).cast(_SPAN)
 
-    def placed(found: Column) -> Column:
-        pairs = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), m.alias("m")))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
-
-        def step(a: Column, e: Column) -> Column:
-            begin = a["at"] + e["gap"]
-            end = begin + F.length(e["m"])
-            span = F.struct(begin.alias("start"), end.alias("end"), e["m"].alias("value"))
-            return F.when(e["m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out")))
+    def step(a: Column, e: Column) -> Column:
+        begin = a["at"] + F.length(e["gap"])
+        end = begin + F.length(e["m"])
+        before = F.right(F.concat(a["tail"], e["gap"]), F.lit(CONTEXT))
+        span = F.struct(begin.alias("start"), end.alias("end"), e["m"].alias("value"), before.alias("before"))
+        return F.when(e["m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.right(F.concat(before, e["m"]), F.lit(CONTEXT)).alias("tail"), F.concat(a["out"], F.array(span)).alias("out")))
+
+    def fold(pairs: Column, at: Column, tail: Column) -> Column:
+        return F.aggregate(pairs, F.struct(at.alias("at"), tail.alias("tail"), F.array().cast(_SPAN).alias("out")), step, lambda a: a["out"])
+
+    def in_pieces(pairs: Column) -> Column:
+        zero, part = F.lit(0).cast("long"), lambda s: F.slice(pairs, s + 1, F.lit(PIECE))
+        starts = _pieces_of(F.size(pairs))
+        long = F.transform(starts, lambda s: F.aggregate(part(s), zero, lambda n, e: n + F.length(e["gap"]) + F.coalesce(F.length(e["m"]), F.lit(0))))
+        begin = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        offsets = F.aggregate(long, begin, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        # A match has a character at least, so this many before a piece hold all of its context.
+        last = lambda s: F.transform(F.slice(pairs, F.greatest(s - CONTEXT, F.lit(0)) + 1, F.least(s, F.lit(CONTEXT))), lambda e: F.concat(e["gap"], e["m"]))
+        return F.flatten(F.zip_with(starts, offsets, lambda s, at: fold(part(s), at, F.right(F.array_join(last(s), ""), F.lit(CONTEXT)))))
 
-        return F.aggregate(pairs, start, step, lambda a: a["out"])
+    def placed(found: Column) -> Column:
+        pairs = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+        return F.when(F.size(found) < PIECE, fold(pairs, F.lit(0).cast("long"), F.lit(""))).otherwise(_let(pairs, in_pieces))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(F.coalesce(none, F.array().cast(_SPAN))))[0]
+    return _let(found, lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(F.coalesce(none, F.array().cast(_SPAN))))
 
 
 def _digits(value: Column) -> Column:
@@ -94,10 +120,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _votes(text: Column, kind: Column, s: Column, strict: bool, n_base: Column) -> list[Column]:
+def _votes(kind: Column, s: Column, strict: bool, n_base: Column) -> list[Column]:
     value, yes, no = s["value"], F.lit(1), F.lit(-1)
-    start = F.greatest(s["start"] - 30, F.lit(0))
-    before = F.lower(F.substring(text, (start + 1).cast("int"), (s["start"] - start).cast("int")))
+    before = F.lower(s["before"])
     word = lambda words: before.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(w.replace("-", "\\-") for w in words) + r")(?![\p{L}\p{N}])")
     digits = _digits(value)
     area = F.when(value.startswith("+"), F.substring(digits, F.length(digits) - 9, F.lit(10))).otherwise(digits)
@@ -133,7 +158,7 @@ def found_in(docs: DataFrame, text_col: str) -> DataFrame:
         return out
 
     def case(s: Column, kind: Column, strict: bool) -> Column:
-        votes = F.array(*[v.cast("int") for v in _votes(text, kind, s, strict, n_base)])
+        votes = F.array(*[v.cast("int") for v in _votes(kind, s, strict, n_base)])
         shape = F.when(F.length(s["value"]) < 12, F.lit(0)).when(F.length(s["value"]) < 20, F.lit(1)).otherwise(F.lit(2))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), votes.alias("votes"), shape.alias("shape"), F.lit(strict).alias("strict"))
 
@@ -145,7 +170,15 @@ def found_in(docs: DataFrame, text_col: str) -> DataFrame:
     cases = docs.withColumn("_cases", F.concat(*strict, loose)).drop(*[f"_{k}" for k in KINDS], "_found")
     # A candidate that touches a base span is that span, told less well.
     base = F.filter("_cases", lambda c: c["strict"])
-    free = F.filter("_cases", lambda c: c["strict"] | ~F.exists(F.filter("_cases", lambda b: b["strict"]), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    touches = lambda b, start, end: (b["start"] < end) & (start < b["end"])
+
+    def apart(some: Column) -> Column:
+        """Those of a piece of the candidates, in order, that touch no base span; only spans within the piece's reach are tried on each."""
+        start, end = some[0]["start"], F.array_max(F.transform(some, lambda c: c["end"]))
+        return _let(F.filter(base, lambda b: touches(b, start, end)), lambda near: F.filter(some, lambda c: ~F.exists(near, lambda b: touches(b, c["start"], c["end"]))))
+
+    rest = F.filter("_cases", lambda c: ~c["strict"])
+    free = F.concat(base, _let(rest, lambda r: F.flatten(F.transform(_pieces_of(F.size(r)), lambda s: apart(F.slice(r, s + 1, F.lit(PIECE)))))))
     return cases.withColumn("_cases", F.when(F.size(base) == F.size("_cases"), F.col("_cases")).otherwise(free))
 
 
@@ -217,17 +250,31 @@ def personal_data(docs: DataFrame, *, text_col: str = "text", carry: list[str] |
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets (of overlapping spans the first one's); other texts are unchanged."""
     text = F.col(text_col)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    empty = F.array().cast("array<string>")
+
+    def piece(a: Column, spans: Column) -> Column:
+        """The next spans, in the stretch of text from where the last ones ended, so that none is sought from the text's begin."""
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        stretch = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(end - a["at"], F.lit(0)).cast("int"))
+
+        def put(own: Column) -> Column:
+            def step(b: Column, s: Column) -> Column:
+                gap = F.substring(own, (b["at"] - a["at"] + 1).cast("int"), (s["start"] - b["at"]).cast("int"))
+                kind = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+                done = F.struct(s["end"].alias("at"), F.concat(b["out"], F.array(F.concat(gap, kind))).alias("out"))
+                return F.when(s["start"] >= b["at"], done).otherwise(F.struct(F.greatest(b["at"], s["end"]).alias("at"), b["out"].alias("out")))
+
+            made = F.aggregate(spans, F.struct(a["at"].alias("at"), empty.alias("out")), step)
+            return _let(made, lambda m: F.struct(m["at"].alias("at"), F.concat(a["out"], F.array(F.array_join(m["out"], ""))).alias("out")))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        put = F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"))
-        return F.when(s["start"] >= a["at"], put).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
+        return _let(stretch, put)
 
+    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
     tail = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
+    cleaned = F.aggregate(F.transform(_pieces_of(F.size("pii")), lambda s: F.slice("pii", s + 1, F.lit(PIECE))), start, piece, tail)
 
     def run(d: DataFrame) -> DataFrame:
-        return personal_data(d, text_col=text_col).withColumn(text_col, F.when(F.size("pii") > 0, F.aggregate("pii", start, step, tail)).otherwise(text))
+        return personal_data(d, text_col=text_col).withColumn(text_col, F.when(F.size("pii") > 0, cleaned).otherwise(text))
 
     return sheltered(docs, [*(f"_{k}" for k in KINDS), "_found", "_cases", "pii"], run)
 
