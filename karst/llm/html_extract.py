@@ -12,7 +12,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,124 +24,163 @@ from pyspark.sql import types as T
 from karst.llm.common import bounded, table, tidy
 
 #: Elements whose content is no text, elements that stand within a block's text, and elements without an end tag.
-SKIPPED = frozenset("script style noscript template svg iframe object canvas head title math audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = frozenset("script style noscript template iframe head title".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math object q s samp small span strike strong sub sup svg time tt u var video wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key closes an open element of these, up to an element that holds them.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot select body article section div main nav aside header footer form blockquote figure".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?[a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?[a-zA-Z][^\s/>]*+)[^>]*+>", re.S)
 _HALF_TAG = re.compile(r"<[/!a-zA-Z][^>]*+\Z")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+#: Ancestors that say something; others are features as "other".
+_TELLING = frozenset("article main section nav header footer aside form ul ol li table td th p div h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption button select option textarea fieldset label dl dt dd address details summary menu dialog body".split())
+
+
+class Node:
+    """An open element that stands around blocks, with what all its ancestors say, shared wherever it adds nothing."""
+
+    __slots__ = ("names", "near", "parent", "seen")
+
+    def __init__(self, above: Node | None, tag: str, names: frozenset[str]):
+        shown = tag if tag in _TELLING else "other"
+        seen, said = (above.seen, above.names) if above else (frozenset(), frozenset())
+        self.parent = tag
+        self.seen = seen if shown in seen else seen | {shown}
+        self.names = said if names <= said else said | names
+        self.near = names or (above.near if above else names)  # of the innermost element that has some
+
+
 @dataclass
 class Block:
     text: str
-    tags: list[str]
-    names: set[str]
+    node: Node | None
     link_chars: int = 0
-    features: list[str] = field(default_factory=list)
 
 
-def blocks_of(html: str | None) -> list[Block]:
-    """The leaf blocks of a page: text with references decoded and white space folded, and its ancestors."""
+def blocks_of(html: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page: text with references decoded and white space folded, and its ancestors.
+
+    known: the names of elements that matter; None: all.  Time and memory are linear in the page, however deep it
+    nests: no block copies or walks its ancestors, and no tag is sought twice in what follows.
+    """
     if not html:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
-    parts: list[tuple[str, bool]] = []
+    stack: list[tuple[str, Node | None]] = []  # tags, with the block node that is open from there on
+    spots: dict[str, list[int]] = {}  # where in the stack each tag stands
+    holders: list[int] = []
+    parts: list[str] = []
+    linked, missing = 0, set()
 
     def end_block() -> None:
+        nonlocal linked
         if parts:
-            text = " ".join(htmllib.unescape("".join(p for p, _ in parts)).split())
+            text = " ".join(htmllib.unescape("".join(parts)).split())
             if text:
-                linked = sum(len(p) for p, link in parts if link)
-                out.append(Block(text, [t for t, _ in stack], {n for _, names in stack for n in names}, linked))
+                out.append(Block(text, stack[-1][1] if stack else None, linked))
             parts.clear()
+            linked = 0
+
+    def push(tag: str, node: Node | None) -> None:
+        spots.setdefault(tag, []).append(len(stack))
+        if tag in HOLDERS:
+            holders.append(len(stack))
+        stack.append((tag, node))
 
     def pop_to(at: int) -> None:
-        if any(t not in INLINE for t, _ in stack[at:]):
+        if any(stack[k][0] not in INLINE for k in range(at, len(stack))):
             end_block()
-        del stack[at:]
-
-    pos, size = 0, len(html)
-    while pos < size:
-        m = _TAG.search(html, pos)
+        while len(stack) > at:
+            tag, _ = stack.pop()
+            spots[tag].pop()
+            if tag in HOLDERS:
+                holders.pop()
+
+    def add(text: str) -> None:
+        nonlocal linked
+        parts.append(text)
+        if spots.get("a"):
+            linked += len(text)
+
+    # No tag ends after the last ">"; only a comment may run on to the end.
+    pos, size = 0, html.rfind(">") + 1
+    while True:
+        m = _TAG.search(html, pos, size)
         if m is None:
-            rest = _HALF_TAG.sub("", html[pos:])
+            rest = html[pos:]
+            open_comment = rest.find("<!--")
+            rest = _HALF_TAG.sub("", rest if open_comment < 0 else rest[:open_comment])
             if rest:
-                parts.append((rest, any(t == "a" for t, _ in stack)))
+                add(rest)
             break
         if m.start() > pos:
-            parts.append((html[pos : m.start()], any(t == "a" for t, _ in stack)))
+            add(html[pos : m.start()])
         pos = m.end()
-        name = (m[2] or m[5] or "").lower()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break  # it goes on to the end
+        name = (m[1] or m[3] or "").lower()
         if not name:
             continue
-        if m[1] or m[4]:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == name:
-                    pop_to(at)
-                    break
-            else:
-                if name not in INLINE:
-                    end_block()
+        if name.startswith("/"):
+            name = name[1:]
+            if spots.get(name):
+                pop_to(spots[name][-1])
+            elif name not in INLINE:
+                end_block()
             continue
         if name in SKIPPED:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
+            close = None if name in missing else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
             if close is not None:
                 pos = close.end()
             elif name in ("script", "style", "noscript", "template"):
                 break  # its content goes on to the end
+            else:
+                missing.add(name)
             continue
         if name in INLINE:
             if name == "br":
-                parts.append((" ", False))
+                parts.append(" ")
             elif name not in VOID:
-                stack.append((name, frozenset()))
+                push(name, stack[-1][1] if stack else None)
             continue
-        closes = CLOSES.get(name)
-        for at in range(len(stack) - 1, -1, -1):
-            tag = stack[at][0]
-            if tag == "p" or (closes and tag in closes):
-                pop_to(at)
-                break
-            if tag in HOLDERS and tag not in (closes or ()):
-                break
+        ends = max((spots[t][-1] for t in ("p", *CLOSES.get(name, ())) if spots.get(t)), default=-1)
+        if ends > (holders[-1] if holders else -1):
+            pop_to(ends)
         end_block()
         if name not in VOID:
             names = set()
-            for a in _ATTRIBUTE.finditer(m[3] or ""):
+            for a in _ATTRIBUTE.finditer(m[2] or ""):
                 value, key = a[2] or a[3] or a[4] or "", a[1].lower()
                 if key == "style":
                     names |= {"hidden"} if re.search(r"display\s*:\s*none", value, re.I) else set()
                 else:
-                    names |= {w.lower() for w in _NAME_WORD.findall(value)[:24]} | ({"hidden"} if key == "hidden" else set())
-            stack.append((name, frozenset(names)))
+                    names |= {w.lower() for w in _NAME_WORD.findall(value)} | ({"hidden"} if key == "hidden" else set())
+            push(name, Node(stack[-1][1] if stack else None, name, frozenset(names if known is None else names & known)))
     end_block()
     return out
 
 
-#: Ancestors that say something; others are features as "other".
-_TELLING = frozenset("article main section nav header footer aside form ul ol li table td th p div h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption button select option textarea fieldset label dl dt dd address details summary menu dialog body".split())
-
-
 def featured(blocks: list[Block]) -> list[list[str]]:
     """Features of a page's blocks: of ancestors, of text, and of place."""
     total = len(blocks)
-    main = any(t in ("article", "main") for b in blocks for t in b.tags)
+    main = any(b.node and not b.node.seen.isdisjoint(("article", "main")) for b in blocks)
+    above: dict[int, list[str]] = {}
     out = []
     for k, b in enumerate(blocks):
-        f = ["bias", f"page_has_main={main}"]
-        tags = [t for t in b.tags if t not in INLINE]
-        f += [f"under={t}" for t in sorted({t if t in _TELLING else "other" for t in tags})]
-        f.append(f"parent={tags[-1] if tags else '-'}")
-        if main:
-            f.append(f"in_main={'article' in b.tags or 'main' in b.tags}")
-        for n in sorted(b.names):
-            f.append(f"name={n}")
+        own = above.get(id(b.node))
+        if own is None:
+            seen, names = (b.node.seen, b.node.names) if b.node else ((), ())
+            own = ["bias", f"page_has_main={main}", *(f"under={t}" for t in sorted(seen)), f"parent={b.node.parent if b.node else '-'}"]
+            if main:
+                own.append(f"in_main={'article' in seen or 'main' in seen}")
+            own += [f"name={n}" for n in sorted(names)]
+            own += [f"near={n}" for n in sorted(b.node.near if b.node else ())]
+            above[id(b.node)] = own
+        f = list(own)
         words = b.text.count(" ") + 1
         f.append(f"words={min(7, words.bit_length())}")
         density = b.link_chars / max(1, len(b.text))
@@ -167,6 +206,10 @@ class Crf:
     weights: dict[str, float]
     trans: tuple[float, float, float, float]
 
+    @property
+    def names(self) -> frozenset[str]:
+        return frozenset(f.partition("=")[2] for f in self.weights if f.startswith(("name=", "near=")))
+
     def scores(self, features: list[list[str]]) -> list[float]:
         w = self.weights.get
         return [sum(w(f, 0.0) for f in fs) for fs in features]
@@ -333,17 +376,17 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             text = sentence(length())
             if rng.random() < 0.15:
                 text = f"<b>{text}<br>" if rng.random() < 0.5 else text + f' <a href="/{word()}">{words(2)}</a> ' + sentence(4)
-            if kind < 0.78:
+            if kind < 0.73:
                 out.append(block("p", text, 1))
-            elif kind < 0.84:
+            elif kind < 0.79:
                 out.append(block(rng.choice(["h2", "h3"]), words(rng.randint(1, 6)), 1))
-            elif kind < 0.9:
+            elif kind < 0.85:
                 out.append("<ul>" + "".join(block("li", sentence(rng.randint(2, 20)), 1) for _ in range(rng.randint(1, 4))) + "</ul>")
-            elif kind < 0.93:
+            elif kind < 0.88:
                 out.append("<blockquote>" + block("p", text, 1) + "</blockquote>")
-            elif kind < 0.95:
+            elif kind < 0.9:
                 out.append("<table><tr>" + "".join(block("td", words(rng.randint(1, 5)), 1) for _ in range(rng.randint(1, 4))) + "</tr></table>")
-            elif kind < 0.97:
+            elif kind < 0.92:
                 out.append(block("pre", words(6), 1))
             else:
                 out.append(side(rng.choice(["ad", "share", "aside", "notice", "form"])))
@@ -380,8 +423,9 @@ def default_model(pages: int = 700, seed: int = 11) -> Crf:
     return train(labelled_pages(pages, seed))
 
 
-def extract(html: str | None, model: Crf) -> str:
-    blocks = blocks_of(html)
+def extract(html: str | None, model: Crf, known: frozenset[str] | None = None) -> str:
+    """The main text; known: the model's names, where they are at hand."""
+    blocks = blocks_of(html, model.names if known is None else known)
     if not blocks:
         return ""
     return "\n".join(b.text for b, y in zip(blocks, model.decode(featured(blocks)), strict=True) if y)
@@ -392,15 +436,16 @@ def main_text(pages: DataFrame, *, html_col: str = "html", model: Crf | None = N
 
     Null and empty pages, and pages without main text, have an empty text.  Repeated rows are
     read each; an empty table gives an empty result; columns named text or n_chars are replaced.
-    Each page is read whole, by one task, without a shuffle.
+    Each page is read whole, by one task, without a shuffle, in time linear in its size, however deep it nests.
     """
     shared = bounded(pages).sparkSession.sparkContext.broadcast(model or default_model())
     carry = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     at = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.names
         for batch in batches:
-            texts = [extract(x.as_py(), shared.value) for x in batch.column(at)]
+            texts = [extract(x.as_py(), shared.value, known) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*carry, "text", "n_chars"])
 
     schema = T.StructType([*(pages.schema[c] for c in carry), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

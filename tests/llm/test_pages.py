@@ -3,9 +3,9 @@ import gzip
 import hashlib
 import io
 import random
+import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from karst.llm import html_extract as h
 from karst.llm import warc as w
@@ -80,7 +80,9 @@ def test_blocks():
     texts = [b.text for b in h.blocks_of(page)]
     assert texts == ["Home", "B & C", "Head\xadline", "One two three four five <x> é", "Six", "hid", "q"]
     assert [b.text for b in h.blocks_of("a < b <p title='>'>c</p> d <i")] == ["a < b", "c", "d"]
-    assert h.blocks_of(None) == [] and h.blocks_of("") == [] and h.blocks_of("<script>x") == [] and h.blocks_of("<<<>>>") != None  # noqa: E711
+    assert h.blocks_of(None) == [] and h.blocks_of("") == [] and h.blocks_of("<script>x") == []
+    assert [b.text for b in h.blocks_of("<<<>>>")] == ["<<<>>>"]
+    assert [b.text for b in h.blocks_of("<p>x <math>y</math> z<p>a<!-- never closed <p>b")] == ["x y z", "a"]
 
 
 def test_viterbi_equals_enumeration():
@@ -105,4 +107,57 @@ def test_main_text(spark):
     got = [(r.page_id, r.text, r.n_chars) for r in out.where("page_id <> 4 OR page_id IS NULL").collect()]
     assert sorted(got, key=str) == sorted([(1, "Title\nSome words here.", 22), (2, "", 0), (None, "", 0), (1, "Title\nSome words here.", 22)], key=str)
     assert out.where("page_id = 4").count() == 1
-    assert h.main_text(spark.createDataFrame([], PAGES)).count() == 0 and F is not None
+    assert h.main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+#: Pages written by hand, not by the generator that makes the training pages: (html, main text).
+BY_HAND = [
+    (
+        """<!doctype html><html lang=en><head><meta charset=utf-8><title>Bread</title></head><body class="home blog">
+<div id="page" class="site"><header id="masthead" class="site-header"><div class="logo"><a href="/">Crumbs</a></div>
+<nav class="main-navigation"><ul><li><a href="/about">About us</a></li><li><a href="/recipes">Recipes</a></li></ul></nav></header>
+<div class="content-area"><main><article class="post"><h1 class="entry-title">How to keep a starter alive</h1>
+<div class="entry-content"><p>Feed it once a day with equal parts of flour and water.</p><p>If it smells of vinegar, feed it <em>twice</em>.</p>
+<h2>In the fridge</h2><p>Cold slows it down &mdash; a week between feedings is fine.</p></div></article>
+<div id="comments" class="comments"><h3>2 replies</h3><p>Worked for me, thanks!</p><p>Mine died anyway.</p></div></main></div>
+<aside class="sidebar widget"><h3>Popular</h3><ul><li><a href="/1">Rye</a></li><li><a href="/2">Spelt</a></li></ul></aside>
+<footer class="site-footer"><p>&copy; 2023 Crumbs. All rights reserved.</p></footer></div></body></html>""",
+        "How to keep a starter alive\nFeed it once a day with equal parts of flour and water.\nIf it smells of vinegar, feed it twice.\nIn the fridge\nCold slows it down \u2014 a week between feedings is fine.",
+    ),
+    (
+        """<html><body><div class="cookie-banner"><p>We use cookies to make this site better.</p><button>Accept</button></div>
+<nav><a href="/">Front page</a> <a href="/w">World</a> <a href="/s">Sport</a></nav>
+<article><header><h1>Bridge reopens after two years</h1></header>
+<p>The old bridge over the river was opened to traffic on Monday, two years after it had been closed for repairs.</p>
+<div class="ad"><p>Buy one, get one free at the market hall!</p></div>
+<p>About nine thousand cars a day are expected to use it, the council said.</p>
+<blockquote><p>It took too long, but it is done.</p></blockquote></article>
+<div class="share"><ul><li><a href="#">Share</a></li><li><a href="#">Mail</a></li></ul></div>
+<form class="newsletter"><div>Get our mail</div><input type=text><button>Sign up</button></form>
+<footer><ul><li><a href="/i">Imprint</a></li></ul><p>&copy; The Daily</p></footer></body></html>""",
+        "Bridge reopens after two years\nThe old bridge over the river was opened to traffic on Monday, two years after it had been closed for repairs.\nAbout nine thousand cars a day are expected to use it, the council said.\nIt took too long, but it is done.",
+    ),
+    (
+        """<body><div class=menu><ul><li><a href=a.html>Install</a><li><a href=b.html>Use</a></ul></div>
+<div class="content"><h1>Installing the tool</h1><p>Unpack the archive &amp; run the script:<pre>sh ./install   --all</pre>
+<p>It asks for these things:<ul><li>a folder to write to<li>a port that is free</ul><p>Then it is done.</div>
+<div class=footer>&copy; the authors</div></body>""",
+        "Installing the tool\nUnpack the archive & run the script:\nsh ./install --all\nIt asks for these things:\na folder to write to\na port that is free\nThen it is done.",
+    ),
+    ("<html><body><main><h1>Nur eine \u00dcberschrift</h1><p>Und ein Satz dazu.</p></main><script>var p='<p>nein</p>'</script></body></html>", "Nur eine \u00dcberschrift\nUnd ein Satz dazu."),
+    ("<nav><ul><li><a href='/'>Start</a></li></ul></nav><footer><p>&copy; 2020 nobody</p></footer>", ""),
+]
+
+
+@pytest.mark.parametrize("k", range(len(BY_HAND)))
+def test_pages_by_hand(k):
+    html, want = BY_HAND[k]
+    assert h.extract(html, h.default_model()) == want
+
+
+@pytest.mark.parametrize("unit", ["<div class='a%d'>x", "<x-a>", "<svg>", "<a ", "<a '", "<ul><li>", "<li><x-a>", "<dl><dt>", "<p>x", "<!--", "</b>", "&amp;", "<b>"])
+def test_deep_and_broken_pages_take_linear_time(unit):
+    html, model = "".join(unit % i if "%d" in unit else unit for i in range(100_000)), h.default_model()
+    began = time.time()
+    h.extract(html, model)
+    assert time.time() - began < 20
