@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from karst.llm.common import tidy
 
 #: Words and documents at which a block ends; a longer text is a block of its own.
-WORDS, DOCUMENTS = 1_000_000, 1 << 16
+WORDS, DOCUMENTS = 600_000, 1 << 16
 FIELDS = "n array<long>, words binary, seq binary"
 
 
@@ -92,10 +92,18 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, words_of: Callable, *
     return docs.select(id_col, text_col).mapInArrow(_blocks(words_of, words, spots), T.StructType([T.StructField("block", T.LongType()), ids, *own]))
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, byte by byte, so that the bytes that nearness makes zero cost nothing."""
+    return packed(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpacked_keys(raw: bytes | pa.Scalar) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpacked(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def by_shard(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """The order of keys by shard, the shards that occur, and where each begins and ends in that order."""
-    shard = (keys >> np.uint64(64 - bits)).astype(np.int32)
-    order = np.argsort(shard, kind="stable")
-    shard = shard[order]
+    """The order of the keys, the shards that occur, and where each begins and ends in that order."""
+    order = np.argsort(keys)
+    shard = (keys[order] >> np.uint64(64 - bits)).astype(np.int32)
     at = np.flatnonzero(np.diff(shard, prepend=-1))
     return order, shard[at], list(zip(at.tolist(), [*at[1:].tolist(), len(shard)], strict=False))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.blocks import WORDS, blocks_of, by_shard, packed, unpacked
+from karst.llm.blocks import WORDS, blocks_of, by_shard, packed, packed_keys, unpacked, unpacked_keys
 from karst.llm.common import bounded, table, tidy, written
 from karst.llm.decontaminate import words_of
 from karst.llm.linkage import mix, shard_bits
@@ -70,7 +70,7 @@ def _entries(bits: int):
             for row in batch.to_pylist():
                 own = Block(row, bits)
                 keys, b, t = (x[own.order] for x in (own.keys, own.b.astype("<u4"), own.t.astype("<u4")))
-                cols = [own.shards, np.full(len(own.cuts), row["block"]), *([f(x[i:j]) for i, j in own.cuts] for x, f in ((keys, np.ndarray.tobytes), (b, packed), (t, packed)))]
+                cols = [own.shards, np.full(len(own.cuts), row["block"]), *([f(x[i:j]) for i, j in own.cuts] for x, f in ((keys, packed_keys), (b, packed), (t, packed)))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], names=["shard", "block", "keys", "b", "t"])
 
     return tidy(run)
@@ -78,7 +78,7 @@ def _entries(bits: int):
 
 def _counts(table: pa.Table) -> pa.Table:
     """For each block the counts of those of its grams of this shard that stand in other blocks too; and, of no block, how many distinct words the shard has."""
-    parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
+    parts = [unpacked_keys(x) for x in table.column("keys")]
     keys = np.concatenate(parts)
     b, t = (np.concatenate([unpacked(x, "<u4") for x in table.column(c)]).astype(np.int64) for c in ("b", "t"))
     size = np.array([len(x) for x in parts])
