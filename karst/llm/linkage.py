@@ -42,16 +42,19 @@ class Packer:
         self.bits, self.limit, self.keys, self.items, self.n = bits, limit, [], [], 0
 
     def add(self, keys: np.ndarray, item: int) -> None:
-        self.keys.append(keys)
-        self.items.append((item, len(keys)))
-        self.n += len(keys)
+        self.add_all(keys[None], np.array([item], np.uint64))
+
+    def add_all(self, keys: np.ndarray, items: np.ndarray) -> None:
+        """A line of keys for each item."""
+        self.keys.append(keys.ravel())
+        self.items.append(np.repeat(items, keys.shape[1]))
+        self.n += keys.size
 
     def full(self) -> bool:
         return self.n >= self.limit
 
     def flush(self) -> pa.RecordBatch:
-        keys = np.concatenate(self.keys) if self.keys else np.zeros(0, np.uint64)
-        items = np.repeat(np.array([i for i, _ in self.items], dtype=np.uint64), [n for _, n in self.items])
+        keys, items = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (self.keys, self.items))
         shard = (keys >> np.uint64(64 - self.bits)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         keys, items, shard = keys[order], items[order], shard[order]
