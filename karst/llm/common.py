@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import inspect
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from karst.sources import scratch
 from karst.sources.scratch import shared_dir
 
-__all__ = ["bounded", "discard", "free_name", "partitions", "shared_dir", "sheltered", "table", "tidy", "without", "written"]
+__all__ = ["bounded", "discard", "free_name", "partitions", "shared_dir", "sheltered", "table", "tidy", "tidy_groups", "without", "written"]
 
 
 def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
@@ -47,14 +48,31 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # a C library without it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            _give_back()
 
     return tidied
 
 
+def tidy_groups(run: Callable) -> Callable:
+    """The same for a function of one group's tables."""
+
+    def tidied(*tables):
+        out = run(*tables)
+        _give_back()
+        return out
+
+    if len(inspect.signature(run).parameters) == 1:
+        return lambda table: tidied(table)
+    return lambda left, right: tidied(left, right)
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Bytes of a batch that a Python worker gets at once.
 BATCH_BYTES = 16 << 20
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import discard, partitions, tidy, written
+from karst.llm.common import discard, partitions, tidy, tidy_groups, written
 
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 PACKED = "shard int, keys binary, items binary"
@@ -92,7 +92,7 @@ def _group(table: pa.Table) -> pa.Table:
 
 def buckets(packed: DataFrame, name: str) -> DataFrame:
     """The buckets of packed entries, written: key, small, large (items of either side; large ones need not be compared)."""
-    return written(packed.groupBy("shard").applyInArrow(_group, BUCKETS), name, free=True)
+    return written(packed.groupBy("shard").applyInArrow(tidy_groups(_group), BUCKETS), name, free=True)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:

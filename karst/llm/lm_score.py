@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from karst.llm.blocks import WORDS, blocks_of, by_shard, packed, packed_keys, unpacked, unpacked_keys
-from karst.llm.common import bounded, table, tidy, written
+from karst.llm.common import bounded, table, tidy, tidy_groups, written
 from karst.llm.decontaminate import words_of
 from karst.llm.linkage import mix, shard_bits
 
@@ -169,11 +169,11 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sizes = blocks.select(total("n").alias("b"), some("n").alias("db"), total(of_good).alias("t"), some(of_good).alias("dt"))
     totals = [x or 0 for x in sizes.agg(*(F.sum(c) for c in ("b", "db", "t", "dt"))).first()]
     entries = blocks.mapInArrow(_entries(bits), _ENTRIES)
-    counts = written(entries.groupBy("shard").applyInArrow(_counts, _COUNTS), "lm-counts")
+    counts = written(entries.groupBy("shard").applyInArrow(tidy_groups(_counts), _COUNTS), "lm-counts")
     distinct = counts.agg(F.sum("n_words")).first()[0] or 0
     out = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *T.StructType.fromDDL("n_words long, background_loss double, target_loss double").fields])
     told = counts.where("block IS NOT NULL").select("block", "shard", "at", "b", "t")
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(bits, totals, distinct), out)
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidy_groups(_scores(bits, totals, distinct)), out)
     if not totals[2]:
         scored = scored.withColumn("background_loss", F.lit(None).cast("double")).withColumn("target_loss", F.lit(None).cast("double"))
     return scored.select(F.col("_id").alias(id_col), "n_words", "background_loss", "target_loss", (F.col("background_loss") - F.col("target_loss")).alias("score"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from karst.llm.blocks import WORDS, blocks_of, by_shard, packed, packed_keys, unpacked, unpacked_keys
-from karst.llm.common import bounded, discard, free_name, table, tidy, written
+from karst.llm.common import bounded, discard, free_name, table, tidy, tidy_groups, written
 from karst.llm.jaccard_join import verified, words_of
 from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits, sketch_of
 
@@ -115,14 +115,17 @@ class Page:
         return self.doc[first], line[first], first, n, np.array(item, np.uint64), start, end
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the taken windows; windows of other documents among the neighbours can only add to them."""
-        if len(self.h) < GRAM:
+        """Places and hashes of the taken windows: those that are the least of GAP neighbours, all of their own document."""
+        if len(self.h) < GRAM + GAP - 1:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         h = chained(self.h, GRAM)
         inside = np.zeros(len(h), bool)
         inside[: len(h) - GRAM + 1] = self.doc[GRAM - 1 :] == self.doc[: len(h) - GRAM + 1]
         h[~inside] = _NONE
-        at = np.flatnonzero((_sliding(_sliding(h, GAP, True), GAP, False) == h) & inside)
+        least, reach = _sliding(h, GAP, True), GRAM + GAP - 2
+        least[max(0, len(h) - reach) :] = 0
+        least[: len(h) - reach][self.doc[reach:] != self.doc[: len(h) - reach]] = 0
+        at = np.flatnonzero((_sliding(least, GAP, False) == h) & inside)
         return at, h[at]
 
     def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +326,7 @@ class Hits:
 
 
 _TOLD = "shard int, block long, keys binary, at binary, n binary, rank binary, before binary, after binary"
-_FIRST = "block long, shard int, at binary, n binary, rank1 binary, rank2 binary, before1 binary, after1 binary, before2 binary, after2 binary"
+_FIRST = "block long, shard int, at binary, n binary, least binary, before1 binary, after1 binary, before2 binary, after2 binary"
 
 
 def _told(bits: int):
@@ -344,19 +347,25 @@ def _told(bits: int):
 
 
 def _firsts(table: pa.Table) -> pa.Table:
-    """For each block and window of a shard: ranks and surroundings of the least place of all, and of the least in any other block (rank -1: none)."""
+    """For each block and window of a shard: the rank of the least place of all, and the surroundings of the first two places in other blocks (0: none)."""
     keys, owner, _ = _entries(table)
     rank = np.concatenate([unpacked(x, "<i8") for x in table.column("rank")])
     sides = [np.concatenate([unpacked(x, "<u2") for x in table.column(c)]).reshape(-1, GAP - 1) for c in ("before", "after")]
     order = np.lexsort((rank, keys))
     first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
     count = np.diff(np.append(first, len(keys)))
-    one, two = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-    one[order] = np.repeat(order[first], count)
-    two[order] = np.repeat(np.where(count > 1, order[np.minimum(first + 1, len(keys) - 1)], -1), count)
-    other = [np.where((two < 0)[:, None], np.uint16(0), x[two]).astype("<u2") for x in sides]
-    names = ["rank1", "rank2", "before1", "after1", "before2", "after2"]
-    out = _answers(table, names, owner, [rank[one], np.where(two < 0, -1, rank[two]), *(x[one] for x in sides), *other])
+    turn = np.arange(len(keys)) - np.repeat(first, count)
+    begin, count = np.repeat(first, count), np.repeat(count, count)
+    least, others = np.empty(len(keys), np.int64), []
+    least[order] = rank[order[begin]]
+    for turn_of in (np.where(turn > 0, 0, 1), np.where(turn > 1, 1, 2)):
+        place = order[np.minimum(begin + turn_of, len(keys) - 1)]
+        for x in sides:
+            out = np.empty_like(x)
+            out[order] = np.where((turn_of < count)[:, None], x[place], np.uint16(0))
+            others.append(out)
+    names = ["least", "before1", "after1", "before2", "after2"]
+    out = _answers(table, names, owner, [least, *others])
     # Each row of the table has entries and so a row here, in the same order.
     return pa.table([out.column("block"), out.column("shard"), table.column("at"), table.column("n"), *(out.column(c) for c in names)], names=["block", "shard", "at", "n", *names])
 
@@ -365,6 +374,36 @@ def _along(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate((x == y) & (x != 0), axis=1).sum(axis=1)
 
 
+def _labels(n: int, a: np.ndarray, b: np.ndarray, gone_a: np.ndarray, gone_b: np.ndarray) -> np.ndarray:
+    """For each word of a block 1 if it goes and 0 if it stays: it goes where it equals an earlier place's, and words between hits go along with the word before."""
+
+    def covered(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.bincount(x, minlength=n + 1) - np.bincount(y, minlength=n + 1))[:n] > 0
+
+    out = np.where(covered(gone_a, gone_b), 1, np.where(covered(a, b), 0, -1))
+    return out[np.maximum.accumulate(np.where(out >= 0, np.arange(n), 0))] if n else out
+
+
+def _pieces(label: np.ndarray, a: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, begin and end of the stretches of words of one label in the passages a..to."""
+    size = to - a
+    passage = np.repeat(np.arange(len(a)), size)
+    word = np.arange(len(passage)) + np.repeat(a - (np.cumsum(size) - size), size)
+    new = np.flatnonzero((np.diff(passage, prepend=-1) != 0) | (np.diff(label[word], prepend=-1) != 0))
+    return passage[new], word[new], word[np.append(new[1:], len(word)) - 1] + 1 if len(new) else new
+
+
+def _nearest(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """How far each surroundings goes along with any other of its group: in sorted order its neighbours go along furthest."""
+    words = np.ascontiguousarray(side.astype(">u2")).view(">u8").astype(np.uint64)
+    order = np.lexsort((*words.T[::-1], group))
+    x, same = side[order], group[order][1:] == group[order][:-1]
+    along = np.where(same, _along(x[1:], x[:-1]), 0)
+    out = np.empty(len(group), np.int64)
+    out[order] = np.maximum(np.append(along, 0), np.append(0, along))
+    return out
+
+
 _PASSAGES = "start long, end long, n_words long, class_id long, first long, n_in_class long, removed boolean"
 
 
@@ -377,29 +416,27 @@ def _found(bits: int, least: int):
         page, ids = Page(row), blocks.column("ids").combine_chunks().flatten()
         hits = Hits(page, row["ranks"], firsts.to_pylist(), bits)
         k, n = len(hits.at), hits.told("n", "<i8")
-        rank1, rank2 = hits.told("rank1", "<i8"), hits.told("rank2", "<i8")
+        rank1 = hits.told("least", "<i8")
         around = [[hits.told(f"{side}{which}", "<u2").reshape(-1, GAP - 1) for side in ("before", "after")] for which in (1, 2)]
         head = np.zeros(k, bool)
         head[hits.head] = True
-        local = np.repeat(hits.head, np.diff(np.append(hits.head, k)))
         own = page.around(hits.at)
         is_first = head & (hits.rank == rank1[hits.which])
-        is_second = head & (hits.rank == rank2[hits.which])
-        ext = []
+        local = np.repeat(hits.head, np.diff(np.append(hits.head, k)))
+        here = is_first[local]  # whether the least place of all is in this block
+        ext, gone = [], []
         for side in (0, 1):
             mine = own[side]
-            one = np.where(is_first, 0, _along(mine, around[0][side][hits.which]))
-            two = np.where(is_second, 0, _along(mine, around[1][side][hits.which]))
-            here = np.where(head, 0, _along(mine, mine[local]))
-            best = np.maximum(np.maximum(one, two), here)
-            if k:  # the block's least place goes along with its later ones too
-                best[hits.head] = np.maximum(best[hits.head], np.maximum.reduceat(here, hits.head))
-            ext.append(best)
+            one, two = (_along(mine, x[side][hits.which]) for x in around)
+            ext.append(np.maximum(np.maximum(one, two), _nearest(hits.which, mine)) if k else one)
+            # Only what the least place has goes, so that by and by every word that goes is found in a place where it stays.
+            gone.append(np.where(here, _along(mine, mine[local]), one)[~is_first])
         a, b, doc = hits.at - ext[0], hits.at + GRAM + ext[1], page.doc[hits.at]
-        group = 2 * doc + ~is_first
-        order = np.lexsort((b, a, group))
-        a, b, group, which = a[order], b[order], group[order], hits.which[order]
-        lift = group * (len(page.h) + JOINED + 2)  # so that one running maximum serves all groups
+        later = hits.at[~is_first]
+        label = _labels(len(page.h), a, b, later - gone[0], later + GRAM + gone[1])
+        order = np.lexsort((b, a, doc))
+        a, b, doc, which = a[order], b[order], doc[order], hits.which[order]
+        lift = doc * (len(page.h) + JOINED + 2)  # so that one running maximum serves all documents
         reach = np.maximum.accumulate(b + lift) if k else b
         new = np.ones(k, bool)
         new[1:] = a[1:] + lift[1:] > reach[:-1] + JOINED
@@ -407,12 +444,17 @@ def _found(bits: int, least: int):
         to = reach[np.append(at[1:], k) - 1] - lift[at] if k else at
         most = np.maximum.reduceat(n[which], at) if k else at
         first = np.minimum.reduceat(rank1[which], at) if k else at
-        a, group, which = a[at], group[at], which[at]
-        keep = to - a >= least
-        a, to, most, first, group, which = (x[keep] for x in (a, to, most, first, group, which))
+        keep = np.flatnonzero(to - a[at] >= least)
+        a, to = a[at][keep], to[keep]
+        passage, begin, stop = _pieces(label, a, to)
+        short = (label[begin] == 1) & (stop - begin < GRAM) if len(begin) else np.zeros(0, bool)
+        for i, j in zip(begin[short].tolist(), stop[short].tolist(), strict=True):
+            label[i:j] = 0
+        passage, begin, stop = _pieces(label, a, to)
+        spot = at[keep][passage]
         start, end, _ = page.places()
-        cols = [start[a] if len(a) else a, end[to - 1] if len(a) else a, to - a, hits.keys[which].view(np.int64), first, most, group % 2 == 1]
-        return pa.table([ids.take(pa.array(group // 2)), *(pa.array(c) for c in cols)], names=["_id", *names])
+        cols = [start[begin], end[stop - 1], stop - begin, hits.keys[which[spot]].view(np.int64), first[keep][passage], most[keep][passage], label[begin] == 1]
+        return pa.table([ids.take(pa.array(doc[spot])), *(pa.array(c) for c in cols)], names=["_id", *names])
 
     return run
 
@@ -428,11 +470,11 @@ def _passages(blocks: DataFrame, id_col: str, least: int) -> DataFrame:
     ranked = blocks.join(ranks, "block")
 
     asked = blocks.select(_OWN).mapInArrow(_asked(bits), _ASKED)
-    known = written(asked.groupBy("shard").applyInArrow(_known, _KNOWN), "passage-known")
-    told = ranked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_told(bits), _TOLD)
-    firsts = written(told.groupBy("shard").applyInArrow(_firsts, _FIRST), "passage-firsts")
+    known = written(asked.groupBy("shard").applyInArrow(tidy_groups(_known), _KNOWN), "passage-known")
+    told = ranked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(tidy_groups(_told(bits)), _TOLD)
+    firsts = written(told.groupBy("shard").applyInArrow(tidy_groups(_firsts), _FIRST), "passage-firsts")
     discard(known)
-    found = ranked.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(_found(bits, least), T.StructType([own, *T.StructType.fromDDL(_PASSAGES).fields]))
+    found = ranked.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(tidy_groups(_found(bits, least)), T.StructType([own, *T.StructType.fromDDL(_PASSAGES).fields]))
     found = written(found, "passages")
     discard(firsts)
     used = ids.join(found.select(F.col("first").alias("rank")).distinct(), "rank", "left_semi").select(F.col("rank").alias("first"), F.col("_id").alias(f"kept_{id_col}"))
@@ -444,9 +486,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row per passage of at least ``least`` words that repeats, wherever lines begin and end: columns as of ``repeated_paragraphs``, paragraphs null.
 
     Equal runs of at least GRAM + GAP - 1 = 25 words are found, within a document or across: windows that repeat, extended as
-    far as the words equal those around the first place of the window, the first one in any other block, or the first
-    one in the own block; runs with at most JOINED words between them are one passage.  The first place (smallest id, null ids
-    last; then the earliest) is kept; kept_<id> is the least of the passage's windows' first ones.  n_in_class is the most places that a window of the passage has; class_id tells its
+    far as the words equal those around any place of the window in the same block of texts, or around its first places in the first
+    two other blocks; runs with at most JOINED words between them are one passage.  Words that
+    a window's first place (smallest id, null ids last; then the earliest) has too are removed elsewhere, the others kept; a passage of both kinds gives a
+    row for each stretch, and no stretch of fewer than GRAM words is removed from between kept ones.  kept_<id> is the least of the
+    ids where the passage's windows stand first.  n_in_class is the most places that a window of the passage has; class_id tells its
     first taken window.  Equal windows are known by 64-bit hashes, the words that extend them by 16-bit ones.  Null and
     empty texts have no passages; rows of one id are told apart; an empty table gives an empty result.
     """
