@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from karst.functions.text import article_number, local_name
 from karst.operators.rank import STRUCTURAL_KINDS
 from karst.settings import Settings
+from karst.sources.scratch import written
 
 _RDF, _RDFS, _OWL = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
 _SKOS = "http://www.w3.org/2004/02/skos/core#"
@@ -36,16 +37,27 @@ def literal_groups(triples: DataFrame) -> DataFrame:
     return rows.groupBy("s").agg(*[F.sort_array(F.collect_list(F.when(F.col("g") == g, F.col("v")))).alias(g) for g in GROUPS])
 
 
-def closure(pairs: DataFrame, roots: list[str], limit: int = 64) -> DataFrame:
-    """uri: the roots and all that is below them by pairs (child, parent); cycles end, as what is known is not visited again."""
-    known = pairs.sparkSession.createDataFrame([(r,) for r in roots], "uri string")
-    frontier = known
-    for _ in range(limit):
-        frontier = pairs.join(frontier, F.col("parent") == F.col("uri")).select(F.col("child").alias("uri")).distinct().join(known, "uri", "left_anti").persist()
-        if frontier.isEmpty():
-            break
-        known = known.union(frontier)
-    return known
+def closure(pairs: DataFrame, roots: list[str]) -> DataFrame:
+    """uri: the roots and all that is below them by pairs (child, parent), at any depth; cycles end.
+
+    Each round doubles the reach: what is known grows by all that is as many steps below it as the links then span, and
+    links are joined with themselves, without those of what is known.  Rounds are written, so plans stay small.
+    """
+    spark = pairs.sparkSession
+    known = spark.createDataFrame([(r,) for r in roots], "uri string").distinct()
+    known = written(known, "closure-known")
+    own = pairs.select(F.col("child").alias("a"), F.col("parent").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
+    links = written(own, "closure-links")
+    while True:
+        found = links.join(known, F.expr("b = uri")).select(F.col("a").alias("uri")).distinct().join(known, "uri", "left_anti")
+        found = written(found, "closure-found")
+        if found.isEmpty():
+            return known
+        known = written(known.union(found), "closure-known")
+        # What lies below something known is known by now, so only links between unknown resources lead to more.
+        free = links.join(known, F.expr("a = uri"), "left_anti")
+        up = links.select(F.col("a").alias("m"), F.col("b").alias("c"))
+        links = written(free.join(up, F.expr("b = m")).select("a", F.col("c").alias("b")).distinct(), "closure-links")
 
 
 def node_kind(types: Column, namespace: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from karst.functions import scoring
 from karst.settings import Settings
+from karst.sources.scratch import written
 
 #: The weights of relations that lead to evidence and between concepts.
 EVIDENCE_WEIGHTS = {"supportedByArticle": 1.00, "regulatedBy": 0.95, "regulates": 0.90, "hasDefinition": 0.90}
@@ -69,8 +70,6 @@ def expand(seeds: DataFrame, view: DataFrame, s: Settings, *, keys: list[str] =
     into an article is damped by the number of articles that the node has.  A node is walked on from only if its best
     score in the hop is better than any before; of equal ones the first in the order of paths goes on.
     """
-    damped = degrees(view).select(F.col("uri").alias("cur"), "article_degree")
-    edges = view.join(damped, "cur")
     step = F.struct(F.col("direction"), F.col("source").alias("source_uri"), F.col("relation"), F.col("target").alias("target_uri"))
     start = F.greatest(F.col("seed_score"), F.lit(1e-6))
     no_steps = F.array().cast("array<struct<direction:string,source_uri:string,relation:string,target_uri:string>>")
@@ -79,7 +78,10 @@ def expand(seeds: DataFrame, view: DataFrame, s: Settings, *, keys: list[str] =
     seen = frontier.select(*keys, "seed_uri", F.col("cur").alias("uri"), F.col("score").alias("best"))
     arrivals = None
     for hop in range(1, s.max_hops + 1):
-        gone = frontier.join(edges, "cur")
+        # Only edges from the frontier, and only its degrees; written, as both are read and the next hop's walks too.
+        edges = written(edges_of(view, frontier, "cur"), "hop-edges")
+        damped = degrees(edges).select(F.col("uri").alias("cur"), "article_degree")
+        gone = frontier.join(edges, "cur").join(damped, "cur")
         score = F.col("score") * F.col("weight") * s.hop_decay
         score = F.when(F.col("to_article"), score / scoring.hub_damping(F.col("article_degree"))).otherwise(score)
         here = gone.select(*own, F.col("nbr").alias("uri"), "to_article", score.alias("score"), F.array_append("steps", step).alias("steps"), F.lit(hop).alias("hop"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from karst.functions import scoring
 from karst.operators.graph import KEYS
 from karst.settings import Settings
+from karst.sources.scratch import written
 
 #: BM25's constants and the boosts of the node fields.
 K1, B = 1.2, 0.75
@@ -20,50 +27,104 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def unit(vector: Column) -> Column:
-    """A vector of doubles of length 1 (zero vectors stay)."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+#: Bytes of query vectors that a task holds at once.
+QUERY_BYTES = 16 << 20
+
+
+def _nearest(block: Broadcast, k: int, names: list[str]):
+    """uri, embedding -> the k nearest of a partition's nodes to each query of the block: its number, uri, distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = block.value
+        best_d, best_u = np.full((len(queries), 0), 0.0), np.empty((len(queries), 0), object)
+        for batch in batches:
+            uris = np.array(batch.column(0).to_pylist(), object)
+            vectors = [np.array(v, float) for v in batch.column(1).to_pylist()]
+            for size in {len(v) for v in vectors}:
+                if size != queries.shape[1]:
+                    raise ValueError(f"vectors of {size} and {queries.shape[1]} numbers have no distance")
+            nodes = np.array(vectors).reshape(len(vectors), queries.shape[1])
+            norm = np.sqrt((nodes * nodes).sum(axis=1, keepdims=True))
+            # Rounded, so that equal vectors tie whatever the order of a sum.
+            far = np.round(1 - queries @ (nodes / np.where(norm > 0, norm, 1)).T, 12)
+            far, own = np.concatenate([best_d, far], axis=1), np.concatenate([best_u, np.broadcast_to(uris, far.shape)], axis=1)
+            if far.shape[1] > k:
+                # All that is no farther than the k-th, and of those the first by distance and uri.
+                edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+                keep = [sorted(np.flatnonzero(row <= e).tolist(), key=lambda j, row=row, u=u: (row[j], u[j]))[:k] for row, e, u in zip(far, edge, own, strict=True)]
+                far, own = np.take_along_axis(far, np.array(keep), axis=1), np.take_along_axis(own, np.array(keep), axis=1)
+            best_d, best_u = far, own
+        if best_d.size:
+            number = np.repeat(np.arange(len(queries)), best_d.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(best_u.ravel().tolist(), pa.string()), pa.array(best_d.ravel())], names=names)
+
+    return run
 
 
 def vector_topk(queries: DataFrame, nodes: DataFrame, k: int, keys: list[str] = KEYS) -> DataFrame:
-    """keys, uri, distance, rank: the k nodes nearest by cosine.  queries: keys, vector; nodes: uri, embedding.
+    """keys, uri, distance, rank: the k nodes nearest by cosine, distances rounded to 12 places.  queries: keys, vector; nodes: uri, embedding.
 
-    The queries are a stated set against all nodes: they are taken in blocks (the planner broadcasts a block
-    by its measured size), each node partition ranks its own nodes first, and only its k best go on.
+    The queries are a stated set against all nodes.  They pass through the driver in blocks of QUERY_BYTES; each block
+    is one pass over the nodes as matrix products, and of every partition only its k best a query go on.  Queries and nodes without a
+    vector give nothing; a zero vector is at distance 1 from all.
     """
-    q = queries.select(*keys, unit(F.col("vector")).alias("q"))
-    n = nodes.where(F.col("embedding").isNotNull()).select("uri", unit(F.col("embedding")).alias("v"))
-    near = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = n.join(q, F.lit(True)).select(*keys, "uri", (1 - near).alias("distance"))
+    spark = queries.sparkSession
+    nodes = nodes.where(F.col("embedding").isNotNull()).select("uri", F.col("embedding").cast("array<double>"))
+    names = [f.split(" ")[0] for f in "_query int, uri string, distance double".split(", ")]
+    schema = T.StructType([*(queries.schema[c] for c in keys), T.StructField("_query", T.IntegerType())])
+    out, block, held = None, [], 0
+
+    def scan(block: list[Row]) -> DataFrame:
+        vectors = np.array([r["vector"] for r in block], float)
+        norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        shared = spark.sparkContext.broadcast(vectors / np.where(norm > 0, norm, 1))
+        found = nodes.mapInArrow(_nearest(shared, k, names), "_query int, uri string, distance double")
+        asked = spark.createDataFrame([(*(r[c] for c in keys), i) for i, r in enumerate(block)], schema)
+        return found.join(F.broadcast(asked), "_query").select(*keys, "uri", "distance")  # a block's keys, bounded as its vectors are
+
+    for row in queries.where("vector IS NOT NULL").select(*keys, "vector").toLocalIterator():
+        block.append(row)
+        held += 8 * len(row["vector"])
+        if held >= QUERY_BYTES:
+            out, block, held = scan(block) if out is None else out.unionByName(scan(block)), [], 0
+    if block or out is None:
+        last = scan(block) if block else spark.createDataFrame([], T.StructType([*(queries.schema[c] for c in keys), *T.StructType.fromDDL("uri string, distance double").fields]))
+        out = last if out is None else out.unionByName(last)
     order = Window.partitionBy(*keys).orderBy("distance", "uri")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
 
+def postings(rows: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]], queries: list[DataFrame] | None = None) -> DataFrame:
+    """uri, field, boost, token, tf, length: an inverted index, written; with queries (tables with a column query) only of their tokens.
 
-def postings(rows: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]]) -> DataFrame:
-    """id, field, boost, token, tf, length: an inverted index as a table."""
+    Each text that has words also has an entry of the token null, from which its field's average length is known.  Texts are
+    cut into words once, and only tokens that are asked for are shuffled.
+    """
     out = None
     for name, (text, boost) in fields.items():
         own = rows.select(F.col(id_col).alias("uri"), F.lit(name).alias("field"), F.lit(float(boost)).alias("boost"), words(text).alias("w"))
         out = own if out is None else out.unionByName(own)
-    out = out.withColumn("length", F.size("w")).where("length > 0").withColumn("token", F.explode("w"))
-    return out.groupBy("uri", "field", "boost", "token", "length").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(queries: DataFrame, index: DataFrame, rows: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]], keys: list[str] = KEYS) -> DataFrame:
+    out = out.where(F.size("w") > 0).withColumn("length", F.size("w"))
+    out = out.select("uri", "field", "boost", "length", F.explode(F.array_append("w", F.lit(None).cast("string"))).alias("token"))
+    if queries is not None:
+        asked = None
+        for q in queries:
+            own = q.select(F.explode(words(F.col("query"))).alias("asked"))
+            asked = own if asked is None else asked.unionByName(own)
+        asked = asked.distinct().unionByName(asked.sparkSession.createDataFrame([(None,)], "asked string"))
+        out = out.join(asked, F.col("token").eqNullSafe(F.col("asked")), "left_semi")
+    return written(out.groupBy("uri", "field", "boost", "token", "length").agg(F.count(F.lit(1)).alias("tf")), "postings")
+
+
+def bm25(queries: DataFrame, index: DataFrame, rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """keys, uri, score: the sum over query tokens of idf times the boosted, per-field normalised frequencies.
 
-    queries: keys, query.  A token that a query repeats counts each time.  Only postings of query tokens are joined.
-    Scores are rounded to nine places, so that ties don't hang on the order in which a sum was made.
+    queries: keys, query; index: the postings of rows, of these queries' tokens at least.  A token that a query repeats
+    counts each time.  Scores are rounded to nine places, so that ties don't hang on the order in which a sum was made.
     """
     asked = queries.select(*keys, F.explode(words(F.col("query"))).alias("token"))
     asked = asked.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("times"))
-    sizes = None
-    for name, (text, _) in fields.items():
-        own = rows.select(F.lit(name).alias("field"), F.size(words(text)).alias("n"))
-        sizes = own if sizes is None else sizes.unionByName(own)
-    average = sizes.groupBy("field").agg(F.avg(F.when(F.col("n") > 0, F.col("n"))).alias("average"))
+    average = index.where("token IS NULL").groupBy("field").agg(F.avg("length").alias("average"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     mine = index.join(asked.select("token").distinct(), "token", "left_semi")
     df = mine.groupBy("token").agg(F.countDistinct("uri").alias("df"))
@@ -125,12 +186,12 @@ def search_concepts(issues: DataFrame, nodes: DataFrame, degree: DataFrame, s: S
     eligible = nodes.where("retrieval_eligible")
     joined = lambda c: F.concat_ws(" ", c)
     fields = {c: (joined(F.col(c)), b) for c, b in NODE_BOOSTS.items()}
-    index = postings(eligible, "uri", fields)
     near = vector_topk(issues.select(*keys, "vector"), eligible, s.vector_candidates, keys)
     asked = issues.select(*keys, F.col("retrieval_query").alias("query"))
-    lexical = topk(bm25(asked, index, eligible, "uri", fields, keys), s.bm25_candidates, keys)
     hints = issues.select(*keys, F.posexplode("hints").alias("hint_index", "query")).where(F.trim("query") != "")
+    index = postings(eligible, "uri", fields, [asked, hints])
+    lexical = topk(bm25(asked, index, eligible, keys), s.bm25_candidates, keys)
     own = [*keys, "hint_index"]
     per_hint = max(4, min(s.bm25_candidates, 10))
-    hinted = interleave(topk(bm25(hints, index, eligible, "uri", fields, own), per_hint, own), s.bm25_candidates, keys)
+    hinted = interleave(topk(bm25(hints, index, eligible, own), per_hint, own), s.bm25_candidates, keys)
     return fuse(near, lexical, hinted, degree, s, keys)

@@ -67,7 +67,11 @@ def triple_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def class_closure(spark: SparkSession, d: str) -> DataFrame:
-    pairs = g.edges(spark, d).where("predicate_local_name IN ('inNation', 'inRegion') AND source_uri NOT LIKE 'c%'").select(F.col("source_uri").alias("child"), F.col("target_uri").alias("parent"))
+    """What is below two regions: nations, suppliers in a chain as long as their number, and a cycle."""
+    pairs = g.edges(spark, d).where("predicate_local_name IN ('inNation', 'inRegion') AND source_uri NOT LIKE 'c%' AND source_uri NOT LIKE 's%'").select(F.col("source_uri").alias("child"), F.col("target_uri").alias("parent"))
+    suppliers = g.table(spark, d, "supplier")
+    above = F.when(F.col("s_suppkey") == 1, F.lit("n3")).otherwise(F.concat(F.lit("s"), (F.col("s_suppkey") - 1).cast("string")))
+    pairs = pairs.union(suppliers.select(g.uri("s", "s_suppkey"), above)).union(suppliers.where("s_suppkey = 7").select(F.lit("r1"), F.lit("s7")))
     return build.closure(pairs, ["r1", "r3"])
 
 
@@ -82,10 +86,10 @@ def searchable_text(spark: SparkSession, d: str) -> DataFrame:
 
 def literal_groups(spark: SparkSession, d: str) -> DataFrame:
     docs = g.table(spark, d, "documents").where("source IS NOT NULL AND text IS NOT NULL")
-    first = F.concat(F.lit(" "), F.substring_index("text", " ", 1), F.lit("  "))
+    first = F.concat(F.lit(" "), F.col("text"), F.lit("  "))
     kind = F.when(F.col("doc_id") % 3 == 0, F.lit(build.LITERALS["aliases"])).otherwise(F.lit(build.LITERALS["labels"]))
     triples = docs.select(F.col("source").alias("s"), kind.alias("p"), first.alias("o"), F.lit("literal").alias("o_kind"), F.when(F.col("lang") == "en", F.lit("EN-us")).otherwise(F.col("lang")).alias("o_lang"))
-    joined = lambda c: F.array_join(c, "|").alias(c)
+    joined = lambda c: F.sha2(F.array_join(c, "|").cast("binary"), 256).alias(c)
     return build.literal_groups(triples).select("s", *map(joined, ["labels_en", "labels_other", "aliases_en", "aliases_other"]))
 
 
@@ -213,14 +217,14 @@ ORACLE_SQL = {
     "triple_keys": """SELECT source_uri, predicate_local_name, sha256('{"source_uri":"' || source_uri || '","predicate_local_name":"' || predicate_local_name || '","object_kind":"' || object_kind || '","target_uri":' || coalesce('"' || target_uri || '"', 'null') || ',"literal_value":' || coalesce('"' || literal_value || '"', 'null') || '}') AS edge_key
         FROM (SELECT 'n' || n_nationkey AS source_uri, 'inRegion' AS predicate_local_name, 'uri' AS object_kind, 'r' || n_regionkey AS target_uri, NULL AS literal_value FROM nation
               UNION ALL SELECT 'n' || n_nationkey, 'label', 'literal', NULL, n_name FROM nation)""",
-    "class_closure": """WITH RECURSIVE pairs AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+    "class_closure": """WITH RECURSIVE pairs AS (SELECT 's' || s_suppkey AS child, CASE WHEN s_suppkey = 1 THEN 'n3' ELSE 's' || (s_suppkey - 1) END AS parent FROM supplier UNION ALL SELECT 'r1', 's7' FROM supplier WHERE s_suppkey = 7 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
         below(uri) AS (SELECT * FROM (VALUES ('r1'), ('r3')) UNION SELECT child FROM pairs JOIN below ON parent = uri) SELECT uri FROM below""",
     "searchable_text": """SELECT c_custkey, concat_ws(chr(10), 'Local name: customer_' || c_custkey, 'Node kind: Customer', 'RDF types: ' || least(c_mktsegment, 'Customer') || ', ' || greatest(c_mktsegment, 'Customer'),
         'English labels: ' || c_name, 'English aliases: ' || n_name, CASE WHEN c_acctbal > 5000 THEN 'Other text: ' || c_mktsegment || chr(10) || c_name END) AS searchable_text
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
-    "literal_groups": """SELECT s, coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'labels_en'), '') AS labels_en, coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'labels_other'), '') AS labels_other,
-        coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'aliases_en'), '') AS aliases_en, coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'aliases_other'), '') AS aliases_other
-        FROM (SELECT DISTINCT source AS s, CASE WHEN doc_id % 3 = 0 THEN 'aliases_' ELSE 'labels_' END || CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS k, trim(string_split(text, ' ')[1]) AS v
+    "literal_groups": """SELECT s, sha256(coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'labels_en'), '')) AS labels_en, sha256(coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'labels_other'), '')) AS labels_other,
+        sha256(coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'aliases_en'), '')) AS aliases_en, sha256(coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'aliases_other'), '')) AS aliases_other
+        FROM (SELECT DISTINCT source AS s, CASE WHEN doc_id % 3 = 0 THEN 'aliases_' ELSE 'labels_' END || CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS k, trim(text, ' ') AS v
               FROM documents WHERE source IS NOT NULL AND text IS NOT NULL) WHERE v <> '' GROUP BY s""",
     "kg_report": """WITH a AS (SELECT o_orderkey AS k, CAST(floor(o_orderkey / CASE WHEN o_orderkey % 100 = 1 THEN 2 ELSE 1 END) AS INTEGER) AS num, * FROM orders),
         x AS (SELECT CAST(range AS INTEGER) AS num FROM range(1, (SELECT count(*) + 1 FROM orders))),

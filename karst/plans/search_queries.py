@@ -20,45 +20,56 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_topk(queries, nodes, 10, KEYS).select("question_id", "uri", F.round("distance", 5).alias("distance"), "rank")
 
 
-def _lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
-    rows = table(spark, d, "documents").select(uri("d", "doc_id").alias("uri"), "text")
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
-    fields = {"text": (F.col("text"), 1.0)}
-    return search.topk(search.bm25(queries, search.postings(rows, "uri", fields), rows, "uri", fields, KEYS), k, KEYS)
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(uri("d", "doc_id").alias("uri"), "text")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.posexplode(F.split("text", r"\.\s*")).alias("hint_index", "query")).where("trim(query) <> ''")
+
+
+def _index(rows: DataFrame, queries: list[DataFrame]) -> DataFrame:
+    return search.postings(rows, "uri", {"text": (F.col("text"), 1.0)}, queries)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _lexical(spark, d, 10).select("question_id", "uri", F.round("score", 6).alias("score"), "rank")
+    rows, items = _rows(spark, d), _items(spark, d)
+    found = search.topk(search.bm25(items, _index(rows, [items]), rows, KEYS), 10, KEYS)
+    return found.select("question_id", "uri", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_multifield(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pages").select(uri("p", "page_id").alias("uri"), "url", "html")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("example blog "), F.col("text")).alias("query"))
-    fields = {c: (F.col(c), b) for c, b in BOOSTS.items()}
-    out = search.topk(search.bm25(queries, search.postings(rows, "uri", fields), rows, "uri", fields, KEYS), 10, KEYS)
+    index = search.postings(rows, "uri", {c: (F.col(c), b) for c, b in BOOSTS.items()}, [queries])
+    out = search.topk(search.bm25(queries, index, rows, KEYS), 10, KEYS)
     return out.select("question_id", "uri", F.round("score", 6).alias("score"), "rank")
 
 
-def _hints(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(uri("d", "doc_id").alias("uri"), "text")
-    fields = {"text": (F.col("text"), 1.0)}
-    hints = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.posexplode(F.split("text", r"\.\s*")).alias("hint_index", "query")).where("trim(query) <> ''")
+def _hints(rows: DataFrame, hints: DataFrame, index: DataFrame) -> DataFrame:
     own = [*KEYS, "hint_index"]
-    found = search.topk(search.bm25(hints, search.postings(rows, "uri", fields), rows, "uri", fields, own), 10, own)
-    return search.interleave(found, 40, KEYS)
+    return search.interleave(search.topk(search.bm25(hints, index, rows, own), 10, own), 40, KEYS)
 
 
 def hint_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    return _hints(spark, d).select("question_id", "uri", F.round("score", 6).alias("score"), "rank")
+    rows, hints = _rows(spark, d), _sentences(spark, d)
+    return _hints(rows, hints, _index(rows, [hints])).select("question_id", "uri", F.round("score", 6).alias("score"), "rank")
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
+    """All three channels over one index; a document beyond the degree table counts as of degree 0."""
     e = table(spark, d, "embeddings")
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"))
+    rows, items, hints = _rows(spark, d), _items(spark, d), _sentences(spark, d)
     queries = e.join(items, F.expr("vec_id = question_id")).select("question_id", F.col("embedding").alias("vector"))
     near = search.vector_topk(queries, e.select(uri("d", "vec_id").alias("uri"), "embedding"), SETTINGS.vector_candidates, KEYS)
-    degree = table(spark, d, "documents").where("doc_id % 11 <> 3").select(uri("d", "doc_id").alias("uri"), (F.col("n_chars") % 13).alias("degree"))
-    return search.fuse(near, _lexical(spark, d, SETTINGS.bm25_candidates), _hints(spark, d), degree, SETTINGS, KEYS)
+    degree = table(spark, d, "documents").select(uri("d", "doc_id").alias("uri"), (F.col("n_chars") % 13).alias("degree"))
+    index = _index(rows, [items, hints])
+    lexical = search.topk(search.bm25(items, index, rows, KEYS), SETTINGS.bm25_candidates, KEYS)
+    return search.fuse(near, lexical, _hints(rows, hints, index), degree, SETTINGS, KEYS)
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +120,7 @@ hits AS (
   SELECT h.*, coalesce(1 / CAST(60 + vector_rank AS DOUBLE), 0) + coalesce(1 / CAST(60 + bm25_rank AS DOUBLE), 0) + coalesce(CAST(1.5 AS DOUBLE) / (60 + hint_rank), 0) AS fused_score,
          0.5 / sqrt(vector_rank) + CAST(0.5 AS DOUBLE) * greatest(0, least(1, 1 - distance)) AS semantic_score, 1 / sqrt(bm25_rank) AS lexical_score, 1 / sqrt(hint_rank) AS planner_hint_score,
          1 / (1 + ln(1 + CAST(coalesce(d.n_chars % 13, 0) AS DOUBLE))) AS specificity_score
-  FROM hits h LEFT JOIN documents d ON h.uri = 'd' || d.doc_id AND d.doc_id % 11 <> 3
+  FROM hits h LEFT JOIN documents d ON h.uri = 'd' || d.doc_id
 ), fused AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY seed_score DESC, fused_score DESC, uri) AS INTEGER) AS rank FROM (
     SELECT *, (CAST(0.15 AS DOUBLE) * specificity_score + coalesce(CAST(0.35 AS DOUBLE) * semantic_score, 0) + coalesce(CAST(0.25 AS DOUBLE) * lexical_score, 0) + coalesce(CAST(0.25 AS DOUBLE) * planner_hint_score, 0))

@@ -46,7 +46,7 @@ def lexical_relevance(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     n = items.agg(F.count(F.lit(1)).alias("n"))
     pairs = docs.select("doc_id", "text").crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n"))
-    pairs = pairs.join(items.select("item_id", F.substring("text", 1, 80).alias("question")), "item_id")
+    pairs = pairs.join(items.select("item_id", F.col("text").alias("question")), "item_id")
     pairs = pairs.withColumns({"q": text.normalize_arabic(F.col("question")), "a": text.normalize_arabic(F.col("text"))})
     return pairs.select("doc_id", F.round(text.relevance(F.col("q"), F.col("a")), 6).alias("relevance"))
 
@@ -217,7 +217,7 @@ ORACLE_SQL = {
         coalesce(CASE WHEN quality = 1 THEN text WHEN quality = 0 THEN source END, lang) AS label FROM documents LEFT JOIN labels USING (doc_id)""",
     "normalize_text": f"SELECT id, {_norm('text')} AS normalized FROM ({_ROWS})",
     "content_tokens": f"SELECT id, array_to_string(list_sort(list_distinct(t)), ' ') AS tokens, t[1] AS first FROM (SELECT id, {_CONTENT} AS t FROM (SELECT id, {_norm('text')} AS n FROM ({_ROWS})))",
-    "lexical_relevance": f"""WITH p AS (SELECT d.doc_id, {_norm("substr(b.text, 1, 80)")} AS n, {_norm('d.text')} AS a FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+    "lexical_relevance": f"""WITH p AS (SELECT d.doc_id, {_norm("b.text")} AS n, {_norm('d.text')} AS a FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
         t AS (SELECT doc_id, n, a, list_distinct({_CONTENT}) AS q, string_split(a, ' ') AS w FROM p), u AS (SELECT *, list_filter(q, lambda x: regexp_full_match(x, '[0-9]+')) AS k FROM t)
         SELECT doc_id, round(CASE WHEN len(q) = 0 THEN 0 ELSE greatest(0, least(1, CAST(0.75 AS DOUBLE) * len(list_intersect(q, w)) / len(q) + CASE WHEN len(k) > 0 THEN CAST(0.20 AS DOUBLE) * len(list_intersect(k, w)) / len(k) ELSE 0 END
           + CASE WHEN n <> '' AND contains(a, n) THEN CAST(0.05 AS DOUBLE) ELSE 0 END)) END, 6) AS relevance FROM u""",
