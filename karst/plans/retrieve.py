@@ -18,6 +18,7 @@ from karst.settings import Settings
 from karst.sources.models import ask, with_digest
 from karst.sources.scratch import written
 from karst.sources.store import embed
+from karst.sources.structured import schema_of, structured
 
 RETRIEVAL_VERSION, GENERATION_VERSION = "retrieval.v2", "generation.v2"
 
@@ -29,26 +30,49 @@ REWRITER = "Your citations were not valid. Answer again, and cite only these art
 DRAFT = T.StructType([T.StructField("answer_ar", T.StringType()), T.StructField("cited_article_numbers", T.ArrayType(T.IntegerType())), T.StructField("limitations", T.ArrayType(T.StringType()))])
 
 
-def _asked(rows: DataFrame, stage: str, instructions, payload, limit: int, completer: Callable, schema: T.StructType, name: str) -> DataFrame:
-    """rows with ``name``, the parsed reply to each row's request, and ``tokens`` (its input and output tokens)."""
+#: What a reply must have; everything else may be missing, but nothing unknown may be there.
+_ISSUE = schema_of(planning.ISSUE, required=False) | {"required": ["issue", "retrieval_query"]}
+_COVERED = schema_of(planning.COVERAGE, required=False) | {"required": ["issue_index", "covered"]}
+
+
+def _reply(kind: T.StructType, required: list[str], **own: dict) -> dict:
+    out = schema_of(kind, required=False)
+    return out | {"required": required, "properties": out["properties"] | own}
+
+
+_SHARE = {"type": "number", "minimum": 0, "maximum": 1}
+SCHEMAS = {
+    "plan": _reply(planning.PLAN, ["decision", "confidence", "atomic_issues"], decision={"type": "string", "enum": ["retrieve", "abstain"]}, confidence=_SHARE, atomic_issues={"type": "array", "items": _ISSUE}),
+    "selection": _reply(planning.SELECTION, ["selected_article_numbers", "issue_coverage"], confidence=_SHARE, issue_coverage={"type": "array", "items": _COVERED}),
+    "draft": _reply(DRAFT, ["answer_ar"], answer_ar={"type": "string", "minLength": 1}),
+}
+
+
+def _asked(rows: DataFrame, stage: str, instructions, payload, limit: int, completer: Callable, schema: T.StructType, name: str, store: str | None = None) -> DataFrame:
+    """rows with ``name``, the parsed reply to each row's request, ``name``_error, and ``tokens`` (its input and output tokens).
+
+    A call that fails and a reply that is not what the schema asks for are errors of their row alone.
+    """
     requests = rows.withColumns({"stage": F.lit(stage), "instructions": instructions, "payload": payload, "max_output_tokens": F.lit(limit)})
     asked = with_digest(requests)
-    replies = ask(asked.select("stage", "instructions", "payload", "max_output_tokens"), completer).select("request_digest", F.from_json("text", schema, {"mode": "FAILFAST"}).alias(name), F.struct("input_tokens", "output_tokens", "total_tokens").alias("tokens"))
+    replies = ask(asked.select("stage", "instructions", "payload", "max_output_tokens"), completer, store)
+    parsed = structured(F.col("text"), SCHEMAS["plan" if name == "plan2" else name], schema)
+    replies = replies.withColumn("_x", parsed).select("request_digest", F.col("_x.value").alias(name), F.concat(F.lit(f"{stage}_failed: "), F.coalesce("error", "_x.error")).alias(f"{name}_error"), F.struct("input_tokens", "output_tokens", "total_tokens").alias("tokens"))
     return asked.join(replies, "request_digest").drop("request_digest", "stage", "instructions", "payload", "max_output_tokens")
 
 
-def plan_questions(questions: DataFrame, completer: Callable, s: Settings) -> DataFrame:
+def plan_questions(questions: DataFrame, completer: Callable, s: Settings, store: str | None = None) -> DataFrame:
     """question_id, question, plan, plan_error, verified; confident abstentions are asked about a second time, and the second plan counts."""
     trimmed = questions.withColumn("question", F.trim("question"))
     good = trimmed.where(planning.question_error(F.col("question")).isNull())
-    first = _asked(good, "planner", F.lit(PLANNER), F.to_json(F.struct("question")), s.planner_max_output_tokens, completer, planning.PLAN, "plan").drop("tokens")
+    first = _asked(good, "planner", F.lit(PLANNER), F.to_json(F.struct("question")), s.planner_max_output_tokens, completer, planning.PLAN, "plan", store).drop("tokens")
     check = planning.needs_verification(F.col("plan")["decision"], F.col("plan")["confidence"], s)
-    second = _asked(first.where(check).select("question_id", "question"), "verifier", F.lit(VERIFIER), F.to_json(F.struct("question")), s.planner_max_output_tokens, completer, planning.PLAN, "plan2").drop("tokens", "question")
-    plans = first.join(second, "question_id", "left").select("question_id", "question", F.coalesce("plan2", "plan").alias("plan"), F.col("plan2").isNotNull().alias("verified"))
-    return plans.withColumn("plan_error", planning.plan_error(F.col("plan")))
+    second = _asked(first.where(check).select("question_id", "question"), "verifier", F.lit(VERIFIER), F.to_json(F.struct("question")), s.planner_max_output_tokens, completer, planning.PLAN, "plan2", store).drop("tokens", "question")
+    plans = first.join(second, "question_id", "left").select("question_id", "question", F.coalesce("plan2", "plan").alias("plan"), F.col("plan2").isNotNull().alias("verified"), F.coalesce("plan_error", "plan2_error").alias("_lost"))
+    return plans.withColumn("plan_error", F.coalesce("_lost", planning.plan_error(F.col("plan")))).drop("_lost")
 
 
-def retrieve_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, embedder: Callable, completer: Callable, s: Settings) -> DataFrame:
+def retrieve_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, embedder: Callable, completer: Callable, s: Settings, store: str | None = None) -> DataFrame:
     """question_id, articles, concepts, expanded_concepts, seeds, candidate_numbers, selection_error for the plans that retrieve."""
     is_article = graph.is_uri_of(s.namespace)
     view = graph.edge_view(edges, graph.RELATION_WEIGHTS, is_article)
@@ -74,10 +98,11 @@ def retrieve_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, embedde
     catalogue = candidates.where(F.col("rank") <= s.reranker_candidate_limit).groupBy("question_id").agg(F.array_sort(F.collect_list("article_number")).alias("catalogue"))
     wanted = plans.where("plan_error IS NULL AND plan.decision = 'retrieve'").select("question_id", "question", F.size("plan.atomic_issues").alias("n_issues"), F.transform("plan.atomic_issues", lambda i: F.struct(i["issue"], i["retrieval_query"])).alias("pairs"))
     requests = wanted.join(offered, "question_id").withColumn("payload", F.to_json(F.struct("question", "pairs", F.col("payload").alias("articles"))))
-    replies = _asked(requests.select("question_id", "payload"), "reranker", F.lit(RERANKER), F.col("payload"), s.reranker_max_output_tokens, completer, planning.SELECTION, "selection").drop("tokens")
+    replies = _asked(requests.select("question_id", "payload"), "reranker", F.lit(RERANKER), F.col("payload"), s.reranker_max_output_tokens, completer, planning.SELECTION, "selection", store).drop("tokens")
+    replies = replies.withColumnRenamed("selection_error", "selection_lost")
     chosen = wanted.join(replies, "question_id", "left").join(catalogue, "question_id", "left")
     chosen = chosen.withColumn("s", planning.normalize_selection(F.col("selection"), F.coalesce("catalogue", F.array().cast("array<int>")), F.col("n_issues")))
-    selections = written(chosen.select("question_id", F.col("s.selected").alias("selected_article_numbers"), F.col("s.error").alias("selection_error")), "selections")
+    selections = written(chosen.select("question_id", F.col("s.selected").alias("selected_article_numbers"), F.coalesce("selection_lost", "s.error").alias("selection_error")), "selections")
     articles = rank.selected_articles(selections, candidates, s)
     concepts = rank.merge_concepts(hits, s)
     related = rank.expanded_concepts(graph.related_concepts(walks, seeds), nodes, s)
@@ -100,15 +125,16 @@ def retrieve_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, embedde
     return out
 
 
-def retrieve(questions: DataFrame, nodes: DataFrame, edges: DataFrame, *, completer: Callable, embedder: Callable, settings: Settings | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, nodes: DataFrame, edges: DataFrame, *, completer: Callable, embedder: Callable, settings: Settings | None = None, store: str | None = None) -> DataFrame:
     """One row per question: question_id, schema_version, status, question, decision, articles, concepts, expanded_concepts, diagnostics.
 
     questions: question_id, question.  Questions that are too short, plans that don't hold and selections beyond
-    the catalogue have the status error, and say which in decision.reason.
+    the catalogue have the status error, and say which in decision.reason, as do calls that failed and replies that are
+    not what was asked for; the other questions go on.  store: a folder of replies that are never asked for again.
     """
     s = settings or Settings()
-    plans = written(plan_questions(questions, completer, s), "plans")
-    found = written(retrieve_plans(plans, nodes, edges, embedder, completer, s), "found")
+    plans = written(plan_questions(questions, completer, s, store), "plans")
+    found = written(retrieve_plans(plans, nodes, edges, embedder, completer, s, store), "found")
     rows = questions.select("question_id", F.trim("question").alias("question")).join(plans.drop("question"), "question_id", "left").join(found, "question_id", "left")
     error = F.coalesce(planning.question_error(F.col("question")), F.col("plan_error"), F.col("selection_error"))
     decision = F.struct(
@@ -125,7 +151,7 @@ def retrieve(questions: DataFrame, nodes: DataFrame, edges: DataFrame, *, comple
     return rows.select("question_id", F.lit(RETRIEVAL_VERSION).alias("schema_version"), F.when(error.isNotNull(), F.lit("error")).otherwise(F.lit("ok")).alias("status"), "question", decision.alias("decision"), "articles", "concepts", "expanded_concepts", diagnostics.alias("diagnostics"))
 
 
-def generate(retrieved: DataFrame, *, completer: Callable, settings: Settings | None = None, model: str = "recorded") -> DataFrame:
+def generate(retrieved: DataFrame, *, completer: Callable, settings: Settings | None = None, model: str = "recorded", store: str | None = None) -> DataFrame:
     """One row per retrieved question: question_id, schema_version, status, question, answer, citations, cited_article_numbers, grounded, warnings, model, usage.
 
     Abstained questions and those without citable articles never reach the model; drafts whose citations are not
@@ -136,15 +162,15 @@ def generate(retrieved: DataFrame, *, completer: Callable, settings: Settings |
     rows = rows.withColumn("route", answers.route(F.col("decision.behavior"), F.size("allowed")))
     compact = F.transform("citable", lambda a: F.struct(a["article_number"].alias("article_number"), a["labels_ar"].alias("labels_ar"), a["text"].alias("text")))
     drafts = rows.where("route = 'draft'").select("question_id", "allowed", F.to_json(F.struct(F.col("question").alias("user_question"), compact.alias("articles"))).alias("body"))
-    first = _asked(drafts, "writer", F.lit(WRITER), F.col("body"), s.generator_max_output_tokens, completer, DRAFT, "draft")
+    first = _asked(drafts, "writer", F.lit(WRITER), F.col("body"), s.generator_max_output_tokens, completer, DRAFT, "draft", store)
     judge = lambda df: answers.judge_drafts(df.withColumns({"answer": F.col("draft.answer_ar"), "cited": F.col("draft.cited_article_numbers"), "limitations": F.col("draft.limitations")}))
     judged = written(judge(first), "judged")
-    again = judged.where("state.needs_retry").select("question_id", "allowed", "body", F.col("tokens").alias("spent"))
-    second = judge(written(_asked(again, "rewriter", F.concat(F.lit(REWRITER), F.array_join(F.transform("allowed", lambda n: n.cast("string")), ", ")), F.col("body"), s.generator_max_output_tokens, completer, DRAFT, "draft"), "second"))
+    again = judged.where("draft_error IS NULL AND state.needs_retry").select("question_id", "allowed", "body", F.col("tokens").alias("spent"))
+    second = judge(written(_asked(again, "rewriter", F.concat(F.lit(REWRITER), F.array_join(F.transform("allowed", lambda n: n.cast("string")), ", ")), F.col("body"), s.generator_max_output_tokens, completer, DRAFT, "draft", store), "second"))
     total = lambda k: (F.col("tokens")[k] + F.coalesce(F.col("spent")[k], F.lit(0))).alias(k)
     used = F.struct(total("input_tokens"), total("output_tokens"), total("total_tokens"))
-    columns = ["question_id", "state", "limitations"]
-    settled = judged.where("NOT state.needs_retry").withColumn("spent", F.lit(None).cast(judged.schema["tokens"].dataType)).select(*columns, used.alias("usage"), F.lit(False).alias("retried"))
+    columns = ["question_id", "state", "limitations", "draft_error"]
+    settled = judged.where("draft_error IS NOT NULL OR NOT state.needs_retry").withColumn("spent", F.lit(None).cast(judged.schema["tokens"].dataType)).select(*columns, used.alias("usage"), F.lit(False).alias("retried"))
     settled = settled.unionByName(second.select(*columns, used.alias("usage"), F.lit(True).alias("retried")))
     out = answers.finish(rows.join(settled, "question_id", "left"))
     zero = F.struct(*[F.lit(0).cast("long").alias(k) for k in ("input_tokens", "output_tokens", "total_tokens")])

@@ -234,8 +234,8 @@ ORACLE_SQL = {
     "answer_routing": f"""WITH {_STATE}, r AS (SELECT *, CASE WHEN l_orderkey % 7 = 0 THEN 'out_of_scope' WHEN len(allowed) = 0 THEN 'insufficient_evidence' ELSE 'draft' END AS route FROM told),
         bad AS (SELECT *, list_sort(list_distinct(list_concat(invalid_inline, invalid_structured))) AS b, route = 'draft' AND NOT needs_retry AS ok FROM r)
         SELECT l_orderkey, CASE WHEN route <> 'draft' THEN route WHEN ok THEN 'generated' ELSE 'insufficient_evidence' END AS status, ok AS grounded, CASE WHEN ok THEN {_LIST.format('final')} ELSE '' END AS cited,
-          CASE WHEN ok THEN 'note' WHEN route = 'draft' THEN concat_ws(' ', CASE WHEN len(b) > 0 THEN 'Answer referenced unretrieved articles: ' || array_to_string(b, ', ') END, CASE WHEN len(final) = 0 THEN 'Answer contains no valid article citation.' END, 'Citation repair retry failed.')
-               WHEN route = 'insufficient_evidence' THEN 'Retrieval returned no citable article text.' ELSE '' END AS warnings,
+          CASE WHEN ok THEN 'note' WHEN route = 'draft' THEN concat_ws(' ', CASE WHEN len(b) > 0 THEN 'Cited without having been retrieved: ' || array_to_string(b, ', ') END, CASE WHEN len(final) = 0 THEN 'No article is validly cited.' END, 'The second draft did not mend this.')
+               WHEN route = 'insufficient_evidence' THEN 'None of the retrieved articles has a number and a text.' ELSE '' END AS warnings,
           CAST(CASE WHEN route = 'out_of_scope' THEN {len(answers.OUT_OF_SCOPE)} WHEN route = 'insufficient_evidence' THEN {len(answers.NO_EVIDENCE)} WHEN NOT ok THEN {len(answers.NOT_ACCEPTED)}
             ELSE length(trim(answer || CASE WHEN len(valid_inline) = 0 THEN ' ' || array_to_string(list_transform(final, lambda k: '[المادة ' || k || ']'), '') ELSE '' END)) END AS INTEGER) AS answer_length FROM bad""",
     "plan_validation": """WITH p AS (SELECT event_id, event_id % 97 AS k, (event_id % 97) % 7 AS n, value / 50 AS c, CASE WHEN event_type = 'error' THEN 'abstain' WHEN event_id % 97 = 13 THEN 'maybe' ELSE 'retrieve' END AS d FROM events)

@@ -6,28 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from karst.sources.structured import schema_of, structured
+
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One row per file, which must be an object of this schema (a byte order mark is skipped); malformed files fail the query."""
     return spark.read.json(path, schema=schema, multiLine=True, mode="FAILFAST", encoding="UTF-8")
 
 
-def unknown_keys(text: Column, schema: T.StructType) -> Column:
-    """The keys of a JSON object that the schema lacks; from_json would pass over them."""
-    return F.array_except(F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")), F.array(*[F.lit(f.name) for f in schema.fields]))
+def strict_json(text: Column, schema: T.StructType) -> Column:
+    """struct(value, error): the parsed object, or why it is none: malformed, wrong types, unknown or missing keys, at any depth."""
+    return structured(text, schema_of(schema), schema)
 
 
-def strict_json(text: Column, schema: T.StructType) -> Column:
-    """struct(value, error): the parsed object, or why it is none: malformed, unknown keys, or missing keys."""
-    value = F.from_json(text, schema, {"mode": "PERMISSIVE"})
-    keys = F.json_object_keys(text)
-    missing = F.array_except(F.array(*[F.lit(f.name) for f in schema.fields]), keys)
-    error = (
-        F.when(text.isNull() | keys.isNull(), F.lit("malformed"))
-        .when(F.size(unknown_keys(text, schema)) > 0, F.lit("unknown_keys"))
-        .when(F.size(missing) > 0, F.lit("missing_keys"))
-    )
-    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
+def read_documents(spark: SparkSession, path: str, schema: T.StructType, required: bool = True) -> DataFrame:
+    """path, value, error: files of one JSON object each (a byte order mark is skipped), held against the schema; a bad file is a row with its error."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.ltrim(F.regexp_replace("value", "^\ufeff", "")).alias("text"))
+    return files.select("path", structured(F.col("text"), schema_of(schema, required), schema).alias("x")).select("path", "x.value", "x.error")
 
 
 def to_document(row: Column, pretty: bool = False) -> Column:

@@ -2,8 +2,8 @@
 
 A completer is any picklable function from a list of requests (dicts of stage, instructions, payload,
 max_output_tokens) to a list of replies (dicts of text, input_tokens, output_tokens).  Replies are
-stored by a digest of the request; what is stored is never asked for again, so a lost task costs
-at most its own calls.
+stored by a digest of the request before anything reads them; what is stored is never asked for again, so a lost task costs
+at most its own calls.  A call that fails is a row with an error, not the end of the batch, and is not stored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RESPONSES = "request_digest string, text string, input_tokens long, output_tokens long, total_tokens long, attempts int"
+from karst.sources.scratch import written
+
+RESPONSES = "request_digest string, text string, input_tokens long, output_tokens long, total_tokens long, attempts int, error string"
 
 
 class EmptyReply(ValueError):
@@ -30,7 +32,7 @@ def complete_with_retry(completer: Callable, request: dict) -> dict:
         used[0] += reply.get("input_tokens", 0)
         used[1] += reply.get("output_tokens", 0)
         if (reply.get("text") or "").strip() and not reply.get("cut_off"):
-            return {"text": reply["text"], "input_tokens": used[0], "output_tokens": used[1], "total_tokens": sum(used), "attempts": attempt}
+            return {"text": reply["text"], **usage(*used), "attempts": attempt}
         if reply.get("refused"):
             break
     raise EmptyReply(f"no usable reply at stage {request['stage']}")
@@ -50,17 +52,37 @@ def with_digest(requests: DataFrame) -> DataFrame:
     return requests.withColumn("request_digest", F.sha2(F.to_json(F.struct("stage", "instructions", "payload", "max_output_tokens")), 256))
 
 
-def ask(requests: DataFrame, completer: Callable, stored: DataFrame | None = None) -> DataFrame:
-    """The responses to distinct requests: those stored, and those of the calls that are left."""
+def usage(input_tokens, output_tokens) -> dict:
+    """A usage record: the total is the sum."""
+    return {"input_tokens": int(input_tokens or 0), "output_tokens": int(output_tokens or 0), "total_tokens": int(input_tokens or 0) + int(output_tokens or 0)}
+
+
+def ask(requests: DataFrame, completer: Callable, store: str | None = None) -> DataFrame:
+    """The responses to distinct requests, written: those of ``store`` (a folder, made where there is none), and those of the calls that are left.
+
+    Failed calls have a null text and an error; only good replies go to the store.
+    """
+    spark = requests.sparkSession
     asked = with_digest(requests).dropDuplicates(["request_digest"])
-    fresh = asked if stored is None else asked.join(stored, "request_digest", "left_anti")
+    if store is not None:
+        spark.createDataFrame([], RESPONSES).write.mode("append").parquet(store)
+        known = spark.read.schema(RESPONSES).parquet(store).dropDuplicates(["request_digest"])
+        asked = asked.join(known.select("request_digest"), "request_digest", "left_anti")
+
+    def answer(request: dict) -> dict:
+        try:
+            return complete_with_retry(completer, request) | {"error": None}
+        except Exception as e:
+            return {"text": None, **usage(0, 0), "attempts": 0, "error": f"{type(e).__name__}: {e}"[:4000]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{"request_digest": r["request_digest"], **complete_with_retry(completer, json.loads(json.dumps(r, default=int)))} for r in batch.to_dict("records")]
+            rows = [{"request_digest": r["request_digest"], **answer(json.loads(json.dumps(r, default=int)))} for r in batch.to_dict("records")]
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in RESPONSES.split(", ")])
 
-    new = fresh.select("request_digest", "stage", "instructions", "payload", "max_output_tokens").mapInPandas(run, RESPONSES)
-    if stored is None:
+    new = written(asked.select("request_digest", "stage", "instructions", "payload", "max_output_tokens").mapInPandas(run, RESPONSES), "replies")
+    if store is None:
         return new
-    return new.unionByName(stored.join(asked.select("request_digest"), "request_digest", "left_semi"))
+    new.where("error IS NULL").write.mode("append").parquet(store)
+    wanted = with_digest(requests).select("request_digest").distinct()
+    return new.unionByName(known).join(wanted, "request_digest", "left_semi")

@@ -97,7 +97,7 @@ def test_failing_closed(world):
 
     row = generate(world.where("question_id = 1"), completer=stubborn).first()
     assert row.status == "insufficient_evidence" and not row.grounded and row.citations == []
-    assert row.warnings == ["Answer referenced unretrieved articles: 98, 99 Answer contains no valid article citation. Citation repair retry failed."]
+    assert row.warnings == ["Cited without having been retrieved: 98, 99 No article is validly cited. The second draft did not mend this."]
 
 
 def test_model_retries():
