@@ -1,24 +1,42 @@
-"""Command line: inspect and audit a Turtle file, create, fill, check and describe the stores.
+"""Command line: inspect and audit a Turtle file, create, fill, check and describe the stores, ask questions, run a benchmark.
 
-    python -m karst inspect law.ttl          the report, first eligible nodes and bridge edges
-    python -m karst audit law.ttl            articles that no concept reaches
-    python -m karst create [--reset]         the two stores, and their columns
-    python -m karst ingest law.ttl [--reset] both tables, with counts compared
-    python -m karst check law.ttl            stored against expected counts
+    python -m karst inspect law.ttl            the report, first eligible nodes and bridge edges
+    python -m karst audit law.ttl              articles that no concept reaches
+    python -m karst create [--reset]           the two stores, and their columns
+    python -m karst describe                   the columns and counts of the stores that are there
+    python -m karst ingest law.ttl [--reset]   both tables with embeddings, counts compared
+    python -m karst check law.ttl              stored against expected counts
+    python -m karst retrieve QUESTION          one retrieval document [--output F] [--debug] [--compact]
+    python -m karst generate retrieval.json    an answer from a saved retrieval document, which is never made again
+    python -m karst smoke QUESTION             both, and what each took
+    python -m karst evaluate benchmark.json    runs, their documents and their statistics
+    python -m karst serve [--port 8000]        the endpoints
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+import threading
+import time
+from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from karst import evaluation as runs
 from karst.operators import build
+from karst.operators import evaluate as ev
+from karst.plans import retrieve as plans
+from karst.server import Service
 from karst.session import session
-from karst.settings import get_settings
+from karst.settings import Settings, get_settings
 from karst.sources import store
+from karst.sources.documents import to_document
+from karst.sources.providers import HttpEmbedder, build_completer
+from karst.sources.scratch import written
+from karst.sources.structured import schema_of, structured
 from karst.sources.turtle import read_turtle
 
 
@@ -27,19 +45,168 @@ def _load(spark, path: str, s):
     return triples, build.nodes_of(triples, s).persist(), build.edges_of_triples(triples).persist()
 
 
-def main(argv: list[str] | None = None) -> int:
+class Models:
+    """The models of the settings; tests and offline runs give their own."""
+
+    def __init__(self, s: Settings, completer: Callable | None = None, embedder: Callable | None = None, judge: Callable | None = None):
+        self.s, self._completer, self._embedder, self._judge = s, completer, embedder, judge
+
+    @property
+    def completer(self) -> Callable:
+        """Built when it is first needed."""
+        self._completer = self._completer or build_completer(self.s)
+        return self._completer
+
+    @property
+    def embedder(self) -> Callable:
+        if self._embedder is None:
+            if not os.environ.get("EMBEDDING_URL"):
+                raise ValueError("EMBEDDING_URL is not set")
+            self._embedder = HttpEmbedder(os.environ["EMBEDDING_URL"], self.s.embedding_model, os.environ.get("EMBEDDING_API_KEY", ""))
+        return self._embedder
+
+    @property
+    def judge(self) -> Callable:
+        return self._judge or self.completer
+
+
+def probe(embedder: Callable) -> int:
+    """The embedder's dimensions, by one call before anything is dropped or written."""
+    vectors = embedder(["probe"])
+    if len(vectors) != 1 or not vectors[0]:
+        raise ValueError("the embedder gives no vector")
+    return len(vectors[0])
+
+
+def debugged(found: dict) -> dict:
+    """A retrieval document without the texts of its articles, all numbers to 8 places."""
+
+    def rounded(x):
+        if isinstance(x, float):
+            return round(x, 8)
+        if isinstance(x, list):
+            return [rounded(v) for v in x]
+        return {k: rounded(v) for k, v in x.items() if k != "text"} if isinstance(x, dict) else x
+
+    return rounded(found)
+
+
+class Engine:
+    """One question at a time over the stores, as the command line and the server ask it."""
+
+    def __init__(self, spark, s: Settings, models: Models):
+        self.spark, self.s, self.models = spark, s, models
+
+    def retrieve(self, body: dict) -> dict:
+        question = body.get("question")
+        if not isinstance(question, str):
+            raise ValueError("question must be a text")
+        questions = self.spark.createDataFrame([(1, question)], "question_id int, question string")
+        found = plans.retrieve(questions, self.spark.table(self.s.node_table), self.spark.table(self.s.edge_table), completer=self.models.completer, embedder=self.models.embedder, settings=self.s)
+        row = json.loads(found.select(to_document(F.struct(*found.columns)).alias("d")).first().d)
+        if row["status"] == "error" and row["decision"]["reason"] == "question_too_short":
+            raise ValueError("the question is too short")
+        if row["status"] == "error":
+            raise RuntimeError(row["decision"]["reason"])
+        return row
+
+    def generate(self, body: dict) -> dict:
+        if body.get("schema_version") != plans.RETRIEVAL_VERSION:
+            raise ValueError(f"not a document of {plans.RETRIEVAL_VERSION}")
+        kind = plans.retrieved_type()
+        wanted = schema_of(kind, required=False) | {"required": ["question", "decision", "articles"]}
+        read = self.spark.createDataFrame([(json.dumps(body),)], "t string").select(structured(F.col("t"), wanted, kind).alias("x"))
+        error = read.first().x.error
+        if error:
+            raise ValueError(f"not a retrieval document: {error}")
+        out = plans.generate(read.select("x.value.*"), completer=self.models.completer, settings=self.s, model=self.s.llm_model)
+        return json.loads(out.select(to_document(F.struct(*out.columns)).alias("d")).first().d)
+
+    def healthy(self) -> bool:
+        return all(self.spark.catalog.tableExists(t) and not self.spark.table(t).isEmpty() for t in (self.s.node_table, self.s.edge_table))
+
+
+def _evaluate(spark, s: Settings, models: Models, args) -> dict:
+    cases, digest = runs.load_cases(spark, args.path)
+    cases = runs.sliced(cases, args.start, args.limit).persist()
+    n, nodes, edges = cases.count(), spark.table(s.node_table), spark.table(s.edge_table)
+
+    def do(part):
+        asked = part.select(F.col("case_index").cast("int").alias("question_id"), "question")
+        found = written(plans.retrieve(asked, nodes, edges, completer=models.completer, embedder=models.embedder, settings=s), "run-retrieved")
+        said = plans.generate(found.where("status = 'ok'"), completer=models.completer, settings=s, model=s.llm_model).select("question_id", F.col("status").alias("status"), "answer", F.col("cited_article_numbers").alias("cited"), "warnings", "model")
+        told = found.select("question_id", F.col("decision.behavior").alias("behavior"), F.col("diagnostics.article_numbers").alias("given"), F.col("decision.planner_used").alias("planner_used"), F.when(F.col("status") == "error", F.col("decision.reason")).alias("_lost")).join(said, "question_id", "left")
+        told = told.withColumn("_bad", F.when(F.col("_lost").isNull(), ev.integrity_error(F.col("planner_used"), F.lit("retrieve"), F.col("status"), F.col("warnings"), F.col("model"), F.lit(s.llm_model))))
+        told = told.withColumn("error", F.coalesce("_lost", "_bad", F.when(F.col("status") == "error", F.element_at("warnings", 1))))
+        rows = part.join(told.drop("_lost", "_bad"), F.expr("case_index = question_id")).drop("question_id")
+        rows = rows.withColumns({"retrieval_seconds": F.lit(None).cast("double"), "generation_seconds": F.lit(None).cast("double")})
+        return runs.scored(runs.judged(written(rows, "run-rows"), models.judge))
+
+    documents, folder = [], args.output or "runs"
+    for k in range(1, args.runs + 1):
+        run = runs.Run(spark, f"{folder}/run-{k}", runs.Identity(digest, k, s.llm_provider, s.llm_model, args.judge_model or s.llm_model, args.start, args.limit))
+        rows = runs.run_cases(run, cases, do, batch=args.batch, stop_on_error=args.stop_on_error)
+        documents.append(runs.document(rows, run.identity, n))
+        runs.save(documents[-1], f"{folder}/run-{k}.json")
+        for row in documents[-1]["rows"]:
+            print(runs.console_row(row), file=sys.stderr)
+        if not documents[-1]["complete"]:
+            break  # what is there can be resumed
+    paths = [f"summary.{m}" for m in ("end_to_end_success_rate", "routing_accuracy", *ev.RETRIEVE_METRICS, *ev.ANSWER_METRICS)]
+    total = runs.aggregate(spark, documents, paths)
+    runs.save(total, f"{folder}/aggregate.json")
+    return total
+
+
+def main(argv: list[str] | None = None, models: Models | None = None) -> int:
     parser = argparse.ArgumentParser(prog="karst", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=["inspect", "audit", "create", "ingest", "check"])
-    parser.add_argument("path", nargs="?")
+    parser.add_argument("command", choices=["inspect", "audit", "create", "describe", "ingest", "check", "retrieve", "generate", "smoke", "evaluate", "serve"])
+    parser.add_argument("path", nargs="?", help="a file, or the question")
     parser.add_argument("--reset", action="store_true", help="drop what is stored")
+    parser.add_argument("--output", help="write the document there (evaluate: the folder of the runs)")
+    parser.add_argument("--debug", action="store_true", help="without texts, numbers to 8 places")
+    parser.add_argument("--compact", action="store_true", help="on one line")
+    parser.add_argument("--port", type=int, default=8000)
+    parser.add_argument("--runs", type=int, default=3)
+    parser.add_argument("--start", type=int, default=0)
+    parser.add_argument("--limit", type=int)
+    parser.add_argument("--batch", type=int, default=16, help="cases to a checkpoint")
+    parser.add_argument("--judge-model")
+    parser.add_argument("--stop-on-error", action="store_true")
     args = parser.parse_args(argv)
-    if args.command != "create" and not args.path:
-        parser.error("a Turtle file is needed")
+    if args.command not in ("create", "describe", "serve") and not args.path:
+        parser.error("a file or a question is needed")
     s, spark = get_settings(), session()
+    models = models or Models(s)
+    engine = Engine(spark, s, models)
     try:
         if args.command == "create":
             out = {t: store.ensure_store(spark, t, schema, args.reset) for t, schema in ((s.node_table, store.NODE_SCHEMA), (s.edge_table, store.EDGE_SCHEMA))}
             out |= {f"{t}_columns": [r.asDict() for r in store.describe_store(spark, t).collect()] for t in (s.node_table, s.edge_table)}
+        elif args.command == "describe":
+            out = {t: {"columns": [r.asDict() for r in store.describe_store(spark, t).collect()], "rows": spark.table(t).count()} if spark.catalog.tableExists(t) else None for t in (s.node_table, s.edge_table)}
+        elif args.command == "retrieve":
+            out = engine.retrieve({"question": args.path})
+            out = debugged(out) if args.debug else out
+        elif args.command == "generate":
+            with open(args.path, encoding="utf-8-sig") as f:
+                body = json.load(f)
+            if not isinstance(body, dict):
+                raise ValueError("a saved retrieval is a JSON object")
+            out = engine.generate(body)
+        elif args.command == "smoke":
+            began = time.monotonic()
+            found = engine.retrieve({"question": args.path})
+            between = time.monotonic()
+            said = engine.generate(found)
+            out = {"retrieval": {"status": found["status"], "articles": found["diagnostics"]["article_numbers"], "seconds": round(between - began, 3)}, "generation": {"status": said["status"], "grounded": said["grounded"], "seconds": round(time.monotonic() - between, 3)}}
+        elif args.command == "evaluate":
+            out = _evaluate(spark, s, models, args)
+            args.output = None
+        elif args.command == "serve":
+            with Service(engine.retrieve, engine.generate, engine.healthy, port=args.port) as service:
+                print(json.dumps({"port": service.port}), flush=True)
+                threading.Event().wait()
         else:
             triples, nodes, edges = _load(spark, args.path, s)
             report = build.inspection_report(triples, nodes, edges, s).first().asDict()
@@ -50,11 +217,17 @@ def main(argv: list[str] | None = None) -> int:
             elif args.command == "audit":
                 out = {k: report[k] for k in ("article_count", "reachable_count", "unreachable_article_numbers")}
             elif args.command == "ingest":
-                done = store.ingest(spark, nodes, edges, s.node_table, s.edge_table, reset=args.reset, valid=report["is_valid"])
-                out = {"stored": [r.asDict() for r in done.collect()]}
+                if not report["is_valid"]:
+                    raise ValueError("the graph is not valid")
+                dimensions = probe(models.embedder)
+                embedded = store.embed(nodes, models.embedder, "searchable_text", s.embedding_batch_size)
+                done = store.ingest(spark, embedded, edges, s.node_table, s.edge_table, reset=args.reset, valid=report["is_valid"])
+                out = {"stored": [r.asDict() for r in done.collect()], "dimensions": dimensions}
             else:
                 out = {t: {"stored": spark.table(t).count(), "expected": df.count()} for t, df in ((s.node_table, nodes), (s.edge_table, edges))}
-        print(json.dumps(out, ensure_ascii=False, indent=2))
+        if args.output:
+            runs.save(out, args.output)
+        print(json.dumps(out, ensure_ascii=False, indent=None if args.compact else 2))
         return 0
     except Exception as e:  # a command line says what went wrong and how it ended
         print(json.dumps({"error": type(e).__name__, "detail": str(e)[:4000]}, ensure_ascii=False), file=sys.stderr)

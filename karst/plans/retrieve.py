@@ -34,6 +34,16 @@ DRAFT = T.StructType([T.StructField("answer_ar", T.StringType()), T.StructField(
 _ISSUE = schema_of(planning.ISSUE, required=False) | {"required": ["issue", "retrieval_query"]}
 _COVERED = schema_of(planning.COVERAGE, required=False) | {"required": ["issue_index", "covered"]}
 
+def retrieved_type() -> T.StructType:
+    """What a saved retrieval must be, to be answered from."""
+    return T.StructType.fromDDL(
+        "question_id int, schema_version string, status string, question string, decision struct<behavior:string,reason:string,planner_used:boolean,planner_verified:boolean,planner_confidence:double>, "
+        "articles array<struct<uri:string,local_name:string,labels_ar:array<string>,labels_en:array<string>,article_number:int,text:string,graph_score:double,issue_relevance:double,final_score:double,"
+        "support_paths:array<struct<seed_uri:string,seed_label:string,seed_score:double,article_uri:string,score:double,steps:array<struct<direction:string,source_uri:string,relation:string,target_uri:string>>>>>>, "
+        "concepts array<struct<uri:string,local_name:string,seed_score:double,vector_rank:int,bm25_rank:int,hint_rank:int>>, expanded_concepts array<struct<uri:string,local_name:string,graph_score:double>>, "
+        "diagnostics struct<article_numbers:array<int>,graph_candidate_article_numbers:array<int>,concept_local_names:array<string>,selected_seed_local_names:array<string>,concept_count:int,expanded_concept_count:int,graph_candidate_count:int,article_count:int>"
+    )
+
 
 def _reply(kind: T.StructType, required: list[str], **own: dict) -> dict:
     out = schema_of(kind, required=False)
