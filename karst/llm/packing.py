@@ -27,56 +27,72 @@ from pyspark.sql.window import Window
 from karst.llm.common import bounded, shared_dir, table, tidy, written
 from karst.llm.tokens import default_vocabulary, encoder
 
-#: Queues with an own share; the sources beyond the largest of them share one queue, so the schedule stays bounded.
-MAX_QUEUES = 4096
-
-
 class Schedule:
-    """Cumulative quotas of the queues.  In phase k queue s is served rate[k, s] tokens a window; a phase ends where a queue runs dry."""
+    """Cumulative quotas of the queues.
+
+    In phase k, from starts[k] windows on, the queues that are not dry share the windows by weight; a phase ends where a queue runs
+    dry, and its share goes to the others.  Queues are kept in the order in which they run dry, so a phase is a
+    suffix of that order with one factor: what a queue has given is its weight times a clock that all queues share.
+    Storage is a few numbers a queue, however many there are.
+    """
 
     def __init__(self, totals: list[int], shares: list[float], window_tokens: int):
+        n = len(totals)
         self.totals = np.array(totals, dtype=np.int64)
-        left = self.totals.astype(float)
-        p = np.array(shares, dtype=float)
-        at, starts, rates, done = 0.0, [], [], []
-        while (left > 0).any():
-            live = left > 0
-            w = np.where(live, np.maximum(p, 0), 0)
-            w = w / w.sum() if w.sum() > 0 else np.where(live, left, 0) / left.sum()  # queues without a share come last
-            rate = w * window_tokens
-            served = rate > 0
-            length = float((left[served] / rate[served]).min())
-            starts.append(at)
-            rates.append(rate)
-            done.append(self.totals - left)
-            left = np.where(served, left - rate * length, left)
-            left[left < 1e-6] = 0
-            at += length
-        self.starts, self.rates, self.done = np.array(starts), np.array(rates), np.array(done)
+        share = np.maximum(np.array(shares, dtype=float), 0).reshape(n)
+        # Queues without a share come last, by their own sizes: a second round with a clock of its own.
+        self.late = share <= 0
+        self.weight = np.where(self.late, self.totals.astype(float), share)
+        # The clock at which a queue runs dry; the clock moves faster the less weight is left.
+        self.dry = np.divide(self.totals.astype(float), self.weight, out=np.zeros(n), where=self.weight > 0)
+        self.rounds, at = [], 0.0
+        for late in (False, True):
+            own = np.flatnonzero((self.late == late) & (self.totals > 0))
+            own = own[np.argsort(self.dry[own], kind="stable")]
+            dry, left = self.dry[own], np.cumsum(self.weight[own][::-1])[::-1]
+            # Windows that the clock takes from one queue's end to the next one's.
+            spans = np.diff(dry, prepend=0.0) * left / window_tokens
+            ends = at + np.cumsum(spans)
+            self.rounds.append((at, np.append(at, ends), np.append(0.0, dry)))
+            at = float(ends[-1]) if len(own) else at
+        self.middle = self.rounds[1][0]
         self.windows = int(np.ceil(at - 1e-9))
 
+    def clocks(self, w: float) -> tuple[float, float]:
+        """Both rounds' clocks after w windows."""
+        return tuple(float(np.interp(w, ends, dry)) for _, ends, dry in self.rounds)
+
+    def _given(self, clocks: tuple[float, float], queue: int | slice) -> np.ndarray:
+        clock = np.where(self.late[queue], clocks[1], clocks[0])
+        # A queue that has run dry has given all, whatever a product of floats says.
+        given = np.floor(self.weight[queue] * clock + 1e-6).astype(np.int64)
+        return np.where(clock >= self.dry[queue], self.totals[queue], np.minimum(given, self.totals[queue]))
+
     def quota(self, w: int) -> np.ndarray:
         """Tokens that each queue has given after w windows: whole, monotone in w, at last all."""
         if w <= 0:
             return np.zeros(len(self.totals), dtype=np.int64)
         if w >= self.windows:
             return self.totals
-        k = int(np.searchsorted(self.starts, w, side="right")) - 1
-        return np.minimum(np.floor(self.done[k] + self.rates[k] * (w - self.starts[k]) + 1e-6).astype(np.int64), self.totals)
+        return self._given(self.clocks(w), slice(None))
+
+    def _quota_of(self, queue: int, w: int) -> int:
+        if w <= 0:
+            return 0
+        return int(self.totals[queue]) if w >= self.windows else int(self._given(self.clocks(w), queue))
 
     def window_of(self, queue: int, x: int) -> int:
-        """The window w with quota(w) <= x < quota(w + 1) in the queue, by bisection."""
+        """The window w with quota(w) <= x < quota(w + 1) in the queue, by bisection around where its clock puts it."""
         lo, hi = 0, self.windows
-        k = max(0, int(np.searchsorted(self.done[:, queue], x, side="right")) - 1)
-        if self.rates[k, queue] > 0:
-            near = int(self.starts[k] + (x - self.done[k, queue]) / self.rates[k, queue])
-            if near > 1 and self.quota(near - 1)[queue] <= x:
-                lo = near - 1
-            if near + 2 < hi and self.quota(near + 2)[queue] > x:
-                hi = near + 2
+        _, ends, dry = self.rounds[int(self.late[queue])]
+        near = int(np.interp(x / self.weight[queue], dry, ends)) if self.weight[queue] > 0 else 0
+        if near > 1 and self._quota_of(queue, near - 1) <= x:
+            lo = near - 1
+        if near + 2 < hi and self._quota_of(queue, near + 2) > x:
+            hi = near + 2
         while hi - lo > 1:
             mid = (lo + hi) // 2
-            if self.quota(mid)[queue] <= x:
+            if self._quota_of(queue, mid) <= x:
                 lo = mid
             else:
                 hi = mid
@@ -95,6 +111,12 @@ class Schedule:
             w, before = w + 1, after
 
 
+#: The mixture in which every source has the same share.
+EQUAL = "equal"
+#: Partitions of which one task adds up a queue's tokens.
+RANGE = 4096
+
+
 def _tokenise(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
@@ -159,7 +181,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    mixture: dict[str, float] | None = None,
+    mixture: dict[str, float] | str | None = None,
     sequence_tokens: int = 1024,
     window_sequences: int = 32,
     end_id: int = 0,
@@ -168,14 +190,14 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids (uint32, little-endian).
 
-    mixture: target shares by source (sources that it lacks are served last); None: the corpus's own
-    token shares, under which all queues run dry together.  Every source of the mixture has a queue of its own;
-    of the others those beyond MAX_QUEUES, the smallest, share one.  When a queue runs dry the others
-    take over its share in proportion.  Only the last sequence of all is padded.
+    mixture: target shares by source (sources that it lacks are served last, by their sizes); "equal": every source the same;
+    None: the corpus's own token shares, under which all queues run dry together.  Every source has a queue of its own.  When a
+    queue runs dry the others take over its share in proportion.  Only the last sequence of all is padded.
 
     Null texts are empty: one piece with the end id.  A null source is a queue of its own.
     Repeated rows are packed each.  An empty table gives no pieces.  The sequences depend on how the
-    input splits into partitions, but are fixed once the token table is written.
+    input splits into partitions, but are fixed once the token table is written.  Very long texts are cut like others.
+    Extra columns, whatever their names, are not looked at.
     """
     spark = bounded(docs).sparkSession
     own = T.StructField("_id", docs.schema[id_col].dataType)
@@ -186,26 +208,21 @@ def pack(
     tokens.write.option("compression", "zstd").parquet(path)
     tokens = spark.read.schema(tokens.schema).parquet(path)
 
-    dealt = tokens.groupBy("_part", "source").agg(F.sum("doc_tokens").alias("_n"))  # partitions x sources rows
-    largest = dealt.groupBy("source").agg(F.sum("_n").alias("n"))
-    if mixture is None:
-        largest = largest.orderBy(F.desc("n"), "source").limit(MAX_QUEUES).collect()
-    else:  # every source with a share of its own has a queue of its own
-        named = F.coalesce(F.col("source").isin([k for k in mixture if k is not None]), F.lit(None in mixture))
-        largest = largest.orderBy(F.desc(named), F.desc("n"), "source").limit(max(MAX_QUEUES, len(mixture))).collect()
-    total = dealt.agg(F.sum("_n")).first()[0] or 0
-    totals = [r["n"] for r in largest]
-    names = [r["source"] for r in largest]
-    rest = total - sum(totals)
-    shares = [float(n) if mixture is None else float(mixture.get(s, 0)) for s, n in zip(names, totals, strict=True)]
-    if rest:
-        totals, shares = [*totals, rest], [*shares, float(rest) if mixture is None else 0.0]
+    dealt = written(tokens.groupBy("_part", "source").agg(F.sum("doc_tokens").alias("_n")), "packing-dealt")  # partitions x sources rows
+    # A queue a source: the schedule holds a few numbers of each.
+    queues = sorted(((r["source"], r["n"]) for r in dealt.groupBy("source").agg(F.sum("_n").alias("n")).collect()), key=lambda q: (q[0] is None, q[0] or ""))
+    names, totals = [s for s, _ in queues], [n for _, n in queues]
+    shares = [float(n) if mixture is None else 1.0 if mixture == EQUAL else float(mixture.get(s, 0)) for s, n in queues]
     plan = Schedule(totals, shares, sequence_tokens * window_sequences)
-    queues = spark.createDataFrame([(s, q) for q, s in enumerate(names)], "source string, _queue int")
-    # The sources of the shared queue stand in it one after the other; each queue's partitions by number.
-    dealt = dealt.alias("d").join(F.broadcast(queues.alias("q")), F.expr("d.source <=> q.source"), "left").select("d.source", "_part", "_n", F.coalesce("_queue", F.lit(len(names))).alias("_queue"))
-    before = Window.partitionBy("_queue").orderBy("_part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.select(F.col("_part").alias("_p"), F.col("source").alias("_s"), "_queue", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = spark.createDataFrame([(s, q) for q, s in enumerate(names)], "source string, _queue int")
+    # Tokens of a queue in the partitions before: within ranges of partitions, and then by range, so that no task holds all of a queue's.
+    dealt = dealt.withColumn("_range", F.floor(F.col("_part") / RANGE))
+    whole = dealt.groupBy("_range", "source").agg(F.sum("_n").alias("_m"))
+    whole = whole.select("_range", "source", F.coalesce(F.sum("_m").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("source", "_range").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("_own", F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("d").join(whole.alias("r"), F.expr("d._range = r._range AND d.source <=> r.source"))
+    dealt = dealt.join(numbered.alias("q"), F.expr("d.source <=> q.source"))
+    offsets = dealt.select(F.col("_part").alias("_p"), F.col("d.source").alias("_s"), "_queue", (F.col("_base") + F.col("_own")).alias("_before"))
     # Written, so that the planner knows its size before it plans the join, and shuffles the tokens only if it is large.
     offsets = written(offsets, "packing-offsets")
     placed = tokens.join(offsets, F.expr("_part = _p AND source <=> _s")).withColumn("_start", F.col("_before") + F.col("_at"))
@@ -228,4 +245,5 @@ def sequences(pieces: DataFrame, sequence_tokens: int = 1024, pad_id: int = 0) -
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    """Every source gets the same share of each window until it runs dry."""
+    return pack(table(spark, sf_dir, "documents"), mixture=EQUAL, with_ids=False).drop("ids")
