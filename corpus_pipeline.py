@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from karst.llm.common import table, written
 from karst.llm.decontaminate import decontaminate
 from karst.llm.jaccard_join import keep_one
-from karst.llm.packing import pack
+from karst.llm.packing import EQUAL, pack
 from karst.llm.pii import redact
 from karst.llm.quality import keep_good
 
@@ -40,8 +40,8 @@ def personal_data_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences, with their token ids."""
-    return pack(docs)
+    """Pieces of sequences, with their token ids; every source has the same share of each window until it runs dry."""
+    return pack(docs, mixture=EQUAL)
 
 
 STAGES = [
