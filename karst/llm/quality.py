@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from karst.llm.common import sheltered, table, without, written
+from karst.llm.common import free_name, sheltered, table, without, written
 
 #: Relative error of a sketch's quantiles, and the bucket that holds zeros.
 ACCURACY, ZERO = 0.01, -1_000_000
@@ -25,14 +25,16 @@ GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 MIN_ROWS = 100
 REACH = 8.0
 #: Ratio -> (numerator, denominator, least spread: a distance within which values count as alike, whether low values are odd too).
+#: The least spreads lie at or below the quartiles' distances that corpora show, so that these decide; they only keep a
+#: group of all but equal values from rejecting on noise.  Repeated lines have no spread of their own (most texts have none, good
+#: ones some), so theirs is a rule.  Repeated words beyond the base rule's share are left to that rule.
 RATIOS = {
-    "word_length": ("word_chars", "n_words", 0.4, True),
-    "symbols": ("n_symbols", "word_chars", 0.0075, False),
-    "upper_case": ("_n_upper", "word_chars", 0.02, False),
-    "exclamations": ("_n_bang", "word_chars", 0.01, False),
+    "word_length": ("word_chars", "n_words", 0.1, True),
+    "symbols": ("n_symbols", "word_chars", 0.001, False),
+    "upper_case": ("_n_upper", "word_chars", 0.005, False),
+    "exclamations": ("_n_bang", "word_chars", 0.00125, False),
     "repeated_lines": ("n_dup_lines", "_n_lines", 0.06, False),
-    "repeated_words": ("n_repeat_words", "n_words", 0.04, False),
-    "stutters": ("_n_stutter", "n_words", 0.03, False),
+    "stutters": ("_n_stutter", "n_words", 0.0075, False),
 }
 #: Further counts for the ratios: lines with a word, capitals, [!?], words equal to the word before.
 EXTRA = ["_n_lines", "_n_upper", "_n_bang", "_n_stutter"]
@@ -125,22 +127,24 @@ def quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """docs (or the columns ``carry`` of them) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     Null and empty texts have no words and fail the base rules.  Null languages or sources form a
-    group of their own.  Repeated rows are judged each.  An empty table gives an empty result.
+    group of their own.  Repeated rows are judged each.  An empty table gives an empty result.  Columns of docs that are
+    named like the result's are dropped; other names don't matter.  Very long texts are measured whole.
     Only the sketches (rows: groups x ratios x buckets) and the bounds (rows: groups) are
     shuffled or joined to; the planner broadcasts the bounds when their measured size allows it,
     and splits a hot source's partition otherwise.
     """
-    carry = [c for c in docs.columns if c not in BASE] if carry is None else carry
+    carry = without(docs, [*BASE, "kept", "_words", "_lines", *EXTRA]).columns if carry is None else carry
     names = [*carry, *[c for c in (lang_col, source_col) if c not in carry], *BASE, *EXTRA]
     rows = written(measured(docs, text_col).select(names), "quality")
     # Written, so that the planner knows how small they are before it plans the join, and needn't shuffle the rows to find out.
-    bounds = written(thresholds(sketches(rows, lang_col, source_col)), "quality-bounds").withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    same = rows[lang_col].eqNullSafe(bounds["_lang"]) & rows[source_col].eqNullSafe(bounds["_source"])
+    free = {c: free_name(names, f"_{c}") for c in ("lang", "source", "low", "high")}
+    bounds = written(thresholds(sketches(rows, lang_col, source_col)), "quality-bounds").withColumnsRenamed(free)
+    same = rows[lang_col].eqNullSafe(bounds[free["lang"]]) & rows[source_col].eqNullSafe(bounds[free["source"]])
     inside = F.lit(True)
     for k in RATIOS:
-        inside &= F.coalesce((_ratio(k) <= F.col("high")[k]) & (_ratio(k) >= F.col("low")[k]), F.lit(True))
-    judged = rows.join(bounds, same, "left").withColumn("kept", ~F.col("base_failed") & inside)
-    return judged.select(*carry, *BASE, "kept")
+        inside &= F.coalesce((_ratio(k) <= F.col(free["high"])[k]) & (_ratio(k) >= F.col(free["low"])[k]), F.lit(True))
+    judged = rows.join(bounds, same, "left").select(*carry, *BASE, (~F.col("base_failed") & inside).alias("kept"))
+    return judged
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 
 from karst.llm.quality import quality
 
-DOCS = "doc_id long, text string, lang string, source string, kept string, bucket string"
+DOCS = "doc_id long, text string, lang string, source string, kept string, bucket string, low string, high string, _lang string, _low string"
 
 
 def base(text):
@@ -34,7 +34,7 @@ def corpus():
             text = text.upper()
         rows.append((i, text, rng.choice(["en", "de", None]), rng.choice(["hot"] * 8 + ["rare"])))
     rows.append(rows[30])
-    return [(*r, "x", "y") for r in rows]
+    return [(*r, *"xyzuvw") for r in rows]
 
 
 def test_base_equals_brute_force_and_outliers_go(spark):
