@@ -22,40 +22,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from karst.llm.blocks import blocks_of, unpacked
 from karst.llm.common import bounded, discard, free_name, table, tidy, written
 from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits, sketch_of
 
 SHINGLE, PERCENT = 4, 85
+#: Words of a block.
+BLOCK_WORDS = 300_000
 _GOLD, _SEG, _GRP, _CNT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _HALF = np.uint64(32)
 
 
-class WordHashes(dict):
-    """Hashes of words (bytes), kept up to a number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words between the six ASCII white-space characters, A-Z as a-z."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def shingles(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` word hashes, one for each place where such a run begins."""
+    n = len(h) - size + 1
+    out = np.full(max(0, n), size, np.uint64)
+    for j in range(size if n > 0 else 0):
+        out = mix(out * _GOLD + h[j : j + n])
+    return out
+
+
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
     """The sorted distinct hashes of a document's shingles; fewer words than a shingle are one."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
-    n = len(words) - size + 1
-    h = np.full(n, size, np.uint64)
-    for j in range(size):
-        h = mix(h * _GOLD + w[j : j + n])
-    return np.unique(h)
+    return np.unique(runs(h, min(size, len(h)))) if len(h) else np.zeros(0, np.uint64)
+
+
+def sets_of(row: dict, size: int) -> Iterator[np.ndarray]:
+    """The shingle sets of a block's documents."""
+    h = np.frombuffer(row["words"], np.uint64)[unpacked(row["seq"], "<u4")]
+    whole, at = runs(h, size), 0
+    for n in row["n"]:
+        yield np.unique(whole[at : at + n - size + 1]) if n >= size else shingles(h[at : at + n], size)
+        at += n
 
 
 def set_id(s: np.ndarray) -> int:
@@ -107,34 +110,33 @@ def keys_of(s: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _ids(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            n, ids = [], []
-            for text in batch.column(1):
-                s = shingles(words_of(text.as_py()), size, hashes)
-                n.append(len(s))
-                ids.append(np.uint64(set_id(s)).astype(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=[batch.schema.names[0], "n_shingles", "item"])
+            for k, row in enumerate(batch.select(["block", "n", "words", "seq"]).to_pylist()):
+                n, ids = [], []
+                for s in sets_of(row, size):
+                    n.append(len(s))
+                    ids.append(np.uint64(set_id(s)).astype(np.int64) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(n), pa.int64()), batch.column("ids").slice(k, 1).flatten(), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["block", "_id", "n_shingles", "item"])
 
     return tidy(run)
 
 
 def _keys(size: int, percent: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, packer, seen = WordHashes(), Packer(bits), set()
+        packer, seen = Packer(bits), set()
         for batch in batches:
-            for text in batch.column(0):
-                s = shingles(words_of(text.as_py()), size, hashes)
-                item = set_id(s) if len(s) else None
-                if item is None or item in seen:
-                    continue
-                if len(seen) > 100_000:
-                    seen.clear()
-                seen.add(item)
-                for side, keys in keys_of(s, percent):
-                    packer.add(keys, item | side)
-                if packer.full():
-                    yield packer.flush()
+            for row in batch.to_pylist():
+                for s in sets_of(row, size):
+                    item = set_id(s) if len(s) else None
+                    if item is None or item in seen:
+                        continue
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(item)
+                    for side, keys in keys_of(s, percent):
+                        packer.add(keys, item | side)
+                    if packer.full():
+                        yield packer.flush()
         yield packer.flush()
 
     return tidy(run)
@@ -142,20 +144,16 @@ def _keys(size: int, percent: int, bits: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            ids, sets, sizes, sketches = [], [], [], []
-            for text, want in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                s = shingles(words_of(text.as_py()), size, hashes)
-                if len(s) and int(np.uint64(set_id(s)).astype(np.int64)) == want:
-                    ids.append(want)
-                    sets.append(s.tobytes())
-                    sizes.append(len(s))
-                    sketches.append(sketch_of(s))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())],
-                names=["item", "n", "sketch", "s"],
-            )
+            for row in batch.to_pylist():
+                want, cols = set(row["items"]), ([], [], [], [])
+                for s in sets_of(row, size):
+                    item = int(np.uint64(set_id(s)).astype(np.int64)) if len(s) else None
+                    if item in want:
+                        want.discard(item)
+                        for out, v in zip(cols, (item, len(s), sketch_of(s), s.tobytes()), strict=True):
+                            out.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["item", "n", "sketch", "s"])
 
     return tidy(run)
 
@@ -190,30 +188,31 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of distinct
     ``size``-word shingles; a text of fewer words is one shingle.  Null texts and texts without words have
     empty sets and link with nothing, not even with each other.  Repeated rows have equal sets and link.
-    Null ids are ignored by the minimum; a component without other ids has a null one.  An empty table gives
+    Null ids are ignored by the minimum; a component without other ids has a null one.  Texts are taken whole, however long, and
+    columns beyond the id and the text are not looked at.  An empty table gives
     an empty result.
     """
-    docs = bounded(docs).select(F.col(id_col), F.col(text_col).alias("_text"))
-    items = docs.mapInArrow(_ids(size), T.StructType([docs.schema[id_col], *T.StructType.fromDDL("n_shingles long, item long").fields]))
+    blocks = written(blocks_of(bounded(docs), id_col, text_col, words_of, words=BLOCK_WORDS), "jaccard-blocks", compression="none")
+    own = T.StructField("_id", docs.schema[id_col].dataType)
+    items = blocks.mapInArrow(_ids(size), T.StructType([T.StructField("block", T.LongType()), own, *T.StructType.fromDDL("n_shingles long, item long").fields]))
     items = written(items, "jaccard-items")
-    bits = shard_bits(docs)
-    found = buckets(docs.select("_text").mapInArrow(_keys(size, percent, bits), PACKED), "jaccard-buckets")
+    bits, plain = shard_bits(docs), blocks.select("block", "n", "words", "seq")
+    found = buckets(plain.mapInArrow(_keys(size, percent, bits), PACKED), "jaccard-buckets")
 
-    # Whole sets only of items in buckets, from one document each.
+    # Whole sets only of items in buckets, from one block each; a block's items are at most its documents.
     inside = found.select(F.explode(F.concat("small", "large")).alias("item")).distinct()
-    first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col))).getField(id_col)
-    chosen = items.groupBy("item").agg(first.alias("_first")).join(inside, "item", "left_semi")
-    texts = docs.join(chosen.hint("shuffle_hash"), docs[id_col].eqNullSafe(chosen["_first"])).select("_text", "item")
-    sets = written(texts.mapInArrow(_sets(size), "item long, n long, sketch binary, s binary").dropDuplicates(["item"]), "jaccard-sets", free=True)
+    chosen = items.groupBy("item").agg(F.min("block").alias("block")).join(inside, "item", "left_semi").groupBy("block").agg(F.collect_list("item").alias("items"))
+    sets = written(plain.join(chosen, "block").mapInArrow(_sets(size), "item long, n long, sketch binary, s binary"), "jaccard-sets", free=True)
+    discard(blocks)
 
     parts = close(found, lambda edges: verified(edges, sets, percent), sets.select("item", "n", "sketch"), percent, "jaccard")
     discard(found)
     discard(sets)
     full = items.where("item IS NOT NULL").join(parts, "item", "left").withColumn("component", F.coalesce("component", "item"))
     # Written, so that both sides of the last join are plain exchanges, of which the planner splits a large group's.
-    least = written(full.groupBy("component").agg(F.min(id_col).alias("component_id")), "jaccard-least")
-    linked = full.join(least, "component").select(id_col, "n_shingles", "component_id")
-    return linked.union(items.where("item IS NULL").select(id_col, "n_shingles", F.col(id_col).alias("component_id")))
+    least = written(full.groupBy("component").agg(F.min("_id").alias("component_id")), "jaccard-least")
+    linked = full.join(least, "component").select(F.col("_id").alias(id_col), "n_shingles", "component_id")
+    return linked.union(items.where("item IS NULL").select(F.col("_id").alias(id_col), "n_shingles", F.col("_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
