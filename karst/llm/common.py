@@ -19,12 +19,12 @@ from karst.sources.scratch import shared_dir
 __all__ = ["bounded", "discard", "free_name", "partitions", "shared_dir", "sheltered", "table", "tidy", "tidy_groups", "without", "written"]
 
 
-def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, free: bool = False, compression: str | None = None) -> DataFrame:
     """As ``scratch.written``.  free: then the driver's JVM collects its garbage, with which Spark drops the shuffle files of plans that are done.
 
     One collection frees what the plan holds, the next one the plan's shuffles.
     """
-    out = scratch.written(df, name)
+    out = scratch.written(df, name, compression)
     if free:
         for pause in (0.2, 0.1):
             gc.collect()
@@ -74,7 +74,7 @@ def _give_back() -> None:
 
 
 #: Bytes of a batch that a Python worker gets at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if not 0 < block_words <= 10 * WORDS:
         raise ValueError(f"block_words must be from 1 to {10 * WORDS}, as documents and bigrams of a block are numbered in 63 bits")
     bits = shard_bits(bounded(docs))
-    blocks = written(blocks_of(docs, id_col, text_col, words_of, words=block_words), "lm-blocks")
+    blocks = written(blocks_of(docs, id_col, text_col, words_of, words=block_words), "lm-blocks", compression="none")
     good = labels.groupBy(id_col).agg(F.max("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select(F.col(id_col).alias("_good"))
     # Labels grow with the corpus; only ids meet them.
     flags = blocks.select("block", F.posexplode("ids").alias("at", "_id")).join(good, F.expr("_id = _good")).groupBy("block").agg(F.collect_list("at").alias("good"))
@@ -169,7 +169,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sizes = blocks.select(total("n").alias("b"), some("n").alias("db"), total(of_good).alias("t"), some(of_good).alias("dt"))
     totals = [x or 0 for x in sizes.agg(*(F.sum(c) for c in ("b", "db", "t", "dt"))).first()]
     entries = blocks.mapInArrow(_entries(bits), _ENTRIES)
-    counts = written(entries.groupBy("shard").applyInArrow(tidy_groups(_counts), _COUNTS), "lm-counts")
+    counts = written(entries.groupBy("shard").applyInArrow(tidy_groups(_counts), _COUNTS), "lm-counts", compression="none")
     distinct = counts.agg(F.sum("n_words")).first()[0] or 0
     out = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *T.StructType.fromDDL("n_words long, background_loss double, target_loss double").fields])
     told = counts.where("block IS NOT NULL").select("block", "shard", "at", "b", "t")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.llm.blocks import WORDS, blocks_of, by_shard, packed, packed_keys, unpacked, unpacked_keys
+from karst.llm.blocks import blocks_of, by_shard, packed, packed_keys, unpacked, unpacked_keys
 from karst.llm.common import bounded, discard, free_name, table, tidy, tidy_groups, written
 from karst.llm.jaccard_join import verified, words_of
 from karst.llm.linkage import PACKED, Packer, buckets, close, mix, shard_bits, sketch_of
@@ -35,6 +35,8 @@ SHINGLE, PERCENT, MIN_WORDS = 5, 80, 25
 ROWS, RECALL = 3, 0.9995
 #: Words of a window, windows of which one is taken, words between hits that are joined, least words of a passage.
 GRAM, GAP, JOINED, PASSAGE = 13, 13, 5, 50
+#: Words of a block.
+WORDS = 300_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SPACE = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
@@ -206,7 +208,7 @@ _OWN = ["block", "n", "words", "seq", "spots"]
 
 def pages_of(docs: DataFrame, id_col: str, text_col: str, block_words: int = WORDS) -> DataFrame:
     """The blocks of docs, written."""
-    return written(blocks_of(bounded(docs), id_col, text_col, words_of, words=block_words, spots=spots_of), "passage-blocks")
+    return written(blocks_of(bounded(docs), id_col, text_col, words_of, words=block_words, spots=spots_of), "passage-blocks", compression="none")
 
 
 def _paragraphs(blocks: DataFrame, id_col: str, size: int, percent: int, min_words: int) -> DataFrame:
@@ -462,7 +464,7 @@ def _found(bits: int, least: int):
 def _passages(blocks: DataFrame, id_col: str, least: int) -> DataFrame:
     if least < GRAM + GAP - 1:
         raise ValueError(f"runs of fewer than {GRAM + GAP - 1} words need not hold a taken window")
-    bits, own = shard_bits(blocks), T.StructField("_id", blocks.schema["ids"].dataType.elementType)
+    bits, own = shard_bits(blocks) - 1, T.StructField("_id", blocks.schema["ids"].dataType.elementType)
     # Documents by rank: in the order of their ids, null ones last, rows of one id as they stand in the written blocks.
     ids = blocks.select("block", F.posexplode("ids").alias("pos", "_id")).orderBy(F.col("_id").asc_nulls_last(), "block", "pos")
     ids = written(ids.withColumn("rank", F.monotonically_increasing_id()), "passage-ranks")
@@ -470,9 +472,9 @@ def _passages(blocks: DataFrame, id_col: str, least: int) -> DataFrame:
     ranked = blocks.join(ranks, "block")
 
     asked = blocks.select(_OWN).mapInArrow(_asked(bits), _ASKED)
-    known = written(asked.groupBy("shard").applyInArrow(tidy_groups(_known), _KNOWN), "passage-known")
+    known = written(asked.groupBy("shard").applyInArrow(tidy_groups(_known), _KNOWN), "passage-known", compression="none")
     told = ranked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(tidy_groups(_told(bits)), _TOLD)
-    firsts = written(told.groupBy("shard").applyInArrow(tidy_groups(_firsts), _FIRST), "passage-firsts")
+    firsts = written(told.groupBy("shard").applyInArrow(tidy_groups(_firsts), _FIRST), "passage-firsts", compression="none")
     discard(known)
     found = ranked.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(tidy_groups(_found(bits, least)), T.StructType([own, *T.StructType.fromDDL(_PASSAGES).fields]))
     found = written(found, "passages")
