@@ -2,7 +2,8 @@
 
 The normalised n-grams ("windows") of the benchmark form a broadcast hash set.  One pass over
 the documents looks every token window up in it, verifies the hits word by word, and yields the
-hit words, from which spans or whole documents are removed.  No shuffle touches the documents.
+hit words, from which spans or whole documents are removed.  No shuffle touches the documents, unless the benchmark is
+larger than a broadcast may be.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -37,53 +39,65 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class NgramSet:
-    """Windows of the benchmark by length, over ids of the benchmark's own words (0: any other word)."""
+    """Windows of the benchmark by length, over ids of the benchmark's own words (0: any other word).
+
+    Some twenty bytes a window: its hash, sorted, and its place in the items' words, which verify it.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.ids: dict[bytes, int] = {}
-        self.window = window
-        self.by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        self.window, self.names, parts = window, [], []
         for item, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            length = min(window, len(words))
-            for i in range(len(words) - length + 1 if length else 0):
-                self.by_length.setdefault(length, {}).setdefault(tuple(words[i : i + length]), set()).add(item)
-        self.filters = {}
-        for length, windows in self.by_length.items():
-            bits = max(16, (len(windows) * 64).bit_length())
+            words = words_of(text)
+            if words:
+                parts.append(np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.int32))
+                self.names.append(item)
+        size = np.array([len(p) for p in parts], np.int64)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.starts = np.cumsum(size) - size
+        self.tables = {}
+        for length in sorted(set(np.minimum(size, window).tolist())):
+            own = np.flatnonzero(np.minimum(size, window) == length)
+            n = size[own] - length + 1
+            at = np.repeat(self.starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            keys = self._hash(self.words, at, length)
+            order = np.argsort(keys)
+            bits = max(16, (len(keys) * 16).bit_length())
             marks = np.zeros(1 << bits, dtype=bool)
-            grams = np.array(list(windows), dtype=np.uint64).reshape(len(windows), length)
-            marks[self._hash([grams[:, j] for j in range(length)], bits)] = True
-            self.filters[length] = (bits, marks)
+            marks[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.tables[length] = (keys[order], at[order].astype(np.int64), bits, marks)
 
     @staticmethod
-    def _hash(columns: list[np.ndarray], bits: int) -> np.ndarray:
-        h = np.zeros(len(columns[0]), dtype=np.uint64)
-        for c in columns:
-            h = (h ^ c) * np.uint64(_MULTIPLIER)
+    def _hash(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+        h = np.zeros(len(at), dtype=np.uint64)
+        for j in range(length):
+            h = (h ^ words[at + j].astype(np.uint64)) * np.uint64(_MULTIPLIER)
             h ^= h >> np.uint64(29)
-        return (h >> np.uint64(64 - bits)).astype(np.int64)
+        return h
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str], bool]:
         """Which words are hit (None: none), the items that occur, and whether a full window does."""
         if not words or not self.ids:
             return None, set(), False
-        ids = np.fromiter(map(self.ids.get, words, repeat(0)), dtype=np.uint64, count=len(words))
-        known = np.flatnonzero(ids)
+        ids = np.fromiter(map(self.ids.get, words, repeat(0)), dtype=np.int32, count=len(words))
+        known = np.append(0, np.cumsum(ids != 0))
         hit, items, full = None, set(), False
-        for length, windows in self.by_length.items():
-            n = len(words) - length + 1
-            if n < 1 or len(known) < length:
+        for length, (keys, places, bits, marks) in self.tables.items():
+            if len(words) < length:
                 continue
-            bits, marks = self.filters[length]
-            at = np.flatnonzero(marks[self._hash([ids[j : j + n] for j in range(length)], bits)])
-            for i in at.tolist():
-                found = windows.get(tuple(ids[i : i + length].tolist()))
-                if found:
+            at = np.flatnonzero(known[length:] - known[:-length] == length)
+            h = self._hash(ids, at, length)
+            some = marks[(h >> np.uint64(64 - bits)).astype(np.int64)]
+            at, h = at[some], h[some]
+            low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            for i, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                spots = places[a:b]
+                spots = spots[(self.words[spots[:, None] + np.arange(length)] == ids[i : i + length]).all(axis=1)]
+                if len(spots):
                     if hit is None:
                         hit = np.zeros(len(words), dtype=bool)
                     hit[i : i + length] = True
-                    items |= found
+                    items.update(self.names[k] for k in np.unique(np.searchsorted(self.starts, spots, "right") - 1).tolist())
                     full |= length == self.window
         return hit, items, full
 
@@ -118,11 +132,11 @@ def _cut_all(texts: list[str | None], runs: list[list[int]]) -> list[str | None]
     return [cut(t, list(zip(r[::2], r[1::2], strict=True))) if r else t for t, r in zip(texts, runs, strict=True)]
 
 
-def _scanner(shared, at: list[int], text: int, window: int, cut_spans: bool):
+def _scanner(shared, at: list[int], text: int, cut_spans: bool):
     """The Arrow function: the input columns at these places (hit runs cut out of the text, if asked), then n_words, hit_runs (start, end, start, ...), item_ids, full_window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = NgramSet(shared.value, window)
+        grams: NgramSet = shared.value
         for batch in batches:
             n_words, runs, items, full = [], [], [], []
             for value in batch.column(text):
@@ -132,28 +146,31 @@ def _scanner(shared, at: list[int], text: int, window: int, cut_spans: bool):
                 runs.append([] if hit is None else [x for r in _runs(hit) for x in r])
                 items.append(sorted(found))
                 full.append(whole)
-            own = [batch.column(i) for i in at]
-            if cut_spans and any(runs):
-                k = at.index(text)
-                own[k] = pa.array(_cut_all(own[k].to_pylist(), runs), own[k].type)
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(full, pa.bool_())],
-                names=[*(batch.schema.names[i] for i in at), *_FOUND.names],
-            )
+            yield _found(batch, at, text if cut_spans else None, n_words, runs, items, full)
 
     return tidy(run)
 
 
+def _found(batch: pa.RecordBatch, at: list[int], text: int | None, n_words: list, runs: list, items: list, full: list) -> pa.RecordBatch:
+    own = [batch.column(i) for i in at]
+    if text is not None and any(runs):
+        k = at.index(text)
+        own[k] = pa.array(_cut_all(own[k].to_pylist(), runs), own[k].type)
+    more = [pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(full, pa.bool_())]
+    return pa.RecordBatch.from_arrays([*own, *more], names=[*(batch.schema.names[i] for i in at), *_FOUND.names])
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple[str, str | None]]]:
     """The benchmark in blocks of bounded bytes; rows are streamed, so that no more than one partition and one block are held."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(text).alias("t")).where(F.col(text).isNotNull())
     blocks, size = [[]], 0
     for r in rows.toLocalIterator():
-        if size and size + len(r["t"]) > block_bytes:
+        own = len(r["t"].encode("utf-8", "surrogatepass"))
+        if size and size + own > block_bytes:
             blocks.append([])
             size = 0
         blocks[-1].append((r["i"], r["t"]))
-        size += len(r["t"])
+        size += own
     return blocks
 
 
@@ -174,9 +191,9 @@ def contamination(
 
     With cut_spans, which needs the input columns, the hit runs are cut out of the text.
 
-    A benchmark within ``block_bytes`` is broadcast whole.  A larger one is a stated query set: it is
-    taken in blocks of that size, each block scans the documents once, and the rows of the
-    blocks are merged by document; so a broadcast never outgrows its bound.
+    A benchmark within ``block_bytes`` of text is one hash set, broadcast.  A larger one is a stated query set: it is
+    taken in blocks of that size, each block scans the documents once and gives only the rows that it hits, and these meet their
+    documents again by a number; so a broadcast never outgrows its bound, and the rows are the same at every block size.
 
     Null or empty texts have no words and no hits.  Rows that repeat an id each get a row (with
     several blocks the documents are written with a number of their own, by which the blocks' rows are merged).  Benchmark rows without text are
@@ -187,23 +204,21 @@ def contamination(
     docs = bounded(docs)
     docs = without(docs, _FOUND.names) if keep_columns else docs.select(id_col, text_col)
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    names = docs.columns if keep_columns else [c for c in docs.columns if c != text_col or c == id_col]
+    out = T.StructType([*(docs.schema[c] for c in names), *_FOUND.fields])
 
-    def scan(frame: DataFrame, items: list) -> DataFrame:
-        names = frame.columns if keep_columns else [c for c in frame.columns if c != text_col or c == id_col]
+    def scan(frame: DataFrame, items: list, names: list[str], schema: T.StructType, cut: bool) -> DataFrame:
+        shared = spark.sparkContext.broadcast(NgramSet(items, window))
         at = [frame.columns.index(c) for c in names]
-        fn = _scanner(spark.sparkContext.broadcast(items), at, frame.columns.index(text_col), window, cut_spans and len(blocks) == 1)
-        own = [frame.schema[c] for c in names]
-        return frame.mapInArrow(fn, T.StructType([*own, *_FOUND.fields]))
+        return frame.mapInArrow(_scanner(shared, at, frame.columns.index(text_col), cut), schema)
 
     if len(blocks) == 1:
-        return scan(docs, blocks[0])
-    # Many blocks: hits of each block by row, merged.  Rows are numbered and written, as numbers given in a scan may differ in the next.
+        return scan(docs, blocks[0], names, out, cut_spans)
+    # Many blocks: the hits of each, merged by row.  Rows are numbered and written, as numbers given in a scan may differ in the next.
     row = free_name([*docs.columns, *_FOUND.names], "_row")
     docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
-    parts = [scan(docs, b) for b in blocks]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
+    hits = T.StructType([docs.schema[row], *_FOUND.fields])
+    parts = [scan(docs.select(row, text_col), b, [row], hits, False).where(F.size("hit_runs") > 0) for b in blocks]
 
     def join(group: pa.Table) -> pa.Table:
         n = group.column("n_words")[0].as_py()
@@ -212,24 +227,19 @@ def contamination(
             for a, b in zip(r[::2], r[1::2], strict=True):
                 hit[a:b] = True
         items = sorted({i for r in group.column("item_ids").to_pylist() for i in r})
-        first = group.slice(0, 1).select([c for c in group.schema.names if c not in ("hit_runs", "item_ids", "full_window")])
-        out = {c: first.column(c) for c in first.schema.names}
-        runs = [x for r in _runs(hit) for x in r]
-        out |= {"hit_runs": pa.array([runs], pa.list_(pa.int64())), "item_ids": pa.array([items], pa.list_(pa.string())), "full_window": pa.array([any(group.column("full_window").to_pylist())])}
-        return pa.table({c: out[c] for c in group.schema.names})
-
-    merged = merged.groupBy(row).applyInArrow(join, merged.schema).drop(row)
-    if not cut_spans:
-        return merged
-    at, names = merged.columns.index(text_col), merged.columns
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = any(group.column("full_window").to_pylist())
+        return pa.Table.from_batches([_found(group.slice(0, 1).combine_chunks().to_batches()[0], [0], None, [n], [[x for r in _runs(hit) for x in r]], [items], [whole])])
+
+    merged = reduce(DataFrame.unionByName, parts).groupBy(row).applyInArrow(join, hits).drop("n_words").withColumnRenamed(row, "_of")
+    told = docs.join(written(merged, "benchmark-hits"), F.col(row) == F.col("_of"), "left").select(*docs.columns, "hit_runs", "item_ids", "full_window")
+    at, text = [told.columns.index(c) for c in names], told.columns.index(text_col)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = list(batch.columns)
-            own[at] = pa.array(_cut_all(own[at].to_pylist(), batch.column("hit_runs").to_pylist()), own[at].type)
-            yield pa.RecordBatch.from_arrays(own, names=names)
+            runs, items, full = ([x or e for x in batch.column(len(batch.columns) - k).to_pylist()] for k, e in ((3, []), (2, []), (1, False)))
+            yield _found(batch, at, text if cut_spans else None, [len(words_of(x.as_py())) for x in batch.column(text)], runs, items, full)
 
-    return merged.mapInArrow(cut_out, merged.schema)
+    return told.mapInArrow(tidy(finish), out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:
