@@ -3,8 +3,8 @@
 ``parse_arc`` reads the version block of an ARC file and then, by the header line of that version (1 or
 2) and its declared length, record after record.  ``to_warc`` synthesises an equivalent WARC 1.1
 record: identifier, timestamp, type and digests.  Archives are written and read through Spark's own
-sinks and sources (text files of records with CRLF CRLF between them, gzip; binaryFile), so they
-can be in any store that Spark reaches.  Files hold records of one partition and a bounded number of them;
+sinks and sources (text files whose rows are gzip members, one a record; binaryFile), so they
+can be in any store that Spark reaches.  Files hold records of one partition and a bounded number of bytes;
 readers hold one compressed file and one record.
 """
 
@@ -16,6 +16,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -31,8 +32,8 @@ ARC_FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of one archive file, and pages of one legacy archive in memory.
-RECORDS_PER_FILE, ARC_BYTES = 20_000, 8 << 20
+#: Compressed bytes of records in a row of the sink, rows of a file, and pages of one legacy archive in memory.
+ROW_BYTES, ROWS_PER_FILE, ARC_BYTES = 4 << 20, 16, 8 << 20
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:karst:warc")
 
 
@@ -180,9 +181,34 @@ def convert_archives(archives: DataFrame, content_col: str = "content") -> DataF
     return archives.select(content_col).mapInArrow(tidy(run), "record binary")
 
 
+def _member(raw: bytes) -> bytes:
+    """A gzip member that is the same on every machine: without a time."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(raw) + packer.flush()
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """record -> members: gzip members, one a record, some bytes of them to a row."""
+    held, size = [], 0
+    for batch in batches:
+        for value in batch.column(0):
+            held.append(_member((value.as_py() or b"") + b"\r\n\r\n"))
+            size += len(held[-1])
+            if size >= ROW_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["members"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["members"])
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes a binary column ``record`` as gzip WARC files."""
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Writes a binary column ``record`` as WARC files of one gzip member a record, bounded by bytes (a larger record is a row of its own).
+
+    Spark's text sink puts a line separator after each row; here that is an empty gzip member, so a file is members from end to end.
+    """
+    rows = records.select("record").mapInArrow(tidy(_members), "members binary").select(F.col("members").cast("string"))
+    sink = rows.write.option("lineSep", _member(b"").decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none")
+    sink.option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
 
 
 def _through_arc(version: int, date: str):

@@ -161,3 +161,20 @@ def test_deep_and_broken_pages_take_linear_time(unit):
     began = time.time()
     h.extract(html, model)
     assert time.time() - began < 20
+
+
+def test_archives_are_members_of_bounded_files(spark, tmp_path, monkeypatch):
+    """Each record is a gzip member of its own, files end after some bytes, and a whole file is one gzip stream."""
+    monkeypatch.setattr(w, "ROWS_PER_FILE", 2)
+    rng = random.Random(2)
+    rows = [(i, f"http://a/{i}", "".join(rng.choice("abcdefghij <>") for _ in range(3000)), None, None) for i in range(60)]
+    path = tmp_path / "warc"
+    records = spark.createDataFrame([(bytearray(w.to_warc({"url": r[1], "archive-date": "2024", "ip-address": "0.0.0.0", "content-type": "text/html", "block": r[2].encode()})),) for r in rows], "record binary").coalesce(1)
+    big = records.unionByName(records).coalesce(1)
+    w.write_warc(big, str(path))
+    files = sorted(path.glob("part-*"))
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    assert raw.count(b"WARC/1.1\r\n") == 120 and raw.endswith(b"\r\n\r\n")
+    members = sum(f.read_bytes().count(w._member(b"")[:10]) for f in files)
+    assert members >= 120
+    assert len(list(w.parse_warc(io.BytesIO(raw)))) == 120
