@@ -99,6 +99,12 @@ def judged(results: DataFrame, completer: Callable, store: str | None = None) ->
     return results.join(told, "case_index", "left").withColumn("error", F.coalesce("error", "judge_error")).drop("judge_error")
 
 
+def foreign_rows(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """The rows whose case is not the benchmark's of that number: another id, another question, or none."""
+    both = rows.select("case_index", F.col("case_id").alias("_id"), F.col("question").alias("_q")).join(cases, "case_index", "left")
+    return both.where("NOT (_id <=> case_id) OR NOT (_q <=> question)")
+
+
 class Run:
     """One run's folder."""
 
@@ -136,8 +142,7 @@ class Run:
         rows = self.rows()
         if rows is None:
             return cases
-        both = rows.select("case_index", F.col("case_id").alias("_id"), F.col("question").alias("_q")).join(cases, "case_index", "left")
-        if not both.where("NOT (_id <=> case_id) OR NOT (_q <=> question)").isEmpty():
+        if not foreign_rows(rows, cases).isEmpty():
             raise ValueError("the rows are of other cases")
         return ev.to_resume(cases, rows.select("case_index", "error"))
 

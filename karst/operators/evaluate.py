@@ -98,6 +98,14 @@ def run_stats(runs: DataFrame, metrics: list[str], by: list[str] | None = None)
     return stats.where("_all").drop("_all")
 
 
+def nested_stats(runs: DataFrame, paths: list[str]) -> DataFrame:
+    """As ``run_stats``, of the numbers (truths count as 1 and 0) at dotted paths in the runs' documents."""
+    names = {f"_m{i}": p for i, p in enumerate(paths)}
+    picked = runs.select("complete", *[F.col(p).cast("double").alias(n) for n, p in names.items()])
+    named = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return run_stats(picked, list(names)).withColumn("metric", named[F.col("metric")])
+
+
 def is_contract_failure(status: Column, detail: Column) -> Column:
     """Whether a failure is the model's (and scored) or the infrastructure's (and retried)."""
     text = F.lower(F.coalesce(detail, F.lit("")))

@@ -77,3 +77,13 @@ def selected_articles(selections: DataFrame, candidates: DataFrame, s: Settings)
     joined = candidates.withColumnRenamed("rank", "candidate_rank").join(chosen, ["question_id", "article_number"])
     order = Window.partitionBy("question_id").orderBy("position", "uri")
     return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.article_top_k).drop("position")
+
+
+def eligible(nodes: DataFrame) -> DataFrame:
+    """The nodes that a search may find."""
+    return nodes.where("retrieval_eligible")
+
+
+def valid_articles(nodes: DataFrame) -> DataFrame:
+    """The nodes that can be evidence: articles with a number."""
+    return nodes.where("node_kind = 'Article' AND article_number IS NOT NULL")

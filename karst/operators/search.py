@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from karst.functions import scoring
+from karst.operators import rank
 from karst.operators.graph import KEYS
 from karst.settings import Settings
 from karst.sources.scratch import written
@@ -183,7 +184,7 @@ def fuse(vector: DataFrame, lexical: DataFrame, hint: DataFrame, degree: DataFra
 
 def search_concepts(issues: DataFrame, nodes: DataFrame, degree: DataFrame, s: Settings, keys: list[str] = KEYS) -> DataFrame:
     """The fused concepts of every issue.  issues: keys, vector, retrieval_query, hints; nodes: the node table with embeddings."""
-    eligible = nodes.where("retrieval_eligible")
+    eligible = rank.eligible(nodes)
     joined = lambda c: F.concat_ws(" ", c)
     fields = {c: (joined(F.col(c)), b) for c, b in NODE_BOOSTS.items()}
     near = vector_topk(issues.select(*keys, "vector"), eligible, s.vector_candidates, keys)

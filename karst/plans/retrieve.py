@@ -97,7 +97,7 @@ def retrieve_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, embedde
     evidence = written(graph.article_evidence(walks, s), "evidence")
 
     asked = issues.select(*graph.KEYS, normalize_arabic(F.concat_ws(" ", "issue", "retrieval_query", F.array_join("concept_hints", " "))).alias("_q"))
-    told = facts.where("node_kind = 'Article' AND article_number IS NOT NULL").withColumn("full", article_text(F.col("labels_ar"), F.col("labels_en"), F.col("text")))
+    told = rank.valid_articles(facts).withColumn("full", article_text(F.col("labels_ar"), F.col("labels_en"), F.col("text")))
     told = written(told.withColumn("_a", normalize_arabic(F.col("full"))), "articles")
     asked = written(asked, "asked")
     scored = evidence.select(*graph.KEYS, "uri").join(told, "uri").join(asked, graph.KEYS).withColumn("issue_relevance", relevance(F.col("_q"), F.col("_a")))

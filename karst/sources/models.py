@@ -57,6 +57,13 @@ def usage(input_tokens, output_tokens) -> dict:
     return {"input_tokens": int(input_tokens or 0), "output_tokens": int(output_tokens or 0), "total_tokens": int(input_tokens or 0) + int(output_tokens or 0)}
 
 
+def usage_total(calls: DataFrame, by: list[str]) -> DataFrame:
+    """by, input_tokens, output_tokens, total_tokens: what calls (tokens: a usage record, null counts as 0) used."""
+    n = lambda k: F.coalesce(F.sum(F.col("tokens")[k]), F.lit(0)).cast("long")
+    used = calls.groupBy(*by).agg(n("input_tokens").alias("input_tokens"), n("output_tokens").alias("output_tokens"))
+    return used.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
+
+
 def ask(requests: DataFrame, completer: Callable, store: str | None = None) -> DataFrame:
     """The responses to distinct requests, written: those of ``store`` (a folder, made where there is none), and those of the calls that are left.
 

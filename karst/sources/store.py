@@ -38,8 +38,13 @@ def ensure_store(spark: SparkSession, name: str, schema: T.StructType, reset: bo
 
 
 def describe_store(spark: SparkSession, name: str) -> DataFrame:
-    """column, type, tokenization, searchable, filterable."""
-    fields = spark.table(name).schema.fields
+    """column, type, tokenization, searchable, filterable of a table."""
+    return described(spark, spark.table(name).schema)
+
+
+def described(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """column, type, tokenization, searchable, filterable of a schema."""
+    fields = schema.fields
     rows = [(f.name, f.dataType.simpleString(), f.metadata.get("tokenization"), f.metadata.get("searchable"), f.metadata.get("filterable")) for f in fields]
     return spark.createDataFrame(rows, "column string, type string, tokenization string, searchable boolean, filterable boolean")
 
@@ -76,6 +81,8 @@ def ingest(spark: SparkSession, nodes: DataFrame, edges: DataFrame, node_table:
 
 def embed(rows: DataFrame, embedder, text_col: str = "searchable_text", batch: int = 32) -> DataFrame:
     """rows with ``embedding`` by embedder(list of texts) -> list of vectors; blank texts, wrong counts or dimensions and values that are not finite are errors."""
+    if batch < 1:
+        raise ValueError("a batch has at least one text")
     schema = T.StructType([*[f for f in rows.schema.fields if f.name != "embedding"], T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(frames):
