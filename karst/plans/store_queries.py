@@ -137,7 +137,7 @@ PARSED = T.StructType([T.StructField("n", T.LongType()), T.StructField("kind", T
 #: Replies by the number of an event: its text, and what is wrong with it.
 REPLIES = [
     ('{{"n": {k}, "kind": "a"}}', None), ('{{"n": {k}, "kind": "b", "share": null, "parts": [{{"k": "x"}}]}}', None), ('{{"n": "{k}", "kind": "a"}}', "wrong_type $.n"), ('{{"n": {k}.5, "kind": "a"}}', "wrong_type $.n"),
-    ('{{"n": {k}}}', "missing_keys"), ('{{"n": {k}, "kind": "a", "z": 1}}', "unknown_keys"), ('{{"n": {k}, "kind": "c"}}', "not_in_enum $.kind"), ('{{"n": -1{k}, "kind": "a"}}', "out_of_bounds $.n"),
+    ('{{"n": {k} }}', "missing_keys"), ('{{"n": {k}, "kind": "a", "z": 1}}', "unknown_keys"), ('{{"n": {k}, "kind": "c"}}', "not_in_enum $.kind"), ('{{"n": -1{k}, "kind": "a"}}', "out_of_bounds $.n"),
     ('{{"n": {k}, "kind": "a", "parts": [{{"k": "x"}}, {{"k": 1}}]}}', "wrong_type $.parts[].k"), ('{{"n": {k}, "kind": "a", "parts": [{{"q": 1}}]}}', "unknown_keys $.parts[]"), ('{{"n": {k}, "kind": "a", "parts": [1, 2, 3]}}', "out_of_bounds $.parts"), ('{{"n": {k}, "kind": "a"', "malformed"), ("[{k}]", "malformed"),
     ('{{"n": {k}, "kind": "a", "share": true}}', "wrong_type $.share"), ('{{"n": {k}, "kind": "a", "parts": [{{"k": ""}}]}}', "out_of_bounds $.parts[].k"),
 ]
