@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from karst.llm.common import bounded, shared_dir, table, tidy, without, written
 from karst.llm.tokens import default_vocabulary, encoder, file_digest
 
+#: Bytes that a digest takes in a broadcast, at most, and what a broadcast may have.
+SPECIAL_BYTES, BROADCAST_BYTES = 200, 32 << 20
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
 
@@ -53,7 +55,8 @@ def token_counts(
     Normalised content is the text as UTF-8, null as empty (other normalisation would change
     counts).  Repeated contents, however many, are encoded once: the representative is chosen on
     digests alone, with a map-side minimum, so that copies of a text never meet in one task with their
-    texts.  Without ``cache_path`` the cache lives in a fresh shared folder.  Repeated rows each
+    texts.  Texts stay where they are while the digests of repeated and stored contents fit a broadcast of
+    BROADCAST_BYTES; beyond it they are joined by digest, and the planner splits a hot one.  Without ``cache_path`` the cache lives in a fresh shared folder.  Repeated rows each
     get a row (and are encoded each); null ids are kept; an empty table gives an empty result.
     """
     spark = bounded(docs).sparkSession
@@ -67,12 +70,15 @@ def token_counts(
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("content_digest"),
     )
     keys = written(content.select(id_col, "content_digest", F.octet_length("_text").cast("long").alias("n_bytes")), "content-keys")
-    first = keys.groupBy("content_digest").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col))).getField(id_col).alias("_first"))
-    missing = first.join(read_cache(spark, path, version), "content_digest", "left_anti")
-    # An id and its digest name a row (or its repetitions), so no key of this join is hot.
-    same = (content["content_digest"] == missing["content_digest"]) & content[id_col].eqNullSafe(missing["_first"])
-    chosen = content.join(missing.hint("shuffle_hash"), same, "left_semi").select("content_digest", "_text")
-    chosen.mapInArrow(_count(vocabulary, version), CACHE_SCHEMA).write.mode("append").parquet(path)
+    first = keys.groupBy("content_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col(id_col).isNull(), F.col(id_col))).getField(id_col).alias("_first"))
+    # Contents that occur twice or that the cache has; of all others the row at hand is the only one, and is encoded where it lies.
+    known = read_cache(spark, path, version).withColumnRenamed("n_tokens", "_known")
+    special = first.join(known, "content_digest", "left").where("_n > 1 OR _known IS NOT NULL")
+    special = written(special.select(F.col("content_digest").alias("_digest"), "_first", F.col("_known").isNotNull().alias("_done")), "content-special")
+    small = special.count() * SPECIAL_BYTES <= BROADCAST_BYTES
+    told = content.join(F.broadcast(special) if small else special, F.expr("content_digest = _digest"), "left")
+    mine = F.col("_digest").isNull() | (~F.col("_done") & F.col(id_col).eqNullSafe(F.col("_first")))
+    told.where(mine).select("content_digest", "_text").mapInArrow(_count(vocabulary, version), CACHE_SCHEMA).write.mode("append").parquet(path)
     # Written, so that both sides of the last join are plain exchanges, of which the planner splits a hot text's.
     counts = written(first.select("content_digest").join(read_cache(spark, path, version), "content_digest"), "content-counts")
     counted = keys.join(counts, "content_digest")
