@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import sheltered, table, written
+from karst.llm.common import free_name, sheltered, table, written
 
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["id", "person"]
@@ -222,10 +222,15 @@ def personal_data(docs: DataFrame, *, text_col: str = "text", carry: list[str] |
 
     Kinds are email, ip, card, phone, and for added spans also id and person; rank orders them so.  Null texts are
     empty and have none.  Repeated rows are searched each; an empty table gives an empty result.
-    The labelers and the classifier see the candidates of all rows.  A column of docs named pii is replaced.
+    The labelers and the classifier see the candidates of all rows.  A column of docs named pii is replaced;
+    other names don't matter.  Very long texts, and texts of very many matches, are searched whole, in linear time.
     """
-    carry = list(docs.columns) if carry is None else carry
-    found = written(found_in(docs, text_col).select(*carry, "_cases"), "pii")
+    carry = [c for c in docs.columns if c.lower() != "pii"] if carry is None else carry
+    # Columns that are named like what the search adds have other names meanwhile.
+    inner = {f"_{k}" for k in KINDS} | {"_found", "_cases"}
+    away = {c: free_name([*docs.columns, *inner], f"own{c}") for c in docs.columns if c.lower() in inner}
+    text_col, back = away.get(text_col, text_col), {v: k for k, v in away.items() if k in carry}
+    found = written(found_in(docs.withColumnsRenamed(away), text_col).select(*[away.get(c, c) for c in carry], "_cases"), "pii")
     cases = found.select(F.explode("_cases").alias("c")).select("c.kind", "c.strict", "c.votes", "c.shape")
     patterns = [(r["kind"], r["strict"], list(r["votes"]), r["shape"], r["count"]) for r in cases.groupBy("kind", "strict", "votes", "shape").count().collect()]
     weights, _ = learn(patterns)
@@ -244,7 +249,7 @@ def personal_data(docs: DataFrame, *, text_col: str = "text", carry: list[str] |
 
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
     span = lambda c: F.struct(c["start"].alias("start"), rank[c["kind"]].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"), (~c["strict"]).alias("added"))
-    return found.withColumn("pii", F.array_sort(F.transform(F.filter("_cases", accepted), span))).drop("_cases")
+    return found.withColumn("pii", F.array_sort(F.transform(F.filter("_cases", accepted), span))).drop("_cases").withColumnsRenamed(back)
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -276,7 +281,7 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     def run(d: DataFrame) -> DataFrame:
         return personal_data(d, text_col=text_col).withColumn(text_col, F.when(F.size("pii") > 0, cleaned).otherwise(text))
 
-    return sheltered(docs, [*(f"_{k}" for k in KINDS), "_found", "_cases", "pii"], run)
+    return sheltered(docs, ["pii"], run)
 
 
 def _joined(spans: Column) -> Column:
