@@ -130,3 +130,15 @@ def test_settings():
     with pytest.raises(ValueError):
         Settings(max_hops=4)
     assert F is not None
+
+
+def test_closure_at_any_depth(spark):
+    """A chain of 200, a ladder of many ways, cycles, and resources that no root reaches."""
+    pairs = [(f"c{i + 1}", f"c{i}") for i in range(200)] + [("c0", "root"), ("root", "c150")]
+    pairs += [(f"l{i + 1}{x}", f"l{i}{y}") for i in range(20) for x in "ab" for y in "ab"] + [("l0a", "root"), ("far", "away"), ("away", "far"), ("self", "self")]
+    got = sorted(r.uri for r in build.closure(spark.createDataFrame(pairs, "child string, parent string"), ["root", "other"]).collect())
+    below, frontier = {"root", "other"}, {"root", "other"}
+    while frontier:
+        frontier = {c for c, p in pairs if p in frontier} - below
+        below |= frontier
+    assert got == sorted(below)
