@@ -169,7 +169,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sizes = blocks.select(total("n").alias("b"), some("n").alias("db"), total(of_good).alias("t"), some(of_good).alias("dt"))
     totals = [x or 0 for x in sizes.agg(*(F.sum(c) for c in ("b", "db", "t", "dt"))).first()]
     entries = blocks.mapInArrow(_entries(bits), _ENTRIES)
-    counts = written(entries.groupBy("shard").applyInArrow(tidy_groups(_counts), _COUNTS), "lm-counts", compression="none")
+    counts = written(entries.groupBy("shard").applyInArrow(tidy_groups(_counts), _COUNTS), "lm-counts", free=True, compression="none")
     distinct = counts.agg(F.sum("n_words")).first()[0] or 0
     out = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *T.StructType.fromDDL("n_words long, background_loss double, target_loss double").fields])
     told = counts.where("block IS NOT NULL").select("block", "shard", "at", "b", "t")

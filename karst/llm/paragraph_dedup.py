@@ -233,7 +233,7 @@ def _paragraphs(blocks: DataFrame, id_col: str, size: int, percent: int, min_wor
     counts = places.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"))
     counts = counts.join(parts, "item", "left").withColumn("class_id", F.coalesce("component", "item"))
     classes = counts.groupBy("class_id").agg(F.sum("n").alias("n_in_class"), F.min("least").alias("least")).where("n_in_class > 1")
-    told = written(counts.where("n > 1 OR component IS NOT NULL").select("item", "class_id").join(classes, "class_id"), "paragraph-classes")
+    told = written(counts.where("n > 1 OR component IS NOT NULL").select("item", "class_id").join(classes, "class_id"), "paragraph-classes", free=True)
     out = places.join(told, "item")
     kept = (F.col("block") == F.col("least.block")) & (F.col("at") == F.col("least.at")) & (F.col("paragraph") == F.col("least.paragraph"))
     return out.select(F.col("_id").alias(id_col), "paragraph", "start", "end", "n_words", "class_id", F.col("least._id").alias(f"kept_{id_col}"), F.col("least.paragraph").alias("kept_paragraph"), "n_in_class", (~kept).alias("removed"))
@@ -467,17 +467,17 @@ def _passages(blocks: DataFrame, id_col: str, least: int) -> DataFrame:
     bits, own = shard_bits(blocks) - 1, T.StructField("_id", blocks.schema["ids"].dataType.elementType)
     # Documents by rank: in the order of their ids, null ones last, rows of one id as they stand in the written blocks.
     ids = blocks.select("block", F.posexplode("ids").alias("pos", "_id")).orderBy(F.col("_id").asc_nulls_last(), "block", "pos")
-    ids = written(ids.withColumn("rank", F.monotonically_increasing_id()), "passage-ranks")
+    ids = written(ids.withColumn("rank", F.monotonically_increasing_id()), "passage-ranks", free=True)
     ranks = ids.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "rank"))).alias("r")).select("block", F.col("r.rank").alias("ranks"))
     ranked = blocks.join(ranks, "block")
 
     asked = blocks.select(_OWN).mapInArrow(_asked(bits), _ASKED)
-    known = written(asked.groupBy("shard").applyInArrow(tidy_groups(_known), _KNOWN), "passage-known", compression="none")
+    known = written(asked.groupBy("shard").applyInArrow(tidy_groups(_known), _KNOWN), "passage-known", free=True, compression="none")
     told = ranked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(tidy_groups(_told(bits)), _TOLD)
-    firsts = written(told.groupBy("shard").applyInArrow(tidy_groups(_firsts), _FIRST), "passage-firsts", compression="none")
+    firsts = written(told.groupBy("shard").applyInArrow(tidy_groups(_firsts), _FIRST), "passage-firsts", free=True, compression="none")
     discard(known)
     found = ranked.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(tidy_groups(_found(bits, least)), T.StructType([own, *T.StructType.fromDDL(_PASSAGES).fields]))
-    found = written(found, "passages")
+    found = written(found, "passages", free=True)
     discard(firsts)
     used = ids.join(found.select(F.col("first").alias("rank")).distinct(), "rank", "left_semi").select(F.col("rank").alias("first"), F.col("_id").alias(f"kept_{id_col}"))
     none = F.lit(None).cast("long")
