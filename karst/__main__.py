@@ -54,7 +54,7 @@ class Models:
     @property
     def completer(self) -> Callable:
         """Built when it is first needed."""
-        self._completer = self._completer or build_completer(self.s)
+        self._completer = self._completer or build_completer(self.s, schemas=plans.STAGE_SCHEMAS | {"judge": runs.GRADES})
         return self._completer
 
     @property
@@ -220,7 +220,7 @@ def main(argv: list[str] | None = None, models: Models | None = None) -> int:
                 if not report["is_valid"]:
                     raise ValueError("the graph is not valid")
                 dimensions = probe(models.embedder)
-                embedded = store.embed(nodes, models.embedder, "searchable_text", s.embedding_batch_size)
+                embedded = store.embed_within(nodes, models.embedder, "searchable_text", s.embedding_batch_size)
                 done = store.ingest(spark, embedded, edges, s.node_table, s.edge_table, reset=args.reset, valid=report["is_valid"])
                 out = {"stored": [r.asDict() for r in done.collect()], "dimensions": dimensions}
             else:

@@ -58,6 +58,10 @@ SCHEMAS = {
 }
 
 
+#: The schemas by stage, as providers are told them.
+STAGE_SCHEMAS = {"planner": SCHEMAS["plan"], "verifier": SCHEMAS["plan"], "reranker": SCHEMAS["selection"], "writer": SCHEMAS["draft"], "rewriter": SCHEMAS["draft"]}
+
+
 def _asked(rows: DataFrame, stage: str, instructions, payload, limit: int, completer: Callable, schema: T.StructType, name: str, store: str | None = None) -> DataFrame:
     """rows with ``name``, the parsed reply to each row's request, ``name``_error, and ``tokens`` (its input and output tokens).
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from karst.operators.build import GROUPS
+from karst.sources.scratch import written
 
 
 def _text(name: str, kind: T.DataType, searchable: bool) -> T.StructField:
@@ -65,6 +68,12 @@ def ingest(spark: SparkSession, nodes: DataFrame, edges: DataFrame, node_table:
     """
     if not valid:
         raise ValueError("the graph is not valid")
+    if "embedding_error" in nodes.columns:  # nothing is dropped or written while a row has none
+        nodes = written(nodes, "embedded-nodes")
+        failed = nodes.where("embedding_error IS NOT NULL").select("uri", "embedding_error")
+        first = failed.orderBy("uri").first()
+        if first is not None:
+            raise ValueError(f"{failed.count()} nodes could not be embedded, first {first.uri}: {first.embedding_error}")
     counts = []
     for name, rows, schema in ((node_table, nodes, NODE_SCHEMA), (edge_table, edges, EDGE_SCHEMA)):
         ensure_store(spark, name, schema, reset)
@@ -79,24 +88,52 @@ def ingest(spark: SparkSession, nodes: DataFrame, edges: DataFrame, node_table:
     return spark.createDataFrame(counts, "table string, requested long, stored long")
 
 
+def _vectors(embedder, texts: list[str], size: int | None) -> list[list[float]]:
+    if not all(texts):
+        raise ValueError("a text to embed is empty")
+    vectors = [list(map(float, v)) for v in embedder(texts)]
+    if len(vectors) != len(texts) or any(len(v) != (size or len(vectors[0])) for v in vectors) or not all(math.isfinite(x) for v in vectors for x in v):
+        raise ValueError("the embedder's vectors are not one finite vector of the same size for each text")
+    return vectors
+
+
 def embed(rows: DataFrame, embedder, text_col: str = "searchable_text", batch: int = 32) -> DataFrame:
     """rows with ``embedding`` by embedder(list of texts) -> list of vectors; blank texts, wrong counts or dimensions and values that are not finite are errors."""
+    return _embed(rows, embedder, text_col, batch, None)
+
+
+def embed_within(rows: DataFrame, embedder, text_col: str = "searchable_text", batch: int = 32, budget: int = 10) -> DataFrame:
+    """The same with ``embedding_error``: a batch that fails is told in its rows, and a task with more than ``budget`` failed batches asks no more."""
+    return _embed(rows, embedder, text_col, batch, budget)
+
+
+def _embed(rows: DataFrame, embedder, text_col: str, batch: int, budget: int | None) -> DataFrame:
     if batch < 1:
         raise ValueError("a batch has at least one text")
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "embedding"], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    more = [T.StructField("embedding", T.ArrayType(T.FloatType()))] + ([T.StructField("embedding_error", T.StringType())] if budget is not None else [])
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name not in ("embedding", "embedding_error")], *more])
 
     def run(frames):
-        import math
-
-        size = None
+        size, failed = None, 0
         for frame in frames:
             texts = [str(t or "").strip() for t in frame[text_col]]
-            if not all(texts):
-                raise ValueError("a text to embed is empty")
-            vectors = [list(map(float, v)) for k in range(0, len(texts), batch) for v in embedder(texts[k : k + batch])]
-            size = size or (len(vectors[0]) if vectors else None)
-            if len(vectors) != len(texts) or any(len(v) != size for v in vectors) or not all(map(math.isfinite, (x for v in vectors for x in v))):
-                raise ValueError("the embedder's vectors are not one finite vector of the same size for each text")
-            yield frame.drop(columns=["embedding"], errors="ignore").assign(embedding=vectors)
+            vectors, errors = [], []
+            for k in range(0, len(texts), batch):
+                own = texts[k : k + batch]
+                try:
+                    if budget is not None and failed > budget:
+                        raise RuntimeError(f"not asked for after {failed} failed batches")
+                    found = _vectors(embedder, own, size)
+                    size = size or len(found[0])
+                    vectors += found
+                    errors += [None] * len(own)
+                except Exception as e:
+                    if budget is None:
+                        raise
+                    failed += 1
+                    vectors += [None] * len(own)
+                    errors += [f"{type(e).__name__}: {e}"[:1000]] * len(own)
+            frame = frame.drop(columns=["embedding", "embedding_error"], errors="ignore").assign(embedding=vectors)
+            yield frame if budget is None else frame.assign(embedding_error=errors)
 
     return rows.mapInPandas(run, schema)

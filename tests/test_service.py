@@ -12,10 +12,11 @@ from test_retrieve import embedder
 
 from karst import evaluation as runs
 from karst import settings
-from karst.__main__ import Models, main
+from karst.__main__ import Models, debugged, main
 from karst.server import Service
 from karst.settings import Settings
 from karst.sources import providers as p
+from karst.sources import store
 from karst.sources.models import ask, complete_with_retry
 from karst.sources.structured import strict_schema
 
@@ -126,6 +127,29 @@ def test_replies_are_stored_and_fail_by_row(spark, tmp_path):
     assert sorted(r.text for r in ask(rows, None, folder).collect()) == ["[]", "{}"]
 
 
+def test_embedding_errors_have_a_budget(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.write_text("")
+
+    def flaky(texts):
+        with open(calls, "a") as f:
+            f.write("x")
+        if any("bad" in t for t in texts):
+            raise OSError("down")
+        return [[1.0] for _ in texts]
+
+    rows = spark.createDataFrame([(f"u{i:02}", "bad" if i % 2 else "good") for i in range(40)], "uri string, searchable_text string").coalesce(1)
+    got = store.embed_within(rows, flaky, batch=1, budget=3).orderBy("uri").collect()
+    assert [r.embedding for r in got[:6:2]] == [[1.0]] * 3 and got[1].embedding_error == "OSError: down"
+    assert len(calls.read_text()) < 12 and "not asked" in got[39].embedding_error
+    edges = spark.createDataFrame([], store.EDGE_SCHEMA)
+    with pytest.raises(ValueError, match="could not be embedded, first u01"):
+        store.ingest(spark, store.embed_within(rows, flaky, batch=1), edges, "never_nodes", "never_edges")
+    assert not spark.catalog.tableExists("never_nodes")
+    with pytest.raises(ValueError, match="at least one"):
+        store.embed(rows, flaky, batch=0)
+
+
 def test_server():
     def retrieve(body):
         if "question" not in body:
@@ -185,7 +209,8 @@ def test_commands_end_to_end(spark, tmp_path, capsys, monkeypatch):
         assert run("describe")[1]["e2e_nodes"]["rows"] > 0
         code, found = run("retrieve", "ما حكم تأخير الأجر والإجازة؟", "--output", str(tmp_path / "found.json"))
         assert code == 0 and found["articles"] and json.loads((tmp_path / "found.json").read_text(encoding="utf-8")) == found
-        assert "text" not in run("retrieve", "ما حكم تأخير الأجر والإجازة؟", "--debug", "--compact")[1]["articles"][0]
+        small = debugged(found | {"x": 0.123456789123})
+        assert "text" not in small["articles"][0] and small["x"] == 0.12345679
         assert run("retrieve", "x")[0] == 1
         code, said = run("generate", str(tmp_path / "found.json"))
         assert code == 0 and said["status"] == "generated" and said["citations"]
@@ -200,7 +225,7 @@ def test_commands_end_to_end(spark, tmp_path, capsys, monkeypatch):
         ]
         bench = tmp_path / "bench.json"
         bench.write_text(json.dumps({"frozen": True, "cases": cases}, ensure_ascii=False), encoding="utf-8")
-        code, total = run("evaluate", str(bench), "--runs", "2", "--limit", "2", "--batch", "1", "--output", str(tmp_path / "runs"))
+        code, total = run("evaluate", str(bench), "--runs", "2", "--limit", "2", "--batch", "2", "--output", str(tmp_path / "runs"))
         assert code == 0 and total["runs"] == 2 and total["complete"] and total["metrics"]["summary.routing_accuracy"]["mean"] == 1.0
         one = json.loads((tmp_path / "runs/run-1.json").read_text(encoding="utf-8"))
         assert one["summary"]["questions_completed"] == 2 and [r["end_to_end_pass"] for r in one["rows"]] == [True, True]
