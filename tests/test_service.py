@@ -225,8 +225,8 @@ def test_commands_end_to_end(spark, tmp_path, capsys, monkeypatch):
         ]
         bench = tmp_path / "bench.json"
         bench.write_text(json.dumps({"frozen": True, "cases": cases}, ensure_ascii=False), encoding="utf-8")
-        code, total = run("evaluate", str(bench), "--runs", "2", "--limit", "2", "--batch", "2", "--output", str(tmp_path / "runs"))
-        assert code == 0 and total["runs"] == 2 and total["complete"] and total["metrics"]["summary.routing_accuracy"]["mean"] == 1.0
+        code, total = run("evaluate", str(bench), "--runs", "1", "--limit", "2", "--batch", "2", "--output", str(tmp_path / "runs"))
+        assert code == 0 and total["runs"] == 1 and total["complete"] and total["metrics"]["summary.routing_accuracy"]["mean"] == 1.0
         one = json.loads((tmp_path / "runs/run-1.json").read_text(encoding="utf-8"))
         assert one["summary"]["questions_completed"] == 2 and [r["end_to_end_pass"] for r in one["rows"]] == [True, True]
         assert run("evaluate", str(bench), "--limit", "2", "--judge-model", "other", "--output", str(tmp_path / "runs"))[1]["detail"].startswith("the run is of another identity: judge")
