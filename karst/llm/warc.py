@@ -34,6 +34,8 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Compressed bytes of records in a row of the sink, rows of a file, and pages of one legacy archive in memory.
 ROW_BYTES, ROWS_PER_FILE, ARC_BYTES = 4 << 20, 16, 8 << 20
+#: Compression of records: on members of some kilobytes level 6 takes more than twice the time of level 1 and saves 6 % of the bytes.
+LEVEL = 1
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:karst:warc")
 
 
@@ -183,7 +185,7 @@ def convert_archives(archives: DataFrame, content_col: str = "content") -> DataF
 
 def _member(raw: bytes) -> bytes:
     """A gzip member that is the same on every machine: without a time."""
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return packer.compress(raw) + packer.flush()
 
 
@@ -268,7 +270,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for value in batch.column(0):
             rows: list[tuple] = []
-            for head, block in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(value.as_py()))):
+            for head, block in parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(value.as_py())), 1 << 16)):
                 if head["warc-type"] not in ("response", "revisit"):
                     continue
                 http, payload = split_http(block)
