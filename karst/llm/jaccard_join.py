@@ -12,7 +12,7 @@ their whole sets.  No link is lost; identical sets are one item from the start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -98,7 +98,7 @@ def keys_of(s: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
         at = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         count = np.diff(np.append(at, n))
         present = segment[at]
-        tag = np.uint64(group + 1) * _GRP
+        tag = np.uint64((group + 1) * int(_GRP) & 0xFFFFFFFFFFFFFFFF)
         key = mix(np.bitwise_xor.reduceat(masks, at) ^ mix(present * _SEG + tag + count.astype(np.uint64) * _CNT))
         if len(key) > d + 1:
             key = key[np.lexsort((key, -count))[: d + 1]]
@@ -121,7 +121,7 @@ def _ids(size: int):
     return tidy(run)
 
 
-def _keys(size: int, percent: int, bits: int):
+def _keys(size: int, percent: int, bits: int, keys_of: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(bits), set()
         for batch in batches:
@@ -182,13 +182,14 @@ def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(_check(percent), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, keys: Callable = keys_of) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links, itself included) of every row.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of distinct
     ``size``-word shingles; a text of fewer words is one shingle.  Null texts and texts without words have
     empty sets and link with nothing, not even with each other.  Repeated rows have equal sets and link.
-    Null ids are ignored by the minimum; a component without other ids has a null one.  Texts are taken whole, however long, and
+    keys(set, percent) gives the (side, keys) under which a set is a candidate; links of colliding sets are
+    all found, whatever the keys.  Null ids are ignored by the minimum; a component without other ids has a null one.  Texts are taken whole, however long, and
     columns beyond the id and the text are not looked at.  An empty table gives
     an empty result.
     """
@@ -197,7 +198,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     items = blocks.mapInArrow(_ids(size), T.StructType([T.StructField("block", T.LongType()), own, *T.StructType.fromDDL("n_shingles long, item long").fields]))
     items = written(items, "jaccard-items")
     bits, plain = shard_bits(docs), blocks.select("block", "n", "words", "seq")
-    found = buckets(plain.mapInArrow(_keys(size, percent, bits), PACKED), "jaccard-buckets")
+    found = buckets(plain.mapInArrow(_keys(size, percent, bits, keys), PACKED), "jaccard-buckets")
 
     # Whole sets only of items in buckets, from one block each; a block's items are at most its documents.
     inside = found.select(F.explode(F.concat("small", "large")).alias("item")).distinct()

@@ -7,6 +7,7 @@ from karst.llm.html_extract import op2_html_extract
 from karst.llm.jaccard_join import op5_jaccard_join
 from karst.llm.jaccard_sql import OP5_SQL
 from karst.llm.lm_score import op7_lm_score
+from karst.llm.minhash_dedup import OP12_SQL, op12_minhash_dedup
 from karst.llm.packing import op4_packing
 from karst.llm.paragraph_dedup import op9_paragraph_dedup
 from karst.llm.pii import op10_pii
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_pii": op10_pii,
+    "op12_minhash_dedup": op12_minhash_dedup,
 }
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,
     "op3_quality": OP3_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op6_warc": OP6_SQL,
+    "op12_minhash_dedup": OP12_SQL,
 }
