@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from karst.llm.alignment import op13_alignment
 from karst.llm.decontaminate import OP1_SQL, op1_decontaminate
 from karst.llm.html_extract import op2_html_extract
 from karst.llm.jaccard_join import op5_jaccard_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_pii": op10_pii,
     "op12_minhash_dedup": op12_minhash_dedup,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL = {
     "op1_decontaminate": OP1_SQL,

@@ -32,7 +32,7 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def _byte_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """Byte-level BPE writes each byte as a printable character; this is the inverse."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -52,8 +52,8 @@ class Encoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         special_ids = {t["id"] for t in spec["added_tokens"]}
-        byte_of = _byte_of()
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special_ids}
+        of = byte_of()
+        ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special_ids}
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.dtype("<u2") if max(spec["model"]["vocab"].values()) < 1 << 16 else np.dtype("<u4")
 
@@ -74,7 +74,23 @@ class Encoder:
         return self._library
 
 
+class PlainEncoder(Encoder):
+    """The same for texts in which special tokens' strings are plain text."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.special = []
+
+    def library(self):
+        super().library().encode_special_tokens = True
+        return self._library
+
+    def vocabulary(self) -> dict[str, int]:
+        return self.library().get_vocab(with_added_tokens=False)
+
+
 _encoders: dict[str, Encoder] = {}
+_plain: dict[str, PlainEncoder] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -82,3 +98,9 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def plain_encoder(path: str) -> PlainEncoder:
+    if path not in _plain:
+        _plain[path] = PlainEncoder(path)
+    return _plain[path]
