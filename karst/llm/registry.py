@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from karst.llm.alignment import op13_alignment
+from karst.llm.conversations import op11_conversation_repair
 from karst.llm.decontaminate import OP1_SQL, op1_decontaminate
 from karst.llm.html_extract import op2_html_extract
 from karst.llm.jaccard_join import op5_jaccard_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_pii": op10_pii,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_minhash_dedup": op12_minhash_dedup,
     "op13_alignment": op13_alignment,
 }
