@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from karst import evaluation as runs
-from karst.operators import build
+from karst.operators import build, graph, search
 from karst.operators import evaluate as ev
 from karst.plans import retrieve as plans
 from karst.server import Service
@@ -91,6 +91,11 @@ def debugged(found: dict) -> dict:
     return rounded(found)
 
 
+def indexes(spark, s: Settings) -> dict:
+    """The stored index and packed edges of the stores, as far as they are there."""
+    return {"index": search.node_index(spark, f"{s.node_table}_words"), "walks": graph.packed(spark, f"{s.edge_table}_walks")}
+
+
 class Engine:
     """One question at a time over the stores, as the command line and the server ask it."""
 
@@ -102,7 +107,7 @@ class Engine:
         if not isinstance(question, str):
             raise ValueError("question must be a text")
         questions = self.spark.createDataFrame([(1, question)], "question_id int, question string")
-        found = plans.retrieve(questions, self.spark.table(self.s.node_table), self.spark.table(self.s.edge_table), completer=self.models.completer, embedder=self.models.embedder, settings=self.s)
+        found = plans.retrieve(questions, self.spark.table(self.s.node_table), self.spark.table(self.s.edge_table), completer=self.models.completer, embedder=self.models.embedder, settings=self.s, **indexes(self.spark, self.s))
         row = json.loads(found.select(to_document(F.struct(*found.columns)).alias("d")).first().d)
         if row["status"] == "error" and row["decision"]["reason"] == "question_too_short":
             raise ValueError("the question is too short")
@@ -133,7 +138,7 @@ def _evaluate(spark, s: Settings, models: Models, args) -> dict:
 
     def do(part):
         asked = part.select(F.col("case_index").cast("int").alias("question_id"), "question")
-        found = written(plans.retrieve(asked, nodes, edges, completer=models.completer, embedder=models.embedder, settings=s), "run-retrieved")
+        found = written(plans.retrieve(asked, nodes, edges, completer=models.completer, embedder=models.embedder, settings=s, **indexes(spark, s)), "run-retrieved")
         said = plans.generate(found.where("status = 'ok'"), completer=models.completer, settings=s, model=s.llm_model).select("question_id", F.col("status").alias("status"), "answer", F.col("cited_article_numbers").alias("cited"), "warnings", "model")
         told = found.select("question_id", F.col("decision.behavior").alias("behavior"), F.col("diagnostics.article_numbers").alias("given"), F.col("decision.planner_used").alias("planner_used"), F.when(F.col("status") == "error", F.col("decision.reason")).alias("_lost")).join(said, "question_id", "left")
         told = told.withColumn("_bad", F.when(F.col("_lost").isNull(), ev.integrity_error(F.col("planner_used"), F.lit("retrieve"), F.col("status"), F.col("warnings"), F.col("model"), F.lit(s.llm_model))))
@@ -223,6 +228,8 @@ def main(argv: list[str] | None = None, models: Models | None = None) -> int:
                 embedded = store.embed_within(nodes, models.embedder, "searchable_text", s.embedding_batch_size)
                 done = store.ingest(spark, embedded, edges, s.node_table, s.edge_table, reset=args.reset, valid=report["is_valid"])
                 out = {"stored": [r.asDict() for r in done.collect()], "dimensions": dimensions}
+                search.index_nodes(spark.table(s.node_table), f"{s.node_table}_words")
+                graph.pack(spark.table(s.edge_table), s, f"{s.edge_table}_walks")
             else:
                 out = {t: {"stored": spark.table(t).count(), "expected": df.count()} for t, df in ((s.node_table, nodes), (s.edge_table, edges))}
         if args.output:

@@ -6,11 +6,15 @@ through edges.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from karst.functions import scoring
+from karst.operators import adjacency
+from karst.operators.adjacency import Adjacency
 from karst.settings import Settings
 from karst.sources.scratch import written
 
@@ -43,6 +47,17 @@ def edge_view(edges: DataFrame, weights: dict[str, float], is_article) -> DataFr
     return out.withColumn("to_article", is_article(F.col("nbr")))
 
 
+def pack(edges: DataFrame, s: Settings, name: str | None = None) -> Adjacency:
+    """The walked edges of a law, packed: the catalogue's under a name, else for this request."""
+    view = edge_view(edges, RELATION_WEIGHTS, is_uri_of(s.namespace))
+    return adjacency.build(view, name) if name else adjacency.build_scratch(view)
+
+
+def packed(spark: SparkSession, name: str) -> Adjacency | None:
+    """The catalogue's packed edges under a name, if there are any."""
+    return Adjacency(name) if spark.catalog.tableExists(f"{name}_heads") else None
+
+
 def edges_of(view: DataFrame, frontier: DataFrame, column: str = "uri") -> DataFrame:
     """The walked edges from the URIs of a frontier."""
     return view.join(frontier.select(F.col(column).alias("cur")).distinct(), "cur", "left_semi")
@@ -63,52 +78,106 @@ def select_seeds(hits: DataFrame, s: Settings, keys: list[str] = KEYS) -> DataFr
     return ranked.where((enough | (F.col("seed_rank") == 1)) & (F.col("seed_rank") <= s.seed_count)).drop("_top")
 
 
-def expand(seeds: DataFrame, view: DataFrame, s: Settings, *, keys: list[str] = KEYS, in_namespace=None) -> DataFrame:
-    """Every arrival of the walks: keys, seed_uri, hop, uri, to_article, score, and ``path`` with its steps.
+#: The steps of a path.
+STEPS = "array<struct<direction:string,source_uri:string,relation:string,target_uri:string>>"
+_SEED = ["seed_uri", "seed_label", "seed_score", "seed_rank"]
+
+
+def _start(seeds: DataFrame, keys: list[str]) -> DataFrame:
+    score = F.greatest(F.col("seed_score"), F.lit(1e-6))
+    return seeds.select(*keys, F.col("uri").alias("seed_uri"), "seed_label", "seed_score", "seed_rank", F.col("uri").alias("cur"), score.alias("score"), F.array().cast(STEPS).alias("steps"))
+
+
+def _hop(frontier: DataFrame, view: DataFrame | Adjacency, s: Settings, keys: list[str], hop: int, in_namespace) -> DataFrame:
+    """Every arrival of one hop: keys, the seed, uri, to_article, score, steps, hop."""
+    if isinstance(view, Adjacency):
+        gone = view.hop(frontier)
+    else:  # only edges from the frontier, and only its degrees; written, as both are read
+        edges = written(edges_of(view, frontier, "cur"), "hop-edges")
+        gone = frontier.join(edges, "cur").join(degrees(edges).select(F.col("uri").alias("cur"), "article_degree"), "cur")
+    step = F.struct(F.col("direction"), F.col("source").alias("source_uri"), F.col("relation"), F.col("target").alias("target_uri"))
+    score = F.col("score") * F.col("weight") * s.hop_decay
+    score = F.when(F.col("to_article"), score / scoring.hub_damping(F.col("article_degree"))).otherwise(score)
+    here = gone.select(*keys, *_SEED, F.col("nbr").alias("uri"), "to_article", score.alias("score"), F.array_append("steps", step).alias("steps"), F.lit(hop).alias("hop"))
+    return here if in_namespace is None else here.where(F.col("to_article") | in_namespace(F.col("uri")))
+
+
+def _best_states(here: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each concept that a seed reached in the hop the best walk; the smallest steps break ties (the least struct of the negated score)."""
+    best = here.where(~F.col("to_article")).groupBy(*keys, *_SEED, "uri").agg(F.min(F.struct((-F.col("score")).alias("loss"), F.col("steps"))).alias("b"))
+    return best.select(*keys, *_SEED, "uri", (-F.col("b.loss")).alias("score"), F.col("b.steps").alias("steps"))
+
+
+def _better(best: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """The states whose score is better than any before."""
+    known = seen.groupBy(*keys, "seed_uri", "uri").agg(F.max("best").alias("best"))
+    return best.join(known, [*keys, "seed_uri", "uri"], "left").where("best IS NULL OR score > best").drop("best")
+
+
+def expand(seeds: DataFrame, view: DataFrame | Adjacency, s: Settings, *, keys: list[str] = KEYS, in_namespace=None) -> DataFrame:
+    """Every arrival of the walks: keys, seed_uri, hop, uri, to_article, score, and ``steps``.
 
     seeds: keys, uri, seed_score, seed_label, seed_rank.  In each hop every state goes along all its edges; a step
     into an article is damped by the number of articles that the node has.  A node is walked on from only if its best
-    score in the hop is better than any before; of equal ones the first in the order of paths goes on.
+    score in the hop is better than any before; of equal ones the first in the order of paths goes on.  ``walk`` keeps what is wanted of the arrivals only.
     """
-    step = F.struct(F.col("direction"), F.col("source").alias("source_uri"), F.col("relation"), F.col("target").alias("target_uri"))
-    start = F.greatest(F.col("seed_score"), F.lit(1e-6))
-    no_steps = F.array().cast("array<struct<direction:string,source_uri:string,relation:string,target_uri:string>>")
-    own = [*keys, "seed_uri", "seed_label", "seed_score", "seed_rank"]
-    frontier = seeds.select(*keys, F.col("uri").alias("seed_uri"), "seed_label", "seed_score", "seed_rank", F.col("uri").alias("cur"), start.alias("score"), no_steps.alias("steps"))
+    frontier = written(_start(seeds, keys), "frontier")
     seen = frontier.select(*keys, "seed_uri", F.col("cur").alias("uri"), F.col("score").alias("best"))
     arrivals = None
     for hop in range(1, s.max_hops + 1):
-        # Only edges from the frontier, and only its degrees; written, as both are read and the next hop's walks too.
-        edges = written(edges_of(view, frontier, "cur"), "hop-edges")
-        damped = degrees(edges).select(F.col("uri").alias("cur"), "article_degree")
-        gone = frontier.join(edges, "cur").join(damped, "cur")
-        score = F.col("score") * F.col("weight") * s.hop_decay
-        score = F.when(F.col("to_article"), score / scoring.hub_damping(F.col("article_degree"))).otherwise(score)
-        here = gone.select(*own, F.col("nbr").alias("uri"), "to_article", score.alias("score"), F.array_append("steps", step).alias("steps"), F.lit(hop).alias("hop"))
-        if in_namespace is not None:
-            here = here.where(F.col("to_article") | in_namespace(F.col("uri")))
+        here = _hop(frontier, view, s, keys, hop, in_namespace)
         arrivals = here if arrivals is None else arrivals.unionByName(here)
         if hop == s.max_hops:
             break
-        # Best first; the smallest steps break ties (max_by of the negated score keeps the least struct).
-        best = here.where(~F.col("to_article")).groupBy(*own, "uri").agg(F.min(F.struct((-F.col("score")).alias("loss"), F.col("steps"))).alias("b"))
-        best = best.select(*own, "uri", (-F.col("b.loss")).alias("score"), F.col("b.steps").alias("steps"))
-        known = seen.groupBy(*keys, "seed_uri", "uri").agg(F.max("best").alias("best"))
-        best = best.join(known, [*keys, "seed_uri", "uri"], "left").where("best IS NULL OR score > best")
-        frontier = best.select(*own, F.col("uri").alias("cur"), "score", "steps")
+        best = written(_better(_best_states(here, keys), seen, keys), "frontier")
+        frontier = best.withColumnRenamed("uri", "cur")
         seen = seen.unionByName(best.select(*keys, "seed_uri", "uri", F.col("score").alias("best")))
     return arrivals
 
 
+def first_paths(found: DataFrame, k: int, keys: list[str] = KEYS) -> DataFrame:
+    """Of each article's arrivals the k first in the order of seed, hop and steps: kept before anything is shuffled, and merged after."""
+    order = Window.partitionBy(*keys, "uri").orderBy("seed_rank", "hop", "steps")
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+
+
+def walk(seeds: DataFrame, view: DataFrame | Adjacency, s: Settings, *, keys: list[str] = KEYS, in_namespace=None) -> tuple[DataFrame, DataFrame]:
+    """The articles' evidence and the related concepts of the walks that ``expand`` describes.
+
+    Of a hop only three bounded aggregates are written: the best score of each article, its first paths, and the best
+    walk to each concept of each seed; each is made in the map tasks first, so that no task holds more of a key than it keeps,
+    and the hop's arrivals, however many, are nowhere.
+    """
+    frontier = written(_start(seeds, keys), "frontier")
+    seen = frontier.select(*keys, "seed_uri", F.col("cur").alias("uri"), F.col("score").alias("best"))
+    scores, paths, states = [], [], []
+    for hop in range(1, s.max_hops + 1):
+        here = _hop(frontier, view, s, keys, hop, in_namespace)
+        found = here.where("to_article")
+        scores.append(written(found.groupBy(*keys, "uri").agg(F.max("score").alias("graph_score")), "hop-scores"))
+        paths.append(written(first_paths(found, s.paths_per_article, keys), "hop-paths"))
+        states.append(written(_best_states(here, keys), "hop-states"))
+        better = _better(states[-1], seen, keys)
+        frontier = better.withColumnRenamed("uri", "cur")
+        if hop < s.max_hops:
+            frontier = written(frontier, "frontier")
+            seen = seen.unionByName(frontier.select(*keys, "seed_uri", F.col("cur").alias("uri"), F.col("score").alias("best")))
+    every = lambda tables: reduce(DataFrame.unionByName, tables)
+    evidence = _evidence(every(scores).groupBy(*keys, "uri").agg(F.max("graph_score").alias("graph_score")), every(paths), s, keys)
+    return evidence, related_concepts(every(states).withColumn("to_article", F.lit(False)), seeds, keys)
+
+
+def _evidence(best: DataFrame, found: DataFrame, s: Settings, keys: list[str]) -> DataFrame:
+    path = F.struct("seed_uri", "seed_label", "seed_score", F.col("uri").alias("article_uri"), "score", "steps")
+    order = F.struct("seed_rank", "hop", "steps")
+    kept = first_paths(found, s.paths_per_article, keys).groupBy(*keys, "uri").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), path.alias("p")))).alias("ps"))
+    return best.join(kept, [*keys, "uri"]).select(*keys, "uri", "graph_score", F.size("ps").alias("n_paths"), F.transform("ps", lambda x: x["p"]).alias("support_paths"))
+
+
 def article_evidence(arrivals: DataFrame, s: Settings, keys: list[str] = KEYS) -> DataFrame:
     """keys, uri, graph_score (the best), n_paths (as kept), support_paths: the first few in the order of seed, hop and steps."""
     found = arrivals.where("to_article")
-    path = F.struct("seed_uri", "seed_label", "seed_score", F.col("uri").alias("article_uri"), "score", "steps")
-    order = Window.partitionBy(*keys, "uri").orderBy("seed_rank", "hop", "steps")
-    top = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= s.paths_per_article)
-    kept = top.groupBy(*keys, "uri").agg(F.array_sort(F.collect_list(F.struct("_n", path.alias("p")))).alias("ps"))
-    best = found.groupBy(*keys, "uri").agg(F.max("score").alias("graph_score"))
-    return best.join(kept, [*keys, "uri"]).select(*keys, "uri", "graph_score", F.size("ps").alias("n_paths"), F.transform("ps", lambda x: x["p"]).alias("support_paths"))
+    return _evidence(found.groupBy(*keys, "uri").agg(F.max("score").alias("graph_score")), found, s, keys)
 
 
 def related_concepts(arrivals: DataFrame, seeds: DataFrame, keys: list[str] = KEYS) -> DataFrame:

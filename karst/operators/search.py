@@ -1,4 +1,4 @@
-"""Concept search: exact vector top-k, BM25 over boosted fields, hints, and their fusion."""
+"""Concept search: exact vector top-k, BM25 over a stored index (``lexicon``), hints, and their fusion."""
 
 from __future__ import annotations
 
@@ -7,25 +7,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from karst.functions import scoring
-from karst.operators import rank
+from karst.operators import lexicon, rank
 from karst.operators.graph import KEYS
+from karst.operators.lexicon import Lexicon
 from karst.settings import Settings
-from karst.sources.scratch import written
 
-#: BM25's constants and the boosts of the node fields.
-K1, B = 1.2, 0.75
+#: The boosts of the node fields.
 NODE_BOOSTS = {"labels_ar": 6.0, "aliases_ar": 5.0, "labels_en": 2.0, "aliases_en": 2.0, "searchable_text": 1.0}
 
 
-def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def node_fields() -> dict[str, tuple[Column, float]]:
+    """The texts of a node by field, with their boosts."""
+    return {c: (F.concat_ws(" ", c), b) for c, b in NODE_BOOSTS.items()}
+
+
+def index_nodes(nodes: DataFrame, name: str | None = None) -> Lexicon:
+    """The index of the nodes that a search may find: the catalogue's under a name, else one for this request."""
+    eligible = rank.eligible(nodes)
+    return lexicon.build(eligible, "uri", node_fields(), name, reset=True) if name else lexicon.build_scratch(eligible, "uri", node_fields())
+
+
+def node_index(spark: SparkSession, name: str) -> Lexicon | None:
+    """The catalogue's index under a name, if there is one."""
+    return Lexicon(name, tuple(NODE_BOOSTS.items())) if spark.catalog.tableExists(f"{name}_totals") else None
 
 
 #: Bytes of query vectors that a task holds at once.
@@ -95,53 +105,6 @@ def vector_topk(queries: DataFrame, nodes: DataFrame, k: int, keys: list[str] =
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(rows: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]], queries: list[DataFrame] | None = None) -> DataFrame:
-    """uri, field, boost, token, tf, length: an inverted index, written; with queries (tables with a column query) only of their tokens.
-
-    Each text that has words also has an entry of the token null, from which its field's average length is known.  Texts are
-    cut into words once, and only tokens that are asked for are shuffled.
-    """
-    out = None
-    for name, (text, boost) in fields.items():
-        own = rows.select(F.col(id_col).alias("uri"), F.lit(name).alias("field"), F.lit(float(boost)).alias("boost"), words(text).alias("w"))
-        out = own if out is None else out.unionByName(own)
-    out = out.where(F.size("w") > 0).withColumn("length", F.size("w"))
-    out = out.select("uri", "field", "boost", "length", F.explode(F.array_append("w", F.lit(None).cast("string"))).alias("token"))
-    if queries is not None:
-        asked = None
-        for q in queries:
-            own = q.select(F.explode(words(F.col("query"))).alias("asked"))
-            asked = own if asked is None else asked.unionByName(own)
-        asked = asked.distinct().unionByName(asked.sparkSession.createDataFrame([(None,)], "asked string"))
-        out = out.join(asked, F.col("token").eqNullSafe(F.col("asked")), "left_semi")
-    return written(out.groupBy("uri", "field", "boost", "token", "length").agg(F.count(F.lit(1)).alias("tf")), "postings")
-
-
-def bm25(queries: DataFrame, index: DataFrame, rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """keys, uri, score: the sum over query tokens of idf times the boosted, per-field normalised frequencies.
-
-    queries: keys, query; index: the postings of rows, of these queries' tokens at least.  A token that a query repeats
-    counts each time.  Scores are rounded to nine places, so that ties don't hang on the order in which a sum was made.
-    """
-    asked = queries.select(*keys, F.explode(words(F.col("query"))).alias("token"))
-    asked = asked.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("times"))
-    average = index.where("token IS NULL").groupBy("field").agg(F.avg("length").alias("average"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    mine = index.join(asked.select("token").distinct(), "token", "left_semi")
-    df = mine.groupBy("token").agg(F.countDistinct("uri").alias("df"))
-    idf = df.join(total, F.lit(True)).select("token", F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    norm = F.col("tf") / (1 - B + B * F.col("length") / F.col("average"))
-    weight = mine.join(average, "field").groupBy("uri", "token").agg(F.sum(F.col("boost") * norm).alias("f"))
-    part = F.col("times") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1)
-    return weight.join(idf, "token").join(asked, "token").groupBy(*keys, "uri").agg(F.round(F.sum(part), 9).alias("score"))
-
-
-def topk(scored: DataFrame, k: int, keys: list[str] = KEYS) -> DataFrame:
-    """The k best by score, with their rank."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "uri")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def interleave(hits: DataFrame, limit: int, keys: list[str] = KEYS) -> DataFrame:
     """keys, uri, score, rank: hint lists merged by round-robin.  hits: keys, hint_index, uri, score, rank.
 
@@ -182,17 +145,13 @@ def fuse(vector: DataFrame, lexical: DataFrame, hint: DataFrame, degree: DataFra
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.concept_top_k)
 
 
-def search_concepts(issues: DataFrame, nodes: DataFrame, degree: DataFrame, s: Settings, keys: list[str] = KEYS) -> DataFrame:
-    """The fused concepts of every issue.  issues: keys, vector, retrieval_query, hints; nodes: the node table with embeddings."""
-    eligible = rank.eligible(nodes)
-    joined = lambda c: F.concat_ws(" ", c)
-    fields = {c: (joined(F.col(c)), b) for c, b in NODE_BOOSTS.items()}
-    near = vector_topk(issues.select(*keys, "vector"), eligible, s.vector_candidates, keys)
+def search_concepts(issues: DataFrame, nodes: DataFrame, degree: DataFrame, s: Settings, keys: list[str] = KEYS, index: Lexicon | None = None) -> DataFrame:
+    """The fused concepts of every issue.  issues: keys, vector, retrieval_query, hints; nodes: the node table with embeddings; index: of its eligible nodes, made here if none is stored."""
+    index = index or index_nodes(nodes)
+    near = vector_topk(issues.select(*keys, "vector"), rank.eligible(nodes), s.vector_candidates, keys)
     asked = issues.select(*keys, F.col("retrieval_query").alias("query"))
     hints = issues.select(*keys, F.posexplode("hints").alias("hint_index", "query")).where(F.trim("query") != "")
-    index = postings(eligible, "uri", fields, [asked, hints])
-    lexical = topk(bm25(asked, index, eligible, keys), s.bm25_candidates, keys)
-    own = [*keys, "hint_index"]
+    lexical = lexicon.topk(index, asked, s.bm25_candidates, keys)
     per_hint = max(4, min(s.bm25_candidates, 10))
-    hinted = interleave(topk(bm25(hints, index, eligible, own), per_hint, own), s.bm25_candidates, keys)
+    hinted = interleave(lexicon.topk(index, hints, per_hint, [*keys, "hint_index"]), s.bm25_candidates, keys)
     return fuse(near, lexical, hinted, degree, s, keys)

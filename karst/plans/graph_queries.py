@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.functions import scoring
-from karst.operators import build, graph, rank
+from karst.operators import adjacency, build, graph, rank
 from karst.plans import standin as g
 from karst.settings import Settings
 
@@ -114,45 +114,46 @@ def store_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_degree(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(g.view(spark, d)).select("uri", "degree", "article_degree", F.round(scoring.specificity(F.col("degree")), 6).alias("specificity"))
+    return adjacency.build_scratch(g.view(spark, d)).degrees(spark).select("uri", "degree", "article_degree", F.round(scoring.specificity(F.col("degree")), 6).alias("specificity"))
 
 
 def seed_selection(spark: SparkSession, d: str) -> DataFrame:
     return graph.select_seeds(g.hits(spark, d), g.SETTINGS).select("question_id", "uri", F.round("seed_score", 6).alias("seed_score"), "seed_rank")
 
 
-def _arrivals(spark: SparkSession, d: str, hops: int = 2) -> DataFrame:
-    return graph.expand(g.seeds(spark), g.view(spark, d), Settings(max_hops=hops))
+def _walk(spark: SparkSession, d: str, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Evidence and related concepts, over a stored graph."""
+    return graph.walk(g.seeds(spark), adjacency.build_scratch(g.view(spark, d)), Settings(max_hops=hops))
 
 
 def graph_hop1(spark: SparkSession, d: str) -> DataFrame:
-    e = graph.article_evidence(_arrivals(spark, d, 1), g.SETTINGS)
+    e = _walk(spark, d, 1)[0]
     return e.select("question_id", "issue_index", "uri", F.round("graph_score", 6).alias("graph_score"), "n_paths")
 
 
 def graph_two_hop(spark: SparkSession, d: str) -> DataFrame:
-    e = graph.article_evidence(_arrivals(spark, d), g.SETTINGS)
+    e = _walk(spark, d)[0]
     return e.select("question_id", "issue_index", "uri", F.round("graph_score", 6).alias("graph_score"), "n_paths")
 
 
 def path_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = graph.article_evidence(_arrivals(spark, d), g.SETTINGS)
+    e = _walk(spark, d)[0]
     return e.select("question_id", "issue_index", "uri", "n_paths", _path(F.get("support_paths", F.lit(0))["steps"]).alias("first_path"))
 
 
 def related_concepts(spark: SparkSession, d: str) -> DataFrame:
-    r = graph.related_concepts(_arrivals(spark, d), g.seeds(spark))
+    r = _walk(spark, d)[1]
     return r.select("question_id", "issue_index", "uri", F.round("score", 6).alias("score"))
 
 
 def expanded_concepts(spark: SparkSession, d: str) -> DataFrame:
-    r = graph.related_concepts(_arrivals(spark, d), g.seeds(spark))
+    r = _walk(spark, d)[1]
     nodes = node_set(spark, d).select("uri", F.concat(F.lit("local_"), F.col("uri")).alias("local_name"), F.when(F.col("uri").startswith("r"), F.lit("Law")).otherwise(F.lit("Concept")).alias("node_kind"))
     return rank.expanded_concepts(r, nodes, g.SETTINGS).select("question_id", "uri", "local_name", F.round("graph_score", 6).alias("graph_score"), "rank")
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    e = graph.article_evidence(_arrivals(spark, d), g.SETTINGS)
+    e = _walk(spark, d)[0]
     orders = g.table(spark, d, "orders").where("o_orderstatus <> 'P'")
     articles = orders.select(g.uri("o", "o_orderkey").alias("uri"), F.col("o_orderkey").cast("int").alias("article_number"), (F.col("o_orderkey") % 17 / 17).alias("issue_relevance"))
     keyed = e.select(*graph.KEYS, "uri").join(articles, "uri")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.operators import search
+from karst.operators import lexicon, search
 from karst.plans.standin import SETTINGS, table, uri
 
 KEYS = ["question_id"]
@@ -32,44 +32,39 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.posexplode(F.split("text", r"\.\s*")).alias("hint_index", "query")).where("trim(query) <> ''")
 
 
-def _index(rows: DataFrame, queries: list[DataFrame]) -> DataFrame:
-    return search.postings(rows, "uri", {"text": (F.col("text"), 1.0)}, queries)
+def _index(rows: DataFrame) -> lexicon.Lexicon:
+    return lexicon.build_scratch(rows, "uri", {"text": (F.col("text"), 1.0)})
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows, items = _rows(spark, d), _items(spark, d)
-    found = search.topk(search.bm25(items, _index(rows, [items]), rows, KEYS), 10, KEYS)
+    found = lexicon.topk(_index(_rows(spark, d)), _items(spark, d), 10, KEYS)
     return found.select("question_id", "uri", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_multifield(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pages").select(uri("p", "page_id").alias("uri"), "url", "html")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("example blog "), F.col("text")).alias("query"))
-    index = search.postings(rows, "uri", {c: (F.col(c), b) for c, b in BOOSTS.items()}, [queries])
-    out = search.topk(search.bm25(queries, index, rows, KEYS), 10, KEYS)
+    out = lexicon.topk(lexicon.build_scratch(rows, "uri", {c: (F.col(c), b) for c, b in BOOSTS.items()}), queries, 10, KEYS)
     return out.select("question_id", "uri", F.round("score", 6).alias("score"), "rank")
 
 
-def _hints(rows: DataFrame, hints: DataFrame, index: DataFrame) -> DataFrame:
-    own = [*KEYS, "hint_index"]
-    return search.interleave(search.topk(search.bm25(hints, index, rows, own), 10, own), 40, KEYS)
+def _hints(hints: DataFrame, index: lexicon.Lexicon) -> DataFrame:
+    return search.interleave(lexicon.topk(index, hints, 10, [*KEYS, "hint_index"]), 40, KEYS)
 
 
 def hint_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    rows, hints = _rows(spark, d), _sentences(spark, d)
-    return _hints(rows, hints, _index(rows, [hints])).select("question_id", "uri", F.round("score", 6).alias("score"), "rank")
+    return _hints(_sentences(spark, d), _index(_rows(spark, d))).select("question_id", "uri", F.round("score", 6).alias("score"), "rank")
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     """All three channels over one index; a document beyond the degree table counts as of degree 0."""
     e = table(spark, d, "embeddings")
-    rows, items, hints = _rows(spark, d), _items(spark, d), _sentences(spark, d)
+    items, index = _items(spark, d), _index(_rows(spark, d))
     queries = e.join(items, F.expr("vec_id = question_id")).select("question_id", F.col("embedding").alias("vector"))
     near = search.vector_topk(queries, e.select(uri("d", "vec_id").alias("uri"), "embedding"), SETTINGS.vector_candidates, KEYS)
     degree = table(spark, d, "documents").select(uri("d", "doc_id").alias("uri"), (F.col("n_chars") % 13).alias("degree"))
-    index = _index(rows, [items, hints])
-    lexical = search.topk(search.bm25(items, index, rows, KEYS), SETTINGS.bm25_candidates, KEYS)
-    return search.fuse(near, lexical, _hints(rows, hints, index), degree, SETTINGS, KEYS)
+    lexical = lexicon.topk(index, items, SETTINGS.bm25_candidates, KEYS)
+    return search.fuse(near, lexical, _hints(_sentences(spark, d), index), degree, SETTINGS, KEYS)
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
