@@ -66,7 +66,9 @@ def build(view: DataFrame, name: str, *, buckets: int | None = None, folder: str
     return out
 
 
-def build_scratch(view: DataFrame, buckets: int | None = None) -> Adjacency:
-    """A graph for one request, its files in the shared scratch folder."""
+def build_scratch(view: DataFrame, buckets: int | None = None, name: str | None = None) -> Adjacency:
+    """A graph with its files in the shared scratch folder: for one request, or under a name, by which it is found again."""
     folder = shared_dir(view.sparkSession, "adjacency")
-    return build(view, "adjacency_" + folder.rpartition("-")[2], buckets=buckets, folder=folder)
+    if name and view.sparkSession.catalog.tableExists(f"{name}_heads"):  # the last that is written
+        return Adjacency(name)
+    return build(view, name or "adjacency_" + folder.rpartition("-")[2], buckets=buckets, folder=folder)

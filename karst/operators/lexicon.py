@@ -72,8 +72,10 @@ def add(lexicon: Lexicon, rows: DataFrame, id_col: str, fields: dict[str, Column
         n = int(next(r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {lexicon.name}_postings").collect() if r.col_name == "Num Buckets"))
     segment = lexicon.table(spark, "totals").count() if exists else 0
     # Numbers ascend with the ids, so that of equal scores the first number is the first id.
-    cut = rows.select(F.col(id_col).cast("string").alias("uri"), *[F.array_sort(words(c)).alias(f"w{i}") for i, c in enumerate(fields.values())])
+    texts = [f"w{i}" for i in range(len(fields))]
+    cut = rows.select(F.col(id_col).cast("string").alias("uri"), *[c.alias(w) for c, w in zip(fields.values(), texts, strict=True)])
     cut = cut.repartitionByRange("uri").sortWithinPartitions("uri").withColumn("place", F.monotonically_increasing_id() + (segment << SEGMENT_BITS))
+    cut = cut.withColumns({w: F.array_sort(words(F.col(w))) for w in texts})
     cut = written(cut, "lexicon-words")
     documents = cut.select(F.shiftright("place", RANGE_BITS).alias("range"), "place", "uri").repartition(n, "range")
     _saved(documents, f"{lexicon.name}_documents", n, ["range"], ["range", "place"], folder)
@@ -113,10 +115,13 @@ def build(rows: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]],
     return add(lexicon, rows, id_col, {f: c for f, (c, _) in fields.items()}, buckets=buckets)
 
 
-def build_scratch(rows: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]], buckets: int | None = None) -> Lexicon:
-    """An index for one request, its files in the shared scratch folder."""
+def build_scratch(rows: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]], buckets: int | None = None, name: str | None = None) -> Lexicon:
+    """An index with its files in the shared scratch folder: for one request, or under a name, by which it is found again."""
     folder = shared_dir(rows.sparkSession, "lexicon")
-    lexicon = Lexicon("lexicon_" + folder.rpartition("-")[2], tuple((f, float(b)) for f, (_, b) in fields.items()))
+    lexicon = Lexicon(name or "lexicon_" + folder.rpartition("-")[2], tuple((f, float(b)) for f, (_, b) in fields.items()))
+    if rows.sparkSession.catalog.tableExists(f"{lexicon.name}_totals"):  # the last that is written
+        return lexicon
+    lexicon.drop(rows.sparkSession)
     return add(lexicon, rows, id_col, {f: c for f, (c, _) in fields.items()}, buckets=buckets, folder=folder)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.functions import scoring
-from karst.operators import adjacency, build, graph, rank
+from karst.operators import build, graph, rank
 from karst.plans import standin as g
 from karst.settings import Settings
 
@@ -114,7 +114,7 @@ def store_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_degree(spark: SparkSession, d: str) -> DataFrame:
-    return adjacency.build_scratch(g.view(spark, d)).degrees(spark).select("uri", "degree", "article_degree", F.round(scoring.specificity(F.col("degree")), 6).alias("specificity"))
+    return g.packed(spark, d).degrees(spark).select("uri", "degree", "article_degree", F.round(scoring.specificity(F.col("degree")), 6).alias("specificity"))
 
 
 def seed_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,7 @@ def seed_selection(spark: SparkSession, d: str) -> DataFrame:
 
 def _walk(spark: SparkSession, d: str, hops: int = 2) -> tuple[DataFrame, DataFrame]:
     """Evidence and related concepts, over a stored graph."""
-    return graph.walk(g.seeds(spark), adjacency.build_scratch(g.view(spark, d)), Settings(max_hops=hops))
+    return graph.walk(g.seeds(spark), g.packed(spark, d), Settings(max_hops=hops))
 
 
 def graph_hop1(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.operators import lexicon, search
-from karst.plans.standin import SETTINGS, table, uri
+from karst.plans.standin import SETTINGS, name_of, table, uri
 
 KEYS = ["question_id"]
 BOOSTS = {"url": 3.0, "html": 1.0}
@@ -33,7 +33,8 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(rows: DataFrame) -> lexicon.Lexicon:
-    return lexicon.build_scratch(rows, "uri", {"text": (F.col("text"), 1.0)})
+    """The stored index, made by the first query that asks it."""
+    return lexicon.build_scratch(rows, "uri", {"text": (F.col("text"), 1.0)}, name=name_of("words", rows))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +45,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def bm25_multifield(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pages").select(uri("p", "page_id").alias("uri"), "url", "html")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("example blog "), F.col("text")).alias("query"))
-    out = lexicon.topk(lexicon.build_scratch(rows, "uri", {c: (F.col(c), b) for c, b in BOOSTS.items()}), queries, 10, KEYS)
+    out = lexicon.topk(lexicon.build_scratch(rows, "uri", {c: (F.col(c), b) for c, b in BOOSTS.items()}, name=name_of("pages", rows)), queries, 10, KEYS)
     return out.select("question_id", "uri", F.round("score", 6).alias("score"), "rank")
 
 

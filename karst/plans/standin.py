@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from karst.operators import adjacency
 from karst.operators.graph import edge_view
 from karst.settings import Settings
 
@@ -20,6 +23,13 @@ def uri(letter: str, column: str):
     return F.concat(F.lit(letter), F.col(column).cast("string"))
 
 
+def name_of(kind: str, rows: DataFrame) -> str:
+    """A name that what is stored of these rows' files has for as long as they are the same: paths, sizes and times."""
+    files = rows.sparkSession.read.format("binaryFile").load(sorted(rows.inputFiles())).select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+    told = files.agg(F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    return f"{kind}_{hashlib.sha256(f'{kind} {told.h} {told.n}'.encode()).hexdigest()[:16]}"
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """source_uri, predicate_local_name, object_kind, target_uri; names are literals, lines an unweighted relation."""
 
@@ -47,6 +57,12 @@ def view(spark: SparkSession, d: str) -> DataFrame:
     return edge_view(edges(spark, d), WEIGHTS, is_article)
 
 
+def packed(spark: SparkSession, d: str) -> adjacency.Adjacency:
+    """The stored graph, packed by the first query that walks it."""
+    own = view(spark, d)
+    return adjacency.build_scratch(own, name=name_of("graph", own))
+
+
 #: Seeds of three issues of two questions.
 SEEDS = [(1, 1, "n3", 0.9, 1), (1, 1, "n7", 0.7, 2), (1, 1, "s5", 0.65, 3), (1, 2, "n7", 0.8, 1), (1, 2, "n11", 0.8, 2), (2, 1, "s2", 0.5, 1), (2, 1, "c4", 0.45, 2)]
 
