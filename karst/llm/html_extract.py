@@ -79,7 +79,7 @@ def blocks_of(html: str | None, known: frozenset[str] | None = None) -> list[Blo
     def end_block() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(htmllib.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(text, stack[-1][1] if stack else None, linked))
             parts.clear()
@@ -102,6 +102,7 @@ def blocks_of(html: str | None, known: frozenset[str] | None = None) -> list[Blo
 
     def add(text: str) -> None:
         nonlocal linked
+        text = htmllib.unescape(text)  # a reference does not go on behind a tag or a comment
         parts.append(text)
         if spots.get("a"):
             linked += len(text)
@@ -287,6 +288,10 @@ _SIDE_NAMES = {
 }
 
 
+#: Share of training pages whose article has no container of its own.
+BARE = 0.25
+
+
 def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     """A page of invented words and the labels of its blocks."""
     syllables = "an ba cor del er fi gon hal in jo kel lo mun nor os pra qui ran sel tur ul ven wa xi yor ze".split()
@@ -396,6 +401,25 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             out.append(side(rng.choice(["comments", "share", "ad"])))
         return "".join(out) + f"</{tag}>"
 
+    def bare() -> str:
+        """An article that nothing holds, or a nameless element: body-level blocks, one block, or text without tags."""
+        out = []
+        if rng.random() < 0.35:
+            out.append(block(rng.choice(["h1", "h2"]), words(rng.randint(1, 14)), 1))
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 6])):
+            kind = rng.random()
+            if kind < 0.2 and (not out or out[-1].endswith(">")):
+                labels.append(1)
+                out.append(sentence(length()))
+            else:
+                out.append(block("div" if kind > 0.9 else "p", sentence(length()), 1))
+        wrap = rng.random()
+        return "".join(out) if wrap < 0.6 else f"<div>{''.join(out)}</div>" if wrap < 0.85 else f"<div><div>{''.join(out)}</div></div>"
+
+    if rng.random() < BARE:
+        sides = [side(k) if rng.random() < 0.15 else "" for k in ("nav", "header")]
+        inner = "".join(sides) + bare() + "".join(side(k) if rng.random() < 0.15 else "" for k in ("comments", "ad", "footer"))
+        return (inner if rng.random() < 0.4 else f"<html><head><title>{words(3)}</title></head><body>{inner}</body></html>"), labels
     page = ["<!DOCTYPE html><html><head><title>" + words(3) + "</title><script>var a = '<p>';</script></head><body>"]
     before = [k for k in ("header", "nav", "notice", "ad", "form", "aside") if rng.random() < 0.45]
     after = [k for k in ("aside", "comments", "share", "ad", "form", "notice", "nav", "footer") if rng.random() < 0.4]
@@ -418,7 +442,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[list[list[str]], list[int]]]
 
 
 @lru_cache(maxsize=4)
-def default_model(pages: int = 700, seed: int = 11) -> Crf:
+def default_model(pages: int = 1000, seed: int = 11) -> Crf:
     """The field trained on a bounded number of labelled pages, the same in every run."""
     return train(labelled_pages(pages, seed))
 

@@ -4,10 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from karst.llm.alignment import alignment
+from karst.llm.conversations import damage, repair, repaired_turns
 from karst.llm.decontaminate import contamination, decontaminate
 from karst.llm.html_extract import main_text
 from karst.llm.jaccard_join import jaccard_components, keep_one
 from karst.llm.lm_score import score
+from karst.llm.minhash_dedup import keep_first, near_duplicates
 from karst.llm.packing import pack
 from karst.llm.paragraph_dedup import remove_repeats, repeated_paragraphs, repeated_passages
 from karst.llm.pii import personal_data, redact
@@ -60,6 +63,8 @@ EACH = {
     "op8": lambda s, d: token_counts(d),
     "op9": lambda s, d: remove_repeats(d),
     "op10": lambda s, d: personal_data(d),
+    "op12": lambda s, d: near_duplicates(d),
+    "op13": lambda s, d: alignment(d)[0],
     "redact": lambda s, d: redact(d),
     "spans": lambda s, d: decontaminate(d, benchmark(s), remove="spans"),
 }
@@ -72,7 +77,7 @@ def test_a_row_for_each(spark, docs, name):
 
 
 def test_what_goes_and_what_stays(spark, docs):
-    for keep in (keep_good, keep_one, lambda d: decontaminate(d, benchmark(spark))):
+    for keep in (keep_good, keep_one, keep_first, lambda d: decontaminate(d, benchmark(spark))):
         kept = keep(docs)
         assert kept.columns == COLUMNS and set(ids(kept)) <= set(ALL) and keep(docs.limit(0)).count() == 0
     one = keep_one(docs).where("text LIKE '%w0 w1%'").collect()
@@ -83,6 +88,17 @@ def test_what_goes_and_what_stays(spark, docs):
     assert repeated_paragraphs(docs.limit(0)).count() == 0 and repeated_paragraphs(docs).where("paragraph = 0 AND n_words BETWEEN 70 AND 71").count() == 5
 
 
+def test_conversations(spark, docs):
+    """One hot conversation of all rows, of null turns and texts of a million characters; and one a row."""
+    named = docs.withColumns({"conv_id": F.lit("all"), "turn": F.col("doc_id"), "role": F.col("source")})
+    rows = docs.count()
+    one = repair(named).collect()
+    assert len(one) == 1 and one[0].blank + one[0].duplicate + one[0].truncated <= rows and one[0].cost > 0
+    each = named.drop("conv_id").withColumn("conv_id", F.monotonically_increasing_id())
+    assert repair(each).count() == rows and repair(damage(each), ids=each).count() == rows
+    assert repair(named.limit(0)).count() == 0 and repaired_turns(named).where("edit = 'K' AND text IS NULL").count() == 0
+
+
 def test_packing_is_whole(spark, docs):
     tokens = token_counts(docs).agg(F.sum(F.col("n_tokens") + 1)).first()[0]
     pieces = pack(docs, mixture="equal").cache()

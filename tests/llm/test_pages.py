@@ -178,3 +178,23 @@ def test_archives_are_members_of_bounded_files(spark, tmp_path, monkeypatch):
     members = sum(f.read_bytes().count(w._member(b"")[:10]) for f in files)
     assert members >= 120
     assert len(list(w.parse_warc(io.BytesIO(raw)))) == 120
+
+
+#: Pages whose text nothing holds, and what is theirs.
+WITHOUT_CONTAINER = [
+    ("<p>" + "one long paragraph of words " * 300 + "</p>", ("one long paragraph of words " * 300).strip()),
+    ("plain text without any tags, and that is all of it.", "plain text without any tags, and that is all of it."),
+    ("<div><p>Only one paragraph here.</p></div>", "Only one paragraph here."),
+    ("<body><p>The first one counts.</p><p>So does the second.</p><p>And the third.</p></body>", "The first one counts.\nSo does the second.\nAnd the third."),
+    ("<html><head><title>t</title></head><body><h1>A title</h1>Words at body level.<p>A paragraph.</body></html>", "A title\nWords at body level.\nA paragraph."),
+    ("x", "x"),
+]
+
+
+@pytest.mark.parametrize("html,text", WITHOUT_CONTAINER)
+def test_pages_without_a_container(html, text):
+    assert h.extract(html, h.default_model()) == text
+
+
+def test_references_end_with_their_text_node():
+    assert [b.text for b in h.blocks_of("<p>&l<b>t;</b> &am<!-- -->p; &amp;lt;</p>")] == ["&lt; &amp; &lt;"]
