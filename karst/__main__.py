@@ -136,21 +136,25 @@ def _evaluate(spark, s: Settings, models: Models, args) -> dict:
     cases = runs.sliced(cases, args.start, args.limit).persist()
     n, nodes, edges = cases.count(), spark.table(s.node_table), spark.table(s.edge_table)
 
-    def do(part):
+    def engine(part):
+        """The cases through the engine, a batch as one plan; each waits for its batch."""
         asked = part.select(F.col("case_index").cast("int").alias("question_id"), "question")
-        found = written(plans.retrieve(asked, nodes, edges, completer=models.completer, embedder=models.embedder, settings=s, **indexes(spark, s)), "run-retrieved")
-        said = plans.generate(found.where("status = 'ok'"), completer=models.completer, settings=s, model=s.llm_model).select("question_id", F.col("status").alias("status"), "answer", F.col("cited_article_numbers").alias("cited"), "warnings", "model")
-        told = found.select("question_id", F.col("decision.behavior").alias("behavior"), F.col("diagnostics.article_numbers").alias("given"), F.col("decision.planner_used").alias("planner_used"), F.when(F.col("status") == "error", F.col("decision.reason")).alias("_lost")).join(said, "question_id", "left")
-        told = told.withColumn("_bad", F.when(F.col("_lost").isNull(), ev.integrity_error(F.col("planner_used"), F.lit("retrieve"), F.col("status"), F.col("warnings"), F.col("model"), F.lit(s.llm_model))))
-        told = told.withColumn("error", F.coalesce("_lost", "_bad", F.when(F.col("status") == "error", F.element_at("warnings", 1))))
-        rows = part.join(told.drop("_lost", "_bad"), F.expr("case_index = question_id")).drop("question_id")
-        rows = rows.withColumns({"retrieval_seconds": F.lit(None).cast("double"), "generation_seconds": F.lit(None).cast("double")})
+        found, seconds = runs.timed(plans.retrieve(asked, nodes, edges, completer=models.completer, embedder=models.embedder, settings=s, **indexes(spark, s)), "run-retrieved")
+        said, more = runs.timed(plans.generate(found.where("status = 'ok'"), completer=models.completer, settings=s, model=s.llm_model).select("question_id", "status", "answer", F.col("cited_article_numbers").alias("cited"), "warnings", "model"), "run-generated")
+        told = found.select("question_id", F.col("decision.behavior").alias("behavior"), F.col("diagnostics.article_numbers").alias("given"), F.col("decision.planner_used").alias("planner_used"), F.when(F.col("status") == "error", F.col("decision.reason")).alias("error")).join(said, "question_id", "left")
+        told = told.withColumns({"retrieval_seconds": F.lit(seconds), "generation_seconds": F.lit(more)})
+        return part.join(told, F.expr("case_index = question_id")).drop("question_id")
+
+    def do(part):
+        rows = runs.over_http(part, args.base_url, timeout=args.timeout, delay=args.delay) if args.base_url else engine(part)
+        bad = F.when(F.col("error").isNull(), ev.integrity_error(F.col("planner_used"), F.lit("retrieve"), F.col("status"), F.col("warnings"), F.col("model"), F.lit(s.llm_model)))
+        rows = rows.withColumn("error", F.coalesce("error", bad, F.when(F.col("status") == "error", F.element_at("warnings", 1)))).drop("planner_used")
         return runs.scored(runs.judged(written(rows, "run-rows"), models.judge))
 
     documents, folder = [], args.output or "runs"
     for k in range(1, args.runs + 1):
         run = runs.Run(spark, f"{folder}/run-{k}", runs.Identity(digest, k, s.llm_provider, s.llm_model, args.judge_model or s.llm_model, args.start, args.limit))
-        rows = runs.run_cases(run, cases, do, batch=args.batch, stop_on_error=args.stop_on_error)
+        rows = runs.run_cases(run, cases, do, batch=args.batch, stop_on_error=args.stop_on_error, delay=args.delay)
         documents.append(runs.document(rows, run.identity, n))
         runs.save(documents[-1], f"{folder}/run-{k}.json")
         for row in documents[-1]["rows"]:
@@ -177,6 +181,9 @@ def main(argv: list[str] | None = None, models: Models | None = None) -> int:
     parser.add_argument("--limit", type=int)
     parser.add_argument("--batch", type=int, default=16, help="cases to a checkpoint")
     parser.add_argument("--judge-model")
+    parser.add_argument("--base-url", help="evaluate a server that runs there, case by case")
+    parser.add_argument("--timeout", type=float, default=120.0, help="seconds for a request to it")
+    parser.add_argument("--delay", type=float, default=0.0, help="seconds between batches, and between requests")
     parser.add_argument("--stop-on-error", action="store_true")
     args = parser.parse_args(argv)
     if args.command not in ("create", "describe", "serve") and not args.path:

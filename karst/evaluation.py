@@ -1,7 +1,8 @@
 """A benchmark run: cases through retrieval, answer and judge, row by row into a table that a broken run goes on from.
 
-A run is a folder.  ``identity.json`` says what it is a run of; ``rows`` holds one Parquet file a batch of cases.  Resuming
-demands the same identity and takes up after the last good case.
+A run is a folder.  ``identity`` says what it is a run of; ``rows`` is a table to which every batch of cases is committed whole or not
+at all, with the number of its attempt.  A case's state follows from its newest row, so that a run goes on with the cases that
+have none and those that failed, wherever they stand; resuming demands the same identity.
 """
 
 from __future__ import annotations
@@ -9,16 +10,21 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from karst.functions.text import arabic_only
 from karst.operators import evaluate as ev
+from karst.sources.providers import http_transport, post_json
+from karst.sources.scratch import written
 
 JUDGE = "Grade an answer against the reference: correctness and faithfulness, each 0, 1 or 2, with a reason. Reply as JSON."
 _GRADE = {"type": "integer", "minimum": 0, "maximum": 2}
@@ -137,44 +143,97 @@ class Run:
         newest = Window.partitionBy("case_index").orderBy(F.desc("attempt"))
         return rows.withColumn("_k", F.row_number().over(newest)).where("_k = 1").drop("_k")
 
-    def left(self, cases: DataFrame) -> DataFrame:
-        """The cases to do, checked: what is there is a prefix with the same cases, of which only the last may have failed."""
+    def states(self, cases: DataFrame) -> DataFrame:
+        """case_index, state (done, failed or open) and attempt (of the newest row) of every case, checked to be the benchmark's."""
         rows = self.rows()
         if rows is None:
-            return cases
+            return cases.select("case_index", F.lit("open").alias("state"), F.lit(0).alias("attempt"))
         if not foreign_rows(rows, cases).isEmpty():
             raise ValueError("the rows are of other cases")
-        return ev.to_resume(cases, rows.select("case_index", "error"))
+        told = rows.select("case_index", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("s"), F.col("attempt").alias("a"))
+        return cases.select("case_index").join(told, "case_index", "left").select("case_index", F.coalesce("s", F.lit("open")).alias("state"), F.coalesce("a", F.lit(0)).alias("attempt"))
+
+    def left(self, cases: DataFrame) -> DataFrame:
+        """The cases to do: those without a row, and those whose newest row failed."""
+        return cases.join(self.states(cases).where("state <> 'done'").select("case_index"), "case_index", "left_semi")
 
     def append(self, results: DataFrame, attempt: int) -> None:
         results.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{self.folder}/rows")
 
 
-def run_cases(run: Run, cases: DataFrame, do: Callable[[DataFrame], DataFrame], *, batch: int = 16, stop_on_error: bool = False) -> DataFrame:
+def run_cases(run: Run, cases: DataFrame, do: Callable[[DataFrame], DataFrame], *, batch: int = 16, stop_on_error: bool = False, delay: float = 0.0) -> DataFrame:
     """Does what is left of the cases in batches, each a checkpoint; a batch with a failed case ends the run when asked to.
 
     do: cases -> case_index, case_id, question and the columns of ``scored``.  The batches are of a stated number of cases, as
-    each is a number of model calls.
+    each is a number of model calls; delay: seconds between two of them.
     """
     run.open()
-    attempt = 1
     before = run.rows()
-    if before is not None:
-        attempt += before.agg(F.max("attempt")).first()[0] or 0
+    attempt = 1 + ((before.agg(F.max("attempt")).first()[0] or 0) if before is not None else 0)
     numbers = [r[0] for r in run.left(cases).select("case_index").orderBy("case_index").collect()]  # a benchmark's case numbers
     for k in range(0, len(numbers), batch):
-        part = cases.where(F.col("case_index").between(numbers[k], numbers[min(k + batch, len(numbers)) - 1]))
-        run.append(do(part), attempt)
-        failed = run.rows().where(F.col("case_index").between(numbers[k], numbers[min(k + batch, len(numbers)) - 1]) & F.col("error").isNotNull())
-        if stop_on_error and not failed.isEmpty():
+        if k and delay:
+            time.sleep(delay)
+        mine = F.col("case_index").isin(numbers[k : k + batch])
+        run.append(do(cases.where(mine)), attempt)
+        if stop_on_error and not run.rows().where(mine & F.col("error").isNotNull()).isEmpty():
             break
     return run.rows()
 
 
+def timed(df: DataFrame, name: str) -> tuple[DataFrame, float]:
+    """df written, and the seconds that took: of a batch, what each of its cases waited."""
+    began = time.monotonic()
+    out = written(df, name)
+    return out, time.monotonic() - began
+
+
+_ASKED = "behavior string, planner_used boolean, given array<int>, status string, answer string, cited array<int>, warnings array<string>, model string, error string, retrieval_seconds double, generation_seconds double"
+
+
+def over_http(part: DataFrame, base_url: str, *, timeout: float = 120.0, delay: float = 0.0, transport: Callable = http_transport) -> DataFrame:
+    """The cases with what a server's endpoints say to each question, and the seconds of both; a request that fails is its case's error.
+
+    One request at a time in a task, with ``delay`` seconds between two cases.
+    """
+    url = base_url.rstrip("/")
+
+    def case(question: str) -> tuple:
+        found = post_json(f"{url}/retrieve", {"question": question}, timeout=timeout, transport=transport)
+        if found["error"]:
+            return None, None, None, None, None, None, None, None, f"retrieval_{found['error']}: {found['status']} {found['detail']}", found["seconds"], None
+        value = found["value"]
+        decision = value.get("decision") or {}
+        own = (decision.get("behavior"), decision.get("planner_used"), (value.get("diagnostics") or {}).get("article_numbers"))
+        said = post_json(f"{url}/generate", value, timeout=timeout, transport=transport)
+        if said["error"]:
+            return *own, None, None, None, None, None, f"generation_{said['error']}: {said['status']} {said['detail']}", found["seconds"], said["seconds"]
+        answer = said["value"]
+        return *own, answer.get("status"), answer.get("answer"), answer.get("cited_article_numbers"), answer.get("warnings"), answer.get("model"), None, found["seconds"], said["seconds"]
+
+    schema = T.StructType([*part.schema.fields, *T.StructType.fromDDL(_ASKED).fields])
+
+    def run(batches):
+        asked = False
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                if asked and delay:
+                    time.sleep(delay)
+                asked = True
+                row.update(zip(told, case(row["question"]), strict=True))
+            yield pa.RecordBatch.from_pylist(rows, schema=wanted)
+
+    wanted, told = to_arrow_schema(schema), T.StructType.fromDDL(_ASKED).names
+    return part.mapInArrow(run, schema)
+
+
 def document(rows: DataFrame, identity: Identity, n_cases: int) -> dict:
     """A run as one JSON document: identity, summary, summaries by type, whether it is complete, and its rows."""
     summary = ev.run_summary(rows).first().asDict()
     by_type = {r.test_type: r.asDict() for r in ev.summary_by_type(rows).orderBy("test_type").collect()}
+    waited = F.col("retrieval_seconds") + F.coalesce("generation_seconds", F.lit(0.0))
+    summary["mean_latency_seconds"] = rows.where("error IS NULL").agg(F.round(F.avg(waited), 6)).first()[0] if {"retrieval_seconds", "generation_seconds"} <= set(rows.columns) else None
     own = [json.loads(x) for x in rows.orderBy("case_index").toJSON().collect()]  # the report of one benchmark
     return {"schema_version": "run.v2", "identity": asdict(identity), "complete": summary["questions_completed"] == n_cases, "summary": summary, "by_test_type": by_type, "rows": own}
 

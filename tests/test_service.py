@@ -2,6 +2,7 @@
 
 import json
 import pickle
+import time
 import urllib.error
 import urllib.request
 
@@ -228,6 +229,7 @@ def test_commands_end_to_end(spark, tmp_path, capsys, monkeypatch):
         code, total = run("evaluate", str(bench), "--runs", "1", "--limit", "2", "--batch", "2", "--output", str(tmp_path / "runs"))
         assert code == 0 and total["runs"] == 1 and total["complete"] and total["metrics"]["summary.routing_accuracy"]["mean"] == 1.0
         one = json.loads((tmp_path / "runs/run-1.json").read_text(encoding="utf-8"))
+        assert one["summary"]["mean_latency_seconds"] > 0 and all(r["retrieval_seconds"] > 0 for r in one["rows"])
         assert one["summary"]["questions_completed"] == 2 and [r["end_to_end_pass"] for r in one["rows"]] == [True, True]
         assert run("evaluate", str(bench), "--limit", "2", "--judge-model", "other", "--output", str(tmp_path / "runs"))[1]["detail"].startswith("the run is of another identity: judge")
         bench.write_text(json.dumps({"frozen": False, "cases": cases}), encoding="utf-8")
@@ -238,6 +240,47 @@ def test_commands_end_to_end(spark, tmp_path, capsys, monkeypatch):
             spark.sql(f"DROP TABLE IF EXISTS {t}")
 
 
+def test_a_failure_inside_a_batch_is_done_again(spark, tmp_path):
+    """Cases 1 and 3 of one batch of five fail; the second start does those two only."""
+    cases = spark.createDataFrame([(i, f"c{i}", f"q{i}") for i in range(5)], "case_index long, case_id string, question string")
+    run, asked = runs.Run(spark, str(tmp_path / "run"), runs.Identity("d", 1, "p", "m", "j", 0, None)), []
+
+    def do(part):
+        own = part.collect()
+        asked.append(sorted(r.case_index for r in own))
+        rows = [(r.case_index, r.case_id, r.question, "down" if r.case_index in (1, 3) and len(asked) == 1 else None) for r in own]
+        return spark.createDataFrame(rows, "case_index long, case_id string, question string, error string")
+
+    assert runs.run_cases(run, cases, do, batch=5).where("error IS NOT NULL").count() == 2
+    assert runs.run_cases(run, cases, do, batch=5).where("error IS NULL").count() == 5
+    assert asked == [[0, 1, 2, 3, 4], [1, 3]]
+    assert runs.run_cases(run, cases, do, batch=5).count() == 5 and len(asked) == 2
+
+
+def test_cases_over_http(spark):
+    """Endpoints are asked case by case, with the seconds of each; what a request loses is its case's error."""
+
+    def retrieve(body):
+        if body["question"] == "boom":
+            raise RuntimeError("inside")
+        time.sleep(0.05)
+        return {"decision": {"behavior": "retrieve", "planner_used": True}, "diagnostics": {"article_numbers": [4, 5]}, "question": body["question"]}
+
+    def generate(body):
+        if body["question"] == "mute":
+            raise ValueError("not a document")
+        return {"status": "generated", "answer": "a", "cited_article_numbers": [4], "warnings": [], "model": "m"}
+
+    cases = spark.createDataFrame([(0, "fine", None), (1, "boom", "t"), (2, "mute", "t")], "case_index long, question string, test_type string").coalesce(1)
+    with Service(retrieve, generate, port=0) as service:
+        rows = {r.question: r for r in runs.over_http(cases, f"http://127.0.0.1:{service.port}/", timeout=20, delay=0.01).collect()}
+    fine = rows["fine"]
+    assert (fine.behavior, fine.given, fine.status, fine.cited, fine.error) == ("retrieve", [4, 5], "generated", [4], None)
+    assert fine.retrieval_seconds >= 0.05 and fine.generation_seconds > 0
+    assert rows["boom"].error.startswith("retrieval_http: 500") and rows["boom"].generation_seconds is None
+    assert rows["mute"].error.startswith("generation_http: 400") and rows["mute"].given == [4, 5]
+
+
 def test_broken_runs_go_on(spark, tmp_path):
     cases = spark.createDataFrame([(i, f"c{i}", f"q{i}") for i in range(5)], "case_index long, case_id string, question string")
     own = runs.Identity("d", 1, "p", "m", "j", 0, None)
@@ -251,6 +294,7 @@ def test_broken_runs_go_on(spark, tmp_path):
     assert runs.run_cases(run, cases, do, batch=1, stop_on_error=True).count() == 3
     done.append(1)
     assert [r.case_index for r in run.left(cases).orderBy("case_index").collect()] == [2, 3, 4]
+    assert {r.case_index: (r.state, r.attempt) for r in run.states(cases).collect()} == {0: ("done", 1), 1: ("done", 1), 2: ("failed", 1), 3: ("open", 0), 4: ("open", 0)}
     assert runs.run_cases(run, cases, do, batch=2).where("error IS NULL").count() == 5
     with pytest.raises(ValueError, match="other cases"):
         run.left(cases.replace("q1", "z", "question"))
