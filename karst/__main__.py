@@ -32,7 +32,7 @@ from karst.plans import retrieve as plans
 from karst.server import Service
 from karst.session import session
 from karst.settings import Settings, get_settings
-from karst.sources import store
+from karst.sources import store, versions
 from karst.sources.documents import to_document
 from karst.sources.providers import HttpEmbedder, build_completer
 from karst.sources.scratch import written
@@ -96,6 +96,25 @@ def indexes(spark, s: Settings) -> dict:
     return {"index": search.node_index(spark, f"{s.node_table}_words"), "walks": graph.packed(spark, f"{s.edge_table}_walks")}
 
 
+def _indexed(spark, s: Settings) -> None:
+    search.index_nodes(spark.table(s.node_table), f"{s.node_table}_words")
+    graph.pack(spark.table(s.edge_table), s, f"{s.edge_table}_walks")
+
+
+def _update(spark, s: Settings, models: Models, nodes, edges, reset: bool) -> dict:
+    """The stores updated by key; the indexes follow when anything changed."""
+    out = {}
+    for name, rows, schema, key, embedder in ((s.node_table, nodes, store.NODE_SCHEMA, F.col("uri"), models.embedder), (s.edge_table, edges, store.EDGE_SCHEMA, build.edge_key(edges.columns), None)):
+        if reset:
+            versions.drop(spark, name)
+        if spark.catalog.tableExists(name) and not versions.is_versioned(spark, name):
+            raise ValueError(f"{name} was not made by updates; use reset without --update, or another name")
+        out[name] = versions.update(spark, name, rows, schema, key, embedder=embedder, batch=s.embedding_batch_size)
+    if any(c[k] for c in out.values() for k in ("inserted", "updated", "removed")):
+        _indexed(spark, s)
+    return out
+
+
 class Engine:
     """One question at a time over the stores, as the command line and the server ask it."""
 
@@ -172,6 +191,7 @@ def main(argv: list[str] | None = None, models: Models | None = None) -> int:
     parser.add_argument("command", choices=["inspect", "audit", "create", "describe", "ingest", "check", "retrieve", "generate", "smoke", "evaluate", "serve"])
     parser.add_argument("path", nargs="?", help="a file, or the question")
     parser.add_argument("--reset", action="store_true", help="drop what is stored")
+    parser.add_argument("--update", action="store_true", help="ingest: change the stores by key, and embed only what is new or changed")
     parser.add_argument("--output", help="write the document there (evaluate: the folder of the runs)")
     parser.add_argument("--debug", action="store_true", help="without texts, numbers to 8 places")
     parser.add_argument("--compact", action="store_true", help="on one line")
@@ -188,7 +208,7 @@ def main(argv: list[str] | None = None, models: Models | None = None) -> int:
     args = parser.parse_args(argv)
     if args.command not in ("create", "describe", "serve") and not args.path:
         parser.error("a file or a question is needed")
-    s, spark = get_settings(), session()
+    s, spark, held = get_settings(), session(), []
     models = models or Models(s)
     engine = Engine(spark, s, models)
     try:
@@ -220,7 +240,7 @@ def main(argv: list[str] | None = None, models: Models | None = None) -> int:
                 print(json.dumps({"port": service.port}), flush=True)
                 threading.Event().wait()
         else:
-            triples, nodes, edges = _load(spark, args.path, s)
+            triples, nodes, edges = held = _load(spark, args.path, s)
             report = build.inspection_report(triples, nodes, edges, s).first().asDict()
             if args.command == "inspect":
                 bridges = edges.where(F.col("predicate_local_name").isin(build.CONCEPT_TO_ARTICLE + build.ARTICLE_TO_CONCEPT))
@@ -232,11 +252,13 @@ def main(argv: list[str] | None = None, models: Models | None = None) -> int:
                 if not report["is_valid"]:
                     raise ValueError("the graph is not valid")
                 dimensions = probe(models.embedder)
-                embedded = store.embed_within(nodes, models.embedder, "searchable_text", s.embedding_batch_size)
-                done = store.ingest(spark, embedded, edges, s.node_table, s.edge_table, reset=args.reset, valid=report["is_valid"])
-                out = {"stored": [r.asDict() for r in done.collect()], "dimensions": dimensions}
-                search.index_nodes(spark.table(s.node_table), f"{s.node_table}_words")
-                graph.pack(spark.table(s.edge_table), s, f"{s.edge_table}_walks")
+                if args.update:
+                    out = {"updated": _update(spark, s, models, nodes, edges, args.reset), "dimensions": dimensions}
+                else:
+                    embedded = store.embed_within(nodes, models.embedder, "searchable_text", s.embedding_batch_size)
+                    done = store.ingest(spark, embedded, edges, s.node_table, s.edge_table, reset=args.reset, valid=report["is_valid"])
+                    out = {"stored": [r.asDict() for r in done.collect()], "dimensions": dimensions}
+                    _indexed(spark, s)
             else:
                 out = {t: {"stored": spark.table(t).count(), "expected": df.count()} for t, df in ((s.node_table, nodes), (s.edge_table, edges))}
         if args.output:
@@ -246,6 +268,9 @@ def main(argv: list[str] | None = None, models: Models | None = None) -> int:
     except Exception as e:  # a command line says what went wrong and how it ended
         print(json.dumps({"error": type(e).__name__, "detail": str(e)[:4000]}, ensure_ascii=False), file=sys.stderr)
         return 1
+    finally:
+        for df in held:  # else the next command of this session would read the file as it was
+            df.unpersist()
 
 
 if __name__ == "__main__":

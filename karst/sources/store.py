@@ -33,7 +33,8 @@ def ensure_store(spark: SparkSession, name: str, schema: T.StructType, reset: bo
     """Drops the table when reset, creates it when missing; tells what was done."""
     there = spark.catalog.tableExists(name)
     if there and reset:
-        spark.sql(f"DROP TABLE {name}")
+        spark.sql(f"DROP {'VIEW' if spark.catalog.getTable(name).tableType == 'VIEW' else 'TABLE'} {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {name}_versions")
     made = not there or reset
     if made:
         spark.createDataFrame([], schema).write.format("parquet").saveAsTable(name)

@@ -17,7 +17,7 @@ from karst.__main__ import Models, debugged, main
 from karst.server import Service
 from karst.settings import Settings
 from karst.sources import providers as p
-from karst.sources import store
+from karst.sources import store, versions
 from karst.sources.models import ask, complete_with_retry
 from karst.sources.structured import strict_schema
 
@@ -307,3 +307,40 @@ def test_broken_runs_go_on(spark, tmp_path):
     with pytest.raises(ValueError):
         runs.aggregate(spark, [documents[0], {"identity": {"run": 2, "model": "z"}, "complete": True}], ["summary.a"])
     assert "FAILED down" in runs.console_row({"case_index": 1, "case_id": "c", "error": "down"}) and "pass recall=1.00" in runs.console_row({"case_index": 1, "case_id": "c", "end_to_end_pass": True, "article_recall_at_5": 1.0})
+
+
+def test_ingestion_by_updates(spark, tmp_path, capsys, monkeypatch):
+    """The second ingestion of a file embeds nothing; a changed label embeds its node alone; retrieval reads the view."""
+    path, calls = tmp_path / "law.ttl", tmp_path / "calls"
+    path.write_text(WHOLE, encoding="utf-8")
+    for k, v in {"ARTICLE_COUNT": "4", "NODE_TABLE": "upd_nodes", "EDGE_TABLE": "upd_edges", "LLM_MODEL": "fixed"}.items():
+        monkeypatch.setenv(k, v)
+    settings.get_settings.cache_clear()
+
+    def counting(texts, own=embedder, log=str(calls)):
+        with open(log, "a") as f:
+            f.write("x" * len([t for t in texts if t != "probe"]))
+        return own(texts)
+
+    models = Models(settings.get_settings(), writer, counting, judge)
+
+    def run(*args):
+        assert main(list(args), models) == 0, capsys.readouterr().err[-2000:]
+        return json.loads(capsys.readouterr().out)
+
+    asked = lambda: len(calls.read_text()) if calls.exists() else 0
+    try:
+        first = run("ingest", str(path), "--update")["updated"]
+        n = first["upd_nodes"]["inserted"]
+        assert n > 20 and first["upd_nodes"]["embedded"] == asked() == n and first["upd_edges"]["inserted"] > n
+        again = run("ingest", str(path), "--update")["updated"]
+        assert asked() == n and again["upd_nodes"] == {"inserted": 0, "updated": 0, "unchanged": n, "removed": 0, "embedded": 0}
+        path.write_text(WHOLE.replace('"الراتب"', '"المرتب"'), encoding="utf-8")
+        third = run("ingest", str(path), "--update")["updated"]
+        assert third["upd_nodes"]["updated"] == 1 and asked() == n + 1 and third["upd_edges"]["inserted"] == third["upd_edges"]["removed"] == 1
+        assert run("retrieve", "ما حكم تأخير الأجر والإجازة؟")["articles"]
+        assert run("create", "--reset")["upd_nodes"]["deleted"] and spark.table("upd_nodes").isEmpty()
+    finally:
+        settings.get_settings.cache_clear()
+        for t in ("upd_nodes", "upd_edges"):
+            versions.drop(spark, t) if versions.is_versioned(spark, t) else spark.sql(f"DROP TABLE IF EXISTS {t}")
