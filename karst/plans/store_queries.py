@@ -14,7 +14,8 @@ from karst.operators import evaluate as ev
 from karst.plans import graph_queries
 from karst.plans import standin as g
 from karst.settings import Settings
-from karst.sources import documents, models, store
+from karst.sources import documents, models, store, versions
+from karst.sources.scratch import shared_dir
 from karst.sources.structured import structured
 
 NS = "http://example.org/law#"
@@ -63,8 +64,25 @@ def stored_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store_columns(spark: SparkSession, d: str) -> DataFrame:
-    """What the edge store's columns are for."""
-    return store.described(spark, store.EDGE_SCHEMA)
+    """What the edge store's columns are for, and how many of its rows have each."""
+    rows = store.stored(build.edges_of_triples(_triples(spark, d)), store.EDGE_SCHEMA)
+    counts = rows.agg(*[F.count(c).alias(c) for c in rows.columns]).unpivot([], rows.columns, "column", "filled")
+    return store.described(spark, rows.schema).join(counts, "column")
+
+
+def store_update(spark: SparkSession, d: str) -> DataFrame:
+    """A store of customers and what an update makes of it: some are gone, some changed, some new; the version of each row tells which were written again."""
+    c = g.table(spark, d, "customer")
+    folder = shared_dir(spark, "store")
+    name, schema = "store_" + folder.rpartition("-")[2], T.StructType([f for f in store.NODE_SCHEMA if f.name in ("uri", "labels_en", "searchable_text")])
+
+    def rows(kept, text) -> DataFrame:
+        return c.where(kept).select(g.uri("c", "c_custkey").alias("uri"), F.array("c_name").alias("labels_en"), text.alias("searchable_text"))
+
+    for kept, segment in (("c_custkey % 4 > 0", F.col("c_mktsegment")), ("c_custkey % 3 > 0", F.when(F.col("c_custkey") % 5 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")))):
+        versions.update(spark, name, rows(kept, segment), schema, F.col("uri"), folder=folder)
+    newest = spark.table(versions.log_of(name)).groupBy("uri").agg(F.max("_version").alias("version"))
+    return spark.table(name).join(newest, "uri").select("uri", F.array_join("labels_en", "|").alias("labels_en"), "searchable_text", "version")
 
 
 def eligible_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -211,7 +229,7 @@ def judge_grades(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", (x["value"]["correctness"] / 2).alias("correctness"), (x["value"]["faithfulness"] / 2).alias("faithfulness"), x["error"].alias("error"))
 
 
-QUERIES = {f.__name__: f for f in (edge_extraction, stored_nodes, stored_edges, store_columns, eligible_nodes, valid_articles, article_uris, namespace_walk, evidence_export, zip_embeddings, token_usage, embedding_text, outermost_json, compact_json, structured_output, case_slice, sorted_nodes, out_of_scope_verdict, resume_identity, nested_metrics, issue_pairs, citations_of, judge_grades)}
+QUERIES = {f.__name__: f for f in (edge_extraction, stored_nodes, stored_edges, store_columns, store_update, eligible_nodes, valid_articles, article_uris, namespace_walk, evidence_export, zip_embeddings, token_usage, embedding_text, outermost_json, compact_json, structured_output, case_slice, sorted_nodes, out_of_scope_verdict, resume_identity, nested_metrics, issue_pairs, citations_of, judge_grades)}
 
 _EDGES = f"""SELECT '{NS}c' || c_custkey AS source_uri, '{NS}inNation' AS predicate_uri, 'inNation' AS predicate_local_name, 'uri' AS object_kind, '{NS}n' || c_nationkey AS target_uri, NULL AS literal_value, NULL AS literal_language, NULL AS literal_datatype FROM customer
     UNION ALL SELECT '{NS}c' || c_custkey, '{build.LITERALS["labels"]}', 'label', 'literal', NULL, c_name, CASE c_custkey % 3 WHEN 0 THEN 'ar' WHEN 1 THEN 'en' END, NULL FROM customer
@@ -219,12 +237,16 @@ _EDGES = f"""SELECT '{NS}c' || c_custkey AS source_uri, '{NS}inNation' AS predic
 _ERRORS = " ".join(f"WHEN {i} THEN " + ("NULL" if e is None else f"'{e}'") for i, (_, e) in enumerate(REPLIES))
 _GOOD = ", ".join(str(i) for i, (_, e) in enumerate(REPLIES) if e is None)
 
+_EDGE_COLUMNS = ("source_uri", "predicate_uri", "predicate_local_name", "object_kind", "target_uri", "literal_value", "literal_language", "literal_datatype")
+
 ORACLE_SQL = {
     "edge_extraction": _EDGES,
     "stored_nodes": """SELECT 'o' || o_orderkey AS uri, 'Article' AS node_kind, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey AS INTEGER) END AS article_number, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS labels_ar, NULL AS labels_en, true AS bare, NULL AS local_name FROM orders
         UNION ALL SELECT 'c' || c_custkey, 'Concept', NULL, NULL, c_name || '|' || c_mktsegment, true, NULL FROM customer""",
     "stored_edges": f"SELECT * REPLACE (CAST(NULL AS VARCHAR) AS literal_datatype) FROM ({_EDGES})",
-    "store_columns": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', 'string', '{'word' if c == 'literal_value' else 'field'}', {str(c == 'literal_value').lower()}, {str(c != 'literal_value').lower()})" for c in ("source_uri", "predicate_uri", "predicate_local_name", "object_kind", "target_uri", "literal_value", "literal_language", "literal_datatype")) + ') v("column", type, tokenization, searchable, filterable)',
+    "store_columns": "SELECT v.*, filled FROM (VALUES " + ", ".join(f"('{c}', 'string', '{'word' if c == 'literal_value' else 'field'}', {str(c == 'literal_value').lower()}, {str(c != 'literal_value').lower()})" for c in _EDGE_COLUMNS) + ') v("column", type, tokenization, searchable, filterable) JOIN (' + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS filled FROM ({_EDGES})" for c in _EDGE_COLUMNS) + ') USING ("column")',
+    "store_update": """SELECT 'c' || c_custkey AS uri, c_name AS labels_en, CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS searchable_text,
+        CAST(CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM customer WHERE c_custkey % 3 > 0""",
     "eligible_nodes": "SELECT 'c' || c_custkey AS uri, c_mktsegment AS searchable_text FROM customer WHERE c_acctbal > 0",
     "valid_articles": "SELECT 'o' || o_orderkey AS uri, CAST(o_orderkey AS INTEGER) AS article_number, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || ' ' ELSE '' END || o_orderpriority AS \"full\" FROM orders WHERE o_orderkey % 5 > 0",
     "article_uris": "SELECT page_id, page_id % 4 = 0 AS is_article FROM pages",

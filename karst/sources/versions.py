@@ -48,11 +48,11 @@ def _content(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
-def update(spark: SparkSession, name: str, rows: DataFrame, schema: T.StructType, key: Column, *, embedder: Callable | None = None, batch: int = 32, buckets: int | None = None) -> dict[str, int]:
+def update(spark: SparkSession, name: str, rows: DataFrame, schema: T.StructType, key: Column, *, embedder: Callable | None = None, batch: int = 32, buckets: int | None = None, folder: str | None = None) -> dict[str, int]:
     """Makes the store's rows those of ``rows``: inserted, updated, unchanged, removed, and embedded (of them those that were sent to the embedder).
 
     key: of a row, not null; rows with one key are one, that with the least content digest.  With an embedder, rows are embedded by
-    their ``searchable_text`` when they are new or changed; if any fails nothing is written.  The view ``name`` has the schema's columns.
+    their ``searchable_text`` when they are new or changed; if any fails nothing is written.  folder: where a new log's files are, else where the catalogue has its own.  The view ``name`` has the schema's columns.
     """
     columns = [f.name for f in schema.fields if f.name != "embedding"]
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -78,7 +78,8 @@ def update(spark: SparkSession, name: str, rows: DataFrame, schema: T.StructType
         gone = diff.where("_state = 'removed'").select(F.col("_k").alias("_key"), F.col("_d").alias("_digest"), F.lit(True).alias("_deleted"))
         added = fresh.withColumn("_deleted", F.lit(False)).unionByName(gone, allowMissingColumns=True).withColumn("_version", F.lit(version).cast("long"))
         full = added.select(*_OWN, *[(F.col(f.name) if f.name in added.columns else F.lit(None)).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema.fields])
-        full.repartition(n, "_key").write.mode("append").format("parquet").bucketBy(n, "_key").sortBy("_key").saveAsTable(log_of(name))
+        writer = full.repartition(n, "_key").write.mode("append").format("parquet").bucketBy(n, "_key").sortBy("_key")
+        (writer.option("path", f"{folder}/{log_of(name)}") if folder else writer).saveAsTable(log_of(name))
         spark.catalog.refreshTable(log_of(name))
         if not known:
             listed = ", ".join(f"`{f.name}`" for f in schema.fields)
