@@ -93,11 +93,12 @@ def debugged(found: dict) -> dict:
 
 def indexes(spark, s: Settings) -> dict:
     """The stored index and packed edges of the stores, as far as they are there."""
-    return {"index": search.node_index(spark, f"{s.node_table}_words"), "walks": graph.packed(spark, f"{s.edge_table}_walks")}
+    return {"index": search.node_index(spark, f"{s.node_table}_words"), "walks": graph.packed(spark, f"{s.edge_table}_walks"), "nearby": search.vector_index(spark, f"{s.node_table}_near")}
 
 
 def _indexed(spark, s: Settings) -> None:
     search.index_nodes(spark.table(s.node_table), f"{s.node_table}_words")
+    search.index_vectors(spark.table(s.node_table), f"{s.node_table}_near")
     graph.pack(spark.table(s.edge_table), s, f"{s.edge_table}_walks")
 
 

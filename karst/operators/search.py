@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from karst.functions import scoring
-from karst.operators import lexicon, rank
+from karst.operators import cells, lexicon, rank
+from karst.operators.cells import Cells
 from karst.operators.graph import KEYS
 from karst.operators.lexicon import Lexicon
 from karst.settings import Settings
@@ -145,10 +146,22 @@ def fuse(vector: DataFrame, lexical: DataFrame, hint: DataFrame, degree: DataFra
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.concept_top_k)
 
 
-def search_concepts(issues: DataFrame, nodes: DataFrame, degree: DataFrame, s: Settings, keys: list[str] = KEYS, index: Lexicon | None = None) -> DataFrame:
-    """The fused concepts of every issue.  issues: keys, vector, retrieval_query, hints; nodes: the node table with embeddings; index: of its eligible nodes, made here if none is stored."""
+def index_vectors(nodes: DataFrame, name: str) -> Cells:
+    """The catalogue's index of the vectors that a search may find."""
+    nodes.sparkSession.sql(f"DROP TABLE IF EXISTS {name}_cells")
+    return cells.build(rank.eligible(nodes), name)
+
+
+def vector_index(spark: SparkSession, name: str) -> Cells | None:
+    """The catalogue's vector index under a name, if there is one."""
+    return Cells(name) if spark.catalog.tableExists(f"{name}_cells") else None
+
+
+def search_concepts(issues: DataFrame, nodes: DataFrame, degree: DataFrame, s: Settings, keys: list[str] = KEYS, index: Lexicon | None = None, nearby: Cells | None = None) -> DataFrame:
+    """The fused concepts of every issue.  issues: keys, vector, retrieval_query, hints; nodes: the node table with embeddings; index, nearby: of its eligible nodes' words and vectors; without a stored one words are indexed here and vectors scanned."""
     index = index or index_nodes(nodes)
-    near = vector_topk(issues.select(*keys, "vector"), rank.eligible(nodes), s.vector_candidates, keys)
+    vectors = issues.select(*keys, "vector")
+    near = cells.topk(nearby, vectors, s.vector_candidates, keys, exact=True) if nearby else vector_topk(vectors, rank.eligible(nodes), s.vector_candidates, keys)
     asked = issues.select(*keys, F.col("retrieval_query").alias("query"))
     hints = issues.select(*keys, F.posexplode("hints").alias("hint_index", "query")).where(F.trim("query") != "")
     lexical = lexicon.topk(index, asked, s.bm25_candidates, keys)

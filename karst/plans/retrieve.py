@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from karst.functions.text import article_text, embedding_text, first_text, normalize_arabic, relevance, seed_label
 from karst.operators import answers, graph, planning, rank, search
 from karst.operators.adjacency import Adjacency
+from karst.operators.cells import Cells
 from karst.operators.lexicon import Lexicon
 from karst.settings import Settings
 from karst.sources.models import ask, with_digest
@@ -88,7 +89,7 @@ def plan_questions(questions: DataFrame, completer: Callable, s: Settings, store
     return plans.withColumn("plan_error", F.coalesce("_lost", planning.plan_error(F.col("plan")))).drop("_lost")
 
 
-def retrieve_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, embedder: Callable, completer: Callable, s: Settings, store: str | None = None, index: Lexicon | None = None, walks: Adjacency | None = None) -> DataFrame:
+def retrieve_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, embedder: Callable, completer: Callable, s: Settings, store: str | None = None, index: Lexicon | None = None, walks: Adjacency | None = None, nearby: Cells | None = None) -> DataFrame:
     """question_id, articles, concepts, expanded_concepts, seeds, candidate_numbers, selection_error for the plans that retrieve."""
     walks = walks or graph.pack(edges, s)
     issues = planning.explode_issues(plans.where("plan_error IS NULL"))
@@ -96,7 +97,7 @@ def retrieve_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, embedde
     vectors = written(embed(issues.withColumn("_text", text), embedder, "_text", s.embedding_batch_size).select(*graph.KEYS, "issue", "retrieval_query", F.col("concept_hints").alias("hints"), F.col("embedding").alias("vector")), "vectors")
     degree = walks.degrees(nodes.sparkSession)
     facts = nodes.select("uri", "local_name", "node_kind", "labels_ar", "labels_en", "article_number", first_text(F.col("comments_ar"), F.col("comments_en"), F.col("searchable_text")).alias("text"))
-    hits = written(search.search_concepts(vectors, nodes, degree, s, index=index).join(facts.drop("article_number", "text"), "uri"), "hits")
+    hits = written(search.search_concepts(vectors, nodes, degree, s, index=index, nearby=nearby).join(facts.drop("article_number", "text"), "uri"), "hits")
     seeds = written(graph.select_seeds(hits, s).withColumn("seed_label", seed_label(F.col("labels_ar"), F.col("labels_en"), F.col("local_name"))), "seeds")
     evidence, reached = graph.walk(seeds, walks, s, in_namespace=lambda u: u.startswith(s.namespace))
     evidence = written(evidence, "evidence")
@@ -140,17 +141,17 @@ def retrieve_plans(plans: DataFrame, nodes: DataFrame, edges: DataFrame, embedde
     return out
 
 
-def retrieve(questions: DataFrame, nodes: DataFrame, edges: DataFrame, *, completer: Callable, embedder: Callable, settings: Settings | None = None, store: str | None = None, index: Lexicon | None = None, walks: Adjacency | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, nodes: DataFrame, edges: DataFrame, *, completer: Callable, embedder: Callable, settings: Settings | None = None, store: str | None = None, index: Lexicon | None = None, walks: Adjacency | None = None, nearby: Cells | None = None) -> DataFrame:
     """One row per question: question_id, schema_version, status, question, decision, articles, concepts, expanded_concepts, diagnostics.
 
     questions: question_id, question.  Questions that are too short, plans that don't hold and selections beyond
     the catalogue have the status error, and say which in decision.reason, as do calls that failed and replies that are
     not what was asked for; the other questions go on.  store: a folder of replies that are never asked for again.
-    index, walks: the stored index of the nodes and the packed edges; what is not given is made for this call.
+    index, walks, nearby: the stored indexes of the nodes' words, of the edges and of the vectors; of the first two what is not given is made for this call.
     """
     s = settings or Settings()
     plans = written(plan_questions(questions, completer, s, store), "plans")
-    found = written(retrieve_plans(plans, nodes, edges, embedder, completer, s, store, index, walks), "found")
+    found = written(retrieve_plans(plans, nodes, edges, embedder, completer, s, store, index, walks, nearby), "found")
     rows = questions.select("question_id", F.trim("question").alias("question")).join(plans.drop("question"), "question_id", "left").join(found, "question_id", "left")
     error = F.coalesce(planning.question_error(F.col("question")), F.col("plan_error"), F.col("selection_error"))
     decision = F.struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.operators import lexicon, search
+from karst.operators import cells, lexicon, search
 from karst.plans.standin import SETTINGS, name_of, table, uri
 
 KEYS = ["question_id"]
@@ -20,6 +20,15 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_topk(queries, nodes, 10, KEYS).select("question_id", "uri", F.round("distance", 5).alias("distance"), "rank")
 
 
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the stored index of cells: the nearest cells first, then those that may hold a nearer vector."""
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    nodes = e.select(uri("d", "vec_id").alias("uri"), "embedding")
+    found = cells.topk(cells.build_scratch(nodes, name=name_of("near", nodes)), queries, 10, KEYS, exact=True)
+    return found.select("question_id", "uri", F.round("distance", 5).alias("distance"), "rank")
+
+
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(uri("d", "doc_id").alias("uri"), "text")
 
@@ -123,10 +132,11 @@ hits AS (
       / (CAST(0.15 AS DOUBLE) + CASE WHEN semantic_score IS NULL THEN 0 ELSE CAST(0.35 AS DOUBLE) END + CASE WHEN lexical_score IS NULL THEN 0 ELSE CAST(0.25 AS DOUBLE) END + CASE WHEN planner_hint_score IS NULL THEN 0 ELSE CAST(0.25 AS DOUBLE) END) AS seed_score FROM parts)
 )"""
 
-QUERIES = {f.__name__: f for f in (vector_topk, bm25_topk, bm25_multifield, hint_round_robin, rrf_fusion, seed_scores)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_index_topk, bm25_topk, bm25_multifield, hint_round_robin, rrf_fusion, seed_scores)}
 
 ORACLE_SQL = {
     "vector_topk": f"SELECT question_id, uri, round(distance, 5) AS distance, rank FROM ({_near('SELECT vec_id AS question_id, embedding FROM embeddings WHERE vec_id % 50 = 0', 10)})",
+    "vector_index_topk": f"SELECT question_id, uri, round(distance, 5) AS distance, rank FROM ({_near('SELECT vec_id AS question_id, embedding FROM embeddings WHERE vec_id % 50 = 0', 10)})",
     "bm25_topk": f"WITH {_bm25_sql(_DOCS, {'text': 1.0}, _ITEMS, 'question_id', 10)} SELECT question_id, uri, round(score, 6) AS score, rank FROM top",
     "bm25_multifield": f"""WITH {_bm25_sql("SELECT 'p' || page_id AS uri, url, html FROM pages", BOOSTS, "SELECT item_id AS question_id, 'example blog ' || text AS query FROM benchmark", 'question_id', 10)} SELECT question_id, uri, round(score, 6) AS score, rank FROM top""",
     "hint_round_robin": f"WITH {_bm25_sql(_DOCS, {'text': 1.0}, _HINTS, 'question_id, hint_index', 10)} SELECT question_id, uri, round(score, 6) AS score, rank FROM ({_INTERLEAVED})",
