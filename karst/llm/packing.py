@@ -57,12 +57,56 @@ class Schedule:
             at = float(ends[-1]) if len(own) else at
         self.middle = self.rounds[1][0]
         self.windows = int(np.ceil(at - 1e-9))
+        self._rank()
+
+    def _rank(self) -> None:
+        """The order of the queues within a window: by class of equal weight, and then by size, which is the order of running dry.
+
+        In a class, the queues that are dry are its first ones and all others have given the same, so what its first ones
+        have given is a prefix sum and a product.  Classes of one size have a vector of their own, one entry a class.
+        """
+        n = len(self.totals)
+        order = np.lexsort((self.totals, self.weight, self.late))
+        weight, late, total = self.weight[order], self.late[order], self.totals[order]
+        starts = np.flatnonzero(np.append([True] * min(n, 1), (np.diff(weight) != 0) | (late[1:] != late[:-1])))
+        sizes = np.diff(np.append(starts, n))
+        mixed = total[starts] != total[starts + sizes - 1]
+        order = order[np.argsort(np.repeat(~mixed, sizes), kind="stable")]
+        self.rank = np.empty(n, dtype=np.int64)
+        self.rank[order] = np.arange(n)
+        self.by_rank, self.dry_by_rank = self.totals[order], self.dry[order]
+        self.sums = np.append(0, np.cumsum(self.by_rank))
+        sizes = np.append(sizes[mixed], sizes[~mixed]).astype(np.int64)
+        ends, k = np.cumsum(sizes), int(mixed.sum())
+        self.mixed = [(int(e - s), int(e), float(self.weight[order[e - s]]), int(self.late[order[e - s]])) for s, e in zip(sizes[:k], ends[:k], strict=True)]
+        self.even, self.even_sizes = (ends - sizes)[k:], sizes[k:]
+        self.even_queues = order[self.even]
+
+    def given_before(self, rank: int, w: int) -> int:
+        """Tokens that the queues of lower rank have given after w windows; its cost is that of the classes, not of the queues."""
+        if w <= 0:
+            return 0
+        if w >= self.windows:
+            return int(self.sums[rank])
+        clocks, out = self.clocks(w), 0
+        for start, end, weight, late in self.mixed:
+            if start >= rank:
+                return out
+            clock, n = clocks[late], min(rank, end) - start
+            each = int(np.floor(weight * clock + 1e-6))
+            dry = max(np.searchsorted(self.by_rank[start:end], each, "right"), np.searchsorted(self.dry_by_rank[start:end], clock, "right"))
+            dry = min(int(dry), n)
+            out += int(self.sums[start + dry] - self.sums[start]) + each * (n - dry)
+        k = int(np.searchsorted(self.even, rank))
+        if k:
+            out += int((self._given(clocks, self.even_queues[:k]) * np.minimum(self.even_sizes[:k], rank - self.even[:k])).sum())
+        return out
 
     def clocks(self, w: float) -> tuple[float, float]:
         """Both rounds' clocks after w windows."""
         return tuple(float(np.interp(w, ends, dry)) for _, ends, dry in self.rounds)
 
-    def _given(self, clocks: tuple[float, float], queue: int | slice) -> np.ndarray:
+    def _given(self, clocks: tuple[float, float], queue: int | slice | np.ndarray) -> np.ndarray:
         clock = np.where(self.late[queue], clocks[1], clocks[0])
         # A queue that has run dry has given all, whatever a product of floats says.
         given = np.floor(self.weight[queue] * clock + 1e-6).astype(np.int64)
@@ -100,15 +144,17 @@ class Schedule:
 
     def places(self, queue: int, start: int, end: int) -> Iterator[tuple[int, int, int]]:
         """(from, to, place of from) for the stretches of tokens start..end of the queue, one a window."""
-        w = self.window_of(queue, start)
-        before = self.quota(w)
+        w, rank, n = self.window_of(queue, start), int(self.rank[queue]), len(self.totals)
+        own, lower, all_ = self._quota_of(queue, w), self.given_before(rank, w), self.given_before(n, w)
         while start < end:
-            after = self.quota(w + 1)
-            to = min(end, int(after[queue]))
+            own_then, lower_then = self._quota_of(queue, w + 1), self.given_before(rank, w + 1)
+            to = min(end, own_then)
             if to > start:
-                yield start, to, int(after[:queue].sum() + before[queue:].sum()) + start - int(before[queue])
+                yield start, to, lower_then + all_ - lower + start - own
                 start = to
-            w, before = w + 1, after
+            w, own, lower = w + 1, own_then, lower_then
+            if start < end:
+                all_ = self.given_before(n, w)
 
 
 #: The mixture in which every source has the same share.
@@ -192,7 +238,8 @@ def pack(
 
     mixture: target shares by source (sources that it lacks are served last, by their sizes); "equal": every source the same;
     None: the corpus's own token shares, under which all queues run dry together.  Every source has a queue of its own.  When a
-    queue runs dry the others take over its share in proportion.  Only the last sequence of all is padded.
+    queue runs dry the others take over its share in proportion.  Only the last sequence of all is padded.  Placing a stretch
+    costs as much as there are distinct shares (and distinct sizes of queues without one, or under None), however many queues.
 
     Null texts are empty: one piece with the end id.  A null source is a queue of its own.
     Repeated rows are packed each.  An empty table gives no pieces.  The sequences depend on how the

@@ -43,6 +43,34 @@ def test_quotas_equal_the_phases_played_through():
             assert [a for a, _, _ in spots] == [0, *(b for _, b, _ in spots)][:-1] if spots else not totals[q]
 
 
+def test_places_are_the_quotas_added_up():
+    rng = random.Random(2)
+    for _ in range(60):
+        n = rng.randint(1, 12)
+        totals = [rng.choice([0, 1, 7, 300, 301, 5000]) for _ in range(n)]
+        shares = [rng.choice([0, 0, 1, 1, 2.5]) for _ in range(n)]
+        plan = Schedule(totals, shares, 64)
+        order = np.argsort(plan.rank)
+        assert sorted(plan.rank) == list(range(n))
+        for w in range(plan.windows + 2):
+            given = np.append(0, np.cumsum(plan.quota(w)[order]))
+            assert [plan.given_before(r, w) for r in range(n + 1)] == given.tolist(), (totals, shares, w)
+        taken = sorted((place, place + b - a) for q in range(n) for a, b, place in plan.places(q, 0, totals[q]))
+        assert [a for a, _ in taken] == [0, *(b for _, b in taken)][: len(taken)] and (not taken or taken[-1][1] == sum(totals))
+
+
+def test_placing_does_not_grow_with_the_sources():
+    """A document of 1,000 tokens in the last queue, at the same windows: as many steps with 100,000 sources as with 1,000."""
+    spent = {}
+    for n in (1_000, 100_000):
+        plan = Schedule([5_000 + i % 977 for i in range(n)], [1.0] * n, 32 * 1024)
+        began = time.time()
+        spots = list(plan.places(n - 1, 2_000, 2_400))
+        spent[n] = (time.time() - began) / len(spots)
+        assert sum(b - a for a, b, _ in spots) == 400
+    assert spent[100_000] < 5 * spent[1_000] + 1e-4, spent
+
+
 def test_many_queues_need_little():
     n, began = 50_000, time.time()
     plan = Schedule([100 + i for i in range(n)], [1.0 + i % 7 for i in range(n)], 32 * 1024)
