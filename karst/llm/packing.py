@@ -65,7 +65,7 @@ class Schedule:
         In a class, the queues that are dry are its first ones and all others have given the same, so what its first ones
         have given is a prefix sum and a product.  Classes of one size have a vector of their own, one entry a class.
         """
-        n = len(self.totals)
+        n, self._last = len(self.totals), {}
         order = np.lexsort((self.totals, self.weight, self.late))
         weight, late, total = self.weight[order], self.late[order], self.totals[order]
         starts = np.flatnonzero(np.append([True] * min(n, 1), (np.diff(weight) != 0) | (late[1:] != late[:-1])))
@@ -144,17 +144,26 @@ class Schedule:
 
     def places(self, queue: int, start: int, end: int) -> Iterator[tuple[int, int, int]]:
         """(from, to, place of from) for the stretches of tokens start..end of the queue, one a window."""
-        w, rank, n = self.window_of(queue, start), int(self.rank[queue]), len(self.totals)
-        own, lower, all_ = self._quota_of(queue, w), self.given_before(rank, w), self.given_before(n, w)
+        w, own, own_then, shift = self._last.get(queue, (0, 0, 0, 0))
+        if not own <= start < own_then:
+            w, own, own_then, shift = self._window(queue, self.window_of(queue, start))
         while start < end:
-            own_then, lower_then = self._quota_of(queue, w + 1), self.given_before(rank, w + 1)
             to = min(end, own_then)
             if to > start:
-                yield start, to, lower_then + all_ - lower + start - own
+                yield start, to, shift + start
                 start = to
-            w, own, lower = w + 1, own_then, lower_then
             if start < end:
-                all_ = self.given_before(n, w)
+                w, own, own_then, shift = self._window(queue, w + 1)
+
+    def _window(self, queue: int, w: int) -> tuple[int, int, int, int]:
+        """w, what the queue has given before and after it, and what its tokens' places lie beyond their numbers; kept, as the next document mostly lies there too."""
+        rank, n = int(self.rank[queue]), len(self.totals)
+        own, own_then = self._quota_of(queue, w), self._quota_of(queue, w + 1)
+        shift = 0
+        if own_then > own:
+            shift = self.given_before(rank, w + 1) + self.given_before(n, w) - self.given_before(rank, w) - own
+        self._last[queue] = (w, own, own_then, shift)
+        return self._last[queue]
 
 
 #: The mixture in which every source has the same share.
