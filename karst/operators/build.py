@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,24 +42,28 @@ def literal_groups(triples: DataFrame) -> DataFrame:
 def closure(pairs: DataFrame, roots: list[str]) -> DataFrame:
     """uri: the roots and all that is below them by pairs (child, parent), at any depth; cycles end.
 
-    Each round doubles the reach: what is known grows by all that is as many steps below it as the links then span, and
-    links are joined with themselves, without those of what is known.  Rounds are written, so plans stay small.
+    Nulls and links of a resource to itself count for nothing.  Each round goes one level down from what the last one
+    found and then shortens what is left, so that links never grow: links of what is known go, links to a resource that
+    is neither known nor has a parent go (nothing leads on from there), and a link to a resource with a single parent
+    becomes one to that parent, since either is reached if and only if the other is.  Chains and trees away from the
+    roots thus end in as many rounds as their depth has bits, and only levels of several parents take a round each.
+    Rounds are written, so plans stay small.
     """
     spark = pairs.sparkSession
-    known = spark.createDataFrame([(r,) for r in roots], "uri string").distinct()
-    known = written(known, "closure-known")
+    found = written(spark.createDataFrame([(r,) for r in roots], "uri string").where("uri IS NOT NULL").distinct(), "closure-found")
+    levels = [found]
     own = pairs.select(F.col("child").alias("a"), F.col("parent").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
-    links = written(own, "closure-links")
+    links = written(own.join(found, F.expr("a = uri"), "left_anti"), "closure-links")
     while True:
-        found = links.join(known, F.expr("b = uri")).select(F.col("a").alias("uri")).distinct().join(known, "uri", "left_anti")
-        found = written(found, "closure-found")
+        found = written(links.join(found, F.expr("b = uri"), "left_semi").select(F.col("a").alias("uri")).distinct(), "closure-found")
         if found.isEmpty():
-            return known
-        known = written(known.union(found), "closure-known")
-        # What lies below something known is known by now, so only links between unknown resources lead to more.
-        free = links.join(known, F.expr("a = uri"), "left_anti")
-        up = links.select(F.col("a").alias("m"), F.col("b").alias("c"))
-        links = written(free.join(up, F.expr("b = m")).select("a", F.col("c").alias("b")).distinct(), "closure-links")
+            return written(reduce(DataFrame.union, levels), "closure")
+        levels.append(found)
+        left = links.join(found, F.expr("a = uri"), "left_anti")
+        ways = left.groupBy(F.col("a").alias("m")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("up"))
+        ways = ways.union(found.select("uri", F.lit(2).cast("long"), F.lit(None).cast("string")))  # where the next level begins: kept
+        shorter = left.join(ways, F.expr("b = m")).select("a", F.when(F.col("n") == 1, F.col("up")).otherwise(F.col("b")).alias("b"))
+        links = written(shorter.where("a <> b").distinct(), "closure-links")
 
 
 def node_kind(types: Column, namespace: str) -> Column:

@@ -142,3 +142,25 @@ def test_closure_at_any_depth(spark):
         frontier = {c for c, p in pairs if p in frontier} - below
         below |= frontier
     assert got == sorted(below)
+
+
+def test_closure_leaves_unrelated_links(spark, monkeypatch):
+    """A small hierarchy, a long chain, a cycle of 1,000 and 200,000 links that no root reaches: rounds are few and links never grow."""
+    sizes, plain = [], build.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "closure-links":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(build, "written", counted)
+    star = spark.range(200_000).selectExpr("concat('x', id) AS child", "concat('y', id % 7) AS parent")
+    trees = spark.range(1, 5_000).selectExpr("concat('t', id) AS child", "concat('t', id div 3) AS parent")
+    ring = spark.range(1_000).selectExpr("concat('r', id) AS child", "concat('r', (id + 1) % 1000) AS parent")
+    chain = spark.range(500).selectExpr("concat('c', id + 1) AS child", "concat('c', id) AS parent")
+    few = spark.createDataFrame([("c0", "root"), ("a", "root"), ("b", "a"), ("b", "root"), ("r17", "b"), ("d", None), (None, "root"), ("a", "a"), ("root", "r4")], "child string, parent string")
+    got = {r.uri for r in build.closure(star.union(trees).union(ring).union(chain).union(few), ["root"]).collect()}
+    assert got == {"root", "a", "b"} | {f"r{i}" for i in range(1_000)} | {f"c{i}" for i in range(501)}
+    assert sizes == sorted(sizes, reverse=True) and sizes[1] < 10_000 and len(sizes) <= 14
+    assert [r.uri for r in build.closure(few.limit(0), ["root", "root"]).collect()] == ["root"] and build.closure(few, []).isEmpty()
