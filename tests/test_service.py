@@ -16,6 +16,7 @@ from karst import settings
 from karst.__main__ import Models, debugged, main
 from karst.server import Service
 from karst.settings import Settings
+from karst.sources import models as p_models
 from karst.sources import providers as p
 from karst.sources import store, versions
 from karst.sources.models import ask, complete_with_retry
@@ -128,6 +129,55 @@ def test_replies_are_stored_and_fail_by_row(spark, tmp_path):
     assert sorted(r.text for r in ask(rows, None, folder).collect()) == ["[]", "{}"]
 
 
+def test_a_lost_task_asks_for_what_is_missing_only(spark, tmp_path):
+    """A worker that dies in the middle loses the call under way; what came before it is read from the log, and the log ends in the store."""
+    rows = spark.createDataFrame([("planner", "i", f"{k:02}", 10) for k in range(12)], "stage string, instructions string, payload string, max_output_tokens int").coalesce(1)
+    folder, seen, armed = str(tmp_path / "replies"), tmp_path / "seen", tmp_path / "armed"
+    seen.write_text("")
+    armed.write_text("")
+
+    def deadly(requests, seen=str(seen), armed=str(armed)):
+        import os
+
+        if os.path.exists(armed) and len(open(seen).read().split()) == 7:
+            os.remove(armed)
+            os._exit(1)
+        with open(seen, "a") as f:
+            f.write(requests[0]["payload"] + "\n")
+        return [{"text": "r" + requests[0]["payload"], "input_tokens": 1, "output_tokens": 1}]
+
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        with pytest.raises(Exception):
+            ask(rows, deadly, folder, calls=1).collect()
+        before = seen.read_text().split()
+        assert len(before) == 7 and len(list((tmp_path / "replies/_calls").rglob("*.json"))) == 7
+        got = sorted(r.text for r in ask(rows, deadly, folder, calls=1).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == [f"r{k:02}" for k in range(12)] and sorted(seen.read_text().split()) == [f"{k:02}" for k in range(12)]
+    assert not list((tmp_path / "replies/_calls").rglob("*.json")) and len(ask(rows, None, folder).collect()) == 12
+    log = p_models.ReplyLog("nowhere://x/y")
+    assert log.folder is None and log.get("ab") is None and log.put("ab", {}) is None and log.forget("ab") is None
+
+
+def test_calls_of_a_task_overlap_within_their_bound(spark):
+    rows = spark.createDataFrame([("planner", "i", str(k), 10) for k in range(24)], "stage string, instructions string, payload string, max_output_tokens int")
+    under_way = []
+
+    def slow(requests):
+        under_way.append(1)
+        now = len(under_way)
+        time.sleep(0.05)
+        under_way.pop()
+        return [{"text": str(now), "input_tokens": 1, "output_tokens": 1}]
+
+    most = max(int(r.text) for r in ask(rows, slow, calls=3).collect())
+    assert 2 <= most <= 3
+    with pytest.raises(ValueError, match="at least one"):
+        ask(rows, slow, calls=0)
+
+
 def test_embedding_errors_have_a_budget(spark, tmp_path):
     calls = tmp_path / "calls"
     calls.write_text("")
