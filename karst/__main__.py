@@ -29,7 +29,7 @@ from karst import evaluation as runs
 from karst.operators import build, graph, search
 from karst.operators import evaluate as ev
 from karst.plans import retrieve as plans
-from karst.server import Service
+from karst.server import Coalescer, Service
 from karst.session import session
 from karst.settings import Settings, get_settings
 from karst.sources import store, versions
@@ -117,35 +117,65 @@ def _update(spark, s: Settings, models: Models, nodes, edges, reset: bool) -> di
 
 
 class Engine:
-    """One question at a time over the stores, as the command line and the server ask it."""
+    """Questions over the stores, as the command line asks one and the server those that arrive together: one run of the plan for all of them."""
 
     def __init__(self, spark, s: Settings, models: Models):
         self.spark, self.s, self.models = spark, s, models
 
-    def retrieve(self, body: dict) -> dict:
-        question = body.get("question")
-        if not isinstance(question, str):
-            raise ValueError("question must be a text")
-        questions = self.spark.createDataFrame([(1, question)], "question_id int, question string")
+    def _documents(self, df) -> dict:
+        """The documents of a batch by question_id."""
+        return {r.question_id: json.loads(r.d) for r in df.select("question_id", to_document(F.struct(*df.columns)).alias("d")).collect()}  # a batch of requests
+
+    def retrieve_many(self, bodies: list[dict]) -> list:
+        """A retrieval document for each body, or what was wrong with it."""
+        out: list = [None if isinstance(b.get("question"), str) else ValueError("question must be a text") for b in bodies]
+        asked = [(k, b["question"]) for k, b in enumerate(bodies) if out[k] is None]
+        if not asked:
+            return out
+        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", "retrieve")
+        questions = self.spark.createDataFrame(asked, "question_id int, question string")
         found = plans.retrieve(questions, self.spark.table(self.s.node_table), self.spark.table(self.s.edge_table), completer=self.models.completer, embedder=self.models.embedder, settings=self.s, **indexes(self.spark, self.s))
-        row = json.loads(found.select(to_document(F.struct(*found.columns)).alias("d")).first().d)
-        if row["status"] == "error" and row["decision"]["reason"] == "question_too_short":
-            raise ValueError("the question is too short")
-        if row["status"] == "error":
-            raise RuntimeError(row["decision"]["reason"])
-        return row
-
-    def generate(self, body: dict) -> dict:
-        if body.get("schema_version") != plans.RETRIEVAL_VERSION:
-            raise ValueError(f"not a document of {plans.RETRIEVAL_VERSION}")
+        for k, row in self._documents(found).items():
+            reason = row["decision"]["reason"] if row["status"] == "error" else None
+            out[k] = ValueError("the question is too short") if reason == "question_too_short" else RuntimeError(reason) if reason is not None else row | {"question_id": 1}
+        return out
+
+    def generate_many(self, bodies: list[dict]) -> list:
+        """An answer for each retrieval document, or what was wrong with it."""
+        out: list = [None if b.get("schema_version") == plans.RETRIEVAL_VERSION else ValueError(f"not a document of {plans.RETRIEVAL_VERSION}") for b in bodies]
+        told = [(k, json.dumps(b)) for k, b in enumerate(bodies) if out[k] is None]
+        if not told:
+            return out
+        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", "generate")
         kind = plans.retrieved_type()
         wanted = schema_of(kind, required=False) | {"required": ["question", "decision", "articles"]}
-        read = self.spark.createDataFrame([(json.dumps(body),)], "t string").select(structured(F.col("t"), wanted, kind).alias("x"))
-        error = read.first().x.error
-        if error:
-            raise ValueError(f"not a retrieval document: {error}")
-        out = plans.generate(read.select("x.value.*"), completer=self.models.completer, settings=self.s, model=self.s.llm_model)
-        return json.loads(out.select(to_document(F.struct(*out.columns)).alias("d")).first().d)
+        read = self.spark.createDataFrame(told, "k int, t string").select("k", structured(F.col("t"), wanted, kind).alias("x"))
+        for r in read.where("x.error IS NOT NULL").select("k", "x.error").collect():
+            out[r.k] = ValueError(f"not a retrieval document: {r.error}")
+        if all(out[k] is not None for k, _ in told):
+            return out
+        good = read.where("x.error IS NULL").select("k", "x.value.*").drop("question_id").withColumnRenamed("k", "question_id")
+        said = plans.generate(good, completer=self.models.completer, settings=self.s, model=self.s.llm_model)
+        for k, row in self._documents(said).items():
+            out[k] = row | {"question_id": bodies[k].get("question_id")}
+        return out
+
+    def retrieve(self, body: dict) -> dict:
+        return self._one(self.retrieve_many([body]))
+
+    def generate(self, body: dict) -> dict:
+        return self._one(self.generate_many([body]))
+
+    @staticmethod
+    def _one(found: list) -> dict:
+        if isinstance(found[0], Exception):
+            raise found[0]
+        return found[0]
+
+    def serving(self, port: int, **limits) -> Service:
+        """The endpoints, each with its queue."""
+        retrieve, generate = Coalescer(self.retrieve_many, **limits), Coalescer(self.generate_many, **limits)
+        return Service(retrieve, generate, self.healthy, port=port, close=lambda: (retrieve.close(), generate.close()))
 
     def healthy(self) -> bool:
         return all(self.spark.catalog.tableExists(t) and not self.spark.table(t).isEmpty() for t in (self.s.node_table, self.s.edge_table))
@@ -237,7 +267,7 @@ def main(argv: list[str] | None = None, models: Models | None = None) -> int:
             out = _evaluate(spark, s, models, args)
             args.output = None
         elif args.command == "serve":
-            with Service(engine.retrieve, engine.generate, engine.healthy, port=args.port) as service:
+            with engine.serving(args.port) as service:
                 print(json.dumps({"port": service.port}), flush=True)
                 threading.Event().wait()
         else:

@@ -1,19 +1,94 @@
 """The engine behind HTTP: GET / and /health, POST /retrieve and /generate, on the standard library's server.
 
 A service holds one session and one engine: two functions from a JSON object to a JSON object.  What a
-caller did wrong is 400, what went wrong here 500, both with a detail; health is 200 or 503.
+caller did wrong is 400, what went wrong here 500, too many waiting requests 503, all with a detail; health is 200 or 503.
 """
 
 from __future__ import annotations
 
 import json
+import queue
 import threading
+import time
 from collections.abc import Callable
+from concurrent.futures import Future
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from karst.sources.providers import DETAIL
 
 
+class Busy(RuntimeError):
+    """More requests are waiting than the queue holds."""
+
+
+class Coalescer:
+    """Requests that arrive together, as one batch: a function of one request over a function of many.
+
+    many: a list of JSON objects -> as many results, each an object or an exception, which is its caller's alone.  A batch
+    begins with the request that waits longest and takes what comes within ``gather`` seconds, ``batch`` of them at most;
+    while it runs, the next requests wait, ``waiting`` of them at most.  A batch that fails as a whole is done again request by request.
+    """
+
+    def __init__(self, many: Callable[[list[dict]], list], *, batch: int = 32, waiting: int = 256, gather: float = 0.02):
+        if batch < 1 or waiting < 1:
+            raise ValueError("batch and waiting must be 1 or more")
+        self.many, self.batch, self.gather = many, batch, gather
+        self._queue: queue.Queue = queue.Queue(waiting)
+        self._closed = threading.Event()
+        self._thread = threading.Thread(target=self._serve, daemon=True)
+        self._thread.start()
+
+    def __call__(self, body: dict) -> dict:
+        if self._closed.is_set():
+            raise Busy("the server is closing")
+        reply: Future = Future()
+        try:
+            self._queue.put_nowait((body, reply))
+        except queue.Full:
+            raise Busy("too many requests are waiting") from None
+        return reply.result()
+
+    def _next(self) -> list[tuple[dict, Future]]:
+        try:
+            taken = [self._queue.get(timeout=0.2)]
+        except queue.Empty:
+            return []
+        until = time.monotonic() + self.gather
+        while len(taken) < self.batch:
+            try:
+                taken.append(self._queue.get(timeout=max(until - time.monotonic(), 0.0)) if time.monotonic() < until else self._queue.get_nowait())
+            except queue.Empty:
+                break
+        return taken
+
+    def _done(self, bodies: list[dict]) -> list:
+        try:
+            found = self.many(bodies)
+            if len(found) != len(bodies):
+                raise RuntimeError(f"{len(found)} results for {len(bodies)} requests")
+            return found
+        except Exception as e:
+            return [e] if len(bodies) == 1 else [self._done([b])[0] for b in bodies]
+
+    def _serve(self) -> None:
+        while True:
+            taken = self._next()
+            if not taken and self._closed.is_set():
+                return
+            for (_, reply), found in zip(taken, self._done([b for b, _ in taken]) if taken else [], strict=True):
+                reply.set_exception(found) if isinstance(found, Exception) else reply.set_result(found)
+
+    def close(self) -> None:
+        """No further requests; those that wait are answered."""
+        self._closed.set()
+        self._thread.join()
+
+
+class _Server(ThreadingHTTPServer):
+    request_queue_size = 256
+    daemon_threads = True
+
+
 class Service:
     """A server with its lifetime; as a context manager it closes what it opened itself, and nothing else."""
 
@@ -53,6 +128,8 @@ class Service:
                     if not isinstance(value, dict):
                         raise ValueError("the body must be a JSON object")
                     self._send(200, run(value))
+                except Busy as e:
+                    self._send(503, {"detail": str(e)})
                 except ValueError as e:
                     self._send(400, {"detail": str(e)[:DETAIL]})
                 except Exception as e:
@@ -61,7 +138,7 @@ class Service:
             def log_message(self, *args) -> None:
                 pass
 
-        self.server = ThreadingHTTPServer((host, port), Handler)
+        self.server = _Server((host, port), Handler)
         self.port = self.server.server_address[1]
         self._thread: threading.Thread | None = None
 

@@ -13,6 +13,7 @@ def session(name: str = "karst", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.speculation": "false",
+        "spark.scheduler.mode": "FAIR",  # the server's endpoints have a pool each
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for k, v in (defaults | conf).items():

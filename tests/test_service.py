@@ -2,9 +2,11 @@
 
 import json
 import pickle
+import threading
 import time
 import urllib.error
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from graph_fixture import TTL
@@ -13,8 +15,8 @@ from test_retrieve import embedder
 
 from karst import evaluation as runs
 from karst import settings
-from karst.__main__ import Models, debugged, main
-from karst.server import Service
+from karst.__main__ import Engine, Models, debugged, main
+from karst.server import Busy, Coalescer, Service
 from karst.settings import Settings
 from karst.sources import models as p_models
 from karst.sources import providers as p
@@ -231,6 +233,52 @@ def test_server():
     assert closed == [1]
 
 
+def posted(service, path, body):
+    """Status and reply of a POST."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{service.port}{path}", data=json.dumps(body).encode()), timeout=120) as r:
+            return r.status, json.loads(r.read())
+    except urllib.error.HTTPError as e:
+        return e.code, json.loads(e.read())
+
+
+def test_requests_that_arrive_together_are_one_batch():
+    batches, hold = [], threading.Event()
+
+    def many(bodies):
+        batches.append(len(bodies))
+        if any(b["q"] == "poison" for b in bodies):
+            raise OSError("all of it")
+        hold.wait(20)
+        return [ValueError("odd") if b["q"] % 7 == 3 else {"twice": 2 * b["q"]} for b in bodies]
+
+    hold.set()
+    together = Coalescer(many, gather=1.0)
+    with Service(together, lambda b: b, port=0, close=together.close) as service, ThreadPoolExecutor(40) as pool:
+        got = list(pool.map(lambda k: posted(service, "/retrieve", {"q": k}), range(32)))
+        assert batches == [32] and got == [(400, {"detail": "odd"}) if k % 7 == 3 else (200, {"twice": 2 * k}) for k in range(32)]
+        batches.clear()
+        mixed = list(pool.map(lambda k: posted(service, "/retrieve", {"q": k}), [1, "poison", 2]))
+        assert [s for s, _ in mixed] == [200, 500, 200] and sorted(batches) == [1, 1, 1, 3]  # an error is its own caller's
+    with pytest.raises(Busy):
+        together({"q": 1})
+
+    hold.clear()
+    narrow = Coalescer(many, batch=1, waiting=2, gather=0.0)
+    with Service(narrow, lambda b: b, port=0) as service, ThreadPoolExecutor(8) as pool:
+        first = pool.submit(posted, service, "/retrieve", {"q": 0})
+        while len(batches) < 5:
+            time.sleep(0.01)  # until the first request is under way
+        rest = [pool.submit(posted, service, "/retrieve", {"q": 1}) for _ in range(5)]
+        while sum(f.done() for f in rest) < 3:
+            time.sleep(0.01)
+        hold.set()
+        assert first.result()[0] == 200 and sorted(f.result()[0] for f in rest) == [200, 200, 503, 503, 503]
+    narrow.close()
+    with pytest.raises(ValueError):
+        Coalescer(many, batch=0)
+
+
 #: A law without the two articles that nothing reaches.
 WHOLE = "\n".join(x.replace(", law:article_6", "").replace("law:article_3 , ", "") for x in TTL.splitlines() if not x.startswith(("law:article_6", "law:article_3"))).replace("law:article_5", "law:article_3").replace("المادة 5", "المادة 3")
 
@@ -267,6 +315,15 @@ def test_commands_end_to_end(spark, tmp_path, capsys, monkeypatch):
         assert code == 0 and said["status"] == "generated" and said["citations"]
         (tmp_path / "bad.json").write_text(json.dumps({**found, "more": 1}))
         assert run("generate", str(tmp_path / "bad.json"))[1]["detail"].endswith("unknown_keys")
+        engine, plans_run = Engine(spark, settings.get_settings(), models), []
+        own = engine.retrieve_many
+        engine.retrieve_many = lambda bodies: plans_run.append(len(bodies)) or own(bodies)
+        with engine.serving(0, gather=1.0) as service, ThreadPoolExecutor(8) as pool:
+            asked = [found["question"], "x", found["question"], 5]
+            got = list(pool.map(lambda q: posted(service, "/retrieve", {"question": q}), asked))
+            assert plans_run == [4] and [s for s, _ in got] == [200, 400, 200, 400] and got[0][1] == got[2][1] == found
+            told = list(pool.map(lambda b: posted(service, "/generate", b), [found, {**found, "more": 1}, found | {"question_id": 9}, {}]))
+            assert [s for s, _ in told] == [200, 400, 200, 400] and told[0][1] == said and told[2][1] == said | {"question_id": 9}
         assert run("smoke", "ما حكم تأخير الأجر والإجازة؟")[1]["generation"]["grounded"]
 
         cases = [
