@@ -39,8 +39,10 @@ def node_index(spark: SparkSession, name: str) -> Lexicon | None:
     return Lexicon(name, tuple(NODE_BOOSTS.items())) if spark.catalog.tableExists(f"{name}_totals") else None
 
 
-#: Bytes of query vectors that a task holds at once.
+#: Bytes of query vectors and of their best hits that a task holds at once.
 QUERY_BYTES = 16 << 20
+#: Queries and nodes of one matrix of distances (8 MB), however many there are of either.
+QUERIES_AT_ONCE, NODES_AT_ONCE = 2048, 512
 
 
 def _nearest(block: Broadcast, k: int, names: list[str]):
@@ -48,27 +50,34 @@ def _nearest(block: Broadcast, k: int, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = block.value
-        best_d, best_u = np.full((len(queries), 0), 0.0), np.empty((len(queries), 0), object)
+        best_d, best_u = np.full((len(queries), k), np.inf), np.full((len(queries), k), None, object)
         for batch in batches:
-            uris = np.array(batch.column(0).to_pylist(), object)
-            vectors = [np.array(v, float) for v in batch.column(1).to_pylist()]
-            for size in {len(v) for v in vectors}:
+            uris, lists = batch.column(0).to_pylist(), batch.column(1)
+            for size in lists.value_lengths().unique().to_pylist():
                 if size != queries.shape[1]:
                     raise ValueError(f"vectors of {size} and {queries.shape[1]} numbers have no distance")
-            nodes = np.array(vectors).reshape(len(vectors), queries.shape[1])
+            nodes = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(uris), queries.shape[1])
             norm = np.sqrt((nodes * nodes).sum(axis=1, keepdims=True))
-            # Rounded, so that equal vectors tie whatever the order of a sum.
-            far = np.round(1 - queries @ (nodes / np.where(norm > 0, norm, 1)).T, 12)
-            far, own = np.concatenate([best_d, far], axis=1), np.concatenate([best_u, np.broadcast_to(uris, far.shape)], axis=1)
-            if far.shape[1] > k:
-                # All that is no farther than the k-th, and of those the first by distance and uri.
-                edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
-                keep = [sorted(np.flatnonzero(row <= e).tolist(), key=lambda j, row=row, u=u: (row[j], u[j]))[:k] for row, e, u in zip(far, edge, own, strict=True)]
-                far, own = np.take_along_axis(far, np.array(keep), axis=1), np.take_along_axis(own, np.array(keep), axis=1)
-            best_d, best_u = far, own
-        if best_d.size:
-            number = np.repeat(np.arange(len(queries)), best_d.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(best_u.ravel().tolist(), pa.string()), pa.array(best_d.ravel())], names=names)
+            nodes = nodes / np.where(norm > 0, norm, 1)
+            for q in range(0, len(queries), QUERIES_AT_ONCE):
+                own_d, own_u = best_d[q : q + QUERIES_AT_ONCE], best_u[q : q + QUERIES_AT_ONCE]
+                for n in range(0, len(uris), NODES_AT_ONCE):
+                    # Rounded, so that equal vectors tie whatever the order of a sum.
+                    far = np.round(1 - queries[q : q + QUERIES_AT_ONCE] @ nodes[n : n + NODES_AT_ONCE].T, 12)
+                    # All that is no farther than the k-th so far and the k-th of these, and of those the first by distance and uri.
+                    edge = own_d[:, -1]
+                    if far.shape[1] > k:
+                        edge = np.minimum(edge, np.partition(far, k - 1, axis=1)[:, k - 1])
+                    near = far <= edge[:, None]
+                    for i in np.flatnonzero(near.any(axis=1)):
+                        found = [(far[i, j], uris[n + j]) for j in np.flatnonzero(near[i])]
+                        found += [(d, u) for d, u in zip(own_d[i], own_u[i], strict=True) if u is not None]
+                        found = sorted(found)[:k]
+                        own_d[i, : len(found)], own_u[i, : len(found)] = zip(*found, strict=True)
+        for q in range(0, len(queries), QUERIES_AT_ONCE):
+            rows, ranks = np.nonzero(np.not_equal(best_u[q : q + QUERIES_AT_ONCE], None))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(q + rows, pa.int32()), pa.array(best_u[q + rows, ranks].tolist(), pa.string()), pa.array(best_d[q + rows, ranks])], names=names)
 
     return run
 
@@ -77,7 +86,7 @@ def vector_topk(queries: DataFrame, nodes: DataFrame, k: int, keys: list[str] =
     """keys, uri, distance, rank: the k nodes nearest by cosine, distances rounded to 12 places.  queries: keys, vector; nodes: uri, embedding.
 
     The queries are a stated set against all nodes.  They pass through the driver in blocks of QUERY_BYTES; each block
-    is one pass over the nodes as matrix products, and of every partition only its k best a query go on.  Queries and nodes without a
+    is one pass over the nodes as matrix products of bounded size, and of every partition only its k best a query go on.  Queries and nodes without a
     vector give nothing; a zero vector is at distance 1 from all.
     """
     spark = queries.sparkSession
@@ -96,7 +105,7 @@ def vector_topk(queries: DataFrame, nodes: DataFrame, k: int, keys: list[str] =
 
     for row in queries.where("vector IS NOT NULL").select(*keys, "vector").toLocalIterator():
         block.append(row)
-        held += 8 * len(row["vector"])
+        held += 8 * len(row["vector"]) + 16 * k
         if held >= QUERY_BYTES:
             out, block, held = scan(block) if out is None else out.unionByName(scan(block)), [], 0
     if block or out is None:
