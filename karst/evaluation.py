@@ -66,8 +66,9 @@ def sliced(cases: DataFrame, start: int = 0, limit: int | None = None, order: st
     if start < 0 or (limit is not None and limit < 1):
         raise ValueError("start must be 0 or more and limit 1 or more")
     n = F.row_number().over(Window.orderBy(order)) - 1
+    if limit is not None:  # only the first start + limit of each task go on to the one that numbers them
+        cases = cases.orderBy(order).limit(start + limit)
     kept = cases.withColumn("_n", n).where(F.col("_n") >= start)
-    kept = kept if limit is None else kept.where(F.col("_n") < start + limit)
     return kept.withColumn(order, (F.col("_n") - start).cast("long")).drop("_n")
 
 
