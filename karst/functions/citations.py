@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from karst.functions.once import once
+
 #: The forms of citations; digits are ASCII or Arabic, in evaluation Persian too.
 DIGITS = "0-9٠-٩"
 INLINE = rf"\[\s*المادة\s+([{DIGITS}]+)\s*\]"
@@ -43,13 +45,14 @@ def mentioned_numbers(text: Column) -> Column:
 
 
 def repair_brackets(text: Column) -> Column:
-    """Any run of brackets around a citation becomes one pair; blanks are folded and taken away before punctuation."""
-    digits = F.regexp_replace(text, BRACKETED, "[المادة $1]")
-    # Only digits inside of citations become ASCII: one pass for each digit that occurs there.
-    for a, b in zip(_ARABIC_DIGITS[:10], _ASCII_DIGITS[:10], strict=True):
-        digits = F.regexp_replace(digits, rf"(?<=\[المادة [{DIGITS}]{{0,30}}){a}(?=[{DIGITS}]{{0,30}}\])", b)
-    digits = F.regexp_replace(digits, r"(?<=\[المادة )0+(?=[0-9])", "")
-    out = F.regexp_replace(digits, "[ \t]{2,}", " ")
+    """Any run of brackets around a citation becomes one pair, its digits ASCII; blanks are folded and taken away before punctuation.
+
+    The text is cut at its citations once, and put together again with their numbers, however many digits occur.
+    """
+    pattern = F.lit(BRACKETED)
+    numbers = F.regexp_replace(F.translate(F.array_join(F.regexp_extract_all(text, pattern, F.lit(1)), ","), _ARABIC_DIGITS[:10], _ASCII_DIGITS[:10]), r"\b0+(?=[0-9])", "")
+    put = F.zip_with(F.split(text, BRACKETED), F.split(numbers, ","), lambda part, n: F.when(n.isNull() | (n == ""), part).otherwise(F.concat(part, F.lit("[المادة "), n, F.lit("]"))))
+    out = F.regexp_replace(F.array_join(put, ""), "[ \t]{2,}", " ")
     return F.trim(F.regexp_replace(out, r"\s+([،؛,.!?])", "$1"))
 
 
@@ -77,17 +80,23 @@ def citation_state(answer: Column, structured: Column, allowed: Column) -> Colum
     The answer has been repaired and made canonical already.  Inline citations count when there are valid ones,
     else the structured list; anything invalid or nothing valid asks for a retry.
     """
-    inline, mentioned = inline_numbers(answer), mentioned_numbers(answer)
-    given = F.array_distinct(F.coalesce(structured, F.array().cast("array<int>")))
+    found = F.struct(inline_numbers(answer).alias("inline"), mentioned_numbers(answer).alias("mentioned"), F.array_distinct(F.coalesce(structured, F.array().cast("array<int>"))).alias("structured"))
     valid = lambda a: F.filter(a, lambda n: F.array_contains(allowed, n))
-    bad = lambda a: F.array_sort(F.array_except(a, allowed))
-    final = F.when(F.size(valid(inline)) > 0, valid(inline)).otherwise(valid(given))
-    retry = (F.size(bad(inline)) > 0) | (F.size(bad(mentioned)) > 0) | (F.size(bad(given)) > 0) | (F.size(final) == 0)
-    return F.struct(
-        answer.alias("answer"), inline.alias("inline"), mentioned.alias("mentioned"), given.alias("structured"),
-        valid(inline).alias("valid_inline"), valid(given).alias("valid_structured"), final.alias("final"),
-        bad(inline).alias("invalid_inline"), bad(mentioned).alias("invalid_mentions"), bad(given).alias("invalid_structured"), retry.alias("needs_retry"),
-    )
+    bad = lambda a: F.sort_array(F.array_except(a, allowed))
+
+    def checked(x: Column) -> Column:
+        return F.struct(
+            *[x[c].alias(c) for c in ("inline", "mentioned", "structured")], valid(x["inline"]).alias("valid_inline"), valid(x["structured"]).alias("valid_structured"),
+            bad(x["inline"]).alias("invalid_inline"), bad(x["mentioned"]).alias("invalid_mentions"), bad(x["structured"]).alias("invalid_structured"),
+        )
+
+    def told(x: Column) -> Column:
+        final = F.when(F.size(x["valid_inline"]) > 0, x["valid_inline"]).otherwise(x["valid_structured"])
+        retry = (F.size(x["invalid_inline"]) > 0) | (F.size(x["invalid_mentions"]) > 0) | (F.size(x["invalid_structured"]) > 0) | (F.size(final) == 0)
+        names = ("inline", "mentioned", "structured", "valid_inline", "valid_structured")
+        return F.struct(answer.alias("answer"), *[x[c].alias(c) for c in names], final.alias("final"), *[x[c].alias(c) for c in ("invalid_inline", "invalid_mentions", "invalid_structured")], retry.alias("needs_retry"))
+
+    return once(found, lambda f: once(checked(f), told))
 
 
 def with_suffix(answer: Column, valid_inline: Column, final: Column) -> Column:
