@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from karst.functions.once import once
 from karst.settings import Settings
 
 _TEXT, _INT, _REAL = T.StringType(), T.IntegerType(), T.DoubleType()
@@ -67,35 +68,41 @@ def normalize_selection(selection: Column, catalogue: Column, n_issues: Column)
     is missing is not covered, with confidence 0.  What supports no covered issue is not selected.
     An empty catalogue selects nothing, with confidence 1.
     """
-    ints = F.array().cast("array<int>")
-    coverage = F.coalesce(selection["issue_coverage"], F.array().cast(SELECTION["issue_coverage"].dataType))
-    selected = F.array_distinct(F.coalesce(selection["selected_article_numbers"], ints))
-    inside = F.filter(coverage, lambda c: c["issue_index"].between(1, n_issues))
-    # The first of each issue counts; what comes after it is not looked at.
-    firsts = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n_issues, F.lit(1))), lambda i: F.get(F.filter(inside, lambda c: c["issue_index"] == i), F.lit(0))), lambda c: c.isNotNull())
-    support = lambda c: F.array_distinct(F.coalesce(c["supporting_article_numbers"], ints))
-    foreign = (F.size(F.array_except(selected, catalogue)) > 0) | F.exists(firsts, lambda c: F.size(F.array_except(support(c), catalogue)) > 0)
-    holds = lambda c: c["covered"] & (F.size(support(c)) > 0)
-
-    def row(i: Column) -> Column:
-        own = F.filter(firsts, lambda c: c["issue_index"] == i)
-        c = F.get(own, F.lit(0))
-        yes = F.coalesce(holds(c), F.lit(False))
-        return F.struct(i.alias("issue_index"), yes.alias("covered"), F.when(yes, F.slice(support(c), 1, MAX_SELECTED)).otherwise(ints).alias("supporting_article_numbers"), F.coalesce(c["confidence"], F.lit(0.0)).alias("confidence"))
-
-    rows = F.when(n_issues > 0, F.transform(F.sequence(F.lit(1), F.greatest(n_issues, F.lit(1))), row)).otherwise(F.array().cast("array<struct<issue_index:int,covered:boolean,supporting_article_numbers:array<int>,confidence:double>>"))
-    # Support is appended in the order in which the coverage was given.
-    given = F.filter(inside, lambda c: F.array_contains(firsts, c))
-    joined = F.array_distinct(F.concat(selected, F.flatten(F.transform(F.filter(given, holds), support))))
-    backed = F.flatten(F.transform(rows, lambda r: r["supporting_article_numbers"]))
-    kept = F.slice(F.filter(joined, lambda n: F.array_contains(backed, n)), 1, MAX_SELECTED)
-    bare = F.when(n_issues > 0, F.transform(F.sequence(F.lit(1), F.greatest(n_issues, F.lit(1))), lambda i: F.struct(i.alias("issue_index"), F.lit(False).alias("covered"), ints.alias("supporting_article_numbers"), F.lit(1.0).alias("confidence")))).otherwise(F.array().cast("array<struct<issue_index:int,covered:boolean,supporting_article_numbers:array<int>,confidence:double>>"))
-    empty = F.size(catalogue) == 0
-    return F.struct(
-        F.when(empty | foreign, ints).otherwise(kept).alias("selected"),
-        F.when(empty, bare).when(~foreign, rows).alias("coverage"),
-        F.when(~empty & foreign, F.lit("outside_catalogue")).alias("error"),
-    )
+    ints, none = F.array().cast("array<int>"), F.array().cast("array<struct<issue_index:int,covered:boolean,supporting_article_numbers:array<int>,confidence:double>>")
+    numbers = lambda a: F.array_distinct(F.coalesce(a, ints))
+    per_issue = lambda f: F.when(n_issues > 0, F.transform(F.sequence(F.lit(1), F.greatest(n_issues, F.lit(1))), f)).otherwise(none)
+    inside = F.filter(F.coalesce(selection["issue_coverage"], F.array().cast(SELECTION["issue_coverage"].dataType)), lambda c: c["issue_index"].between(1, n_issues))
+    # Each with its support; covered only with some.
+    held = lambda c, s: F.struct(c["issue_index"].alias("issue_index"), F.coalesce(c["covered"] & (F.size(s) > 0), F.lit(False)).alias("covered"), s.alias("support"), c["confidence"].alias("confidence"))
+    inside = F.transform(inside, lambda c: once(numbers(c["supporting_article_numbers"]), lambda s: held(c, s)))
+    given = F.struct(numbers(selection["selected_article_numbers"]).alias("selected"), catalogue.alias("catalogue"), inside.alias("inside"))
+
+    def first(x: Column) -> Column:
+        # The first of each issue counts, in the order in which the coverage was given; what comes after it is not looked at.
+        firsts = once(F.transform(x["inside"], lambda c: c["issue_index"]), lambda n: F.filter(x["inside"], lambda c, i: F.array_position(n, c["issue_index"]) == i + 1))
+        return F.struct(x["selected"].alias("selected"), x["catalogue"].alias("catalogue"), firsts.alias("firsts"))
+
+    def row(i: Column, c: Column) -> Column:
+        yes = F.coalesce(c["covered"], F.lit(False))
+        return F.struct(i.alias("issue_index"), yes.alias("covered"), F.when(yes, F.slice(c["support"], 1, MAX_SELECTED)).otherwise(ints).alias("supporting_article_numbers"), F.coalesce(c["confidence"], F.lit(0.0)).alias("confidence"))
+
+    def judged(x: Column) -> Column:
+        beyond = lambda a: F.size(F.array_except(a, x["catalogue"])) > 0
+        rows = per_issue(lambda i: once(F.get(F.filter(x["firsts"], lambda c: c["issue_index"] == i), F.lit(0)), lambda c: row(i, c)))
+        # Support is appended in the order in which the coverage was given.
+        joined = F.array_distinct(F.concat(x["selected"], F.flatten(F.transform(F.filter(x["firsts"], lambda c: c["covered"]), lambda c: c["support"]))))
+        return F.struct((F.size(x["catalogue"]) == 0).alias("empty"), (beyond(x["selected"]) | F.exists(x["firsts"], lambda c: beyond(c["support"]))).alias("foreign"), rows.alias("rows"), joined.alias("joined"))
+
+    def told(x: Column) -> Column:
+        kept = once(F.flatten(F.transform(x["rows"], lambda r: r["supporting_article_numbers"])), lambda backed: F.slice(F.filter(x["joined"], lambda n: F.array_contains(backed, n)), 1, MAX_SELECTED))
+        bare = per_issue(lambda i: F.struct(i.alias("issue_index"), F.lit(False).alias("covered"), ints.alias("supporting_article_numbers"), F.lit(1.0).alias("confidence")))
+        return F.struct(
+            F.when(x["empty"] | x["foreign"], ints).otherwise(kept).alias("selected"),
+            F.when(x["empty"], bare).when(~x["foreign"], x["rows"]).alias("coverage"),
+            F.when(~x["empty"] & x["foreign"], F.lit("outside_catalogue")).alias("error"),
+        )
+
+    return once(given, lambda g: once(first(g), lambda f: once(judged(f), told)))
 
 
 def rerank_payload(candidates: DataFrame, s: Settings) -> DataFrame:

@@ -37,8 +37,8 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
 
 def content_tokens(spark: SparkSession, d: str) -> DataFrame:
     rows = _texts(spark, d).withColumn("n", text.normalize_arabic(F.col("text")))
-    found = text.content_tokens(F.col("n"))
-    return rows.select("id", F.array_join(F.array_sort(found), " ").alias("tokens"), F.get(found, F.lit(0)).alias("first"))
+    rows = rows.select("id", text.content_tokens(F.col("n")).alias("found"))
+    return rows.select("id", F.array_join(F.sort_array("found"), " ").alias("tokens"), F.get("found", F.lit(0)).alias("first"))
 
 
 def lexical_relevance(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +137,7 @@ def plan_validation(spark: SparkSession, d: str) -> DataFrame:
 def selection_normalize(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50).cast("int").alias("n"), (F.col("l_suppkey") % 6).cast("int").alias("issue"), (F.col("l_quantity") > 10).alias("covered"))
     own = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "n", "issue", "covered"))).alias("x"))
-    n = F.transform("x", lambda e: e["n"])
+    own, n = own.withColumn("n", F.transform("x", lambda e: e["n"])), F.col("n")
     coverage = F.transform("x", lambda e: F.struct(e["issue"].alias("issue_index"), e["covered"].alias("covered"), F.array(e["n"], F.get(n, F.lit(0))).alias("supporting_article_numbers"), F.lit(0.5).alias("confidence"), F.lit("").alias("reason")))
     selection = F.struct(F.slice(n, 1, 2).alias("selected_article_numbers"), coverage.alias("issue_coverage"), F.lit(0.9).alias("confidence"), F.lit("").alias("reason"))
     catalogue = F.when(F.col("l_orderkey") % 5 == 0, F.array().cast("array<int>")).when(F.col("l_orderkey") % 5 == 1, F.slice(n, 1, 3)).otherwise(n)
