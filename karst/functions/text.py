@@ -53,7 +53,8 @@ def tokens(normalized: Column) -> Column:
 def content_tokens(normalized: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Distinct words of more than one letter that say something, in their order."""
     stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.array_distinct(F.filter(F.split(normalized, " "), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
+    # The difference of sets is compiled and keeps distinct words in their order; a lambda over every word and stop word is neither.
+    return F.filter(F.array_except(F.split(normalized, " "), stop), lambda w: F.length(w) > 1)
 
 
 def relevance(question: Column, article: Column) -> Column:
