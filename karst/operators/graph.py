@@ -91,7 +91,7 @@ def _start(seeds: DataFrame, keys: list[str]) -> DataFrame:
 def _hop(frontier: DataFrame, view: DataFrame | Adjacency, s: Settings, keys: list[str], hop: int, in_namespace) -> DataFrame:
     """Every arrival of one hop: keys, the seed, uri, to_article, score, steps, hop."""
     if isinstance(view, Adjacency):
-        gone = view.hop(frontier)
+        gone = view.spread(written(view.reach(frontier), "hop-reached"))  # written packed, as each aggregate of the hop reads it
     else:  # only edges from the frontier, and only its degrees; written, as both are read
         edges = written(edges_of(view, frontier, "cur"), "hop-edges")
         gone = frontier.join(edges, "cur").join(degrees(edges).select(F.col("uri").alias("cur"), "article_degree"), "cur")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from karst.functions import scoring
 from karst.operators.graph import KEYS
 from karst.settings import Settings
+from karst.sources.scratch import written
 
 #: Kinds of nodes that are structure, not concepts.
 STRUCTURAL_KINDS = ["Article", "Paragraph", "Definition", "Law", "Ontology", "OntologyClass", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "Resource"]
@@ -20,8 +21,9 @@ def rank_articles(evidence: DataFrame, articles: DataFrame, s: Settings, keys: l
     evidence: keys, uri, graph_score, n_paths; articles: keys, uri, article_number, issue_relevance (those that are valid).
     Scores are shares of the issue's highest graph score, which counts articles that are then dropped too.
     """
-    highest = evidence.withColumn("_highest", F.max("graph_score").over(Window.partitionBy(*keys)))
-    joined = highest.join(articles, [*keys, "uri"]).where(F.col("article_number").isNotNull())
+    # A number an issue, so that no task reads all evidence of an issue; of the ranks each task keeps the first few before it sends them on.
+    highest = written(evidence.groupBy(*keys).agg(F.max("graph_score").alias("_highest")), "highest")
+    joined = evidence.join(articles, [*keys, "uri"]).where(F.col("article_number").isNotNull()).join(F.broadcast(highest), keys)
     final = scoring.article_final(s, F.col("graph_score"), F.col("_highest"), F.col("issue_relevance"), F.col("n_paths"))
     order = Window.partitionBy(*keys).orderBy(F.desc("final_score"), F.desc("graph_score"), F.asc_nulls_last("article_number"), "uri")
     ranked = joined.withColumn("final_score", final).drop("_highest").withColumn("rank", F.row_number().over(order))

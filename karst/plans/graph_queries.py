@@ -11,6 +11,7 @@ from karst.functions import scoring
 from karst.operators import build, graph, rank
 from karst.plans import standin as g
 from karst.settings import Settings
+from karst.sources.scratch import written
 
 NS = "http://example.org/law#"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -153,7 +154,7 @@ def expanded_concepts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    e = _walk(spark, d)[0]
+    e = written(_walk(spark, d)[0], "evidence")  # read for the highest scores, the articles and the paths
     orders = g.table(spark, d, "orders").where("o_orderstatus <> 'P'")
     articles = orders.select(g.uri("o", "o_orderkey").alias("uri"), F.col("o_orderkey").cast("int").alias("article_number"), (F.col("o_orderkey") % 17 / 17).alias("issue_relevance"))
     keyed = e.select(*graph.KEYS, "uri").join(articles, "uri")
@@ -170,7 +171,7 @@ def candidate_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def selected_articles(spark: SparkSession, d: str) -> DataFrame:
-    m = rank.merge_candidates(_ranked(spark, d), g.SETTINGS, with_paths=False)
+    m = written(rank.merge_candidates(_ranked(spark, d), g.SETTINGS, with_paths=False), "merged")  # read twice
     # A selection in an order of its own, with a repeat and a number that is no candidate.
     chosen = m.groupBy("question_id").agg(F.reverse(F.array_sort(F.collect_list("article_number"))).alias("n"))
     chosen = chosen.select("question_id", F.concat(F.array(F.lit(-1)), "n", "n").alias("selected_article_numbers"))
