@@ -33,7 +33,7 @@ SLACK = 1e-6
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def add(lexicon: Lexicon, rows: DataFrame, id_col: str, fields: dict[str, Column
     texts = [f"w{i}" for i in range(len(fields))]
     cut = rows.select(F.col(id_col).cast("string").alias("uri"), *[c.alias(w) for c, w in zip(fields.values(), texts, strict=True)])
     cut = cut.repartitionByRange("uri").sortWithinPartitions("uri").withColumn("place", F.monotonically_increasing_id() + (segment << SEGMENT_BITS))
-    cut = cut.withColumns({w: F.array_sort(words(F.col(w))) for w in texts})
+    cut = cut.withColumns({w: F.sort_array(words(F.col(w))) for w in texts})  # both compiled, without a lambda a word
     cut = written(cut, "lexicon-words")
     documents = cut.select(F.shiftright("place", RANGE_BITS).alias("range"), "place", "uri").repartition(n, "range")
     _saved(documents, f"{lexicon.name}_documents", n, ["range"], ["range", "place"], folder)
