@@ -31,7 +31,8 @@ def edges_by_frontier(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_set(spark: SparkSession, d: str) -> DataFrame:
-    e = g.edges(spark, d).where("object_kind = 'uri' AND predicate_local_name <> 'partOf'")
+    """What edges begin or end at: the ends go through one exchange, so that a task holds its share of the URIs and no edges besides."""
+    e = g.edges(spark, d, once=False).where("object_kind = 'uri' AND predicate_local_name <> 'partOf'")
     return e.select(F.col("source_uri").alias("uri")).union(e.select("target_uri")).distinct()
 
 

@@ -30,13 +30,17 @@ def name_of(kind: str, rows: DataFrame) -> str:
     return f"{kind}_{hashlib.sha256(f'{kind} {told.h} {told.n}'.encode()).hexdigest()[:16]}"
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """source_uri, predicate_local_name, object_kind, target_uri; names are literals, lines an unweighted relation."""
+def edges(spark: SparkSession, d: str, once: bool = True) -> DataFrame:
+    """source_uri, predicate_local_name, object_kind, target_uri; names are literals, lines an unweighted relation.
+
+    once: an order's lines of one supplier are one edge; for who asks for the ends only, that sorts out nothing.
+    """
 
     def side(df: DataFrame, s, relation: str, o, kind: str = "uri") -> DataFrame:
         return df.select(s.alias("source_uri"), F.lit(relation).alias("predicate_local_name"), F.lit(kind).alias("object_kind"), o.alias("target_uri"))
 
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    lines = lines.distinct() if once else lines
     customer, supplier, nation = (table(spark, d, t) for t in ("customer", "supplier", "nation"))
     return (
         side(table(spark, d, "orders"), uri("o", "o_orderkey"), "placedBy", uri("c", "o_custkey"))
