@@ -11,6 +11,8 @@ from karst.operators.graph import KEYS
 from karst.settings import Settings
 from karst.sources.scratch import written
 
+#: Rows that a task sorts to number them, about.
+NUMBERED = 500_000
 #: Kinds of nodes that are structure, not concepts.
 STRUCTURAL_KINDS = ["Article", "Paragraph", "Definition", "Law", "Ontology", "OntologyClass", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "Resource"]
 
@@ -56,6 +58,24 @@ def keep_best(rows: DataFrame, by: list[str], score: str, tie: str) -> DataFrame
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def numbered(rows: DataFrame, group: str, order: str, most: int = NUMBERED) -> DataFrame:
+    """Rows with n, their place in their group by ``order`` (from 1): row_number, with a large group spread over many tasks.
+
+    All rows are sorted, ``most`` of them a task; what is added to a row's place in its task is how many of its group lie in the
+    tasks before.  That is one number a group and task, which all tasks get, so groups are few.  A null group is one group.
+    """
+    rows = written(rows, "numbered-rows")  # counted, sampled and moved
+    tasks = max(1, -(-rows.count() // most))
+    placed = rows.repartitionByRange(tasks, group, order).sortWithinPartitions(group, order).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "numbered-places")
+    task = F.shiftright("_at", 33)
+    parts = placed.groupBy(F.col(group).alias("_group"), task.alias("_task")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("_group").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    parts = written(parts.select("_group", "_task", (F.col("_first") - 1 - F.coalesce(before, F.lit(0))).alias("_zero")), "numbered-parts")
+    out = placed.join(F.broadcast(parts), F.col(group).eqNullSafe(F.col("_group")) & (task == F.col("_task")))
+    return out.select(*rows.columns, (F.col("_at") - F.col("_zero")).cast("int").alias("n"))
+
+
 def merge_concepts(hits: DataFrame, s: Settings) -> DataFrame:
     """A question's concepts across its issues, each at its best (the earlier issue's on ties)."""
     best = keep_best(hits, ["question_id", "uri"], "seed_score", "issue_index")

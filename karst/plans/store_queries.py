@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from karst import evaluation
 from karst.functions import text
@@ -177,8 +176,8 @@ def case_slice(spark: SparkSession, d: str) -> DataFrame:
 
 def sorted_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of nodes in the order of their URIs, the first of each prefix."""
-    nodes = graph_queries.node_set(spark, d)
-    return nodes.withColumn("n", F.row_number().over(Window.partitionBy(F.substring("uri", 1, 2)).orderBy("uri")))
+    nodes = graph_queries.node_set(spark, d).withColumn("prefix", F.substring("uri", 1, 2))
+    return rank.numbered(nodes, "prefix", "uri").drop("prefix")
 
 
 def out_of_scope_verdict(spark: SparkSession, d: str) -> DataFrame:
